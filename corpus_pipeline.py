@@ -7,7 +7,7 @@ last return the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import decontamination, language_id, minhash, packing, suffix_dedup
@@ -33,13 +33,13 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Removes byte strings of 200 bytes or more that recur; a character cut in two is dropped.
     Documents of which nothing but white space is left go."""
     cut = suffix_dedup.remove_repeats(docs, carry=("text", "lang", "source", "n_chars"))
-    text = F.when(F.size("spans") == 0, F.col("text")).otherwise(_whole_characters(F.col("kept"), F.col("spans")))
+    text = F.when(F.size("spans") == 0, F.col("text")).otherwise(_whole_characters(F.col("kept")))
     return cut.withColumn("text", text).where(F.col("text").rlike(r"\S")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
-def _whole_characters(kept, spans):
+def _whole_characters(kept: Column) -> Column:
     """Text of the remaining bytes without the halves of characters that a cut went through."""
-    return F.replace(F.try_validate_utf8(F.make_valid_utf8(kept.cast("string"))), F.lit("�"), F.lit(""))
+    return F.replace(F.make_valid_utf8(kept.cast("string")), F.lit("�"), F.lit(""))
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

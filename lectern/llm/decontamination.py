@@ -24,12 +24,14 @@ tables: nothing found. Very long texts are searched whole. Other columns are not
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -233,6 +235,19 @@ def scan(texts: list[str | None], indexes: list[Index], batch_chars: int = 1 <<
     return out
 
 
+def _scanner(shared):
+    """A UDF over the index whose pickled form is broadcast."""
+    loaded: list[list[Index]] = []
+
+    @F.pandas_udf(FOUND)
+    def find(batch: pd.Series) -> pd.Series:
+        if not loaded:
+            loaded.append(pickle.loads(shared.value))
+        return pd.Series(scan(batch.tolist(), loaded[0]))
+
+    return find
+
+
 def found_items(text: Column, benchmark: DataFrame, settings: Settings = Settings(), item_id: str = "item_id", item_text: str = "text") -> Column:
     """An array column of the benchmark items that ``text`` contains."""
     items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t"))
@@ -242,8 +257,7 @@ def found_items(text: Column, benchmark: DataFrame, settings: Settings = Setting
     columns = []
     for k in range(groups):
         rows = [(r["i"], r["t"]) for r in items.where(group == k).collect()]
-        shared = benchmark.sparkSession.sparkContext.broadcast(build(rows, settings))
-        columns.append(F.pandas_udf(lambda batch, shared=shared: pd.Series(scan(batch.tolist(), shared.value)), FOUND)(text))
+        columns.append(_scanner(benchmark.sparkSession.sparkContext.broadcast(cloudpickle.dumps(build(rows, settings))))(text))
     return F.flatten(F.array(*columns)) if groups > 1 else columns[0]
 
 
