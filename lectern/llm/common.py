@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
 import uuid
@@ -30,6 +31,9 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage is cut,
     and a lost executor costs no recomputation of what came before."""
     spark = df.sparkSession
+    # shuffle files go when the driver forgets their plans, which an idle heap may never do
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     path = f"{scratch_dir(spark)}/lectern/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -65,5 +69,13 @@ def fold(doc_id: Column, n: int = 5) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def tuned(spark: SparkSession) -> SparkSession:
+    """The session with Arrow batches small enough for modest executors: a batch is held on
+    both sides of the pipe and, as objects, in the Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    return spark
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return tuned(spark).read.parquet(f"{sf_dir}/documents.parquet")

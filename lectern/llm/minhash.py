@@ -120,14 +120,31 @@ def _features(settings: Settings):
     return run
 
 
-def _sets(settings: Settings):
+#: log2 of the bits of the filter that tells which texts need their sets; its size is fixed.
+MARKS = 24
+
+
+def _marks(wanted: DataFrame):
+    """A one-hash Bloom filter of the ids, as bytes, broadcast: 2 MB whatever the input. With
+    more ids than it can tell apart it lets more texts through, and the join after it is exact."""
+    at = F.pmod(F.xxhash64("v"), F.lit(1 << MARKS))
+    words = wanted.select(at.alias("at")).groupBy(F.expr("cast(at div 32 as int) as w")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 32 as int))) as m")).toArrow()
+    bits = np.zeros(1 << MARKS - 5, "<u4")
+    bits[words.column("w").to_numpy()] = words.column("m").to_numpy().astype("<u4")
+    return wanted.sparkSession.sparkContext.broadcast(bits.tobytes())
+
+
+def _sets(settings: Settings, marks):
     schema = pa.schema([("v", pa.int64()), ("s", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
+        cache, bits = WordHashes(), np.frombuffer(marks.value, "<u4")
         for batch in batches:
-            sets = [shingles(t.as_py(), settings.words, cache).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], schema=schema)
+            at = batch.column(2).to_numpy()
+            keep = np.flatnonzero((bits[at >> 5] >> (at & 31).astype(np.uint32)) & 1)
+            texts = batch.column(1)
+            sets = [shingles(texts[k].as_py(), settings.words, cache).tobytes() for k in keep.tolist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), pa.array(sets, pa.binary())], schema=schema)
 
     return run
 
@@ -196,14 +213,15 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), doc_id: st
     found = staged(rows.mapInArrow(_features(settings), "doc_id bigint, n_shingles bigint, class binary, keys array<bigint>"), "sketches")
     classes = staged(found.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("v"), F.count("*").alias("n")), "classes")
     heads = classes.where("v is not null").select("class", "v")
-    placed = found.where("class is not null").select("class", F.col("doc_id").alias("v"), "n_shingles", "keys").join(heads, ["class", "v"], "left_semi").dropDuplicates(["class", "v"])
+    placed = found.where("class is not null").select("class", F.col("doc_id").alias("v"), "n_shingles", "keys").join(heads, ["class", "v"], "left_semi")
     buckets = placed.select("v", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
     # only keys met more than once make buckets; staged, so that Spark can split a hot key in the join
     shared = staged(buckets.groupBy("key").agg(F.min("v").alias("u"), F.max("v").alias("last")).where("u <> last").select("key", "u"), "shared")
     members = staged(buckets.join(shared, "key").select("key", "u", "v", "n"), "buckets")
     star = staged(members.where("u <> v").select("u", "v").distinct(), "stars")
     wanted = star.select("v").unionByName(star.select(F.col("u").alias("v"))).distinct()
-    sets = staged(rows.withColumnRenamed("doc_id", "v").where("v is not null").join(wanted, "v", "left_semi").select("v", "text").mapInArrow(_sets(settings), "v bigint, s binary").dropDuplicates(), "sets")
+    maybe = rows.where("doc_id is not null").select(F.col("doc_id").alias("v"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << MARKS)).alias("at")).mapInArrow(_sets(settings, _marks(wanted)), "v bigint, s binary")
+    sets = staged(staged(maybe, "maybe").join(wanted, "v", "left_semi").dropDuplicates(), "sets")
     links = staged(_confirmed(star, sets, settings), "confirmed")
     comps = components(links)
     pairs = staged(_left_out(members, comps, settings.percent).join(star, ["u", "v"], "left_anti"), "left-out")

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import decontamination, language_id, licenses, minhash, packing, quality, sharding, suffix_dedup, warc
-from lectern.llm.common import documents, fold
+from lectern.llm import decontamination, language_id, licenses, lm_scoring, minhash, packing, quality, sharding, suffix_dedup, warc
+from lectern.llm.common import documents, fold, tuned
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.round_trip(tuned(spark).read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +49,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "held_out", "r.lang_pred", "r.score", "r.rejected")
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(documents(spark, sf_dir))
+
+
 OP1_SQL = """
 with p as (select page_id, coalesce(html, '') as html from pages),
 q as (select page_id, strlen(html)::bigint as payload_bytes, sha1(html) as payload_digest from p),
@@ -68,6 +72,7 @@ QUERIES = {
     "op6_licenses": op6_licenses,
     "op7_minhash": op7_minhash,
     "op8_quality": op8_quality,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_language_id": op10_language_id,
 }
 ORACLE_SQL = {"op1_warc": OP1_SQL, "op6_licenses": licenses.oracle(), "op8_quality": quality.oracle()}

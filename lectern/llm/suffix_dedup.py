@@ -305,7 +305,7 @@ def _hash_stage(settings: Settings, ranges: int):
                 keys.append(found)
                 blocks.append(of[at - len(part) : at][np.searchsorted(ends, places, "right")])
                 held += len(found)
-            if held > 2_000_000:
+            if held > 300_000:
                 yield flush(keys, blocks)
                 keys, blocks, held = [], [], 0
         if held:
