@@ -1,4 +1,6 @@
 """Registered queries of the retrieval engine and their DuckDB equivalents."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from lectern.plans import search
+
+QUERIES: dict = {**search.QUERIES}
+ORACLE_SQL: dict = {**search.ORACLE_SQL}
