@@ -29,13 +29,14 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage is cut,
-    and a lost executor costs no recomputation of what came before."""
+    and a lost executor costs no recomputation of what came before. There is a file for each
+    core of the cluster at most, as many small files burden any store."""
     spark = df.sparkSession
     # shuffle files go when the driver forgets their plans, which an idle heap may never do
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     path = f"{scratch_dir(spark)}/lectern/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.coalesce(spark.sparkContext.defaultParallelism).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -179,15 +179,14 @@ def components(edges: DataFrame) -> DataFrame:
     """(v, c): the smallest vertex reachable from each vertex of the edges (u, v).
 
     Every round takes the least label among the neighbours and then follows labels once;
-    its tables are staged in the shared folder, and only a count reaches the driver."""
-    both = staged(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct(), "links")
+    its table is staged in the shared folder, and only a test for changes reaches the driver."""
+    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v")
     labels = both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("c"))
     while True:
-        labels = staged(labels, "labels")
         near = both.join(labels.select(F.col("v").alias("u"), "c"), "u").groupBy("v").agg(F.min("c").alias("n"))
         hooked = labels.join(near, "v").select("v", F.col("c").alias("old"), F.least("c", "n").alias("c"))
         jump = labels.select(F.col("v").alias("c"), F.col("c").alias("up"))
-        after = staged(hooked.join(jump, "c", "left").select("v", "old", F.least("c", F.coalesce("up", "c")).alias("c")), "hooked")
+        after = staged(hooked.join(jump, "c", "left").select("v", "old", F.least("c", F.coalesce("up", "c")).alias("c")), "labels")
         labels = after.select("v", "c")
         if after.where("c <> old").isEmpty():
             return labels
@@ -221,7 +220,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), doc_id: st
     star = staged(members.where("u <> v").select("u", "v").distinct(), "stars")
     wanted = star.select("v").unionByName(star.select(F.col("u").alias("v"))).distinct()
     maybe = rows.where("doc_id is not null").select(F.col("doc_id").alias("v"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << MARKS)).alias("at")).mapInArrow(_sets(settings, _marks(wanted)), "v bigint, s binary")
-    sets = staged(staged(maybe, "maybe").join(wanted, "v", "left_semi").dropDuplicates(), "sets")
+    sets = staged(maybe.join(wanted, "v", "left_semi").dropDuplicates(), "sets")
     links = staged(_confirmed(star, sets, settings), "confirmed")
     comps = components(links)
     pairs = staged(_left_out(members, comps, settings.percent).join(star, ["u", "v"], "left_anti"), "left-out")
