@@ -19,7 +19,7 @@ def expand_neighbours(hits: DataFrame, chunks: DataFrame, window: int = 1, query
     if window <= 0:
         return own
     steps = F.array(*[F.lit(d) for d in range(-window, window + 1) if d])
-    near = hits.select(query, "book_id", (F.col("ordinal") + F.explode(steps)).alias("ordinal"), (F.col("score") * NEIGHBOUR_SCORE).alias("score"), "relevance_rank")
+    near = hits.withColumn("step", F.explode(steps)).select(query, "book_id", (F.col("ordinal") + F.col("step")).alias("ordinal"), (F.col("score") * NEIGHBOUR_SCORE).alias("score"), "relevance_rank")
     found = near.join(chunks.select("id", "book_id", "ordinal"), ["book_id", "ordinal"]).join(hits.select(query, "id"), [query, "id"], "left_anti")
     first = W.partitionBy(query, "id").orderBy("relevance_rank")
     found = found.withColumn("n", F.row_number().over(first)).where("n = 1")
@@ -28,7 +28,7 @@ def expand_neighbours(hits: DataFrame, chunks: DataFrame, window: int = 1, query
 
 def reading_order(rows: DataFrame, query: str = "query_id") -> DataFrame:
     w = W.partitionBy(query).orderBy("book_id", "ordinal")
-    return rows.withColumn("position", F.row_number().over(w))
+    return rows.withColumn("position", F.row_number().over(w).cast("long"))
 
 
 def budgeted(items: Column, budget: int, least_room: int = 20) -> Column:
@@ -38,13 +38,13 @@ def budgeted(items: Column, budget: int, least_room: int = 20) -> Column:
     room left, if that is at least ``least_room`` tokens, rather than dropped. The result
     is an array of (position, tokens) in reading order, tokens being what the body may take."""
     order = F.array_sort(F.transform(items, lambda x: F.struct(x["is_neighbor"].alias("late"), (-x["score"]).alias("s"), x["position"].alias("position"), x["cost"].alias("cost"), x["header"].alias("header"))))
-    taken = F.lit(None).cast("array<struct<position:int,tokens:int>>")
-    start = F.struct(F.lit(0).alias("used"), F.coalesce(taken, F.array().cast("array<struct<position:int,tokens:int>>")).alias("taken"))
+    taken = F.lit(None).cast("array<struct<position:bigint,tokens:int>>")
+    start = F.struct(F.lit(0).alias("used"), F.coalesce(taken, F.array().cast("array<struct<position:bigint,tokens:int>>")).alias("taken"))
 
     def step(acc: Column, x: Column) -> Column:
         whole = x["cost"] + x["header"]
         room = F.lit(budget) - acc["used"] - x["header"]
-        add = lambda tokens: F.struct((acc["used"] + x["header"] + tokens).cast("int").alias("used"), F.array_append(acc["taken"], F.struct(x["position"].cast("int").alias("position"), tokens.cast("int").alias("tokens"))).alias("taken"))
+        add = lambda tokens: F.struct((acc["used"] + x["header"] + tokens).cast("int").alias("used"), F.array_append(acc["taken"], F.struct(x["position"].cast("long").alias("position"), tokens.cast("int").alias("tokens"))).alias("taken"))
         cut = (F.size(acc["taken"]) == 0) & ~x["late"] & (room >= least_room)
         return F.when(acc["used"] + whole <= budget, add(x["cost"])).when(cut, add(room)).otherwise(acc)
 

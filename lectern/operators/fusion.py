@@ -28,7 +28,7 @@ def fuse(ranked: DataFrame, limit: int, key: str = "doc_id", query: str = "query
         F.min(F.struct(number.alias("list"), F.col("rank").alias("at"))).alias("tie"),
     )
     w = W.partitionBy(query).orderBy(F.desc("score"), "tie.list", "tie.at")
-    return fused.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).drop("tie")
+    return fused.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).withColumn("rank", F.col("rank").cast("long")).drop("tie")
 
 
 def rerank(candidates: DataFrame, score: Column, top_k: int = 8, floor: float = 0.02, query: str = "query_id") -> DataFrame:
@@ -37,7 +37,7 @@ def rerank(candidates: DataFrame, score: Column, top_k: int = 8, floor: float =
     effective = F.when(score.isNull() | (score == 0), float("-inf")).otherwise(score)
     rows = candidates.withColumn("rerank_score", effective).where(F.col("rerank_score") >= floor)
     w = W.partitionBy(query).orderBy(F.desc("rerank_score"), "rank")
-    return rows.withColumn("relevance_rank", F.row_number().over(w)).where(F.col("relevance_rank") <= top_k)
+    return rows.withColumn("relevance_rank", F.row_number().over(w)).where(F.col("relevance_rank") <= top_k).withColumn("relevance_rank", F.col("relevance_rank").cast("long"))
 
 
 def overlap_score(query_terms: Column, passage_terms: Column) -> Column:

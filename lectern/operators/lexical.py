@@ -55,7 +55,7 @@ def padded(scored: DataFrame, queries: DataFrame, docs: DataFrame, k: int, key:
 def top_k(scored: DataFrame, k: int, key: str = "doc_id", query: str = "query_id", score: str = "score") -> DataFrame:
     """Ranks 1 to k of each query; ties go to the smaller key. Spark prunes groups before the shuffle."""
     w = W.partitionBy(query).orderBy(F.desc(score), F.asc(key))
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
 
 
 def search(queries: DataFrame, docs: DataFrame, k: int, only: Column | None = None, key: str = "doc_id", query: str = "query_id", text: str = "text") -> DataFrame:

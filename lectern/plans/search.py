@@ -59,7 +59,7 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
 def rrf_fuse(spark: SparkSession, d: str) -> DataFrame:
     """Fusion alone, over lists made from the labels of vectors: four lists of two variants."""
     emb = table(spark, d, "embeddings").select("vec_id", "label")
-    make = lambda variant, retriever, step, off: emb.where(F.pmod(F.col("vec_id") + off, F.lit(step)) == 0).select(F.col("label").cast("long").alias("query_id"), F.col("vec_id").alias("doc_id"), F.lit(variant).alias("variant"), F.lit(retriever).alias("retriever"), F.row_number().over(W.partitionBy("label").orderBy(F.pmod(F.col("vec_id") * (7 + off), F.lit(101)), "vec_id")).alias("rank")).where("rank <= 12")
+    make = lambda variant, retriever, step, off: emb.where(F.pmod(F.col("vec_id") + off, F.lit(step)) == 0).select(F.col("label").cast("long").alias("query_id"), F.col("vec_id").alias("doc_id"), F.lit(variant).alias("variant"), F.lit(retriever).alias("retriever"), F.row_number().over(W.partitionBy("label").orderBy(F.pmod(F.col("vec_id") * (7 + off), F.lit(101)), "vec_id")).cast("long").alias("rank")).where("rank <= 12")
     lists = make(0, "dense", 2, 0).unionByName(make(0, "bm25", 3, 1)).unionByName(make(1, "dense", 2, 1)).unionByName(make(1, "bm25", 5, 2))
     return fusion.fuse(lists, 12)
 
@@ -75,7 +75,7 @@ def rerank_floor(spark: SparkSession, d: str) -> DataFrame:
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
     """Documents as chunks: the source is the book, the order of ids the ordinal."""
     docs = table(spark, d, "documents")
-    return docs.select(F.col("doc_id").alias("id"), F.col("source").alias("book_id"), F.row_number().over(W.partitionBy("source").orderBy("doc_id")).alias("ordinal"), "text", "lang")
+    return docs.select(F.col("doc_id").alias("id"), F.col("source").alias("book_id"), F.row_number().over(W.partitionBy("source").orderBy("doc_id")).cast("long").alias("ordinal"), "text", "lang")
 
 
 def _hits(spark: SparkSession, d: str, chunks: DataFrame) -> DataFrame:
