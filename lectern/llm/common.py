@@ -27,19 +27,26 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage is cut,
     and a lost executor costs no recomputation of what came before. There is a file for each
-    core of the cluster at most, as many small files burden any store."""
+    core of the cluster at most, or for each third core if the table is ``small`` beside the
+    input, as many small files burden any store."""
     spark = df.sparkSession
     # shuffle files go when the driver forgets their plans, which an idle heap may never do
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     path = f"{scratch_dir(spark)}/lectern/{name}-{uuid.uuid4().hex}"
-    df.coalesce(spark.sparkContext.defaultParallelism).write.option("compression", "zstd").parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    df.coalesce(max(1, cores // 3) if small else cores).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def compact(df: DataFrame) -> DataFrame:
+    """A result that is small beside its input, in no more parts than twice the cores."""
+    return df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate, for a table scan the size of its files; where Catalyst has
     none, the rows are measured."""

@@ -186,7 +186,7 @@ def components(edges: DataFrame) -> DataFrame:
         near = both.join(labels.select(F.col("v").alias("u"), "c"), "u").groupBy("v").agg(F.min("c").alias("n"))
         hooked = labels.join(near, "v").select("v", F.col("c").alias("old"), F.least("c", "n").alias("c"))
         jump = labels.select(F.col("v").alias("c"), F.col("c").alias("up"))
-        after = staged(hooked.join(jump, "c", "left").select("v", "old", F.least("c", F.coalesce("up", "c")).alias("c")), "labels")
+        after = staged(hooked.join(jump, "c", "left").select("v", "old", F.least("c", F.coalesce("up", "c")).alias("c")), "labels", small=True)
         labels = after.select("v", "c")
         if after.where("c <> old").isEmpty():
             return labels
@@ -197,10 +197,10 @@ def _left_out(members: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
 
     One side is never in the bucket's largest component, so a bucket costs its members times
     those outside the largest component."""
-    named = staged(members.join(comps, "v", "left").select("key", "v", "n", F.coalesce("c", "v").alias("c")), "named")
+    named = staged(members.join(comps, "v", "left").select("key", "v", "n", F.coalesce("c", "v").alias("c")), "named", small=True)
     main = named.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "c")).alias("m"), F.count("*").alias("parts")).where("parts > 1")
-    main = staged(main.select("key", F.col("m.c").alias("main")), "mixed")
-    rest = staged(named.join(main, "key"), "rest")
+    main = staged(main.select("key", F.col("m.c").alias("main")), "mixed", small=True)
+    rest = staged(named.join(main, "key"), "rest", small=True)
     a = rest.where("c <> main").select("key", F.col("v").alias("av"), F.col("n").alias("an"), F.col("c").alias("ac"))
     near = f"c <> ac and 100 * least(n, an) >= {percent} * greatest(n, an) and (c = main or v < av)"
     return a.join(rest, "key").where(near).select(F.least("v", "av").alias("u"), F.greatest("v", "av").alias("v")).distinct()
@@ -210,22 +210,22 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), doc_id: st
     """doc_id, n_shingles, component_id, kept, n_links (confirmed links of the document's class)."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     found = staged(rows.mapInArrow(_features(settings), "doc_id bigint, n_shingles bigint, class binary, keys array<bigint>"), "sketches")
-    classes = staged(found.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("v"), F.count("*").alias("n")), "classes")
+    classes = staged(found.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("v"), F.count("*").alias("n")), "classes", small=True)
     heads = classes.where("v is not null").select("class", "v")
     placed = found.where("class is not null").select("class", F.col("doc_id").alias("v"), "n_shingles", "keys").join(heads, ["class", "v"], "left_semi")
     buckets = placed.select("v", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
     # only keys met more than once make buckets; staged, so that Spark can split a hot key in the join
-    shared = staged(buckets.groupBy("key").agg(F.min("v").alias("u"), F.max("v").alias("last")).where("u <> last").select("key", "u"), "shared")
+    shared = staged(buckets.groupBy("key").agg(F.min("v").alias("u"), F.max("v").alias("last")).where("u <> last").select("key", "u"), "shared", small=True)
     members = staged(buckets.join(shared, "key").select("key", "u", "v", "n"), "buckets")
-    star = staged(members.where("u <> v").select("u", "v").distinct(), "stars")
+    star = staged(members.where("u <> v").select("u", "v").distinct(), "stars", small=True)
     wanted = star.select("v").unionByName(star.select(F.col("u").alias("v"))).distinct()
     maybe = rows.where("doc_id is not null").select(F.col("doc_id").alias("v"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << MARKS)).alias("at")).mapInArrow(_sets(settings, _marks(wanted)), "v bigint, s binary")
     sets = staged(maybe.join(wanted, "v", "left_semi").dropDuplicates(), "sets")
-    links = staged(_confirmed(star, sets, settings), "confirmed")
+    links = staged(_confirmed(star, sets, settings), "confirmed", small=True)
     comps = components(links)
-    pairs = staged(_left_out(members, comps, settings.percent).join(star, ["u", "v"], "left_anti"), "left-out")
+    pairs = staged(_left_out(members, comps, settings.percent).join(star, ["u", "v"], "left_anti"), "left-out", small=True)
     if not pairs.isEmpty():
-        more = staged(_confirmed(pairs, sets, settings), "confirmed")
+        more = staged(_confirmed(pairs, sets, settings), "confirmed", small=True)
         if not more.isEmpty():
             links = links.unionByName(more)
             comps = components(links)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import decontamination, language_id, licenses, lm_scoring, minhash, packing, quality, sharding, suffix_dedup, warc
-from lectern.llm.common import documents, fold, tuned
+from lectern.llm.common import compact, documents, fold, tuned
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +22,7 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.digest(suffix_dedup.remove_repeats(documents(spark, sf_dir)))
+    return compact(suffix_dedup.digest(suffix_dedup.remove_repeats(documents(spark, sf_dir))))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(documents(spark, sf_dir), minhash.Settings(words=2))
-    return found.select("doc_id", "n_shingles", "component_id", "kept", "n_links")
+    return compact(found.select("doc_id", "n_shingles", "component_id", "kept", "n_links"))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scoring.score(documents(spark, sf_dir))
+    return compact(lm_scoring.score(documents(spark, sf_dir)))
 
 
 OP1_SQL = """
