@@ -6,9 +6,9 @@ borrow from a filled one by a fixed random preference of each bin (optimal densi
 Bands of slots are bucket keys. Texts with equal sets are one class and are represented by
 their smallest id. In a bucket the representatives form stars, never all pairs: each is
 tested against the smallest one, on full sets. Those left out of the star, because their
-similarity to its centre is too low, are tested against the members of the bucket that are
-not yet known to be connected with them, until no such pair is left; so no link between
-members of a bucket is lost. Components follow from hooking and pointer jumping.
+similarity to its centre is too low, are tested against a few further centres of the
+bucket's largest component, and those left then against all that component and all other members
+of the bucket that are not yet connected with them; so no link between components is lost. Components follow from hooking and pointer jumping.
 
 With 50 bands of 6 slots, a pair at exactly 0.8 shares no bucket with probability 2.5e-7,
 one at 0.85 with 1e-10.
@@ -192,18 +192,75 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _left_out(members: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a bucket that are in different components and near enough in size.
-
-    One side is never in the bucket's largest component, so a bucket costs its members times
-    those outside the largest component."""
+def _mixed(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components, with their component and the
+    bucket's largest one, ``main``."""
     named = staged(members.join(comps, "v", "left").select("key", "v", "n", F.coalesce("c", "v").alias("c")), "named", small=True)
     main = named.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "c")).alias("m"), F.count("*").alias("parts")).where("parts > 1")
     main = staged(main.select("key", F.col("m.c").alias("main")), "mixed", small=True)
-    rest = staged(named.join(main, "key"), "rest", small=True)
-    a = rest.where("c <> main").select("key", F.col("v").alias("av"), F.col("n").alias("an"), F.col("c").alias("ac"))
-    near = f"c <> ac and 100 * least(n, an) >= {percent} * greatest(n, an) and (c = main or v < av)"
-    return a.join(rest, "key").where(near).select(F.least("v", "av").alias("u"), F.greatest("v", "av").alias("v")).distinct()
+    return staged(named.join(main, "key"), "rest", small=True)
+
+
+def _near(percent: int) -> str:
+    return f"c <> ac and 100 * least(n, an) >= {percent} * greatest(n, an)"
+
+
+def _outsiders(rest: DataFrame) -> DataFrame:
+    return rest.where("c <> main").select("key", F.col("v").alias("av"), F.col("n").alias("an"), F.col("c").alias("ac"))
+
+
+def _more_centres(rest: DataFrame, percent: int, centres: int = 6) -> DataFrame:
+    """Stars around a few further members of the largest component, drawn by hash for each
+    bucket: pairs of them with the members outside that component."""
+    drawn = rest.where("c = main").groupBy("key").agg(*[F.min_by(F.struct("v", "n", "c"), F.xxhash64("v", F.lit(t))).alias(f"p{t}") for t in range(centres)])
+    drawn = drawn.select("key", F.explode(F.array_distinct(F.array(*[f"p{t}" for t in range(centres)]))).alias("p")).select("key", "p.*")
+    return _outsiders(rest).join(drawn, "key").where(_near(percent)).select(F.least("v", "av").alias("u"), F.greatest("v", "av").alias("v")).distinct()
+
+
+def _left_out(rest: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a bucket that are in different components, neither of them the largest, and near
+    enough in size."""
+    return _outsiders(rest).join(rest.where("c <> main"), "key").where(_near(percent) + " and v < av").select(F.col("v").alias("u"), F.col("av").alias("v")).distinct()
+
+
+#: Shingles of a component that one task holds, when a member of a bucket is tested against all
+#: of the bucket's largest component.
+BLOCK_SHINGLES = 1_500_000
+
+
+def _against_component(rest: DataFrame, members: DataFrame, comps: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
+    """Links between the members of a bucket outside its largest component and that component.
+
+    Components are cut into blocks, by hash, and each outsider meets each block once: an
+    inverted index of the block's shingles gives its intersections with all of them, so no
+    pairs are made but links."""
+    wanted = rest.where("c <> main").select(F.col("main").alias("c"), F.col("v").alias("x")).distinct()
+    named = members.select("v", "n").distinct().join(comps, "v", "left").select("v", "n", F.coalesce("c", "v").alias("c")).join(wanted.select("c").distinct(), "c", "left_semi")
+    blocks = named.groupBy("c").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"))
+    have = named.join(blocks, "c").select("c", F.pmod(F.xxhash64("v"), F.col("blocks")).alias("block"), "v").join(sets, "v")
+    ask = wanted.join(blocks, "c").select("c", F.col("x").alias("v"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")).join(sets, "v")
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def run(own: pa.Table, asked: pa.Table) -> pa.Table:
+        if not len(own) or not len(asked):
+            return schema.empty_table()
+        parts = [np.frombuffer(x, np.uint64) for x in own.column("s").to_pylist()]
+        size = np.array([len(p) for p in parts])
+        flat, of = np.concatenate(parts), np.repeat(np.arange(len(parts)), size)
+        order = np.argsort(flat, kind="stable")
+        flat, of = flat[order], of[order]
+        ids, found = np.array(own.column("v").to_pylist()), []
+        for x, blob in zip(asked.column("ask_v").to_pylist(), asked.column("ask_s").to_pylist(), strict=True):
+            h = np.frombuffer(blob, np.uint64)
+            low, high = np.searchsorted(flat, h), np.searchsorted(flat, h, "right")
+            count = high - low
+            at = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            both = np.bincount(of[at], minlength=len(parts))
+            found += [(min(x, y), max(x, y)) for y in ids[100 * both >= settings.percent * (size + len(h) - both)].tolist() if x != y]
+        return pa.table([pa.array([u for u, _ in found], pa.int64()), pa.array([v for _, v in found], pa.int64())], schema=schema)
+
+    ask = ask.select(*[F.col(k).alias(f"ask_{k}") for k in ("c", "block", "v", "s")])
+    return have.groupBy("c", "block").cogroup(ask.groupBy("ask_c", "ask_block")).applyInArrow(run, "u bigint, v bigint")
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -223,12 +280,18 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), doc_id: st
     sets = staged(maybe.join(wanted, "v", "left_semi").dropDuplicates(), "sets")
     links = staged(_confirmed(star, sets, settings), "confirmed", small=True)
     comps = components(links)
-    pairs = staged(_left_out(members, comps, settings.percent).join(star, ["u", "v"], "left_anti"), "left-out", small=True)
-    if not pairs.isEmpty():
-        more = staged(_confirmed(pairs, sets, settings), "confirmed", small=True)
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            comps = components(links)
+    rest = _mixed(members, comps)
+    pairs = _more_centres(rest, settings.percent).join(star, ["u", "v"], "left_anti")
+    more = staged(_confirmed(pairs, sets, settings), "confirmed", small=True)
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        comps = components(links)
+        rest = _mixed(members, comps)
+    last = _confirmed(_left_out(rest, settings.percent), sets, settings).unionByName(_against_component(rest, members, comps, sets, settings))
+    last = staged(last.distinct(), "confirmed", small=True)
+    if not last.isEmpty():
+        links = links.unionByName(last).distinct()
+        comps = components(links)
     degree = links.select("u").unionByName(links.select(F.col("v").alias("u"))).groupBy("u").agg(F.count("*").alias("n_links"))
     by_class = classes.join(comps, "v", "left").join(degree, classes["v"] == degree["u"], "left").select("class", F.coalesce("c", classes["v"]).alias("c"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     out = found.select("doc_id", "n_shingles", "class").join(by_class, "class", "left")
