@@ -109,7 +109,9 @@ def anchors(data: bytes, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     at, keys = np.concatenate(at), np.concatenate(keys)
     fresh = np.r_[True, at[1:] != at[:-1]]
-    return at[fresh], keys[fresh]
+    # least hashes are small ones; mixed again, they spread over all ranges
+    keys = (keys[fresh] ^ (keys[fresh] >> np.uint64(33))) * A
+    return at[fresh], keys ^ (keys >> np.uint64(29))
 
 
 def ranges_of(keys: np.ndarray, ranges: int) -> np.ndarray:
