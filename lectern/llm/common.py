@@ -27,24 +27,29 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def staged(df: DataFrame, name: str, small: bool = False) -> DataFrame:
+def parts_for(table: DataFrame, part_bytes: int = 128 << 20) -> int:
+    """Parts for what is made from ``table``: one a core, more if it is large."""
+    return max(table.sparkSession.sparkContext.defaultParallelism, math.ceil(plan_bytes(table) / part_bytes))
+
+
+def staged(df: DataFrame, name: str, parts: int | None = None, small: bool = False) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage is cut,
-    and a lost executor costs no recomputation of what came before. There is a file for each
-    core of the cluster at most, or for each third core if the table is ``small`` beside the
-    input, as many small files burden any store."""
+    and a lost executor costs no recomputation of what came before. There are at most
+    ``parts`` files (see ``parts_for``; by default one a core), or a third of that if the table
+    is ``small`` beside the input, as many small files burden any store."""
     spark = df.sparkSession
     # shuffle files go when the driver forgets their plans, which an idle heap may never do
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     path = f"{scratch_dir(spark)}/lectern/{name}-{uuid.uuid4().hex}"
-    cores = spark.sparkContext.defaultParallelism
-    df.coalesce(max(1, cores // 3) if small else cores).write.option("compression", "zstd").parquet(path)
+    parts = parts or spark.sparkContext.defaultParallelism
+    df.coalesce(max(1, parts // 3) if small else parts).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def compact(df: DataFrame) -> DataFrame:
-    """A result that is small beside its input, in no more parts than twice the cores."""
-    return df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
+def compact(df: DataFrame, source: DataFrame) -> DataFrame:
+    """A result that is small beside its ``source``, in few parts."""
+    return df.coalesce(2 * parts_for(source))
 
 
 def plan_bytes(df: DataFrame) -> int:

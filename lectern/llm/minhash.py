@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import staged
+from lectern.llm.common import parts_for, staged
 
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -175,7 +175,7 @@ def _confirmed(edges: DataFrame, sets: DataFrame, settings: Settings) -> DataFra
     return edges.join(b, "v").join(a, "u").select("u", "v", "su", "sv").mapInArrow(_verify(settings.percent), "u bigint, v bigint")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, parts: int | None = None) -> DataFrame:
     """(v, c): the smallest vertex reachable from each vertex of the edges (u, v).
 
     Every round takes the least label among the neighbours and then follows labels once;
@@ -186,19 +186,19 @@ def components(edges: DataFrame) -> DataFrame:
         near = both.join(labels.select(F.col("v").alias("u"), "c"), "u").groupBy("v").agg(F.min("c").alias("n"))
         hooked = labels.join(near, "v").select("v", F.col("c").alias("old"), F.least("c", "n").alias("c"))
         jump = labels.select(F.col("v").alias("c"), F.col("c").alias("up"))
-        after = staged(hooked.join(jump, "c", "left").select("v", "old", F.least("c", F.coalesce("up", "c")).alias("c")), "labels", small=True)
+        after = staged(hooked.join(jump, "c", "left").select("v", "old", F.least("c", F.coalesce("up", "c")).alias("c")), "labels", parts, small=True)
         labels = after.select("v", "c")
         if after.where("c <> old").isEmpty():
             return labels
 
 
-def _mixed(members: DataFrame, comps: DataFrame) -> DataFrame:
+def _mixed(members: DataFrame, comps: DataFrame, parts: int) -> DataFrame:
     """Members of the buckets that hold several components, with their component and the
     bucket's largest one, ``main``."""
-    named = staged(members.join(comps, "v", "left").select("key", "v", "n", F.coalesce("c", "v").alias("c")), "named", small=True)
+    named = staged(members.join(comps, "v", "left").select("key", "v", "n", F.coalesce("c", "v").alias("c")), "named", parts, small=True)
     main = named.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "c")).alias("m"), F.count("*").alias("parts")).where("parts > 1")
-    main = staged(main.select("key", F.col("m.c").alias("main")), "mixed", small=True)
-    return staged(named.join(main, "key"), "rest", small=True)
+    main = staged(main.select("key", F.col("m.c").alias("main")), "mixed", parts, small=True)
+    return staged(named.join(main, "key"), "rest", parts, small=True)
 
 
 def _near(percent: int) -> str:
@@ -217,25 +217,21 @@ def _more_centres(rest: DataFrame, percent: int, centres: int = 6) -> DataFrame:
     return _outsiders(rest).join(drawn, "key").where(_near(percent)).select(F.least("v", "av").alias("u"), F.greatest("v", "av").alias("v")).distinct()
 
 
-def _left_out(rest: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a bucket that are in different components, neither of them the largest, and near
-    enough in size."""
-    return _outsiders(rest).join(rest.where("c <> main"), "key").where(_near(percent) + " and v < av").select(F.col("v").alias("u"), F.col("av").alias("v")).distinct()
-
-
 #: Shingles of a component that one task holds, when a member of a bucket is tested against all
 #: of the bucket's largest component.
 BLOCK_SHINGLES = 1_500_000
 
 
 def _against_component(rest: DataFrame, members: DataFrame, comps: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
-    """Links between the members of a bucket outside its largest component and that component.
+    """Links of the members of a bucket outside its largest component, with that component and
+    with each other.
 
-    Components are cut into blocks, by hash, and each outsider meets each block once: an
-    inverted index of the block's shingles gives its intersections with all of them, so no
-    pairs are made but links."""
-    wanted = rest.where("c <> main").select(F.col("main").alias("c"), F.col("v").alias("x")).distinct()
+    A component and the outsiders of its buckets are cut into blocks, by hash, and each outsider
+    meets each block once: an inverted index of the block's shingles gives its intersections
+    with all of them, so no pairs are made but links."""
+    wanted = rest.where("c <> main").select(F.col("main").alias("c"), F.col("v").alias("x"), "n").distinct()
     named = members.select("v", "n").distinct().join(comps, "v", "left").select("v", "n", F.coalesce("c", "v").alias("c")).join(wanted.select("c").distinct(), "c", "left_semi")
+    named = named.select("c", "v", "n").unionByName(wanted.select("c", F.col("x").alias("v"), "n"))
     blocks = named.groupBy("c").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"))
     have = named.join(blocks, "c").select("c", F.pmod(F.xxhash64("v"), F.col("blocks")).alias("block"), "v").join(sets, "v")
     ask = wanted.join(blocks, "c").select("c", F.col("x").alias("v"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")).join(sets, "v")
@@ -265,33 +261,33 @@ def _against_component(rest: DataFrame, members: DataFrame, comps: DataFrame, se
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept, n_links (confirmed links of the document's class)."""
+    parts = parts_for(docs)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    found = staged(rows.mapInArrow(_features(settings), "doc_id bigint, n_shingles bigint, class binary, keys array<bigint>"), "sketches")
-    classes = staged(found.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("v"), F.count("*").alias("n")), "classes", small=True)
+    found = staged(rows.mapInArrow(_features(settings), "doc_id bigint, n_shingles bigint, class binary, keys array<bigint>"), "sketches", parts)
+    classes = staged(found.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("v"), F.count("*").alias("n")), "classes", parts, small=True)
     heads = classes.where("v is not null").select("class", "v")
     placed = found.where("class is not null").select("class", F.col("doc_id").alias("v"), "n_shingles", "keys").join(heads, ["class", "v"], "left_semi")
     buckets = placed.select("v", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
     # only keys met more than once make buckets; staged, so that Spark can split a hot key in the join
-    shared = staged(buckets.groupBy("key").agg(F.min("v").alias("u"), F.max("v").alias("last")).where("u <> last").select("key", "u"), "shared", small=True)
-    members = staged(buckets.join(shared, "key").select("key", "u", "v", "n"), "buckets")
-    star = staged(members.where("u <> v").select("u", "v").distinct(), "stars", small=True)
+    shared = staged(buckets.groupBy("key").agg(F.min("v").alias("u"), F.max("v").alias("last")).where("u <> last").select("key", "u"), "shared", parts, small=True)
+    members = staged(buckets.join(shared, "key").select("key", "u", "v", "n"), "buckets", parts)
+    star = staged(members.where("u <> v").select("u", "v").distinct(), "stars", parts, small=True)
     wanted = star.select("v").unionByName(star.select(F.col("u").alias("v"))).distinct()
     maybe = rows.where("doc_id is not null").select(F.col("doc_id").alias("v"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << MARKS)).alias("at")).mapInArrow(_sets(settings, _marks(wanted)), "v bigint, s binary")
-    sets = staged(maybe.join(wanted, "v", "left_semi").dropDuplicates(), "sets")
-    links = staged(_confirmed(star, sets, settings), "confirmed", small=True)
-    comps = components(links)
-    rest = _mixed(members, comps)
+    sets = staged(maybe.join(wanted, "v", "left_semi").dropDuplicates(), "sets", parts)
+    links = staged(_confirmed(star, sets, settings), "confirmed", parts, small=True)
+    comps = components(links, parts)
+    rest = _mixed(members, comps, parts)
     pairs = _more_centres(rest, settings.percent).join(star, ["u", "v"], "left_anti")
-    more = staged(_confirmed(pairs, sets, settings), "confirmed", small=True)
+    more = staged(_confirmed(pairs, sets, settings), "confirmed", parts, small=True)
     if not more.isEmpty():
         links = links.unionByName(more)
-        comps = components(links)
-        rest = _mixed(members, comps)
-    last = _confirmed(_left_out(rest, settings.percent), sets, settings).unionByName(_against_component(rest, members, comps, sets, settings))
-    last = staged(last.distinct(), "confirmed", small=True)
+        comps = components(links, parts)
+        rest = _mixed(members, comps, parts)
+    last = staged(_against_component(rest, members, comps, sets, settings).distinct(), "confirmed", parts, small=True)
     if not last.isEmpty():
         links = links.unionByName(last).distinct()
-        comps = components(links)
+        comps = components(links, parts)
     degree = links.select("u").unionByName(links.select(F.col("v").alias("u"))).groupBy("u").agg(F.count("*").alias("n_links"))
     by_class = classes.join(comps, "v", "left").join(degree, classes["v"] == degree["u"], "left").select("class", F.coalesce("c", classes["v"]).alias("c"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     out = found.select("doc_id", "n_shingles", "class").join(by_class, "class", "left")

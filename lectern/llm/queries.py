@@ -22,7 +22,8 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compact(suffix_dedup.digest(suffix_dedup.remove_repeats(documents(spark, sf_dir))))
+    docs = documents(spark, sf_dir)
+    return compact(suffix_dedup.digest(suffix_dedup.remove_repeats(docs)), docs)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,8 +35,9 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = minhash.near_duplicates(documents(spark, sf_dir), minhash.Settings(words=2))
-    return compact(found.select("doc_id", "n_shingles", "component_id", "kept", "n_links"))
+    docs = documents(spark, sf_dir)
+    found = minhash.near_duplicates(docs, minhash.Settings(words=2))
+    return compact(found.select("doc_id", "n_shingles", "component_id", "kept", "n_links"), docs)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +52,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compact(lm_scoring.score(documents(spark, sf_dir)))
+    docs = documents(spark, sf_dir)
+    return compact(lm_scoring.score(docs), docs)
 
 
 OP1_SQL = """

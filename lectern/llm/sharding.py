@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.llm.common import staged
+from lectern.llm.common import parts_for, staged
 
 #: A range beyond this many times its share of rows is subdivided.
 OVERFULL = 3
@@ -65,6 +65,7 @@ def shard_by_size(docs: DataFrame, shards: int = 16, range_rows: int = 8192, dra
             F.xxhash64(plain).alias("h"),
         ),
         "shard-keys",
+        parts_for(docs),
     )
     total = keys.agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).first()
     n, total_bytes = total["n"], total["bytes"] or 0
@@ -93,7 +94,7 @@ def shard_by_size(docs: DataFrame, shards: int = 16, range_rows: int = 8192, dra
     inside = W.partitionBy("r").orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
     placed = ranged.withColumns({"upto": F.sum("size").over(inside), "nth": F.count("*").over(inside)})
     placed = placed.withColumns({"middle": F.get(F.array(*bytes_before), F.col("r")) + F.col("upto") - F.ceil(F.col("size") / 2), "rank": F.get(F.array(*rows_before), F.col("r")) + F.col("nth") - 1})
-    placed = staged(placed.withColumn("shard", F.least(F.lit(shards - 1), F.floor(F.col("middle") * shards / F.lit(max(1, total_bytes)))).cast("int")), "shard-places")
+    placed = staged(placed.withColumn("shard", F.least(F.lit(shards - 1), F.floor(F.col("middle") * shards / F.lit(max(1, total_bytes)))).cast("int")), "shard-places", parts_for(docs))
     first = {x["shard"]: x["first"] for x in placed.groupBy("shard").agg(F.min("rank").alias("first")).collect()}
     start = F.get(F.array(*[F.lit(first.get(k, 0)).cast("long") for k in range(shards)]), F.col("shard"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("rank") - start).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("h").alias("text_hash"))

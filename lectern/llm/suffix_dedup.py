@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lectern.llm.common import block_count, staged, utf8
+from lectern.llm.common import block_count, parts_for, staged, utf8
 
 GRAM = 64
 SEGMENT = 1 << 16
@@ -460,16 +460,17 @@ def remove_repeats(docs: DataFrame, settings: Settings = Settings(), doc_id: str
     """doc_id, the carried columns, n_bytes, kept (the remaining bytes), spans (removed runs of
     bytes, as offsets into the input)."""
     blocks, ranges = block_count(docs, settings.block_bytes), block_count(docs, settings.range_bytes)
+    parts = parts_for(docs)
     id_ = F.col(doc_id).cast("long")
     body = utf8(F.col(text))
     block = F.pmod(F.xxhash64(id_, body), F.lit(blocks))
     hashes = docs.select(body.alias("body"), block.alias("block")).mapInArrow(_hash_stage(settings, ranges), "range bigint, payload binary")
-    known = staged(hashes.groupBy("range").applyInArrow(_repeated, "block bigint, payload binary"), "repeated")
+    known = staged(hashes.groupBy("range").applyInArrow(_repeated, "block bigint, payload binary"), "repeated", parts)
     rows = docs.select(id_.alias("doc_id"), body.alias("body"), block.alias("block"), *[F.col(c).alias(f"c_{c}") for c in carry])
     by_block = rows.select("doc_id", "body", "block").groupBy("block").cogroup(known.groupBy("block"))
-    runs = staged(by_block.applyInArrow(_run_stage(settings, ranges), "range bigint, block bigint, payload binary"), "runs")
+    runs = staged(by_block.applyInArrow(_run_stage(settings, ranges), "range bigint, block bigint, payload binary"), "runs", parts)
     merged = runs.where("range >= 0").groupBy("range").applyInArrow(_merge_stage(settings), "range bigint, block bigint, payload binary")
-    replies = staged(merged, "extents").unionByName(runs.where("range < 0"))
+    replies = staged(merged, "extents", parts).unionByName(runs.where("range < 0"))
     names = ["doc_id", *[f"c_{c}" for c in carry]]
     out = rows.select(*names).schema.add("n_bytes", "long").add("kept", "binary").add("spans", T.ArrayType(T.StructType().add("start", "long").add("stop", "long")))
     cut = rows.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_cut_stage(names, to_arrow_schema(out)), out)

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import scratch_dir, staged, utf8
+from lectern.llm.common import parts_for, scratch_dir, staged, utf8
 
 INDEX = "page_id bigint, url string, digest string, payload_bytes bigint, record_type string, file string, offset bigint, length bigint"
 RECORD = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
@@ -134,7 +134,7 @@ def write_archives(pages: DataFrame, root: str, revisit_bytes: int = 1000, rotat
     refers_to = F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first")), F.col("first"))
     store, base = _store(root)
     store.create_dir(base, recursive=True)
-    return staged(whole.select("page_id", "url", "html", "digest", refers_to.alias("refers_to")).mapInPandas(_writer(root, rotate_bytes), INDEX), "warc-index")
+    return staged(whole.select("page_id", "url", "html", "digest", refers_to.alias("refers_to")).mapInPandas(_writer(root, rotate_bytes), INDEX), "warc-index", parts_for(pages))
 
 
 def coalesce_ranges(ranges: Iterable[tuple[int, int]], gap: int, most: int) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
