@@ -85,8 +85,8 @@ def near_duplicate_questions(questions: DataFrame, threshold: float = JACCARD) -
     order = word.groupBy("w").agg(F.count("*").alias("df"))
     ranked = word.join(order, "w").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("r"))
     keep = F.size("r") - F.ceil(F.size("r") * threshold - 1e-9) + 1
-    prefix = ranked.select("qid", F.explode(F.slice(F.col("r"), F.lit(1), keep.cast("int"))).alias("p")).select("qid", "p.w")
-    near = prefix.alias("x").join(prefix.alias("y"), "w").where("x.qid < y.qid").select(F.col("x.qid").alias("a"), F.col("y.qid").alias("b")).distinct()
+    prefix = ranked.select("qid", F.size("r").alias("n"), F.explode(F.slice(F.col("r"), F.lit(1), keep.cast("int"))).alias("p")).select("qid", "n", "p.w")
+    near = prefix.alias("x").join(prefix.alias("y"), "w").where(f"x.qid < y.qid and least(x.n, y.n) >= {threshold} * greatest(x.n, y.n)").select(F.col("x.qid").alias("a"), F.col("y.qid").alias("b")).distinct()
     same = rows.where("norm <> ''").groupBy("norm").agg(F.min("qid").alias("a"))
     equal = rows.join(same, "norm").where("qid > a").select("a", F.col("qid").alias("b"))
     pairs = near.unionByName(equal).distinct()

@@ -17,7 +17,7 @@ def _answers(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "conversations").where("role = 'assistant'")
     key = (F.col("conv_id") * 100 + F.col("turn")).alias("answer_id")
     k = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(7))
-    body = F.substring("text", 1, 200)
+    body = F.col("text")
     raw = (
         F.when(k == 0, F.concat(body, F.lit(" [1]. And more [2, 3].")))
         .when(k == 1, F.concat(F.lit("NOT_IN_SOURCE: "), body))
@@ -31,7 +31,7 @@ def _answers(spark: SparkSession, d: str) -> DataFrame:
 
 
 RAW = r"""
-a as (select conv_id * 100 + turn as answer_id, (conv_id + turn) % 7 as k, substring(text, 1, 200) as body from conversations where role = 'assistant'),
+a as (select conv_id * 100 + turn as answer_id, (conv_id + turn) % 7 as k, text as body from conversations where role = 'assistant'),
 r as (select answer_id, k, case k when 0 then body || ' [1]. And more [2, 3].' when 1 then 'NOT_IN_SOURCE: ' || body when 2 then body || ' [1; 9].' when 3 then body
       when 4 then body || ' [2].' || chr(10) || chr(10) || 'A plain second part without any marker at all.'
       when 5 then 'It is given by:' || chr(10) || chr(10) || '$x$' || chr(10) || chr(10) || 'so ' || body || ' [3].' else body || ' [2][1]' end as raw from a),
@@ -58,7 +58,7 @@ def answer_verdict(spark: SparkSession, d: str) -> DataFrame:
 
 def answer_gate(spark: SparkSession, d: str) -> DataFrame:
     """Documents as retrieval results: the id makes the score, blank contexts and misses."""
-    rows = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 5 != 0).alias("grounded"), F.when(F.col("doc_id") % 7 == 0, " ").otherwise(F.substring("text", 1, 20)).alias("context"), F.when(F.col("doc_id") % 11 != 0, (F.col("doc_id") % 20) / 100).alias("score"))
+    rows = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 5 != 0).alias("grounded"), F.when(F.col("doc_id") % 7 == 0, " ").otherwise(F.col("text")).alias("context"), F.when(F.col("doc_id") % 11 != 0, (F.col("doc_id") % 20) / 100).alias("score"))
     return rows.select("doc_id", answer.gate(F.col("grounded"), F.col("context"), F.col("score")).alias("answered"))
 
 
@@ -175,7 +175,7 @@ l as (select answer_id, ['A, p.1', 'B, p.2', 'A, p.1'][n] as label, string_agg('
 select answer_id, string_agg(m || ' ' || label, chr(10) order by f) as sources from l group by 1""",
     "answer_verdict": f"""with {RAW} select answer_id, case when regexp_matches(raw, '(?is)^\\s*NOT[_ ]IN[_ ]SOURCE\\b') then 'not_in_source'
 when len(list_filter(cited, lambda x: x < 1 or x > 3)) > 0 then 'invalid_citation' when len(cited) = 0 then 'no_citation' when answer_id % 3 = 0 then 'failed_claim' else 'accepted' end as verdict from n""",
-    "answer_gate": "select doc_id, doc_id % 5 <> 0 and trim(case when doc_id % 7 = 0 then ' ' else substring(text, 1, 20) end) <> '' and coalesce(case when doc_id % 11 <> 0 then (doc_id % 20) / 100.0 end, -1e9)::double >= 0.05 as answered from documents",
+    "answer_gate": "select doc_id, doc_id % 5 <> 0 and trim(case when doc_id % 7 = 0 then ' ' else text end) <> '' and coalesce(case when doc_id % 11 <> 0 then (doc_id % 20) / 100.0 end, -1e9)::double >= 0.05 as answered from documents",
     "claim_check": """with s as (select conv_id as answer_id, (conv_id * 7 + turn * 3) % 41 as k from conversations)
 select answer_id, bool_and(k not in (0, 1, 2)) as claims_ok, count(case when k in (0, 1, 2) then 1 end) as n_failed from s group by 1""",
     "needs_condense": rf"""select conv_id, turn, len(regexp_extract_all(trim(text), '\S+')) <= 3 or regexp_matches(trim(text), '{T.NEEDS_HISTORY.replace("'", "''")}') as needs_condensing from conversations where role = 'user'""",

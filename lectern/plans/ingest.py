@@ -37,17 +37,16 @@ def html_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _blocks(spark: SparkSession, d: str) -> DataFrame:
-    """Lines of documents of two sources with sizes and levels dealt by their number, so that all
-    ways to be a heading occur."""
-    docs = table(spark, d, "documents").where(F.col("source").isin("src1", "src2", "src3"))
+    """Lines of documents with sizes and levels dealt by their number, so that all ways to be a
+    heading occur."""
+    docs = table(spark, d, "documents")
     rows = docs.select(F.col("source").alias("book"), "doc_id", F.posexplode(F.split("text", "\n")).alias("i", "text")).where(F.trim("text") != "")
-    short = F.substring("text", 1, 40)
     k = F.pmod(F.col("doc_id") + F.col("i"), F.lit(11))
     return rows.select(
         "book",
         (F.col("doc_id") * 100000 + F.col("i")).alias("line_no"),
         F.col("doc_id").alias("page"),
-        F.when(k == 0, F.concat(F.lit("Chapter "), (F.col("doc_id") % 9).cast("string"))).when(k == 1, F.initcap(F.regexp_replace(short, "[^A-Za-z ]", ""))).when(k == 2, short).otherwise(F.col("text")).alias("text"),
+        F.when(k == 0, F.concat(F.lit("Chapter "), (F.col("doc_id") % 9).cast("string"))).when(k == 1, F.initcap(F.regexp_replace("text", "[^A-Za-z ]", ""))).otherwise(F.col("text")).alias("text"),
         F.when(k == 1, 14.0).when(k == 2, 17.0).otherwise(11.0).alias("size"),
         (k == 0).alias("bold"),
         F.when(k == 5, (F.col("i") % 4 + 1)).alias("level"),
@@ -99,27 +98,27 @@ def token_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def heading_shapes(spark: SparkSession, d: str) -> DataFrame:
-    """Heading tests on first lines of documents, whole and in title and upper case."""
-    first = F.substring(F.regexp_extract("text", r"^([^\n]*)", 1), 1, 30)
-    rows = table(spark, d, "documents").select("doc_id", F.explode(F.array(first, F.initcap(F.regexp_replace(first, "[^A-Za-z ]", "")), F.upper(first))).alias("t"))
+    """Heading tests on all lines of documents, as they are and in title and upper case."""
+    first = F.col("line")
+    rows = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", F.explode(F.array(first, F.initcap(F.regexp_replace(first, "[^A-Za-z ]", "")), F.upper(first))).alias("t"))
     return rows.groupBy("doc_id").agg(F.count(F.when(is_title(F.col("t")), 1)).alias("titles"), F.count(F.when(is_upper(F.col("t")), 1)).alias("uppers"), F.count(F.when(looks_like_heading(F.col("t")), 1)).alias("headings"))
 
 
 def book_files(spark: SparkSession, d: str) -> DataFrame:
     """Pages as files: hash, id, and the ones to read when a third is indexed already."""
-    p = table(spark, d, "pages").select(F.concat(F.lit("/books/"), F.regexp_replace("url", "[^A-Za-z0-9]+", " "), F.lit(".txt")).alias("path"), F.sha2(F.substring("html", 1, 300), 256).alias("sha"), "page_id")
+    p = table(spark, d, "pages").select(F.concat(F.lit("/books/"), F.regexp_replace("url", "[^A-Za-z0-9]+", " "), F.lit(".txt")).alias("path"), F.sha2("html", 256).alias("sha"), "page_id")
     fresh = ingest.new_files(p.select("path", "sha"), p.where("page_id % 3 = 0").select("sha"))
     return fresh.select("path", "sha", book_id(F.col("path"), F.col("sha")).alias("book_id"))
 
 
 LINES = "l as (select source as book, doc_id as page, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from documents)"
 BLOCKS = r"""
-b0 as (select source as book, doc_id, unnest(string_split(text, chr(10))) as text, generate_subscripts(string_split(text, chr(10)), 1) - 1 as i from documents where source in ('src1', 'src2', 'src3')),
-b1 as (select *, (doc_id + i) % 11 as k, substring(text, 1, 40) as short from b0 where trim(text) <> ''),
+b0 as (select source as book, doc_id, unnest(string_split(text, chr(10))) as text, generate_subscripts(string_split(text, chr(10)), 1) - 1 as i from documents),
+b1 as (select *, (doc_id + i) % 11 as k  from b0 where trim(text) <> ''),
 b2 as (select book, doc_id * 100000 + i as line_no, doc_id as page,
        case k when 0 then 'Chapter ' || doc_id % 9
-              when 1 then array_to_string(list_transform(string_split(regexp_replace(short, '[^A-Za-z ]', '', 'g'), ' '), lambda w: upper(substring(w, 1, 1)) || lower(substring(w, 2))), ' ')
-              when 2 then short else text end as text,
+              when 1 then array_to_string(list_transform(string_split(regexp_replace(text, '[^A-Za-z ]', '', 'g'), ' '), lambda w: upper(substring(w, 1, 1)) || lower(substring(w, 2))), ' ')
+              else text end as text,
        case k when 1 then 14.0 when 2 then 17.0 else 11.0 end::double as size, k = 0 as bold, case when k = 5 then i % 4 + 1 end as level from b1),
 bs as (select book, size, sum(length(text)) as chars, min(line_no) as first from b2 group by 1, 2),
 body as (select book, size as body_size from bs qualify row_number() over (partition by book order by chars desc, first) = 1)"""
@@ -176,12 +175,12 @@ r as (select doc_id, unnest(s) as x, generate_subscripts(s, 1) as n from s)
 select doc_id, count(*) as sentences, max(length(x))::int as longest, sum(length(x) * n)::bigint as checksum from r group by 1""",
     "token_counts": "select doc_id, greatest(1, length(text) // 4)::int as tokens, length(substring(text, 1, 200))::int as cut_chars, true as tail_fits from documents",
     "heading_shapes": f"""
-with f as (select doc_id, substring(string_split(text, chr(10))[1], 1, 30) as t from documents),
+with f as (select doc_id, unnest(string_split(text, chr(10))) as t from documents),
 t as (select doc_id, unnest([t, array_to_string(list_transform(string_split(regexp_replace(t, '[^A-Za-z ]', '', 'g'), ' '), lambda w: upper(substring(w, 1, 1)) || lower(substring(w, 2))), ' '), upper(t)]) as t from f)
 select doc_id, count(case when regexp_matches(t, '[\\p{{Lu}}\\p{{Lt}}]') and not regexp_matches(t, '[\\p{{Lu}}\\p{{Lt}}\\p{{Ll}}][\\p{{Lu}}\\p{{Lt}}]') and not regexp_matches(t, '(^|[^\\p{{Lu}}\\p{{Lt}}\\p{{Ll}}])\\p{{Ll}}') then 1 end) as titles,
        count(case when regexp_matches(t, '\\p{{Lu}}') and not regexp_matches(t, '[\\p{{Ll}}\\p{{Lt}}]') then 1 end) as uppers, count(case when {_heading('t')} then 1 end) as headings from t group by 1""",
     "book_files": """
-with p as (select '/books/' || regexp_replace(url, '[^A-Za-z0-9]+', ' ', 'g') || '.txt' as path, sha256(substring(html, 1, 300)) as sha, page_id from pages),
+with p as (select '/books/' || regexp_replace(url, '[^A-Za-z0-9]+', ' ', 'g') || '.txt' as path, sha256(html) as sha, page_id from pages),
 f as (select min(path) as path, sha from p where sha not in (select sha from p where page_id % 3 = 0) group by sha)
 select path, sha, substring(trim(regexp_replace(lower(substring(path, 8, length(path) - 11)), '[^a-z0-9]+', '-', 'g'), '-'), 1, 40) || '-' || substring(sha, 1, 12) as book_id from f""",
 }

@@ -15,9 +15,8 @@ LEVELS = paper.BLOOM_LEVELS
 
 def bloom_allocation(spark: SparkSession, d: str) -> DataFrame:
     """Languages as papers: their documents by source number make the weights of the levels."""
-    docs = table(spark, d, "documents").where(F.col("source").rlike(r"^src[0-6]$"))
-    names = F.create_map(*[F.lit(x) for i, v in enumerate((*LEVELS, "unknown")) for x in (f"src{i}", v)])
-    mix = docs.groupBy(F.col("lang").alias("paper"), "source").agg(F.count("*").alias("weight")).select("paper", names[F.col("source")].alias("level"), "weight", F.substring("source", 4, 1).cast("int").alias("seq"), F.lit(17).alias("slots"))
+    names = F.array(*map(F.lit, (*LEVELS, "unknown")))
+    mix = table(spark, d, "documents").groupBy(F.col("lang").alias("paper"), F.pmod(F.substring("source", 4, 9).cast("int"), F.lit(7)).alias("seq")).agg(F.count("*").alias("weight")).select("paper", F.get(names, "seq").alias("level"), "weight", "seq", F.lit(17).alias("slots"))
     return paper.allocate_levels(mix)
 
 
@@ -29,7 +28,7 @@ def topic_weights(spark: SparkSession, d: str) -> DataFrame:
 
 def topic_pool(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    asked = docs.where("doc_id < 30").groupBy(F.upper("lang").alias("topic")).agg(F.min("doc_id").alias("seq"))
+    asked = docs.groupBy(F.upper("lang").alias("topic")).agg(F.min("doc_id").alias("seq"))
     chapters = docs.groupBy("lang").agg(F.min("doc_id").alias("seq")).select(F.col("lang").alias("topic"), "seq").unionByName(docs.groupBy(F.col("source").alias("topic")).agg(F.min("doc_id").alias("seq")).select("topic", "seq"))
     return paper.topic_pool(asked, chapters)
 
@@ -37,21 +36,20 @@ def topic_pool(spark: SparkSession, d: str) -> DataFrame:
 def topic_pick(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     pool = docs.groupBy(F.col("lang").alias("paper"), F.col("source").alias("topic")).agg(F.min("doc_id").alias("seq")).withColumn("part", F.lit(0))
-    slots = docs.where("doc_id < 100").select(F.col("lang").alias("paper"), F.col("doc_id").alias("slot"))
+    slots = docs.select(F.col("lang").alias("paper"), F.col("doc_id").alias("slot"))
     return paper.pick_topics(slots, pool)
 
 
 def section_marks(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").where("l_orderkey < 3000")
+    li = table(spark, d, "lineitem")
     q = li.select(F.col("l_orderkey").alias("paper"), F.col("l_returnflag").alias("section"), F.col("l_linenumber").alias("number"), F.col("l_quantity").cast("long").alias("marks"))
     sections = q.select("paper", "section").distinct().withColumn("attempt", attempt_from_instructions(F.when(F.col("section") == "A", "Answer ANY TWO.").when(F.col("section") == "R", "Attempt any 1 question").otherwise("Write all.")))
     return paper.section_marks(q, sections)
 
 
 def question_dedup(spark: SparkSession, d: str) -> DataFrame:
-    """First sentences of documents as questions, and the benchmark items."""
-    docs = table(spark, d, "documents").where("doc_id < 200").select(F.col("doc_id").alias("qid"), F.regexp_extract("text", r"^([^.]*)", 1).alias("text"))
-    return paper.near_duplicate_questions(docs.where(F.length("text") < 400))
+    """All documents as questions: among them are copies and near copies."""
+    return paper.near_duplicate_questions(table(spark, d, "documents").select(F.col("doc_id").alias("qid"), "text"))
 
 
 MCQ = [
@@ -100,7 +98,7 @@ def merge_sections(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pyq_exemplars(spark: SparkSession, d: str) -> DataFrame:
-    rows = _past(spark, d).where("profile = 1")
+    rows = _past(spark, d)
     return paper.exemplars(rows, "P", 9).select("seq", "type", "marks", "tier")
 
 
@@ -147,7 +145,7 @@ def latency_p95(spark: SparkSession, d: str) -> DataFrame:
 def labels_text(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     sections = F.split(F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat_ws("|", "lang", "source", F.when(F.col("doc_id") % 2 == 0, F.col("lang")))), r"\|")
-    return docs.select("doc_id", section_label(sections).alias("label"), safe_stem(F.concat(F.lit("."), F.substring("text", 1, 24))).alias("stem"), furniture_form(F.concat("source", F.lit(" P"), F.col("doc_id").cast("string"))).alias("form"))
+    return docs.select("doc_id", section_label(sections).alias("label"), safe_stem(F.concat(F.lit("."), "text")).alias("stem"), furniture_form(F.concat("source", F.lit(" P"), F.col("doc_id").cast("string"))).alias("form"))
 
 
 PAST = "p as (select o_custkey % 12 as paper, o_custkey % 3 as profile, o_orderkey % 4 + 1 as marks, o_orderstatus as type, lower(o_orderpriority) as verb, o_orderkey as seq from orders)"
@@ -170,26 +168,26 @@ g as (select item_id as query_id, rank from benchmark left join h on query_id =
 QUERIES = {f.__name__: f for f in (bloom_allocation, topic_weights, topic_pool, topic_pick, section_marks, question_dedup, mcq_shape, mcq_flags, verdict_gate, pyq_profile, pyq_bands, merge_sections, pyq_exemplars, retrieval_metrics, gold_metrics, faithfulness, verdict_match, latency_p95, labels_text)}
 ORACLE_SQL = {
     "bloom_allocation": f"""
-with m as (select lang as paper, [{', '.join(f"'{x}'" for x in (*LEVELS, 'unknown'))}][substring(source, 4, 1)::int + 1] as level, count(*) as weight, substring(source, 4, 1)::int as seq from documents where regexp_matches(source, '^src[0-6]$') group by 1, 2, 4),
+with m as (select lang as paper, [{', '.join(f"'{x}'" for x in (*LEVELS, 'unknown'))}][substring(source, 4)::int % 7 + 1] as level, count(*) as weight, substring(source, 4)::int % 7 as seq from documents group by 1, 2, 4),
 e as (select *, round(17 * weight::double / sum(weight) over (partition by paper), 9) as exact from m where level <> 'unknown'),
 f as (select *, floor(exact) as whole, 17 - sum(floor(exact)) over (partition by paper) as rest, row_number() over (partition by paper order by exact - floor(exact) desc, seq) as place from e)
 select paper, level, (whole + (place <= rest)::int)::bigint as n from f""",
     "topic_weights": """with t as (select coalesce(nullif(case when doc_id % 4 = 0 then '' else source end, ''), nullif(case when doc_id % 8 = 0 then '' else lang end, ''), '') as topic, greatest(1, n_chars // 4) as n, doc_id from documents),
 s as (select topic, sum(n)::bigint as tokens, min(doc_id) as first from t group by 1 order by tokens desc, first limit 12) select topic, tokens from s where topic <> ''""",
-    "topic_pool": """with a as (select upper(lang) as topic, min(doc_id) as seq from documents where doc_id < 30 group by 1),
+    "topic_pool": """with a as (select upper(lang) as topic, min(doc_id) as seq from documents group by 1),
 c as (select lang as topic, min(doc_id) as seq from documents group by 1 union all select source, min(doc_id) from documents group by 1)
 select topic, seq, 0 as part from a union all select topic, seq, 1 from c where lower(topic) not in (select lower(topic) from a)""",
     "topic_pick": """with p as (select lang as paper, source as topic, min(doc_id) as seq from documents group by 1, 2),
 n as (select *, row_number() over (partition by paper order by seq) - 1 as i, count(*) over (partition by paper) as size from p)
-select n.paper, doc_id as slot, topic from documents join n on n.paper = lang and i = doc_id % size where doc_id < 100""",
-    "section_marks": """with q as (select l_orderkey as paper, l_returnflag as section, l_linenumber as number, l_quantity::bigint as marks from lineitem where l_orderkey < 3000),
+select n.paper, doc_id as slot, topic from documents join n on n.paper = lang and i = doc_id % size""",
+    "section_marks": """with q as (select l_orderkey as paper, l_returnflag as section, l_linenumber as number, l_quantity::bigint as marks from lineitem),
 r as (select *, row_number() over (partition by paper, section order by marks desc, number) as place from q)
 select paper, section, sum(case when section = 'N' or place <= case section when 'A' then 2 else 1 end then marks end)::bigint as marks, count(*) as questions from r group by 1, 2""",
-    "question_dedup": f"""with q as (select doc_id as qid, regexp_extract(text, '^([^.]*)', 1) as t from documents where doc_id < 200),
-w as (select qid, t, list_distinct(list_filter(regexp_extract_all(lower(t), '[a-z]{{4,}}'), lambda x: x not in ({WORDS}))) as long, list_distinct(list_filter(regexp_extract_all(lower(t), '[a-z0-9]{{2,}}'), lambda x: x not in ({WORDS}))) as short from q where length(t) < 400),
+    "question_dedup": f"""with q as (select doc_id as qid, text as t from documents),
+w as (select qid, t, list_distinct(list_filter(regexp_extract_all(lower(t), '[a-z]{{4,}}'), lambda x: x not in ({WORDS}))) as long, list_distinct(list_filter(regexp_extract_all(lower(t), '[a-z0-9]{{2,}}'), lambda x: x not in ({WORDS}))) as short from q),
 k as (select qid, case when len(long) > 0 then long else short end as w, array_to_string(regexp_extract_all(lower(t), '[a-z0-9]+'), ' ') as n from w),
 j as (select a.qid as a, b.qid as b, case when len(a.w) + len(b.w) = 0 then 0 else len(list_intersect(a.w, b.w))::double / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) end as jaccard, a.n = b.n and a.n <> '' as same, a.n <> '' and a.n = b.n and exists (select 1 from k c where c.n = a.n and c.qid < a.qid) as later
-      from k a join k b on a.qid < b.qid)
+      from k a join k b on a.qid < b.qid and (a.n = b.n or len(a.w) >= 0.45 * len(b.w) and len(b.w) >= 0.45 * len(a.w)))
 select a, b, round(jaccard, 6) as jaccard from j where jaccard >= {paper.JACCARD} or (same and not later)""",
     "mcq_shape": f"select id::bigint as id, problem from {_values(MCQ_RESULT, 'id, problem')}",
     "mcq_flags": f"select id::bigint as id, problem from {_values(FLAGS_RESULT, 'id, problem')}",
@@ -201,7 +199,7 @@ c as (select name, count from (select name, count, count(*) as c, min(seq) as s
 m as (select name, marks from (select name, marks, count(*) as c, min(seq) as s from s where marks > 0 group by 1, 2) qualify row_number() over (partition by name order by c desc, s) = 1),
 h as (select name, arg_min(instructions, case when instructions <> '' then seq end) as instructions, arg_min(type, seq) as type from s group by 1)
 select h.name, instructions, type, coalesce(count, 5)::bigint as count, coalesce(marks, 2)::bigint as marks from h left join c using (name) left join m using (name)""",
-    "pyq_exemplars": f"with {PAST}, t as (select seq, type, marks, case when type = 'P' and marks = 9 then 1 when type = 'P' then 2 else 3 end as tier from p where profile = 1) select * from t where tier = (select min(tier) from t) order by seq limit 4",
+    "pyq_exemplars": f"with {PAST}, t as (select seq, type, marks, case when type = 'P' and marks = 9 then 1 when type = 'P' then 2 else 3 end as tier from p) select * from t where tier = (select min(tier) from t) order by seq limit 4",
     "retrieval_metrics": f"""with {_gold_sql()} select count(*) as n, round(avg(coalesce((rank <= 1)::int, 0)), 6) as hit_at_1, round(avg(coalesce((rank <= 3)::int, 0)), 6) as hit_at_3, round(avg(coalesce((rank <= 10)::int, 0)), 6) as hit_at_k,
 round(avg(coalesce(1.0::double / rank, 0)), 6) as mrr, round(avg((rank is null)::int), 6) as refusal_rate from g""",
     "gold_metrics": f"""with {_gold_sql()}, c as (select query_id % 5 <> 0 as a, rank is not null as answered, query_id % 13 = 0 as e, query_id % 2 = 0 as reviewed, rank = 1 as cited, case when query_id % 3 <> 0 then (query_id % 7) / 7.0::double end as kr from g)
@@ -215,5 +213,5 @@ t as (select "case", k, arg_max(s, i) as s from v group by 1, 2), e as (select "
 select c."case", c.i, c.claim, coalesce(t.s, case when c."case" in (select "case" from e) then v.s end) as supported from c left join t on t."case" = c."case" and t.k = 'claim ' || c.i left join v on v."case" = c."case" and v.i = c.i""",
     "latency_p95": "with e as (select event_type, list_sort(list(value)) as v, count(*) as n from events where value is not null group by 1) select event_type, n, v[least(n - 1, floor(n * 0.95)::bigint) + 1] as quantile from e",
     "labels_text": """with d as (select doc_id, text, source, list_distinct(list_filter(case when doc_id % 3 = 0 then [] when doc_id % 2 = 0 then [lang, source, lang] else [lang, source] end, lambda x: x <> '')) as s0, case when doc_id % 3 = 0 then '' else lang || ' – ' || source end as label from documents)
-select doc_id, label, regexp_replace(regexp_replace('.' || substring(text, 1, 24), '[^\\p{L}\\p{M}\\p{N}_.\\-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g') as stem, lower(regexp_replace(source || ' P' || doc_id, '[0-9]', '#', 'g')) as form from d""",
+select doc_id, label, regexp_replace(regexp_replace('.' || text, '[^\\p{L}\\p{M}\\p{N}_.\\-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g') as stem, lower(regexp_replace(source || ' P' || doc_id, '[0-9]', '#', 'g')) as form from d""",
 }

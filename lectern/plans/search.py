@@ -18,7 +18,7 @@ def _questions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _vector_questions(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "embeddings").orderBy("vec_id").limit(20).select(F.col("vec_id").alias("query_id"), "embedding")
+    return table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -59,8 +59,8 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
 def rrf_fuse(spark: SparkSession, d: str) -> DataFrame:
     """Fusion alone, over lists made from the labels of vectors: four lists of two variants."""
     emb = table(spark, d, "embeddings").select("vec_id", "label")
-    make = lambda variant, retriever, step, off: emb.where(F.pmod(F.col("vec_id") + off, F.lit(step)) == 0).select(F.col("label").cast("long").alias("query_id"), F.col("vec_id").alias("doc_id"), F.lit(variant).alias("variant"), F.lit(retriever).alias("retriever"), F.row_number().over(W.partitionBy("label").orderBy(F.pmod(F.col("vec_id") * (7 + off), F.lit(101)), "vec_id")).cast("long").alias("rank")).where("rank <= 12")
-    lists = make(0, "dense", 2, 0).unionByName(make(0, "bm25", 3, 1)).unionByName(make(1, "dense", 2, 1)).unionByName(make(1, "bm25", 5, 2))
+    make = lambda variant, retriever, off: emb.select(F.col("label").cast("long").alias("query_id"), F.col("vec_id").alias("doc_id"), F.lit(variant).alias("variant"), F.lit(retriever).alias("retriever"), F.row_number().over(W.partitionBy("label").orderBy(F.pmod(F.col("vec_id") * (7 + off), F.lit(101)), "vec_id")).cast("long").alias("rank")).where("rank <= 12")
+    lists = make(0, "dense", 0).unionByName(make(0, "bm25", 1)).unionByName(make(1, "dense", 2)).unionByName(make(1, "bm25", 4))
     return fusion.fuse(lists, 12)
 
 
@@ -92,7 +92,7 @@ def dedup_gap_neighbors(spark: SparkSession, d: str) -> DataFrame:
     """Neighbours over ordinals that passage dedup left with gaps."""
     chunks = _chunks(spark, d)
     kept = ingest.dedup_passages(chunks, "text", ("id",))
-    hits = kept.where(F.col("ordinal") % 7 == 0).select(F.lit(0).cast("long").alias("query_id"), "id", "book_id", "ordinal", F.lit(1.0).alias("score"), F.col("id").alias("relevance_rank"))
+    hits = kept.where(F.col("id") % 50 == 0).select(F.lit(0).cast("long").alias("query_id"), "id", "book_id", "ordinal", F.lit(1.0).alias("score"), F.col("id").alias("relevance_rank"))
     return context.expand_neighbours(hits, kept, 1).select("id", "book_id", "ordinal", "score", "is_neighbor")
 
 
@@ -115,7 +115,7 @@ def context_render(spark: SparkSession, d: str) -> DataFrame:
 def embed_texts(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     section = F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat(F.lit("s"), (F.col("doc_id") % 5).cast("string")))
-    made = embed_text(F.col("source"), F.col("lang"), section, F.substring("text", 1, 60))
+    made = embed_text(F.col("source"), F.col("lang"), section, F.col("text"))
     label = citation(F.col("source"), F.col("lang"), section, F.col("doc_id"), F.col("doc_id") + F.col("doc_id") % 2)
     return docs.select("doc_id", made.alias("embed_text"), label.alias("citation"))
 
@@ -143,7 +143,7 @@ DOT = "list_sum(list_transform(range(1, len(q.embedding) + 1), lambda i: q.embed
 
 def _dense(where: str = "") -> str:
     return f"""
-with q as (select vec_id as query_id, embedding from embeddings order by vec_id limit 20),
+with q as (select vec_id as query_id, embedding from embeddings where vec_id % 50 = 0),
 s as (select query_id, v.vec_id, round({DOT}, 6) as score from q, embeddings v {where})
 select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s qualify rank <= {K}"""
 
@@ -182,7 +182,7 @@ ds as (select query_id, v.vec_id as doc_id, round({DOT}, 6) as score from dq q,
 dt as (select query_id, doc_id, row_number() over (partition by query_id order by score desc, doc_id) as rank from ds qualify rank <= 40),
 lists as (select query_id, doc_id, 'dense' as retriever, rank, 0 as variant from dt union all select query_id, doc_id, 'bm25', rank, 0 from top),
 """
-MAKE = "select label::bigint as query_id, vec_id as doc_id, {v} as variant, '{r}' as retriever, row_number() over (partition by label order by (vec_id * (7 + {o})) % 101, vec_id) as rank from embeddings where (vec_id + {o}) % {s} = 0 qualify rank <= 12"
+MAKE = "select label::bigint as query_id, vec_id as doc_id, {v} as variant, '{r}' as retriever, row_number() over (partition by label order by (vec_id * (7 + {o})) % 101, vec_id) as rank from embeddings qualify rank <= 12"
 
 QUERIES = {f.__name__: f for f in (bm25_topk, bm25_filtered_global_stats, dense_topk, dense_topk_arrow, dense_topk_filtered, rrf_fuse, hybrid_search, rerank_floor, neighbor_expand, dedup_gap_neighbors, context_budget, context_render, embed_texts)}
 ORACLE_SQL = {
@@ -191,7 +191,7 @@ ORACLE_SQL = {
     "dense_topk": _dense(),
     "dense_topk_arrow": _dense(),
     "dense_topk_filtered": _dense("where v.label in (1, 3)"),
-    "rrf_fuse": "with lists as (" + " union all ".join(f"({MAKE.format(v=v, r=r, s=s, o=o)})" for v, r, s, o in ((0, "dense", 2, 0), (0, "bm25", 3, 1), (1, "dense", 2, 1), (1, "bm25", 5, 2))) + ")," + FUSE.replace("@", "12"),
+    "rrf_fuse": "with lists as (" + " union all ".join(f"({MAKE.format(v=v, r=r, o=o)})" for v, r, o in ((0, "dense", 0), (0, "bm25", 1), (1, "dense", 2), (1, "bm25", 4))) + ")," + FUSE.replace("@", "12"),
     "hybrid_search": f"with {_bm25(40)}, {HYBRID} {FUSE.replace('@', str(K))}",
     "rerank_floor": f"""with {_bm25(12)},
 s as (select query_id, top.doc_id, rank, round((select count(distinct t) from (select unnest(regexp_extract_all(lower(b.text), '[a-z0-9]+')) as t) where list_contains(regexp_extract_all(lower(d.text), '[a-z0-9]+'), t))::double
@@ -200,14 +200,14 @@ select query_id, doc_id, rerank_score, row_number() over (partition by query_id
     "neighbor_expand": f"with {_bm25(4)}, {CHUNKS}, {NEAR} select query_id, id, book_id, ordinal, round(score, 6) as score, is_neighbor, relevance_rank from x",
     "dedup_gap_neighbors": f"""with {CHUNKS},
 k as (select * from c qualify row_number() over (partition by trim(regexp_replace(lower(text), '[\\s\\x{{00A0}}]+', ' ', 'g')) order by id) = 1),
-h as (select * from k where ordinal % 7 = 0)
+h as (select * from k where id % 50 = 0)
 select id, book_id, ordinal, 1.0::double as score, false as is_neighbor from h
 union all select distinct k.id, k.book_id, k.ordinal, 0.5::double, true from h join k on k.book_id = h.book_id and abs(k.ordinal - h.ordinal) = 1 where k.id not in (select id from h)""",
     "context_budget": f"with {_bm25(4)}, {CHUNKS}, {NEAR}, {BUDGET} select query_id, id, position, number, tokens from s",
     "context_render": f"""with {_bm25(4)}, {CHUNKS}, {NEAR}, {BUDGET}
 select query_id, count(*)::int as n_citations, string_agg(citation, ' | ' order by number) as citations,
        length(string_agg('[' || number || '] ' || citation || chr(10) || substring(text, 1, tokens * 4 + 3), chr(10) || chr(10) order by number))::int as context_chars from s group by 1""",
-    "embed_texts": """with d as (select doc_id, source, lang, case when doc_id % 3 = 0 then '' else 's' || doc_id % 5 end as section, substring(text, 1, 60) as t, doc_id as a, doc_id + doc_id % 2 as b from documents)
+    "embed_texts": """with d as (select doc_id, source, lang, case when doc_id % 3 = 0 then '' else 's' || doc_id % 5 end as section, text as t, doc_id as a, doc_id + doc_id % 2 as b from documents)
 select doc_id, '[' || source || ' > ' || lang || case when section <> '' then ' > ' || section else '' end || ']' || chr(10) || t as embed_text,
        source || ' > ' || lang || case when section <> '' and section <> lang then ' > ' || section else '' end || ', ' || case when a = b then 'p.' || a else 'pp.' || a || '-' || b end as citation from d""",
 }
