@@ -67,7 +67,7 @@ def _clean(text: Column) -> Column:
 
 
 def _lines(clean: Column) -> Column:
-    return F.filter(F.transform(F.split(clean, "\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(clean, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def known_digests(spark, known=KNOWN) -> DataFrame:
