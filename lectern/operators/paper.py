@@ -98,7 +98,7 @@ def near_duplicate_questions(questions: DataFrame, threshold: float = JACCARD) -
 
 def mcq_problem(options: Column, key: Column, norm=norm_option, bare=bare_option) -> Column:
     """Why a multiple-choice question cannot stand, or an empty text."""
-    opts = F.transform(options, F.trim)
+    opts = F.transform(options, lambda o: F.trim(o))
     k = F.trim(F.coalesce(key, F.lit("")))
     named = F.filter(opts, lambda o: F.lower(o) == F.lower(k))
     letter = F.upper(F.btrim(k, F.lit("()")))
