@@ -2,7 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. Its
 result is written as Parquet and read again as the next stage's ``docs``. All stages but the
-last return the columns of ``documents``.
+last return the columns of ``documents``, and no others.
+
+Defined cases. Null, empty or letterless text: rejected by the first stage. Null ids, repeated
+rows, empty tables and long texts: as the operators say. A document that its cuts leave
+without text goes.
 """
 
 from __future__ import annotations
@@ -25,10 +29,11 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near-duplicates (five-word
-    shingles, similarity 0.8); of rows equal in all columns, one."""
+    shingles, similarity 0.8); of rows with the same id and text, one.
+    Rows without an id cannot be told apart here: they stay if one of them does."""
     tuned(spark)
     kept = minhash.near_duplicates(docs, minhash.Settings(words=5)).where("kept").select("doc_id").distinct()
-    return docs.join(kept.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    return docs.join(kept.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +46,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def _whole_characters(kept: Column) -> Column:
-    """Text of the remaining bytes without the halves of characters that a cut went through."""
+    """Text of the remaining bytes without the halves of characters that a cut went through (nor
+    replacement characters, of which those halves become some)."""
     return F.replace(F.make_valid_utf8(kept.cast("string")), F.lit("�"), F.lit(""))
 
 
