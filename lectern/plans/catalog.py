@@ -1,6 +1,6 @@
 """Registered queries of the retrieval engine and their DuckDB equivalents."""
 
-from lectern.plans import answers, ingest, papers, search
+from lectern.plans import answers, ingest, papers, search, services
 
-QUERIES: dict = {**search.QUERIES, **ingest.QUERIES, **answers.QUERIES, **papers.QUERIES}
-ORACLE_SQL: dict = {**search.ORACLE_SQL, **ingest.ORACLE_SQL, **answers.ORACLE_SQL, **papers.ORACLE_SQL}
+QUERIES: dict = {**search.QUERIES, **ingest.QUERIES, **answers.QUERIES, **papers.QUERIES, **services.QUERIES}
+ORACLE_SQL: dict = {**search.ORACLE_SQL, **ingest.ORACLE_SQL, **answers.ORACLE_SQL, **papers.ORACLE_SQL, **services.ORACLE_SQL}
