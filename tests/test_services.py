@@ -69,3 +69,25 @@ def test_ingest_and_ask(spark, tmp_path):
     chunks, _ = store.load()
     assert [r.chapters for r in chapters_of(chunks).collect()] == [["Heat", "Work"]]
     assert "energy in transit" in ask(spark, store, "what is heat energy", Config()).first().context
+
+
+def test_renderings(spark):
+    from lectern.functions import render
+
+    one = lambda c: spark.range(1).select(c).first()[0]
+    lit = F.lit
+    assert one(render.retrieval_summary(lit(4), lit(0.25), lit(0.5), lit(1.0), lit(0.583), lit(0.0))) == "n=4  Hit@1=25.0%  Hit@3=50.0%  Hit@k=100.0%  MRR=0.583  refusals=0.0%"
+    assert one(render.retrieval_summary(lit(0), *[lit(None).cast("double")] * 5)).startswith("n=0")
+    none = lit(None).cast("double")
+    row = {"n": lit(2), "errors": lit(0), "unreviewed": lit(1), "answer_rate": lit(1.0), "cited_page_hit": none, "context_page_hit": none, "keyword_recall": none, "correct_refusal_rate": none}
+    text = one(render.gold_summary(row))
+    assert "answered 100%, right page cited n/a" in text and text.endswith("provisional")
+    options = F.array(lit("x"), lit("y"))
+    assert one(render.full_question(lit("Q?"), options, lit("y"))) == "Q?\n  A) x\n  B) y\nStated correct answer: y"
+    assert one(render.full_question(lit("Q?"), lit(None).cast("array<string>"), lit(None).cast("string"))) == "Q?"
+    words = F.array(*map(lit, [" Heat", "heat", "work", "", "Gas", "none", "law", "cold"]))
+    assert one(render.gold_keywords(words, lit("HEAT and work of gas by law in cold"))) == ["Heat", "work", "Gas", "law"]
+    assert one(render.split_for_context(lit("aa\nbb\ncccccccc\nd"), 6)) == ["aa\nbb\n", "cccccccc\n", "d"]
+    assert one(render.split_for_context(lit(""), 6)) == []
+    md = "see [a](http://b) <http://c>\n[d]: e\n```\n[a](b)\n```\n- [x](y)"
+    assert one(render.safe_markdown(lit(md))) == "see [a] (http://b) \\<http://c>\n\\[d]: e\n```\n[a](b)\n```\n- \\[x] (y)"
