@@ -53,7 +53,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return compact(lm_scoring.score(docs), docs)
+    return compact(lm_scoring.score(docs, theme="lang"), docs)
 
 
 OP1_SQL = """

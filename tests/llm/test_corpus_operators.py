@@ -198,7 +198,7 @@ def test_quality_equals_brute_force(docs, rows, empty):
 
 def test_lm_baseline_and_normalisation(docs, rows):
     got = {}
-    for r in lm_scoring.score(docs).collect():
+    for r in lm_scoring.score(docs, theme="lang").collect():
         got.setdefault(r.doc_id, []).append(r)
     tokens = lambda t: [*re.findall(WORD, ascii_lower(t or "")), None]
     train = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 != 1
@@ -378,3 +378,21 @@ def test_pipeline(spark, data):
 def test_zip_of_bytes():  # the writer's members stand alone
     raw = warc.record_bytes(1, "u", b"abc", "d", None)
     assert gzip.GzipFile(fileobj=io.BytesIO(raw)).read().endswith(b"abc\r\n\r\n")
+
+
+def test_mixture_of_themes_and_cache():
+    static = [np.array([0.5, 0.2, 0.1, 0.4]), np.array([0.1, 0.1, 0.6, 0.4])]
+    cache = np.array([0.0, 0.5, 0.0, 1.0])
+    got = np.power(10.0, lm_scoring.mixture(static, cache, np.array([0, 2]), (0.0, 0.5)))
+    # a document's first token has no cache; the second share counts for the better theme alone
+    want = [(0.5 * 0.2 + 0.1 * 0.1 + 0.5 * (0.5 * 0.2 + 0.25)) / 4, (0.1 * 0.4 + 0.6 * 0.4 + 0.6 * (0.2 + 0.5)) / 4]
+    assert got == pytest.approx(want)
+
+
+def test_themes_help_texts_of_their_own(spark):
+    r = random.Random(8)
+    words = {k: ["".join(r.choice(a) for _ in range(4)) for _ in range(200)] for k, a in (("aa", "abcd"), ("bb", "efgh"), ("cc", "ijkl"))}
+    rows = [(i, " ".join(r.choice(words[k]) for _ in range(50)), k) for i, k in ((i, "abc"[i % 3] * 2) for i in range(300))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    mean = lambda d: d.where("held_out").agg(F.avg("score")).first()[0]
+    assert mean(lm_scoring.score(df, theme="lang")) > mean(lm_scoring.score(df)) + 15
