@@ -159,6 +159,13 @@ class Index:
             cursors = [c for c in cursors if c[0] >= 0]
         return found
 
+    @staticmethod
+    def _found(part: set[tuple], tokens: list[int]) -> float:
+        """Share of a part's shingles that are among the tokens' (1 for an empty part)."""
+        if not part:
+            return 1.0
+        return len(part & shingle_set(tokens, len(next(iter(part))))) / len(part)
+
     def search(self, ids: np.ndarray, owner: np.ndarray) -> list[tuple[int, int, float, float, float]]:
         """(document, item, score, question overlap, answer overlap) over the words of a batch of
         documents: ``ids`` are term numbers or -1, ``owner`` the documents in order."""
@@ -189,9 +196,7 @@ class Index:
                 doc = int(np.searchsorted(first, w, "right")) - 1
                 start = int(starts[doc]) + (w - int(first[doc])) * self.stride
                 tokens = ids[start : min(start + self.size, int(starts[doc] + lengths[doc]))].tolist()
-                seen = {k: shingle_set(tokens, k) if k == self.settings.shingle else {tuple(tokens[x : x + k]) for x in range(len(tokens) - k + 1)} for k in {len(next(iter(self.question[item]), ())), len(next(iter(self.answer[item])))}}
-                share = lambda s: len(s & seen[len(next(iter(s)))]) / len(s) if s else 1.0  # noqa: E731,B023
-                q, a = share(self.question[item]), share(self.answer[item])
+                q, a = (self._found(part[item], tokens) for part in (self.question, self.answer))
                 if q >= self.settings.overlap and a >= self.settings.overlap:
                     key = (int(owner[starts[doc]]), item)
                     best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (score, q, a))
