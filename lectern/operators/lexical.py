@@ -16,30 +16,29 @@ from lectern.functions.text import terms
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
-def term_frequencies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, term, f, dl). Terms are counted before the shuffle, in the map-side aggregation."""
-    rows = docs.select(F.col(key), terms(F.col(text)).alias("t"))
-    return rows.select(key, F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy(key, "term").agg(F.count("*").alias("f"), F.first("dl").alias("dl"))
-
-
 def corpus_size(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row: n, avgdl."""
     return docs.agg(F.count("*").alias("n"), F.avg(F.size(terms(F.col(text)))).alias("avgdl"))
 
 
-def inverse_frequencies(tf: DataFrame, size: DataFrame) -> DataFrame:
-    """(term, idf)."""
-    df = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(size.select("n")))  # one row
-    raw = df.select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+def inverse_frequencies(docs: DataFrame, size: DataFrame, text: str = "text") -> DataFrame:
+    """(term, idf). A document names each term once, so terms are counted before the shuffle, and
+    what is shuffled is in proportion to the vocabulary."""
+    df = docs.select(F.explode(F.array_distinct(terms(F.col(text)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    raw = df.crossJoin(F.broadcast(size.select("n"))).select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))  # one row
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, F.col("mean") * EPSILON).otherwise(F.col("raw")).alias("idf"))
 
 
-def scores(queries: DataFrame, tf: DataFrame, idf: DataFrame, size: DataFrame, key: str = "doc_id", query: str = "query_id", text: str = "text") -> DataFrame:
+def scores(queries: DataFrame, docs: DataFrame, size: DataFrame, key: str = "doc_id", query: str = "query_id", text: str = "text") -> DataFrame:
     """(query, key, score) of documents that share a term with the query; a term repeated in
-    the query counts again. Spark broadcasts the query terms if they are small, by its own check."""
+    the query counts again. Only tokens that a query names leave the scan: Spark broadcasts the
+    queries' terms if they are small, by its own check."""
     wanted = queries.select(query, F.explode(terms(F.col(text))).alias("term")).groupBy(query, "term").agg(F.count("*").alias("qf"))
-    hits = tf.join(wanted.join(idf, "term"), "term").crossJoin(F.broadcast(size.select("avgdl")))
+    rows = docs.select(F.col(key), terms(F.col(text)).alias("t"))
+    tokens = rows.select(key, F.size("t").alias("dl"), F.explode("t").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
+    tf = tokens.groupBy(key, "term").agg(F.count("*").alias("f"), F.first("dl").alias("dl"))
+    hits = tf.join(wanted.join(inverse_frequencies(docs, size, text), "term"), "term").crossJoin(F.broadcast(size.select("avgdl")))  # one row
     weight = F.col("qf") * F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hits.groupBy(query, key).agg(F.round(F.sum(weight), 6).alias("score"))
 
@@ -60,8 +59,7 @@ def top_k(scored: DataFrame, k: int, key: str = "doc_id", query: str = "query_id
 
 def search(queries: DataFrame, docs: DataFrame, k: int, only: Column | None = None, key: str = "doc_id", query: str = "query_id", text: str = "text") -> DataFrame:
     """BM25 top k; ``only`` filters the documents after scoring, under statistics of all."""
-    tf, size = term_frequencies(docs, key, text), corpus_size(docs, text)
-    found = scores(queries, tf, inverse_frequencies(tf, size), size, key, query, text)
+    found = scores(queries, docs, corpus_size(docs, text), key, query, text)
     allowed = docs if only is None else docs.where(only)
     if only is not None:
         found = found.join(allowed.select(key), key, "left_semi").select(query, key, "score")
