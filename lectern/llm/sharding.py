@@ -5,7 +5,9 @@ sample of keys gives quantile splitters, which cut the key order into many small
 ranges that still hold too many rows are subdivided by further splitters drawn inside them.
 Exact bytes and rows of each range, then a running sum inside each range, give every
 document its place in the whole order, and thereby its shard: shard k takes the documents
-whose middle byte lies in the k-th part of all bytes. Only DataFrame functions are used.
+whose middle byte lies in the k-th part of all bytes. A group of equal texts goes where its first
+document goes, unless it is larger than ``whole`` of a shard's share, and then it is cut at the
+boundary. Only DataFrame functions are used.
 
 Defined cases. Null text: size 1, crc32 of the empty text, a hash like that of the empty
 text. Null id: sorts first. Rows equal in text and id are interchangeable; all are kept. A
@@ -16,6 +18,7 @@ Empty table: empty result. Other columns are ignored.
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -31,7 +34,10 @@ def _draw(keys: DataFrame, chance: Column) -> list[tuple[int, int | None]]:
     """Sorted keys of the rows whose hash falls below their chance; the hash is fixed, so a
     recomputed task draws the same rows."""
     unit = F.pmod(F.xxhash64("h", "doc_id", F.lit("draw")), F.lit(1 << 40)) / float(1 << 40)
-    return sorted({(r["h"], r["i"]) for r in keys.where(unit < chance).select("h", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("i")).collect()})
+    found = sorted({(r["h"], r["i"]) for r in keys.where(unit < chance).select("h", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("i")).collect()})
+    seen = Counter(h for h, _ in found)
+    # only a text drawn several times is worth a splitter inside its copies
+    return sorted({(h, i if seen[h] > 2 else -(1 << 63)) for h, i in found})
 
 
 def _range_of(splitters: list[tuple[int, int]]) -> Column:
@@ -51,11 +57,12 @@ def _range_of(splitters: list[tuple[int, int]]) -> Column:
     return F.when(coarse == 0, 0).otherwise((coarse - 1) * step + below(F.get(fine, coarse - 1)))
 
 
-def shard_by_size(docs: DataFrame, shards: int = 16, range_rows: int = 8192, draws: int = 16, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def shard_by_size(docs: DataFrame, shards: int = 16, range_rows: int = 8192, most_ranges: int = 4096, draws: int = 16, whole: float = 0.02, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, text_hash.
 
     The driver sees ``draws`` sampled keys for each range and two sums of each range; there is
-    a range for each ``range_rows`` rows (64 at least)."""
+    a range for each ``range_rows`` rows, but at least 64 and at most ``most_ranges``: beyond that
+    ranges grow, and each is sorted by one task, which may spill."""
     plain = F.coalesce(F.col(text), F.lit(""))
     keys = staged(
         docs.select(
@@ -69,7 +76,7 @@ def shard_by_size(docs: DataFrame, shards: int = 16, range_rows: int = 8192, dra
     )
     total = keys.agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).first()
     n, total_bytes = total["n"], total["bytes"] or 0
-    ranges = max(64, math.ceil(n / range_rows))
+    ranges = min(most_ranges, max(64, math.ceil(n / range_rows)))
     splitters: list[tuple[int, int]] = []
     if n > 4 * ranges:
         drawn = _draw(keys, F.col("size") * (draws * ranges / total_bytes))
@@ -94,7 +101,10 @@ def shard_by_size(docs: DataFrame, shards: int = 16, range_rows: int = 8192, dra
     inside = W.partitionBy("r").orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
     placed = ranged.withColumns({"upto": F.sum("size").over(inside), "nth": F.count("*").over(inside)})
     placed = placed.withColumns({"middle": F.get(F.array(*bytes_before), F.col("r")) + F.col("upto") - F.ceil(F.col("size") / 2), "rank": F.get(F.array(*rows_before), F.col("r")) + F.col("nth") - 1})
-    placed = staged(placed.withColumn("shard", F.least(F.lit(shards - 1), F.floor(F.col("middle") * shards / F.lit(max(1, total_bytes)))).cast("int")), "shard-places", parts_for(docs))
+    group = W.partitionBy("r", "h")
+    kept = F.sum("size").over(group) <= whole * total_bytes / shards
+    placed = placed.withColumn("at", F.when(kept, F.min("middle").over(group)).otherwise(F.col("middle")))
+    placed = staged(placed.withColumn("shard", F.least(F.lit(shards - 1), F.floor(F.col("at") * shards / F.lit(max(1, total_bytes)))).cast("int")), "shard-places", parts_for(docs))
     first = {x["shard"]: x["first"] for x in placed.groupBy("shard").agg(F.min("rank").alias("first")).collect()}
     start = F.get(F.array(*[F.lit(first.get(k, 0)).cast("long") for k in range(shards)]), F.col("shard"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("rank") - start).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("h").alias("text_hash"))

@@ -396,3 +396,11 @@ def test_themes_help_texts_of_their_own(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     mean = lambda d: d.where("held_out").agg(F.avg("score")).first()[0]
     assert mean(lm_scoring.score(df, theme="lang")) > mean(lm_scoring.score(df)) + 15
+
+
+def test_small_groups_of_copies_share_a_shard(spark):
+    rows = spark.range(30000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.floor(F.col("id") / 3).cast("string"), F.repeat(F.lit("z"), (F.floor(F.col("id") / 3) % 30).cast("int"))).alias("text"))
+    found = sharding.shard_by_size(rows, range_rows=512)
+    assert found.groupBy("text_hash").agg(F.countDistinct("shard").alias("n")).where("n > 1").count() == 0
+    sizes = [r.b for r in found.groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    assert len(sizes) == 16 and max(sizes) - min(sizes) < 400
