@@ -37,7 +37,10 @@ def scores(queries: DataFrame, docs: DataFrame, size: DataFrame, key: str = "doc
     wanted = queries.select(query, F.explode(terms(F.col(text))).alias("term")).groupBy(query, "term").agg(F.count("*").alias("qf"))
     rows = docs.select(F.col(key), terms(F.col(text)).alias("t"))
     tokens = rows.select(key, F.size("t").alias("dl"), F.explode("t").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
-    tf = tokens.groupBy(key, "term").agg(F.count("*").alias("f"), F.first("dl").alias("dl"))
+    # dealt by document once, and in a set number of parts, as each row meets many queries below;
+    # neither the counts nor the sums of scores need another shuffle then
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tf = tokens.repartition(parts, key).groupBy(key, "term").agg(F.count("*").alias("f"), F.first("dl").alias("dl"))
     hits = tf.join(wanted.join(inverse_frequencies(docs, size, text), "term"), "term").crossJoin(F.broadcast(size.select("avgdl")))  # one row
     weight = F.col("qf") * F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hits.groupBy(query, key).agg(F.round(F.sum(weight), 6).alias("score"))
@@ -47,8 +50,9 @@ def padded(scored: DataFrame, queries: DataFrame, docs: DataFrame, k: int, key:
     """With zero scores for documents without a common term, as far as a top k can need them: of
     the first 2k documents at most k - 1 are scored when there is room, so these suffice."""
     first = docs.select(key).orderBy(key).limit(2 * k)
-    zero = queries.select(query).crossJoin(F.broadcast(first)).join(scored, [query, key], "left_anti")
-    return scored.unionByName(zero.withColumn("score", F.lit(0.0)))
+    zero = queries.select(query).crossJoin(F.broadcast(first)).withColumn("score", F.lit(0.0))
+    # a sum rather than an anti-join, for which the scores would be computed twice
+    return scored.unionByName(zero).groupBy(query, key).agg(F.sum("score").alias("score"))
 
 
 def top_k(scored: DataFrame, k: int, key: str = "doc_id", query: str = "query_id", score: str = "score") -> DataFrame:
