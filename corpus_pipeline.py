@@ -53,7 +53,7 @@ def _whole_characters(kept: Column) -> Column:
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that contain a benchmark item."""
-    found = decontamination.found_items(F.col("text"), tuned(spark).read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = decontamination.found_items(F.col("text"), tuned(spark).read.parquet(f"{sf_dir}/benchmark.parquet"), decontamination.Settings(edits=True))
     return docs.withColumn("_found", found).where(F.size("_found") == 0).select(*COLUMNS)
 
 

@@ -8,6 +8,9 @@ whose summed maxima stay below the threshold are skipped, and WAND walks what is
 its cursors to the pivot item. Retrieved items are then verified: the share of the five-word
 shingles of the question, and that of the answer, found in the passage must both reach
 ``overlap``. The answer is the last quarter of an item's words, the question the rest.
+One changed word breaks up to five shingles, most of a short part. With ``edits`` (as in the
+query and the pipeline) a part is also found if its best placement in the passage needs at
+most ``1 - overlap`` of its words as word edits, or one edit if it has three words or more.
 
 Passages have twice the words of the longest item of an index and start at every such
 length, so each occurrence of an item lies whole in one passage. Items are indexed by length
@@ -53,6 +56,8 @@ class Settings:
     overlap: float = 0.8
     shingle: int = 5
     answer_share: float = 0.25
+    #: Parts may also be found by aligning their words with the passage.
+    edits: bool = False
     block_items: int = 8
     index_bytes: int = 8 << 20
     #: Terms in many items are left out of the first bound until their weights may add up to this.
@@ -73,6 +78,21 @@ def shingle_set(tokens: list, width: int) -> set[tuple]:
     return {tuple(tokens[i : i + k]) for i in range(len(tokens) - k + 1)} if tokens else set()
 
 
+def word_edits(part: np.ndarray, tokens: np.ndarray) -> int:
+    """Least number of words to change, leave out or put in, to make ``part`` a stretch of the tokens."""
+    place = np.arange(len(tokens) + 1)
+    row = np.zeros(len(tokens) + 1, np.int64)
+    for i, w in enumerate(part, 1):
+        step = np.minimum(row[1:] + 1, row[:-1] + (tokens != w))
+        row = np.minimum.accumulate(np.r_[i, step] - place) + place
+    return int(row.min())
+
+
+def spared(n: int, overlap: float) -> int:
+    """Word edits that a part of ``n`` words may have."""
+    return max(int(n >= 3), math.floor((1 - overlap) * n + 1e-9))
+
+
 class Index:
     """Items of one length class, with normalised BM25 weights."""
 
@@ -116,6 +136,7 @@ class Index:
         self.row_max = np.fromiter((x for r in rows for x in r.values()), np.float64)
         number = self.vocabulary
         cut = [parts(len(t), settings.answer_share) for _, t in items]
+        self.parts = [(np.array([number[w] for w in t[:c]], np.int64), np.array([number[w] for w in t[c:]], np.int64)) for c, (_, t) in zip(cut, items, strict=True)]
         self.question = [shingle_set([number[w] for w in t[:c]], settings.shingle) for c, (_, t) in zip(cut, items, strict=True)]
         self.answer = [shingle_set([number[w] for w in t[c:]], settings.shingle) for c, (_, t) in zip(cut, items, strict=True)]
 
@@ -166,6 +187,21 @@ class Index:
             return 1.0
         return len(part & shingle_set(tokens, len(next(iter(part))))) / len(part)
 
+    def verify(self, item: int, tokens: list[int]) -> tuple[float, float] | None:
+        """Overlaps of question and answer with a passage that holds them both, else None."""
+        out = []
+        for part, exact in zip(self.parts[item], (self.question[item], self.answer[item]), strict=True):
+            share = self._found(exact, tokens)
+            if share < self.settings.overlap:
+                if not self.settings.edits:
+                    return None
+                d = word_edits(part, np.array(tokens, np.int64))
+                if d > spared(len(part), self.settings.overlap):
+                    return None
+                share = max(share, 1 - d / len(part))
+            out.append(share)
+        return out[0], out[1]
+
     def search(self, ids: np.ndarray, owner: np.ndarray) -> list[tuple[int, int, float, float, float]]:
         """(document, item, score, question overlap, answer overlap) over the words of a batch of
         documents: ``ids`` are term numbers or -1, ``owner`` the documents in order."""
@@ -196,10 +232,10 @@ class Index:
                 doc = int(np.searchsorted(first, w, "right")) - 1
                 start = int(starts[doc]) + (w - int(first[doc])) * self.stride
                 tokens = ids[start : min(start + self.size, int(starts[doc] + lengths[doc]))].tolist()
-                q, a = (self._found(part[item], tokens) for part in (self.question, self.answer))
-                if q >= self.settings.overlap and a >= self.settings.overlap:
+                found = self.verify(item, tokens)
+                if found:
                     key = (int(owner[starts[doc]]), item)
-                    best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (score, q, a))
+                    best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (score, *found))
         return [(d, i, *x) for (d, i), x in best.items()]
 
 

@@ -289,6 +289,24 @@ def test_decontamination_equals_brute_force(spark, docs):
     assert decontamination.contaminated(df, bench.limit(0)).count() == 0
 
 
+def test_items_with_one_changed_word_are_found():
+    r = random.Random(16)
+    words = [f"w{k}" for k in range(800)]
+    items = [(k, " ".join(r.choice(words) for _ in range(n))) for k, n in enumerate([*range(9, 64, 6), 90])]
+    indexes = decontamination.build(items, decontamination.Settings(edits=True))
+    for k, text in items:
+        texts = []
+        for at in range(len(text.split())):
+            for new in (["changed"], [], [text.split()[at], "more"]):
+                w, around = text.split(), [r.choice(words) for _ in range(60)]
+                w[at : at + 1] = new
+                texts.append(" ".join(around[:30] + w + around[30:]))
+        assert all([f["item_id"] for f in found] == [k] for found in decontamination.scan(texts, indexes)), k
+    # the question alone, or with another answer, is no find
+    other = [" ".join(t.split()[: decontamination.parts(len(t.split()), 0.25)] + [f"x{i}" for i in range(30)]) for _, t in items]
+    assert not any(decontamination.scan(other, indexes))
+
+
 def test_packing_keeps_every_byte_and_every_conflict(docs, rows, empty):
     got = packing.pack(docs, capacity=512).collect()
     size = Counter()
