@@ -15,12 +15,16 @@ the training documents (their language); that of a scored document is never read
 the code length, reported as log10 probability and as bits per byte of the text.
 
 How it is spread. Documents are dealt into blocks by hash. A block sends its distinct words
-with their training counts by ranges of the word hash, each word once however frequent, so
-no hot word gathers. Ranges add up counts, from which both the unigram baseline and the
-context tables come; tables have a fixed number of slots, are summed by page, and reach the
-driver at ``2 * 8 * sum(slots)`` bytes at most, whatever the input. The mixing weights alone
-are fitted on a bounded sample (``sample_docs`` training documents, whose own counts are
-taken out of the tables for that). Each distinct word is then scored once in its range.
+with their training counts by ranges of the alphabet, cut at words of a sample so that ranges
+are even; each word goes once however frequent, so no hot word gathers. Words with a common
+prefix lie in one range, which counts its prefixes exactly; only prefixes of the cuts
+themselves span ranges, and their counts are added up in the driver (``Shared``). The
+contexts of one to four bytes are counted in hashed tables, whose slots are at least
+``spare`` times the measured number of contexts (``slots`` at least). They are summed by page
+and reach the driver at two bytes a slot. The mixing weights are learnt on all training words
+of all ranges, in rounds after which the ranges' weights are averaged; a word meets counts
+without one occurrence of its own, so that a word seen once is new. Each distinct word is then
+scored once in its range.
 
 Words are identified by 64-bit hashes in the exchanges.
 
@@ -34,6 +38,7 @@ from __future__ import annotations
 
 import math
 import pickle
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -55,16 +60,22 @@ P1, P2, P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.ui
 
 @dataclass(frozen=True)
 class Settings:
-    #: log2 of the slots of each context: orders 1 to 4, then the whole prefix.
-    slots: tuple[int, ...] = (16, 20, 20, 21, 22)
+    #: Least log2 of the slots of orders 1 to 4, and the least slots a measured context.
+    slots: tuple[int, ...] = (16, 20, 20, 21)
+    spare: int = 4
+    #: One in so many contexts is looked at to measure their number.
+    measure: int = 64
     block_bytes: int = 3 << 20
     range_bytes: int = 8 << 20
     pages: int = 16
-    sample_docs: int = 400
-    #: Words seen less often are not entered under the whole prefix; the other contexts hold all.
-    prefix_least: int = 2
+    #: Documents a range, of which the cuts between ranges are taken (and their characters).
+    cut_docs: int = 8
+    cut_chars: int = 2000
     rate: float = 0.15
-    epochs: int = 6
+    rounds: int = 3
+    #: Passes of a task over its words in a round, fewer if that makes more steps than ``steps``.
+    epochs: int = 4
+    steps: int = 200
     shares: tuple[float, ...] = (0.0, 0.03, 0.1, 0.3, 0.6, 0.9)
     #: Themes at most, the last of which stands for all other values.
     themes: int = 5
@@ -100,64 +111,146 @@ class Words:
             live = live[: int(np.searchsorted(-ordered, -j, "left"))]
         self.contexts.append(prefix * P1)
 
-    def bits(self, slots: tuple[int, ...]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-        """For each of the eight bits: its values, and the slot in each context's table."""
+    def bits(self, slots: tuple[int, ...]) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray]]:
+        """For each of the eight bits: its values, the slot in each order's table, the node's key."""
         node = np.ones(len(self.byte), np.uint64)
         for b in range(7, -1, -1):
             bit = (self.byte >> b) & 1
             key = node * P3
-            yield bit, [((c ^ key) * P2 >> np.uint64(64 - size)).astype(np.int64) for c, size in zip(self.contexts, slots, strict=True)]
+            yield bit, [((c ^ key) * P2 >> np.uint64(64 - size)).astype(np.int64) for c, size in zip(self.contexts, slots, strict=False)], key
             node = node * np.uint64(2) + bit
 
+    def agree(self, other: bytes) -> np.ndarray:
+        """Whether the bytes before each place are those that ``other`` begins with."""
+        out = np.zeros(len(self.byte), bool)
+        live = np.arange(len(self.start))
+        for j in range(len(other) + 1):
+            out[self.start[live] + j] = True
+            if j < len(other):
+                live = live[self.byte[self.start[live] + j] == other[j]]
+                live = live[self.lengths[live] > j + 1]
+        return out
+
+    def prefix_counts(self, weight: np.ndarray) -> np.ndarray:
+        """Counts of bit 0 and 1 after the whole prefix of each bit, [8, bytes, 2]; the words are
+        in order and counted with ``weight``."""
+        out = np.zeros((8, len(self.byte), 2), np.float32)
+        # a word that shares no further prefix meets its own count
+        own = np.repeat(weight, self.lengths)
+        for b in range(8):
+            out[b, np.arange(len(self.byte)), (self.byte >> (7 - b)) & 1] = own
+        live, group, j = np.arange(len(self.start)), np.zeros(len(self.start), np.int64), 0
+        while len(live):
+            at = self.start[live] + j
+            for b in range(8):
+                bit = ((self.byte[at] >> (7 - b)) & 1).astype(np.int64)
+                n1 = np.bincount(group, weight[live] * bit)
+                n = np.bincount(group, weight[live])
+                out[b, at, 0], out[b, at, 1] = (n - n1)[group], n1[group]
+                finer = group * 2 + bit
+                group = np.cumsum(np.r_[0, finer[1:] != finer[:-1]])
+            stay = (np.bincount(group)[group] > 1) & (self.lengths[live] > j + 1)
+            live, group, j = live[stay], group[stay], j + 1
+            group = np.cumsum(np.r_[0, group[1:] != group[:-1]]) if len(live) else group
+        return out
+
 
 def count_bits(words: list[bytes], counts: np.ndarray, settings: Settings, tables: list[np.ndarray], chunk: int = 40_000) -> None:
     """Add the words' bits to the tables, where 2 * slot + bit holds a count."""
+    slots = tuple(len(t).bit_length() - 2 for t in tables)
     for i in range(0, len(words), chunk):
         w, n = Words(words[i : i + chunk]), counts[i : i + chunk]
         weight = np.repeat(n, w.lengths).astype(tables[0].dtype)
-        often = np.repeat(n >= settings.prefix_least, w.lengths)
-        for bit, places in w.bits(settings.slots):
-            for k, (table, at) in enumerate(zip(tables, places, strict=True)):
-                if k == 4:
-                    np.add.at(table, at[often] * 2 + bit[often], weight[often])
-                else:
-                    np.add.at(table, at * 2 + bit, weight)
+        for bit, places, _ in w.bits(slots):
+            for table, at in zip(tables, places, strict=True):
+                np.add.at(table, at * 2 + bit, weight)
 
 
 def empty_tables(settings: Settings) -> list[np.ndarray]:
     return [np.zeros(2 << s, np.float32) for s in settings.slots]
 
 
+#: Counts in a byte: exact up to 64, then eight steps an octave.
+COUNT = np.r_[np.arange(64), 64 * np.exp2(np.arange(192) / 8)]
+
+
+def encode(n: np.ndarray) -> np.ndarray:
+    return np.where(n < 64, np.round(n), np.minimum(255, 64 + np.round(8 * np.log2(np.maximum(n, 64) / 64)))).astype(np.uint8)
+
+
+class Shared:
+    """Exact counts of the bits after prefixes that more than one range has."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray):
+        self.keys, where = np.unique(keys, return_inverse=True)
+        self.n = np.stack([np.bincount(where, n[:, k], len(self.keys)) for k in (0, 1)], axis=1)
+
+    @staticmethod
+    def of(words: Words, weight: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and counts of the words' bits at the places ``inside``."""
+        own, keys, n = np.repeat(weight, words.lengths)[inside].astype(np.float64), [], []
+        for bit, _, key in words.bits(()):
+            found, where = np.unique((words.contexts[4][inside] ^ key[inside]) * P2, return_inverse=True)
+            keys.append(found)
+            n.append(np.stack([np.bincount(where, own * (bit[inside] == k), len(found)) for k in (0, 1)], axis=1))
+        return np.concatenate(keys), np.concatenate(n)
+
+    def fill(self, words: Words, inside: np.ndarray, counts: np.ndarray) -> None:
+        """Put the counts over all ranges in the place of the range's own."""
+        at = np.flatnonzero(inside)
+        for b, (_, _, key) in enumerate(words.bits(()) if len(self.keys) else ()):
+            want = (words.contexts[4][at] ^ key[at]) * P2
+            k = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
+            known = self.keys[k] == want
+            counts[b, at[known]] = self.n[k[known]]
+
+
+def stretch(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    return np.clip(np.log((n1 + 0.02) / (n0 + 0.02)), -12, 12)
+
+
+def seen(n: np.ndarray) -> np.ndarray:
+    return np.minimum(7, np.log2(1 + n)).astype(np.int64)
+
+
 class Model:
-    """Stretched predictions and confidences of all slots, and the mixing weights."""
+    """Coded counts of all slots (two bytes each: of bit 0 and of bit 1), and the mixing weights."""
 
     def __init__(self, tables: list[np.ndarray], settings: Settings):
-        self.settings, self.stretch, self.seen = settings, [], []
-        for t in tables:
-            n0, n1 = np.maximum(t[0::2], 0), np.maximum(t[1::2], 0)
-            self.stretch.append(np.clip(np.log((n1 + 0.02) / (n0 + 0.02)), -12, 12).astype(np.float16))
-            self.seen.append(np.minimum(7, np.log2(1 + n0 + n1)).astype(np.uint8))
-        self.weights = np.zeros((8 * GATES, len(tables) + 1), np.float32)
-        self.weights[:, : len(tables)] = 0.25
-
-    def inputs(self, words: Words) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each bit: its values, the mixer's inputs, the weight set in charge."""
-        for b, (bit, places) in enumerate(words.bits(self.settings.slots)):
-            x = np.empty((len(bit), len(places) + 1), np.float32)
+        """``tables`` hold counts, or their codes."""
+        self.settings = settings
+        self.codes = [(t if t.dtype == np.uint8 else encode(t)).view("<u2") for t in tables]
+        self.slots = tuple(len(c).bit_length() - 1 for c in self.codes)
+        self.weights = np.zeros((8 * GATES, len(tables) + 2), np.float32)
+        self.weights[:, : len(tables) + 1] = 0.25
+        # what a code says: as it is, and without an occurrence of a 0 or a 1
+        n0, n1 = np.tile(COUNT, 256), np.repeat(COUNT, 256)
+        cases = [(n0, n1), (np.maximum(n0 - 1, 0), n1), (n0, np.maximum(n1 - 1, 0))]
+        self.look = np.stack([stretch(a, b) for a, b in cases]).astype(np.float32).ravel()
+        self.look_seen = np.stack([seen(a + b) for a, b in cases]).ravel()
+
+    def inputs(self, words: Words, prefix: np.ndarray | None = None, leave: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each bit: its values, the mixer's inputs, the weight set in charge. ``prefix`` are
+        the counts after whole prefixes; with ``leave`` one occurrence of each word is left out."""
+        for b, (bit, places, _) in enumerate(words.bits(self.slots)):
+            x = np.empty((len(bit), len(places) + 2), np.float32)
+            case = (1 + bit.astype(np.int64)) * 65536 if leave else 0
             for k, at in enumerate(places):
-                x[:, k] = self.stretch[k][at]
+                code = self.codes[k][at] + case
+                x[:, k] = self.look[code]
+            n = np.zeros((len(bit), 2)) if prefix is None else prefix[b].astype(np.float64)
+            if leave:
+                n[np.arange(len(bit)), bit] = np.maximum(n[np.arange(len(bit)), bit] - 1, 0)
+            x[:, -2] = stretch(n[:, 0], n[:, 1])
             x[:, -1] = 0.3
-            gate = b * GATES + (self.seen[3][places[3]] >> 1).astype(np.int64) * 8 + self.seen[4][places[4]]
-            yield bit, x, gate
+            yield bit, x, b * GATES + (self.look_seen[code] >> 1) * 8 + seen(n.sum(1))
 
-    def learn(self, words: list[bytes], counts: np.ndarray, batch: int = 4096) -> None:
-        """Online gradient steps over the words, each as often as it counts."""
+    def learn(self, w: Words, prefix: np.ndarray, counts: np.ndarray, rate: float, passes: int, batch: int = 4096) -> np.ndarray:
+        """Gradient steps over the words, each as often as it counts; what each weight set has met."""
         rng = np.random.default_rng(7)
-        w = Words(words)
         weight = np.repeat(counts, w.lengths).astype(np.float32)
-        data = [(bit.astype(np.float32), x, gate) for bit, x, gate in self.inputs(w)]
-        for epoch in range(self.settings.epochs):
-            rate = self.settings.rate / (1 + epoch)
+        data = [(bit.astype(np.float32), x, gate) for bit, x, gate in self.inputs(w, prefix, leave=True)]
+        for _ in range(passes):
             for rows in np.array_split(rng.permutation(len(weight)), max(1, len(weight) // batch)):
                 for bit, x, gate in data:
                     xs, g, n = x[rows], gate[rows], weight[rows]
@@ -166,32 +259,49 @@ class Model:
                     total = np.bincount(g, n, len(self.weights))
                     for k in range(xs.shape[1]):
                         self.weights[:, k] += rate * np.bincount(g, step[:, k], len(self.weights)) / np.maximum(total, 1) * np.minimum(1, total / 64)
+        return sum(np.bincount(gate, weight, len(self.weights)) for _, _, gate in data)
 
-    def log10(self, words: list[bytes], chunk: int = 40_000) -> np.ndarray:
+    def log10(self, w: Words, prefix: np.ndarray) -> np.ndarray:
         """log10 probability of each word, its terminator included."""
-        out = [np.zeros(0)]
-        for i in range(0, len(words), chunk):
-            w = Words(words[i : i + chunk])
-            total = np.zeros(len(w.byte))
-            for bit, x, gate in self.inputs(w):
-                z = np.clip(np.einsum("ij,ij->i", x, self.weights[gate]), -14, 14)
-                total -= np.log1p(np.exp(np.where(bit == 1, -z, z)))
-            out.append(np.add.reduceat(total, w.start) / math.log(10))
-        return np.concatenate(out)
-
-
-class Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
+        total = np.zeros(len(w.byte))
+        for bit, x, gate in self.inputs(w, prefix):
+            z = np.clip(np.einsum("ij,ij->i", x, self.weights[gate]), -14, 14)
+            total -= np.log1p(np.exp(np.where(bit == 1, -z, z)))
+        return np.add.reduceat(total, w.start) / math.log(10)
+
+
+class Lexicon:
+    """The words of a range, in order, with their counts."""
+
+    def __init__(self, words: list[bytes], total: np.ndarray, low: bytes, high: bytes | None):
+        self.words, self.total, self.all = words, total, Words(words)
+        self.inside = self.all.agree(low)
+        if high is not None:
+            self.inside |= self.all.agree(high)
+
+    def chunks(self, shared: Shared, least: int = 0, size: int = 40_000) -> Iterator[tuple[Words, np.ndarray, np.ndarray]]:
+        """Words, counts after their prefixes, counts: of the words seen ``least`` times, each
+        n-th of them in turn, so that each chunk is like the whole."""
+        prefix = self.all.prefix_counts(self.total)
+        shared.fill(self.all, self.inside, prefix)
+        for i in range(0, len(self.words), size):
+            pick = np.arange(i, min(i + size, len(self.words)))
+            if least:
+                n = -(-len(self.words) // size)
+                pick = np.arange(i // size, len(self.words), n)
+                pick = pick[self.total[pick] >= least]
+            if len(pick):
+                lengths = self.all.lengths[pick]
+                at = np.repeat(self.all.start[pick] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+                yield Words([self.words[k] for k in pick.tolist()]), prefix[:, at], self.total[pick]
 
 
 def tokens(body: bytes) -> list[bytes]:
     return body.lower().split()
 
 
-def _ranges(keys: np.ndarray, ranges: int) -> np.ndarray:
-    return (((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
+def _ranges(words: list[bytes], cuts: list[bytes]) -> np.ndarray:
+    return np.fromiter((bisect_right(cuts, w) for w in words), np.int64, len(words))
 
 
 def _pack(*parts: bytes) -> bytes:
@@ -204,7 +314,7 @@ def _unpack(blob: bytes) -> bytes:
 
 ROWS = pa.schema([("kind", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("payload", pa.binary())])
 ROWS_SQL = "kind bigint, a bigint, b bigint, payload binary"
-COUNTS, TABLE, TOTALS, SCORES, MASS, THEME = range(6)
+COUNTS, TABLE, TOTALS, SCORES, MASS, THEME, RANGE, SPAN, SAMPLE, WEIGHTS = range(10)
 #: Masses of probability are summed as whole numbers of this size.
 UNIT = 10**15
 
@@ -223,7 +333,7 @@ def _rows(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ([], [], [], []), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], schema=ROWS)
 
 
-def _vocabulary_stage(ranges: int, themes: int):
+def _vocabulary_stage(cuts: list[bytes], themes: int):
     """A block's distinct words with their training counts by theme: rows (0, range, block, payload)."""
 
     def run(docs: pa.Table) -> pa.Table:
@@ -241,12 +351,12 @@ def _vocabulary_stage(ranges: int, themes: int):
         n = np.zeros((len(names), themes), "<u4")
         for k, own in enumerate(counts):
             n[np.fromiter(map(words.__getitem__, own), np.int64, len(own)), k] = np.fromiter(own.values(), np.int64, len(own))
-        order = np.argsort(keys)
-        keys, n, names = keys[order], n[order], [names[k] for k in order.tolist()]
-        r = _ranges(keys, ranges)
-        cuts = np.r_[np.flatnonzero(np.r_[True, r[1:] != r[:-1]]), len(r)] if len(r) else np.zeros(1, np.int64)
+        r = _ranges(names, cuts)
+        order = np.lexsort((keys, r))
+        keys, n, names, r = keys[order], n[order], [names[k] for k in order.tolist()], r[order]
+        ends = np.r_[np.flatnonzero(np.r_[True, r[1:] != r[:-1]]), len(r)] if len(r) else np.zeros(1, np.int64)
         out = []
-        for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
             out.append((0, int(r[i]), block, _pack(np.array([j - i], "<u4").tobytes(), keys[i:j].tobytes(), n[i:j].T.tobytes(), b" ".join(names[i:j]))))
         return _rows(out)
 
@@ -265,17 +375,27 @@ def _read_runs(group: pa.Table, themes: int) -> tuple[list[np.ndarray], list[np.
 
 
 def _distinct(group: pa.Table, themes: int) -> tuple[list[int], np.ndarray, np.ndarray, list[bytes]]:
-    """Of a range: lengths of the blocks' runs, number of each entry's word, counts by theme, words."""
+    """Of a range: lengths of the blocks' runs, number of each entry's word, counts by theme, words in order."""
     keys, counts, words = _read_runs(group, themes)
     _, first, where = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-    flat = [w for run in words for w in run]
     total = np.stack([np.bincount(where, np.concatenate([c[k] for c in counts]), len(first)) for k in range(themes)], axis=1)
-    return [len(k) for k in keys], where, total, [flat[i] for i in first.tolist()]
+    flat = [w for run in words for w in run]
+    flat = [flat[i] for i in first.tolist()]
+    # as their bits go, with the terminator
+    order = sorted(range(len(flat)), key=[w + b" " for w in flat].__getitem__)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return [len(k) for k in keys], rank[where], total[order], [flat[k] for k in order]
+
+
+def _bounds(cuts: list[bytes], number: int) -> tuple[bytes, bytes | None]:
+    return cuts[number - 1] if number else b"", cuts[number] if number < len(cuts) else None
 
 
-def _count_stage(settings: Settings, themes: int):
-    """Rows (COUNTS, block, range, counts), (TABLE, context, page, counts of slots), (TOTALS, N, V),
-    (THEME, theme, tokens)."""
+def _range_stage(settings: Settings, cuts: list[bytes], themes: int):
+    """Rows (RANGE, range, 0, its words and what blocks ask for), (COUNTS, block, range, counts),
+    (TOTALS, N, V), (THEME, theme, tokens), (SPAN, 0, 0, counts after prefixes that other ranges
+    may have), (SAMPLE, order, 0, keys of contexts)."""
 
     def run(group: pa.Table) -> pa.Table:
         number, blocks = group.column("a")[0].as_py(), group.column("b").to_pylist()
@@ -283,53 +403,104 @@ def _count_stage(settings: Settings, themes: int):
         total = by_theme.sum(axis=1).astype(np.int64)
         out, at = [(TOTALS, int(total.sum()), int((total > 0).sum()), b"")], 0
         out += [(THEME, k, int(n), b"") for k, n in enumerate(by_theme.sum(axis=0).tolist())]
+        out.append((RANGE, number, 0, _pack(pickle.dumps((blocks, lengths, where.astype("<u4"), by_theme.astype("<u8"), b" ".join(words))))))
         for block, n in zip(blocks, lengths, strict=True):
             out.append((COUNTS, block, number, _pack(total[where[at : at + n]].astype("<u8").tobytes())))
             at += n
-        tables, known = empty_tables(settings), np.flatnonzero(total)
-        count_bits([words[k] for k in known.tolist()], total[known], settings, tables)
+        lexicon = Lexicon(words, total, *_bounds(cuts, number))
+        keys, n = Shared.of(lexicon.all, total, lexicon.inside)
+        out.append((SPAN, 0, 0, _pack(pickle.dumps((keys, n)))))
+        known = np.repeat(total > 0, lexicon.all.lengths)
+        found: list[list[np.ndarray]] = [[] for _ in settings.slots]
+        for _, _, key in lexicon.all.bits(()):
+            for k in range(len(settings.slots)):
+                x = (lexicon.all.contexts[k][known] ^ key[known]) * P2
+                found[k].append(np.unique(x[(x >> np.uint64(20)) % np.uint64(settings.measure) == 0]))
+        out += [(SAMPLE, k, 0, _pack(np.concatenate(x).tobytes())) for k, x in enumerate(found)]
+        return _rows(out)
+
+    return run
+
+
+def _each_range(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Number, blocks, lengths, where, counts by theme, words of the ranges of a task."""
+    for batch in batches:
+        for number, blob in zip(batch.column("a").to_pylist(), batch.column("payload"), strict=True):
+            *rest, words = pickle.loads(_unpack(blob.as_py()))
+            yield number, *rest, words.split(b" ")
+
+
+def _count_stage(slots: tuple[int, ...], settings: Settings):
+    """Rows (TABLE, order, page, counts of slots) of a task's ranges."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = [np.zeros(2 << s, np.float32) for s in slots]
+        for _, _, _, _, by_theme, words in _each_range(batches):
+            total = by_theme.sum(axis=1)
+            known = np.flatnonzero(total)
+            count_bits([words[k] for k in known.tolist()], total[known], settings, tables)
         for k, table in enumerate(tables):
             for page, part in enumerate(table.reshape(settings.pages, -1)):
                 used = np.flatnonzero(part)
                 if len(used):
-                    out.append((TABLE, k, page, _pack(np.diff(used, prepend=0).astype("<u4").tobytes(), part[used].astype("<f4").tobytes())))
-        return _rows(out)
+                    yield from _rows([(TABLE, k, page, _pack(np.diff(used, prepend=0).astype("<u4").tobytes(), part[used].astype("<f4").tobytes()))]).to_batches()
 
     return run
 
 
-def _page_stage(settings: Settings):
+def _learn_stage(shared, weights: np.ndarray, rate: float, settings: Settings, cuts: list[bytes]):
+    """A row (WEIGHTS, 0, 0, sum of the weights learnt on a task's ranges, by what each set has met)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, spans = pickle.loads(shared.value)
+        total, met = np.zeros(weights.shape), np.zeros(len(weights))
+        for number, _, _, _, by_theme, words in _each_range(batches):
+            lexicon = Lexicon(words, by_theme.sum(axis=1).astype(np.int64), *_bounds(cuts, number))
+            passes = max(1, min(settings.epochs, settings.steps * 4096 // max(1, len(lexicon.all.byte))))
+            # ranges are unlike each other, so each starts afresh and none has the last word
+            model.weights, own = weights.copy(), np.zeros(len(weights))
+            for w, prefix, n in lexicon.chunks(spans, 1):
+                own += model.learn(w, prefix, n, rate, passes)
+            total, met = total + model.weights * own[:, None], met + own
+        yield from _rows([(WEIGHTS, 0, 0, pickle.dumps((total, met)))]).to_batches()
+
+    return run
+
+
+def _page_stage(slots: tuple[int, ...], settings: Settings):
     def run(group: pa.Table) -> pa.Table:
         k, page = group.column("a")[0].as_py(), group.column("b")[0].as_py()
-        total = np.zeros((2 << settings.slots[k]) // settings.pages)
+        total = np.zeros((2 << slots[k]) // settings.pages)
         for blob in group.column("payload"):
             data = _unpack(blob.as_py())
             n = len(data) // 8
             total[np.cumsum(np.frombuffer(data, "<u4", n), dtype=np.int64)] += np.frombuffer(data, "<f4", n, 4 * n)
-        return _rows([(TABLE, k, page, _pack(total.astype("<f4").tobytes()))])
+        return _rows([(TABLE, k, page, _pack(encode(total).tobytes()))])
 
     return run
 
 
-def _score_stage(shared, settings: Settings, prior: np.ndarray):
+def _score_stage(shared, weights: np.ndarray, settings: Settings, cuts: list[bytes], prior: np.ndarray):
     """Rows (SCORES, block, range, log10 probabilities and theme steps): each word of a range is
     scored once; and (MASS, theme, whole number) with the range's probability under each theme,
     before normalisation, and under none (-1)."""
 
-    def run(group: pa.Table) -> pa.Table:
-        number, blocks = group.column("a")[0].as_py(), group.column("b").to_pylist()
-        lengths, where, by_theme, words = _distinct(group, len(prior))
-        total = by_theme.sum(axis=1)
-        score = pickle.loads(shared.value).log10(words).astype("<f4")
-        steps = theme_steps(by_theme, total, prior, settings.theme_prior)
-        p = np.power(10.0, score.astype(np.float64)) * (total > 0)
-        mass = (p[:, None] * theme_share(steps)).sum(axis=0)
-        out, at = [(MASS, k, int(UNIT * m), b"") for k, m in [(-1, p.sum()), *enumerate(mass.tolist())]], 0
-        for block, n in zip(blocks, lengths, strict=True):
-            own = where[at : at + n]
-            out.append((SCORES, block, number, _pack(np.array([n], "<u4").tobytes(), score[own].tobytes(), steps[own].tobytes())))
-            at += n
-        return _rows(out)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, spans = pickle.loads(shared.value)
+        model.weights = weights
+        for number, blocks, lengths, where, by_theme, words in _each_range(batches):
+            total = by_theme.sum(axis=1)
+            lexicon = Lexicon(words, total.astype(np.int64), *_bounds(cuts, number))
+            score = np.concatenate([model.log10(w, prefix) for w, prefix, _ in lexicon.chunks(spans)]).astype("<f4")
+            steps = theme_steps(by_theme, total, prior, settings.theme_prior)
+            p = np.power(10.0, score.astype(np.float64)) * (total > 0)
+            mass = (p[:, None] * theme_share(steps)).sum(axis=0)
+            out, at = [(MASS, k, int(UNIT * m), b"") for k, m in [(-1, p.sum()), *enumerate(mass.tolist())]], 0
+            for block, n in zip(blocks, lengths, strict=True):
+                own = where[at : at + n]
+                out.append((SCORES, block, number, _pack(np.array([n], "<u4").tobytes(), score[own].tobytes(), steps[own].tobytes())))
+                at += n
+            yield from _rows(out).to_batches()
 
     return run
 
@@ -356,7 +527,7 @@ def mixture(static: list[np.ndarray], cache: np.ndarray, start: np.ndarray, shar
     return top + np.log10(np.power(10.0, each - top).sum(axis=0) / (len(static) * len(shares)))
 
 
-def _document_stage(settings: Settings, n_total: int, v: int, ends: int, end_score: float, end_steps: np.ndarray, norm: np.ndarray):
+def _document_stage(settings: Settings, n_total: int, v: int, ends: int, end_score: float, end_steps: np.ndarray, norm: np.ndarray, cuts: list[bytes]):
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"]
         kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64()]
@@ -369,14 +540,16 @@ def _document_stage(settings: Settings, n_total: int, v: int, ends: int, end_sco
             n = int(np.frombuffer(data, "<u4", 1)[0])
             score.append(np.frombuffer(data, "<f4", n, 4).astype(np.float64))
             steps.append(np.frombuffer(data, np.uint8, -1, 4 + 4 * n).reshape(n, -1))
-        cache, parts, sizes = Hashes(), [], []
+        cache, parts, sizes = {}, [], []
         for body in docs.column("body"):
             words = tokens(body.as_py())
-            parts.append(np.fromiter(map(cache.__getitem__, words), np.uint64, len(words)))
+            parts.append(np.fromiter((cache.setdefault(w, len(cache)) for w in words), np.int64, len(words)))
             sizes.append(len(body.as_py()))
         n_words = np.array([len(p) for p in parts], np.int64)
-        keys = np.sort(np.fromiter(cache.values(), np.uint64, len(cache)))
-        where = np.searchsorted(keys, np.concatenate(parts))
+        keys = np.fromiter(map(xxhash.xxh64_intdigest, cache), np.uint64, len(cache))
+        rank = np.empty(len(keys), np.int64)
+        rank[np.lexsort((keys, _ranges(list(cache), cuts)))] = np.arange(len(keys))
+        where = rank[np.concatenate(parts)]
         # every document's tokens are its words and one end, whose number is that of no word
         stop = np.cumsum(n_words + 1)
         start = stop - n_words - 1
@@ -412,19 +585,15 @@ def _document_stage(settings: Settings, n_total: int, v: int, ends: int, end_sco
     return run
 
 
-def _fit(tables: list[np.ndarray], sample: list[bytes], settings: Settings) -> Model:
-    """The model of the tables; its weights are learnt on the sample against tables without it."""
-    counts = Counter(w for body in sample for w in tokens(body))
-    counts[b""] += len(sample)
-    words, n = list(counts), np.fromiter(counts.values(), np.int64, len(counts))
-    own = empty_tables(settings)
-    count_bits(words, n, settings, own)
-    rest = Model([np.maximum(t - o, 0) for t, o in zip(tables, own, strict=True)], settings)
-    if sample:
-        rest.learn(words, n)
-    model = Model(tables, settings)
-    model.weights = rest.weights
-    return model
+def _cuts(docs: DataFrame, body, ranges: int, settings: Settings) -> list[bytes]:
+    """Words at which the alphabet is cut into ranges of about as many different words."""
+    if ranges < 2:
+        return []
+    rate = max(400, settings.cut_docs * ranges) / max(1, docs.count())
+    unit = F.pmod(F.xxhash64(body, F.lit("cut")), F.lit(1 << 30)) / float(1 << 30)
+    some = {w[:16] for r in docs.where(unit < rate).select(F.substring(body, 1, settings.cut_chars).alias("body")).toLocalIterator() for w in tokens(bytes(r["body"]))}
+    words = sorted(some)
+    return sorted({words[k * len(words) // ranges] for k in range(1, ranges)}) if words else []
 
 
 def score(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text", theme: str | None = None) -> DataFrame:
@@ -442,27 +611,43 @@ def score(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_i
     for k, value in enumerate(values):
         number = F.when(F.col(theme) == value, k).otherwise(number)
     rows = docs.select(id_.cast("long").alias("doc_id"), body.alias("body"), train.alias("train"), F.when(train, number).otherwise(-1).alias("theme"), F.pmod(F.xxhash64(id_, body), F.lit(blocks)).alias("block"))
-    runs = staged(rows.select("body", "theme", "block").groupBy("block").applyInArrow(_vocabulary_stage(ranges, themes), ROWS_SQL), "words", parts)
-    counted = staged(runs.groupBy("a").applyInArrow(_count_stage(settings, themes), ROWS_SQL), "counts", parts)
-    totals = counted.where(F.col("kind") == TOTALS).agg(F.sum("a").alias("n"), F.sum("b").alias("v")).first()
-    sizes = {r["a"]: r["n"] for r in counted.where(F.col("kind") == THEME).groupBy("a").agg(F.sum("b").alias("n")).collect()}
+    cuts = _cuts(docs, body, ranges, settings)
+    runs = staged(rows.select("body", "theme", "block").groupBy("block").applyInArrow(_vocabulary_stage(cuts, themes), ROWS_SQL), "words", parts)
+    merged = staged(runs.groupBy("a").applyInArrow(_range_stage(settings, cuts, themes), ROWS_SQL), "ranges", parts)
+    of = lambda kind: merged.where(F.col("kind") == kind)
+    totals = of(TOTALS).agg(F.sum("a").alias("n"), F.sum("b").alias("v")).first()
+    sizes = {r["a"]: r["n"] for r in of(THEME).groupBy("a").agg(F.sum("b").alias("n")).collect()}
     prior = np.array([sizes.get(k, 0) for k in range(themes)], np.float64) + 1
     prior /= prior.sum()
     ends = docs.where(train).count()
     n_total, v = (totals["n"] or 0) + ends, (totals["v"] or 0) + (ends > 0)
-    tables = empty_tables(settings)
-    for r in counted.where(F.col("kind") == TABLE).groupBy("a", "b").applyInArrow(_page_stage(settings), ROWS_SQL).toLocalIterator():
-        tables[r["a"]].reshape(settings.pages, -1)[r["b"]] = np.frombuffer(_unpack(bytes(r["payload"])), "<f4")
-    count_bits([b""], np.array([ends]), settings, tables)
-    unit = F.pmod(F.xxhash64(id_.cast("string"), F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
-    chosen = docs.where(train & (unit < settings.sample_docs / max(1, ends))).select(body.alias("body"))
-    model = _fit(tables, [bytes(r["body"]) for r in chosen.toLocalIterator()], settings)
-    shared = spark.sparkContext.broadcast(cloudpickle.dumps(model))
-    scored = staged(runs.groupBy("a").applyInArrow(_score_stage(shared, settings, prior), ROWS_SQL), "scores", parts)
+    end = Words([b""])
+    spans = [Shared.of(end, np.array([ends]), np.ones(1, bool))] + [pickle.loads(_unpack(bytes(r["payload"]))) for r in of(SPAN).toLocalIterator()]
+    spans = Shared(np.concatenate([k for k, _ in spans]), np.concatenate([n for _, n in spans]))
+    found = [np.zeros(0, np.uint64) for _ in settings.slots]
+    for r in of(SAMPLE).toLocalIterator():
+        found[r["a"]] = np.union1d(found[r["a"]], np.frombuffer(_unpack(bytes(r["payload"])), "<u8"))
+    slots = tuple(max(s, math.ceil(math.log2(max(1, settings.spare * settings.measure * len(x))))) for s, x in zip(settings.slots, found, strict=True))
+    tables = [np.zeros(2 << s, np.uint8) for s in slots]
+    for r in of(RANGE).mapInArrow(_count_stage(slots, settings), ROWS_SQL).groupBy("a", "b").applyInArrow(_page_stage(slots, settings), ROWS_SQL).toLocalIterator():
+        tables[r["a"]].reshape(settings.pages, -1)[r["b"]] = np.frombuffer(_unpack(bytes(r["payload"])), np.uint8)
+    for bit, places, _ in end.bits(slots):
+        for table, at in zip(tables, places, strict=True):
+            k = at * 2 + bit
+            table[k] = encode(COUNT[table[k]] + ends)
+    model = Model(tables, settings)
+    shared = spark.sparkContext.broadcast(cloudpickle.dumps((model, spans)))
+    for k in range(settings.rounds):
+        learnt = [pickle.loads(bytes(r["payload"])) for r in of(RANGE).mapInArrow(_learn_stage(shared, model.weights, settings.rate / (1 + k), settings, cuts), ROWS_SQL).toLocalIterator()]
+        met = sum((m for _, m in learnt), np.zeros(len(model.weights)))[:, None]
+        model.weights = np.where(met > 0, sum((w for w, _ in learnt), 0.0) / np.maximum(met, 1), model.weights).astype(np.float32)
+    scored = staged(of(RANGE).mapInArrow(_score_stage(shared, model.weights, settings, cuts, prior), ROWS_SQL), "scores", parts)
     # words never seen and the end have the themes' own shares; with them each theme's mass is whole
-    end_score = float(model.log10([b""])[0])
+    prefix = end.prefix_counts(np.zeros(1))
+    spans.fill(end, np.ones(1, bool), prefix)
+    end_score = float(model.log10(end, prefix)[0])
     steps = theme_steps(np.zeros(themes), np.zeros(()), prior, settings.theme_prior)
     mass = {r["a"]: r["m"] / UNIT for r in scored.where(F.col("kind") == MASS).groupBy("a").agg(F.sum("b").alias("m")).collect()}
     norm = np.array([mass.get(k, 0.0) for k in range(themes)]) + (1 - mass.get(-1, 0.0)) * theme_share(steps)
-    replies = counted.where(F.col("kind") == COUNTS).unionByName(scored.where(F.col("kind") == SCORES))
-    return rows.select("doc_id", "body", "train", "block").groupBy("block").cogroup(replies.groupBy("a")).applyInArrow(_document_stage(settings, n_total, v, ends, end_score, steps, norm), RESULT)
+    replies = of(COUNTS).unionByName(scored.where(F.col("kind") == SCORES))
+    return rows.select("doc_id", "body", "train", "block").groupBy("block").cogroup(replies.groupBy("a")).applyInArrow(_document_stage(settings, n_total, v, ends, end_score, steps, norm, cuts), RESULT)

@@ -5,6 +5,7 @@ import hashlib
 import io
 import itertools
 import math
+import pickle
 import random
 import re
 import zlib
@@ -234,6 +235,30 @@ def test_lm_learns(spark):
     assert got < 2.5
 
 
+def test_lm_prefixes_are_counted_exactly_whatever_the_cuts():
+    r = random.Random(21)
+    words = sorted({"".join(r.choice("abé") for _ in range(r.randint(1, 7))).encode() for _ in range(400)}, key=lambda w: w + b" ")
+    total = np.array([r.choice([0, 1, 1, 2, 9]) for _ in words])
+    brute = Counter()
+    for w, n in zip(words, total.tolist(), strict=True):
+        bits = "".join(f"{b:08b}" for b in w + b" ")
+        brute.update({bits[: k + 1]: n for k in range(len(bits))})
+    for cuts in ([], [b"ab", b"abba", "aé".encode(), b"b"]):
+        of = lm_scoring._ranges(words, cuts)
+        ranges = [lm_scoring.Lexicon([w for w, k in zip(words, of, strict=True) if k == i], total[of == i], *lm_scoring._bounds(cuts, i)) for i in range(len(cuts) + 1)]
+        parts = [lm_scoring.Shared.of(x.all, x.total, x.inside) for x in ranges]
+        shared = lm_scoring.Shared(np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts]))
+        for x in ranges:
+            for w, prefix, n in x.chunks(shared):
+                at = 0
+                for i in range(len(n)):
+                    word = x.words[i]
+                    bits = "".join(f"{b:08b}" for b in word + b" ")
+                    for k in range(len(bits)):
+                        assert prefix[k % 8, at + k // 8].tolist() == [brute[bits[:k] + "0"], brute[bits[:k] + "1"]], (cuts, word, k)
+                    at += len(word) + 1
+
+
 def test_language_identification(spark, docs, empty):
     r = random.Random(4)
     words = {k: ["".join(r.choice(a) for _ in range(r.randint(2, 8))) for _ in range(80)] for k, a in (("aa", "abcdeg"), ("bb", "klmnou"))}
