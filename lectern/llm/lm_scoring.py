@@ -72,7 +72,7 @@ class Settings:
     cut_docs: int = 8
     cut_chars: int = 2000
     rate: float = 0.15
-    rounds: int = 3
+    rounds: int = 2
     #: Passes of a task over its words in a round, fewer if that makes more steps than ``steps``.
     epochs: int = 4
     steps: int = 200
@@ -638,7 +638,7 @@ def score(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_i
     model = Model(tables, settings)
     shared = spark.sparkContext.broadcast(cloudpickle.dumps((model, spans)))
     for k in range(settings.rounds):
-        learnt = [pickle.loads(bytes(r["payload"])) for r in of(RANGE).mapInArrow(_learn_stage(shared, model.weights, settings.rate / (1 + k), settings, cuts), ROWS_SQL).toLocalIterator()]
+        learnt = [pickle.loads(bytes(r["payload"])) for r in of(RANGE).mapInArrow(_learn_stage(shared, model.weights, settings.rate / (1 + k), settings, cuts), ROWS_SQL).collect()]
         met = sum((m for _, m in learnt), np.zeros(len(model.weights)))[:, None]
         model.weights = np.where(met > 0, sum((w for w, _ in learnt), 0.0) / np.maximum(met, 1), model.weights).astype(np.float32)
     scored = staged(of(RANGE).mapInArrow(_score_stage(shared, model.weights, settings, cuts, prior), ROWS_SQL), "scores", parts)

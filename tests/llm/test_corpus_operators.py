@@ -259,6 +259,26 @@ def test_lm_prefixes_are_counted_exactly_whatever_the_cuts():
                     at += len(word) + 1
 
 
+def test_lm_weights_are_learnt_from_every_training_word(spark, monkeypatch):
+    r = random.Random(22)
+    rows = [(i, " ".join("".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(8))) for i in range(900)]
+    seen, read = [], pickle.loads
+    monkeypatch.setattr(lm_scoring.pickle, "loads", lambda data: (lambda x: (seen.append(x), x)[1])(read(data)))
+    lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), lm_scoring.Settings(rounds=1))
+    met = sum(x[1].sum() for x in seen if isinstance(x, tuple) and len(x) == 2 and getattr(x[0], "ndim", 0) == 2 and x[1].ndim == 1)
+    train = [t for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    assert len(train) > 600 and met == sum(8 * (len(w) + 1) for t in train for w in t.split())
+
+
+def test_lm_leaves_a_words_own_occurrence_out():
+    words, n = [b"abc", b"xyz"], np.array([1, 5])
+    tables = lm_scoring.empty_tables(lm_scoring.Settings())
+    lm_scoring.count_bits(words, n, lm_scoring.Settings(), tables)
+    model, w = lm_scoring.Model(tables, lm_scoring.Settings()), lm_scoring.Words(words)
+    (_, x, _), *_ = model.inputs(w, w.prefix_counts(n), leave=True)
+    assert (x[1:4, :-1][:, 1:] == 0).all() and (x[5:8, 1:-1] != 0).all()
+
+
 def test_language_identification(spark, docs, empty):
     r = random.Random(4)
     words = {k: ["".join(r.choice(a) for _ in range(r.randint(2, 8))) for _ in range(80)] for k, a in (("aa", "abcdeg"), ("bb", "klmnou"))}
