@@ -17,11 +17,14 @@ SPACE = " \t\n\x0b\x0c\r"
 def scratch_dir(spark: SparkSession) -> str:
     """The folder shared by all executors, named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (as in tests on one machine) is one made and set.
+    Only where the session names none and all its executors are on this machine (as in tests)
+    is one made and set; a cluster must name one.
     """
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lectern-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -6,18 +6,20 @@ duplicate clusters they hold. For each piece, longest first, the successor searc
 the smallest residual that fits and moves on until a bin shares neither source nor cluster:
 the tightest compatible bin. If there is none, a new bin is opened.
 
-The table is dealt by a hash of the document into groups of about ``group_rows`` pieces,
-which are packed independently, so a hot source or a group of copies is spread evenly and
-no task holds more than its groups. Only ids, lengths and keys travel, never texts.
+The table is dealt by a hash of the piece, its source and its cluster into groups of about
+``group_rows`` pieces, which are packed independently, so a hot source or a group of copies is
+spread evenly and no task holds more than its groups. The pieces are counted, so the same rows
+make the same bins however they are stored. Only ids, lengths and keys travel, never texts.
 
 Defined cases. Null or empty text: a piece of length 0 that takes a place like any other.
 Null source: conflicts with nothing. Null cluster: likewise. A document longer than a bin is
-cut into full bins and one remainder, none of it dropped. Repeated rows are separate pieces.
-Equal lengths are taken by id. Empty table: empty result. Other columns are ignored.
+cut into full bins and one remainder, none of it dropped. Repeated rows are separate pieces
+(equal in all that is dealt by, they share a group). Equal lengths are taken by id. Empty table: empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left, insort
 from collections.abc import Iterable
 
@@ -25,8 +27,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import plan_bytes
-
 SCHEMA = "doc_id bigint, piece bigint, bin_group bigint, bin bigint, offset bigint, n_bytes bigint, n_docs bigint"
 
 
@@ -75,13 +75,13 @@ def _pack_group(rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
     return out[["doc_id", "piece", "bin_group", "bin", "offset", "n_bytes", "n_docs"]]
 
 
-def pack(docs: DataFrame, capacity: int = 8192, group_rows: int = 4096, row_bytes: int = 2048, doc_id: str = "doc_id", text: str = "text", source: str = "source", cluster: Column | None = None) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 8192, group_rows: int = 4096, doc_id: str = "doc_id", text: str = "text", source: str = "source", cluster: Column | None = None) -> DataFrame:
     """Pack the documents; ``cluster`` defaults to the digest of the text without case and
-    white space, so that copies never share a bin. ``row_bytes`` is the assumed stored size
-    of a row, from which the number of groups follows."""
+    white space, so that copies never share a bin."""
     plain = F.lower(F.regexp_replace(F.col(text), r"[ \t-\r]+", ""))
-    groups = max(1, round(plan_bytes(docs) / (group_rows * row_bytes / 2)))
     size = F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long")
+    count = docs.agg(F.sum(F.greatest(F.lit(1).cast("long"), F.ceil(size / capacity)))).first()[0] or 0
+    groups = max(1, math.ceil(count / group_rows))
     rows = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"),
         F.col(source).cast("string").alias("source"),
@@ -92,8 +92,6 @@ def pack(docs: DataFrame, capacity: int = 8192, group_rows: int = 4096, row_byte
     pieces = rows.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), last))).select(
         "doc_id", "source", "cluster", "piece",
         F.least(F.lit(capacity).cast("long"), F.col("size") - F.col("piece") * capacity).alias("n_bytes"),
-        F.pmod(F.xxhash64("doc_id", "piece", "size"), F.lit(groups)).alias("bin_group"),
+        F.pmod(F.xxhash64("doc_id", "piece", "size", "source", "cluster"), F.lit(groups)).alias("bin_group"),
     )
     return pieces.groupBy("bin_group").applyInPandas(lambda pdf: _pack_group(pdf, capacity), SCHEMA)
-
-
