@@ -6,8 +6,9 @@ ranges that still hold too many rows are subdivided by further splitters drawn i
 Exact bytes and rows of each range, then a running sum inside each range, give every
 document its place in the whole order, and thereby its shard: shard k takes the documents
 whose middle byte lies in the k-th part of all bytes. A group of equal texts goes where its first
-document goes, unless it is larger than ``whole`` of a shard's share, and then it is cut at the
-boundary. Only DataFrame functions are used.
+document goes, unless it is larger than ``whole`` of a shard's bytes or has more than
+``range_rows`` rows; then it is cut at the boundary. No splitter falls inside a group that is not
+larger: groups with a splitter inside are summed exactly first. Only DataFrame functions are used.
 
 Defined cases. Null text: size 1, crc32 of the empty text, a hash like that of the empty
 text. Null id: sorts first. Rows equal in text and id are interchangeable; all are kept. A
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import parts_for, staged
 
+FIRST = -(1 << 63)
 #: A range beyond this many times its share of rows is subdivided.
 OVERFULL = 3
 
@@ -34,10 +36,21 @@ def _draw(keys: DataFrame, chance: Column) -> list[tuple[int, int | None]]:
     """Sorted keys of the rows whose hash falls below their chance; the hash is fixed, so a
     recomputed task draws the same rows."""
     unit = F.pmod(F.xxhash64("h", "doc_id", F.lit("draw")), F.lit(1 << 40)) / float(1 << 40)
-    found = sorted({(r["h"], r["i"]) for r in keys.where(unit < chance).select("h", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("i")).collect()})
+    found = sorted({(r["h"], r["i"]) for r in keys.where(unit < chance).select("h", F.coalesce("doc_id", F.lit(FIRST)).alias("i")).collect()})
     seen = Counter(h for h, _ in found)
     # only a text drawn several times is worth a splitter inside its copies
-    return sorted({(h, i if seen[h] > 2 else -(1 << 63)) for h, i in found})
+    return sorted({(h, i if seen[h] > 2 else FIRST) for h, i in found})
+
+
+def _outside_groups(keys: DataFrame, splitters: list[tuple[int, int]], most_bytes: float, most_rows: int) -> tuple[list[tuple[int, int]], list[int]]:
+    """The splitters but for those inside a group of equal texts that may not be cut; and the
+    hashes of the groups that still have one."""
+    inside = sorted({h for h, i in splitters if i != FIRST})
+    if not inside:
+        return splitters, []
+    sums = keys.where(F.col("h").isin(inside)).groupBy("h").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()
+    large = {x["h"] for x in sums if x["b"] > most_bytes or x["n"] > most_rows}
+    return sorted({(h, i if h in large else FIRST) for h, i in splitters}), sorted(large)
 
 
 def _range_of(splitters: list[tuple[int, int]]) -> Column:
@@ -46,7 +59,7 @@ def _range_of(splitters: list[tuple[int, int]]) -> Column:
         return F.lit(0)
     step = max(1, math.isqrt(len(splitters)))
     rows = [splitters[i : i + step] for i in range(0, len(splitters), step)]
-    key = F.struct(F.col("h").alias("h"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("i"))
+    key = F.struct(F.col("h").alias("h"), F.coalesce("doc_id", F.lit(FIRST)).alias("i"))
 
     def literal(pairs: list[tuple[int, int]]) -> Column:
         return F.array(*[F.struct(F.lit(h).cast("long").alias("h"), F.lit(i).cast("long").alias("i")) for h, i in pairs])
@@ -81,6 +94,8 @@ def shard_by_size(docs: DataFrame, shards: int = 16, range_rows: int = 8192, mos
     if n > 4 * ranges:
         drawn = _draw(keys, F.col("size") * (draws * ranges / total_bytes))
         splitters = sorted({drawn[k * len(drawn) // ranges] for k in range(1, ranges)}) if len(drawn) >= ranges else drawn
+    most_bytes = whole * total_bytes / shards
+    splitters, cut = _outside_groups(keys, splitters, most_bytes, range_rows)
     most = max(OVERFULL * n / ranges, 1024)
     while True:
         ranged = keys.withColumn("r", _range_of(splitters).cast("int"))
@@ -89,9 +104,9 @@ def shard_by_size(docs: DataFrame, shards: int = 16, range_rows: int = 8192, mos
         if not over:
             break
         chance = F.create_map([v for r, k in over.items() for v in (F.lit(r), F.lit(draws * math.ceil(2 * k / most) / k))])[F.col("r")]
-        more = sorted({*splitters, *_draw(ranged.where(F.col("r").isin(*over)), chance)})
+        more, cut = _outside_groups(keys, sorted({*splitters, *_draw(ranged.where(F.col("r").isin(*over)), chance)}), most_bytes, range_rows)
         if len(more) == len(splitters):
-            break  # rows equal in text and id, which no key can part
+            break  # a group that stays whole, or rows equal in text and id, which no key can part
         splitters = more
     rows_before, bytes_before, at_n, at_b = [], [], 0, 0
     for r in range(len(splitters) + 1):
@@ -102,7 +117,7 @@ def shard_by_size(docs: DataFrame, shards: int = 16, range_rows: int = 8192, mos
     placed = ranged.withColumns({"upto": F.sum("size").over(inside), "nth": F.count("*").over(inside)})
     placed = placed.withColumns({"middle": F.get(F.array(*bytes_before), F.col("r")) + F.col("upto") - F.ceil(F.col("size") / 2), "rank": F.get(F.array(*rows_before), F.col("r")) + F.col("nth") - 1})
     group = W.partitionBy("r", "h")
-    kept = F.sum("size").over(group) <= whole * total_bytes / shards
+    kept = (F.sum("size").over(group) <= most_bytes) & (F.count("*").over(group) <= range_rows) & ~F.col("h").isin(cut)
     placed = placed.withColumn("at", F.when(kept, F.min("middle").over(group)).otherwise(F.col("middle")))
     placed = staged(placed.withColumn("shard", F.least(F.lit(shards - 1), F.floor(F.col("at") * shards / F.lit(max(1, total_bytes)))).cast("int")), "shard-places", parts_for(docs))
     first = {x["shard"]: x["first"] for x in placed.groupBy("shard").agg(F.min("rank").alias("first")).collect()}
