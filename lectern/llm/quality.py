@@ -100,17 +100,25 @@ def ledger(docs: DataFrame, policy: str = "v2", **columns: str) -> DataFrame:
     return judged.withColumns({"base_failed": F.col("failures").bitwiseAND(F.lit(mask(BASE))) != 0, "kept": F.col("failures").bitwiseAND(F.lit(mask(POLICIES[policy]) | mask(BASE))) == 0})
 
 
-def ablations(judged: DataFrame, policy: str = "v2") -> DataFrame:
-    """For each rule of a policy: documents that fail it, and those that would be kept without
-    it. Made from the counts of distinct bitmasks, at most 2 ** rules rows."""
-    all_bits = mask(POLICIES[policy])
+def verdicts(judged: DataFrame) -> DataFrame:
+    """The ledger with ``kept_<version>``, the verdict of every policy."""
+    return judged.withColumns({f"kept_{k}": F.col("failures").bitwiseAND(F.lit(mask(rules) | mask(BASE))) == 0 for k, rules in POLICIES.items()})
+
+
+def ablations(judged: DataFrame) -> DataFrame:
+    """For each rule of each policy: documents that fail it, those that fail it alone and would
+    be kept without it, and those that the policy without it keeps. The ledger's bitmasks are
+    counted once, at most 2 ** rules rows; all else is bitwise arithmetic on them."""
     seen = judged.groupBy("failures").agg(F.count("*").alias("n"))
-    rules = F.explode(F.array(*[F.struct(F.lit(name).alias("rule"), F.lit(mask((name,))).cast("long").alias("bit")) for name in POLICIES[policy]]))
-    one = seen.select("failures", "n", rules.alias("x")).select("failures", "n", "x.rule", "x.bit")
-    hit = F.col("failures").bitwiseAND(F.col("bit")) != 0
-    alone = F.col("failures").bitwiseAND(F.lit(all_bits).cast("long")) == F.col("bit")
-    total = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
-    return one.groupBy("rule").agg(total(hit).alias("failing"), total(alone).alias("regained_without"))
+    cases = [F.struct(F.lit(k).alias("policy"), F.lit(name).alias("rule"), F.lit(mask((name,))).cast("long").alias("bit"), F.lit(mask(rules)).cast("long").alias("all_bits")) for k, rules in POLICIES.items() for name in rules]
+    one = seen.select("failures", "n", F.explode(F.array(*cases)).alias("x")).select("failures", "n", "x.*")
+    caught = F.col("failures").bitwiseAND(F.col("all_bits"))
+    total = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0).cast("long"))
+    return one.groupBy("policy", "rule").agg(
+        total(caught.bitwiseAND(F.col("bit")) != 0).alias("failing"),
+        total(caught == F.col("bit")).alias("regained_without"),
+        total(caught.bitwiseAND(F.bitwise_not(F.col("bit"))) == 0).alias("kept_without"),
+    )
 
 
 ORACLE = r"""
@@ -127,10 +135,21 @@ m as (select g.doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))
              len(l)::bigint as n_lines, (length(t) - length(replace(t, '!', '')))::bigint as n_exclamations
       from g left join c using (doc_id)),
 f as (select *, ({bits})::bigint as failures from m)
-select *, (failures & 3) <> 0 as base_failed, (failures & {mask}) = 0 as kept from f
+select *, (failures & 3) <> 0 as base_failed, (failures & {mask}) = 0 as kept, {versions} from f
 """
 
 
 def oracle(policy: str = "v2") -> str:
     bits = " + ".join(f"(case when {cond} then {1 << k} else 0 end)" for k, cond in enumerate(RULES.values()))
-    return ORACLE.replace("{bits}", bits).replace("{mask}", str(mask(POLICIES[policy]) | mask(BASE)))
+    versions = ", ".join(f"(failures & {mask(rules) | mask(BASE)}) = 0 as kept_{k}" for k, rules in POLICIES.items())
+    return ORACLE.replace("{bits}", bits).replace("{mask}", str(mask(POLICIES[policy]) | mask(BASE))).replace("{versions}", versions)
+
+
+def ablations_oracle() -> str:
+    """Each policy without each of its rules, judged anew over the measurements."""
+    parts = []
+    for k, rules in POLICIES.items():
+        for name in rules:
+            rest = " or ".join(f"({RULES[x]})" for x in rules if x != name)
+            parts.append(f"select '{k}' as policy, '{name}' as rule, count(*) filter (where {RULES[name]})::bigint as failing, count(*) filter (where ({RULES[name]}) and not ({rest}))::bigint as regained_without, count(*) filter (where not ({rest}))::bigint as kept_without from j")
+    return f"with j as materialized ({oracle()}) " + " union all ".join(parts)

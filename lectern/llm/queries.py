@@ -41,7 +41,12 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.ledger(documents(spark, sf_dir))
+    return quality.verdicts(quality.ledger(documents(spark, sf_dir)))
+
+
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy does, over all documents."""
+    return quality.ablations(quality.ledger(documents(spark, sf_dir)))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,5 +82,6 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_language_id": op10_language_id,
+    "quality_ablations": quality_ablations,
 }
-ORACLE_SQL = {"op1_warc": OP1_SQL, "op6_licenses": licenses.oracle(), "op8_quality": quality.oracle()}
+ORACLE_SQL = {"op1_warc": OP1_SQL, "op6_licenses": licenses.oracle(), "op8_quality": quality.oracle(), "quality_ablations": quality.ablations_oracle()}

@@ -192,8 +192,14 @@ def test_quality_equals_brute_force(docs, rows, empty):
     got = sorted((tuple(r) for r in judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed").collect()), key=repr)
     assert got == sorted(((i, *brute_quality(t)) for i, t in rows), key=repr)
     assert not judged.where("base_failed and kept").count()
-    a = {r.rule: r for r in quality.ablations(judged).collect()}
-    assert a["few_words"].failing == judged.where("n_words < 10").count() >= a["few_words"].regained_without
+    masks = [r.failures for r in judged.collect()]
+    a = {(r.policy, r.rule): r for r in quality.ablations(judged).collect()}
+    assert len(a) == sum(map(len, quality.POLICIES.values()))
+    for (policy, rule), r in a.items():
+        bit, rest = quality.mask((rule,)), quality.mask(tuple(x for x in quality.POLICIES[policy] if x != rule))
+        assert r.failing == sum(m & bit > 0 for m in masks) and r.kept_without == sum(m & rest == 0 for m in masks)
+        assert r.regained_without == sum(m & bit > 0 and m & rest == 0 for m in masks)
+    assert all((r.failures & quality.mask(quality.POLICIES["v3"]) == 0) == r.kept_v3 for r in quality.verdicts(judged).collect())
     assert quality.ledger(empty).count() == 0
 
 
@@ -376,6 +382,16 @@ def test_packing_keeps_every_byte_and_every_conflict(docs, rows, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_bins_do_not_depend_on_the_stored_size(docs, tmp_path, spark):
+    found = []
+    for codec in ("zstd", "none"):
+        docs.write.option("compression", codec).parquet(str(tmp_path / codec))
+        got = packing.pack(spark.read.parquet(str(tmp_path / codec)), capacity=512, group_rows=16).collect()
+        assert len({r.bin_group for r in got}) > 4
+        found.append(sorted(map(repr, got)))
+    assert found[0] == found[1]
+
+
 def test_best_fit_takes_the_tightest_compatible_bin():
     r = random.Random(9)
     pieces = sorted(((r.randint(0, 100), r.choice("abcd"), r.choice([None, 1, 2, 3])) for _ in range(300)), key=lambda p: -p[0])
@@ -467,3 +483,12 @@ def test_small_groups_of_copies_share_a_shard(spark):
     assert found.groupBy("text_hash").agg(F.countDistinct("shard").alias("n")).where("n > 1").count() == 0
     sizes = [r.b for r in found.groupBy("shard").agg(F.sum("size").alias("b")).collect()]
     assert len(sizes) == 16 and max(sizes) - min(sizes) < 400
+
+
+def test_groups_under_the_limit_are_never_cut(spark):
+    """Groups of 150 copies, each below a fiftieth of a shard, with splitters drawn often."""
+    rows = spark.range(150 * 1067).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.floor(F.col("id") / 150).cast("string"), F.repeat(F.lit("z"), (F.floor(F.col("id") / 150) % 12).cast("int"))).alias("text"))
+    found = sharding.shard_by_size(rows, range_rows=512)
+    assert found.groupBy("text_hash").agg(F.countDistinct("shard").alias("n"), F.sum("size").alias("b")).where(f"n > 1 and b <= {0.02 / 16} * {found.agg(F.sum('size')).first()[0]}").count() == 0
+    sizes = [r.b for r in found.groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    assert len(sizes) == 16 and max(sizes) - min(sizes) < 3200
