@@ -14,9 +14,12 @@ most ``1 - overlap`` of its words as word edits, or one edit if it has three wor
 
 Passages have twice the words of the longest item of an index and start at every such
 length, so each occurrence of an item lies whole in one passage. Items are indexed by length
-class (64 words or a larger power of two). The items are taken in groups of at most about
-``index_bytes`` of text, each an index of its own with its own term statistics, whose
-broadcast is thereby bounded.
+class (64 words or a larger power of two). Document frequencies, item count and mean length are
+those of all items, computed once, so scores do not depend on how the items are divided. The
+items are dealt into parts of about ``index_bytes`` of text. The index of each part is a file in
+the shared folder. A small benchmark makes one part, which each task loads once; of several, a
+task holds one at a time and scans each batch with it, so what the driver and the tasks hold is
+bounded however many parts there are.
 
 Defined cases. Null or empty text, or one without words: nothing found. Items without words
 are ignored; null item ids are reported as null. A part with fewer than five words counts
@@ -29,16 +32,21 @@ from __future__ import annotations
 import math
 import pickle
 import re
+import uuid
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.llm.common import scratch_dir, staged
+
 WORD = re.compile(r"\w+")
 FOUND = T.ArrayType(T.StructType([
     T.StructField("item_id", T.LongType()),
@@ -93,13 +101,29 @@ def spared(n: int, overlap: float) -> int:
     return max(int(n >= 3), math.floor((1 - overlap) * n + 1e-9))
 
 
+@dataclass(frozen=True)
+class Statistics:
+    """Items with words, their mean length, and how many hold each term."""
+
+    n: int
+    mean: float
+    df: dict[str, int]
+
+    @classmethod
+    def of(cls, items: list[list[str]]) -> Statistics:
+        df: dict[str, int] = defaultdict(int)
+        for tokens in items:
+            for w in set(tokens):
+                df[w] += 1
+        return cls(len(items), sum(map(len, items)) / max(1, len(items)), dict(df))
+
+
 class Index:
-    """Items of one length class, with normalised BM25 weights."""
+    """Items of one length class, with normalised BM25 weights from the statistics of all items."""
 
-    def __init__(self, items: list[tuple[int | None, list[str]]], length: int, settings: Settings):
+    def __init__(self, items: list[tuple[int | None, list[str]]], length: int, settings: Settings, stats: Statistics):
         self.settings, self.stride, self.size = settings, length, 2 * length
         self.ids, self.n = [i for i, _ in items], len(items)
-        mean = sum(len(w) for _, w in items) / self.n
         tf = [defaultdict(int) for _ in items]
         for counts, (_, tokens) in zip(tf, items, strict=True):
             for w in tokens:
@@ -111,8 +135,8 @@ class Index:
         self.vocabulary = {w: k for k, w in enumerate(df)}
         postings: list[list[tuple[int, float]]] = [[] for _ in df]
         for i, counts in enumerate(tf):
-            norm = settings.k1 * (1 - settings.b + settings.b * len(items[i][1]) / mean)
-            weight = {w: math.log(1 + (self.n - df[w] + 0.5) / (df[w] + 0.5)) * f * (settings.k1 + 1) / (f + norm) for w, f in counts.items()}
+            norm = settings.k1 * (1 - settings.b + settings.b * len(items[i][1]) / stats.mean)
+            weight = {w: math.log(1 + (stats.n - stats.df[w] + 0.5) / (stats.df[w] + 0.5)) * f * (settings.k1 + 1) / (f + norm) for w, f in counts.items()}
             whole = sum(weight.values())
             for w, x in weight.items():
                 postings[self.vocabulary[w]].append((i, x / whole))
@@ -239,13 +263,16 @@ class Index:
         return [(d, i, *x) for (d, i), x in best.items()]
 
 
-def build(items: list[tuple[int | None, str | None]], settings: Settings = Settings()) -> list[Index]:
+def build(items: list[tuple[int | None, str | None]], settings: Settings = Settings(), stats: Statistics | None = None) -> list[Index]:
+    """Indexes of the items by length class; ``stats`` are those of all items (by default, of these)."""
+    if stats is None:
+        stats = Statistics.of([w for w in (words(t or "") for _, t in items) if w])
     classes: dict[int, list] = defaultdict(list)
     for i, text in sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1] or "")):
         tokens = words(text or "")
         if tokens:
             classes[max(64, 1 << (len(tokens) - 1).bit_length())].append((i, tokens))
-    return [Index(found, length, settings) for length, found in sorted(classes.items())]
+    return [Index(found, length, settings, stats) for length, found in sorted(classes.items())]
 
 
 def scan(texts: list[str | None], indexes: list[Index], batch_chars: int = 1 << 20) -> list[list[dict]]:
@@ -276,30 +303,63 @@ def scan(texts: list[str | None], indexes: list[Index], batch_chars: int = 1 <<
     return out
 
 
-def _scanner(shared):
-    """A UDF over the index whose pickled form is broadcast."""
-    loaded: list[list[Index]] = []
+def _scanner(files: list[str]):
+    """A UDF over the indexes in the files; of several, one is held at a time."""
+
+    def load(uri: str) -> list[Index]:
+        store, path = fs.FileSystem.from_uri(uri)
+        with store.open_input_file(path) as f:
+            return pickle.loads(f.readall())
 
     @F.pandas_udf(FOUND)
-    def find(batch: pd.Series) -> pd.Series:
-        if not loaded:
-            loaded.append(pickle.loads(shared.value))
-        return pd.Series(scan(batch.tolist(), loaded[0]))
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        only = load(files[0]) if len(files) == 1 else None
+        for batch in batches:
+            texts = batch.tolist()
+            found = scan(texts, only or [])
+            for uri in files if only is None else ():
+                for own, more in zip(found, scan(texts, load(uri)), strict=True):
+                    own += more
+            yield pd.Series(found)
 
     return find
 
 
-def found_items(text: Column, benchmark: DataFrame, settings: Settings = Settings(), item_id: str = "item_id", item_text: str = "text") -> Column:
-    """An array column of the benchmark items that ``text`` contains."""
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _words(batch: pd.Series) -> pd.Series:
+    return pd.Series([words(t or "") for t in batch])
+
+
+def write_indexes(benchmark: DataFrame, settings: Settings, item_id: str = "item_id", item_text: str = "text") -> list[str]:
+    """The indexes of all items as files in the shared folder. The driver holds the items and the
+    term counts of one part at a time."""
     items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t"))
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    groups = max(1, math.ceil(total / settings.index_bytes))
-    group = F.pmod(F.xxhash64("i", "t"), F.lit(groups))
-    columns = []
-    for k in range(groups):
-        rows = [(r["i"], r["t"]) for r in items.where(group == k).collect()]
-        columns.append(_scanner(benchmark.sparkSession.sparkContext.broadcast(cloudpickle.dumps(build(rows, settings))))(text))
-    return F.flatten(F.array(*columns)) if groups > 1 else columns[0]
+    parts = max(1, math.ceil(total / settings.index_bytes))
+    items = items.select("i", "t", _words("t").alias("w"), F.pmod(F.xxhash64("i", "t"), F.lit(parts)).alias("part")).where(F.size("w") > 0)
+    if parts > 1:
+        items = staged(items, "items")
+    size = items.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("mean")).first()
+    terms = items.select("part", F.explode(F.array_distinct("w")).alias("term"))
+    df = terms.groupBy("term").agg(F.count("*").alias("df"))
+    if parts > 1:
+        df = staged(df, "terms")
+    root, files = f"{scratch_dir(benchmark.sparkSession)}/lectern/items-{uuid.uuid4().hex}", []
+    store, path = fs.FileSystem.from_uri(root)
+    store.create_dir(path, recursive=True)
+    for k in range(parts):
+        rows = [(r["i"], r["t"]) for r in items.where(F.col("part") == k).select("i", "t").collect()]
+        known = df if parts == 1 else df.join(terms.where(F.col("part") == k), "term", "left_semi")
+        stats = Statistics(size["n"], size["mean"] or 0.0, {r["term"]: r["df"] for r in known.collect()})
+        with store.open_output_stream(f"{path}/{k}", compression=None) as f:
+            f.write(cloudpickle.dumps(build(rows, settings, stats)))
+        files.append(f"{root}/{k}")
+    return files
+
+
+def found_items(text: Column, benchmark: DataFrame, settings: Settings = Settings(), item_id: str = "item_id", item_text: str = "text") -> Column:
+    """An array column of the benchmark items that ``text`` contains."""
+    return _scanner(write_indexes(benchmark, settings, item_id, item_text))(text)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -335,8 +335,13 @@ def test_decontamination_equals_brute_force(spark, docs):
     whole = {(i, k) for i, t in texts for k, b in items if b and f" {b.lower()} " in f" {(t or '').lower()} "}
     brute = {(i, k) for i, t in texts for k, b in items if has(t, b)}
     assert whole <= got <= brute and len(whole) > 20
-    small = decontamination.Settings(index_bytes=500)  # several indexes
-    assert {(x.doc_id, x.item_id) for x in decontamination.contaminated(df, bench, small).collect()} >= whole
+    row = lambda x: (x.doc_id, x.item_id, round(x.score, 9), x.question_overlap, x.answer_overlap)
+    for edits in (False, True):  # one index or many say the same
+        one, many = (sorted(map(row, decontamination.contaminated(df, bench, decontamination.Settings(edits=edits, index_bytes=n)).collect())) for n in (8 << 20, 500))
+        assert one == many and {x[:2] for x in one} >= whole
+    twice = decontamination.contaminated(df.unionByName(df), bench).collect()  # repeated rows each get their finds
+    assert Counter((x.doc_id, x.item_id) for x in twice) == Counter({k: 2 for k in got})
+    assert decontamination.contaminated(df.limit(0), bench).count() == 0
     assert decontamination.contaminated(df, bench.limit(0)).count() == 0
 
 
