@@ -26,6 +26,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
+import math
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -175,11 +176,16 @@ def _reader(root: str, gap: int, most: int):
     return read
 
 
-def read_records(selected: DataFrame, root: str, gap: int = 1 << 16, most: int = 8 << 20, range_bytes: int = 64 << 20) -> DataFrame:
-    """Records of the selected index rows. Ranges of a file are dealt by ``range_bytes`` of
-    offset, so that one large archive is read by many tasks."""
+def read_records(selected: DataFrame, root: str, gap: int = 1 << 16, most: int = 8 << 20, task_bytes: int = 64 << 20) -> DataFrame:
+    """Records of the selected index rows. The archives are read by as many tasks as their
+    selected bytes ask for (``task_bytes``, not the size of the index), one a core at least; files
+    are dealt to them in slices of offsets, several a task, so that one large archive is read by
+    many tasks and all have about as much."""
+    total = selected.agg(F.sum("length")).first()[0] or 0
+    tasks = max(selected.sparkSession.sparkContext.defaultParallelism, math.ceil(total / task_bytes))
+    slice_bytes = max(1 << 16, min(most, total // (8 * tasks)))
     rows = selected.select("file", "offset", "length")
-    rows = rows.repartition("file", F.floor(F.col("offset") / range_bytes)).sortWithinPartitions("file", "offset")
+    rows = rows.repartition(tasks, "file", F.floor(F.col("offset") / slice_bytes)).sortWithinPartitions("file", "offset")
     return rows.mapInPandas(_reader(root, gap, most), RECORD)
 
 
