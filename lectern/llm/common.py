@@ -30,7 +30,7 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def parts_for(table: DataFrame, part_bytes: int = 128 << 20) -> int:
+def parts_for(table: DataFrame, part_bytes: int = 32 << 20) -> int:
     """Parts for what is made from ``table``: one a core, more if it is large."""
     return max(table.sparkSession.sparkContext.defaultParallelism, math.ceil(plan_bytes(table) / part_bytes))
 
@@ -39,15 +39,26 @@ def staged(df: DataFrame, name: str, parts: int | None = None, small: bool = Fal
     """Write ``df`` as Parquet to the shared folder and read it back: lineage is cut,
     and a lost executor costs no recomputation of what came before. There are at most
     ``parts`` files (see ``parts_for``; by default one a core), or a third of that if the table
-    is ``small`` beside the input, as many small files burden any store."""
+    is ``small`` beside the input, as many small files burden any store. ``discard`` removes it."""
     spark = df.sparkSession
-    # shuffle files go when the driver forgets their plans, which an idle heap may never do
+    # shuffle files go only when the driver forgets their plans, which an idle heap never does
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     path = f"{scratch_dir(spark)}/lectern/{name}-{uuid.uuid4().hex}"
     parts = parts or spark.sparkContext.defaultParallelism
     df.coalesce(max(1, parts // 3) if small else parts).write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.staged_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of staged tables that nothing reads any more: what was made from them has
+    itself been staged."""
+    for table in tables:
+        jvm, conf = table.sparkSession.sparkContext._jvm, table.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(table.staged_at)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def compact(df: DataFrame, source: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import parts_for, staged
+from lectern.llm.common import discard, parts_for, staged
 
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -181,13 +181,15 @@ def components(edges: DataFrame, parts: int | None = None) -> DataFrame:
     Every round takes the least label among the neighbours and then follows labels once;
     its table is staged in the shared folder, and only a test for changes reaches the driver."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v")
-    labels = both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("c"))
+    labels, before = both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("c")), None
     while True:
         near = both.join(labels.select(F.col("v").alias("u"), "c"), "u").groupBy("v").agg(F.min("c").alias("n"))
         hooked = labels.join(near, "v").select("v", F.col("c").alias("old"), F.least("c", "n").alias("c"))
         jump = labels.select(F.col("v").alias("c"), F.col("c").alias("up"))
         after = staged(hooked.join(jump, "c", "left").select("v", "old", F.least("c", F.coalesce("up", "c")).alias("c")), "labels", parts, small=True)
-        labels = after.select("v", "c")
+        if before is not None:
+            discard(before)
+        labels, before = after.select("v", "c"), after
         if after.where("c <> old").isEmpty():
             return labels
 
@@ -198,7 +200,9 @@ def _mixed(members: DataFrame, comps: DataFrame, parts: int) -> DataFrame:
     named = staged(members.join(comps, "v", "left").select("key", "v", "n", F.coalesce("c", "v").alias("c")), "named", parts, small=True)
     main = named.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "c")).alias("m"), F.count("*").alias("parts")).where("parts > 1")
     main = staged(main.select("key", F.col("m.c").alias("main")), "mixed", parts, small=True)
-    return staged(named.join(main, "key"), "rest", parts, small=True)
+    rest = staged(named.join(main, "key"), "rest", parts, small=True)
+    discard(named, main)
+    return rest
 
 
 def _near(percent: int) -> str:
@@ -217,24 +221,29 @@ def _more_centres(rest: DataFrame, percent: int, centres: int = 6) -> DataFrame:
     return _outsiders(rest).join(drawn, "key").where(_near(percent)).select(F.least("v", "av").alias("u"), F.greatest("v", "av").alias("v")).distinct()
 
 
-#: Shingles of a component that one task holds, when a member of a bucket is tested against all
-#: of the bucket's largest component.
-BLOCK_SHINGLES = 1_500_000
+#: Shingles of a block, when members of a bucket are tested against all of the bucket's largest
+#: component: a task holds a block of the component and one of those tested.
+BLOCK_SHINGLES = 250_000
 
 
 def _against_component(rest: DataFrame, members: DataFrame, comps: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
     """Links of the members of a bucket outside its largest component, with that component and
     with each other.
 
-    A component and the outsiders of its buckets are cut into blocks, by hash, and each outsider
-    meets each block once: an inverted index of the block's shingles gives its intersections
-    with all of them, so no pairs are made but links."""
+    A component and the outsiders of its buckets are cut into blocks, by hash, and so are those
+    outsiders as the ones who ask; each block of the ones meets each block of the others once: an
+    inverted index of the block's shingles gives the intersections with all its members, so no
+    pairs are made but links, and no task holds more than two blocks however hot a component is."""
     wanted = rest.where("c <> main").select(F.col("main").alias("c"), F.col("v").alias("x"), "n").distinct()
     named = members.select("v", "n").distinct().join(comps, "v", "left").select("v", "n", F.coalesce("c", "v").alias("c")).join(wanted.select("c").distinct(), "c", "left_semi")
     named = named.select("c", "v", "n").unionByName(wanted.select("c", F.col("x").alias("v"), "n"))
     blocks = named.groupBy("c").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"))
-    have = named.join(blocks, "c").select("c", F.pmod(F.xxhash64("v"), F.col("blocks")).alias("block"), "v").join(sets, "v")
-    ask = wanted.join(blocks, "c").select("c", F.col("x").alias("v"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")).join(sets, "v")
+    askers = wanted.groupBy("c").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("askers"))
+    cut = blocks.join(askers, "c")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    dealt = lambda v, n: F.pmod(F.xxhash64(v), F.col(n))
+    have = named.join(cut, "c").select("c", dealt("v", "blocks").alias("block"), every("askers").alias("asker"), "v").join(sets, "v")
+    ask = wanted.join(cut, "c").select("c", F.col("x").alias("v"), dealt("x", "askers").alias("asker"), every("blocks").alias("block")).join(sets, "v")
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(own: pa.Table, asked: pa.Table) -> pa.Table:
@@ -255,8 +264,8 @@ def _against_component(rest: DataFrame, members: DataFrame, comps: DataFrame, se
             found += [(min(x, y), max(x, y)) for y in ids[100 * both >= settings.percent * (size + len(h) - both)].tolist() if x != y]
         return pa.table([pa.array([u for u, _ in found], pa.int64()), pa.array([v for _, v in found], pa.int64())], schema=schema)
 
-    ask = ask.select(*[F.col(k).alias(f"ask_{k}") for k in ("c", "block", "v", "s")])
-    return have.groupBy("c", "block").cogroup(ask.groupBy("ask_c", "ask_block")).applyInArrow(run, "u bigint, v bigint")
+    ask = ask.select(*[F.col(k).alias(f"ask_{k}") for k in ("c", "block", "asker", "v", "s")])
+    return have.groupBy("c", "block", "asker").cogroup(ask.groupBy("ask_c", "ask_block", "ask_asker")).applyInArrow(run, "u bigint, v bigint")
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -271,6 +280,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), doc_id: st
     # only keys met more than once make buckets; staged, so that Spark can split a hot key in the join
     shared = staged(buckets.groupBy("key").agg(F.min("v").alias("u"), F.max("v").alias("last")).where("u <> last").select("key", "u"), "shared", parts, small=True)
     members = staged(buckets.join(shared, "key").select("key", "u", "v", "n"), "buckets", parts)
+    discard(shared)
     star = staged(members.where("u <> v").select("u", "v").distinct(), "stars", parts, small=True)
     wanted = star.select("v").unionByName(star.select(F.col("u").alias("v"))).distinct()
     maybe = rows.where("doc_id is not null").select(F.col("doc_id").alias("v"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << MARKS)).alias("at")).mapInArrow(_sets(settings, _marks(wanted)), "v bigint, s binary")

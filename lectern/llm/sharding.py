@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.llm.common import parts_for, staged
+from lectern.llm.common import discard, parts_for, staged
 
 FIRST = -(1 << 63)
 #: A range beyond this many times its share of rows is subdivided.
@@ -120,6 +120,7 @@ def shard_by_size(docs: DataFrame, shards: int = 16, range_rows: int = 8192, mos
     kept = (F.sum("size").over(group) <= most_bytes) & (F.count("*").over(group) <= range_rows) & ~F.col("h").isin(cut)
     placed = placed.withColumn("at", F.when(kept, F.min("middle").over(group)).otherwise(F.col("middle")))
     placed = staged(placed.withColumn("shard", F.least(F.lit(shards - 1), F.floor(F.col("at") * shards / F.lit(max(1, total_bytes)))).cast("int")), "shard-places", parts_for(docs))
+    discard(keys)
     first = {x["shard"]: x["first"] for x in placed.groupBy("shard").agg(F.min("rank").alias("first")).collect()}
     start = F.get(F.array(*[F.lit(first.get(k, 0)).cast("long") for k in range(shards)]), F.col("shard"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("rank") - start).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("h").alias("text_hash"))

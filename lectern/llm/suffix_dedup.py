@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lectern.llm.common import block_count, parts_for, staged, utf8
+from lectern.llm.common import block_count, discard, parts_for, staged, utf8
 
 GRAM = 64
 SEGMENT = 1 << 16
@@ -469,6 +469,7 @@ def remove_repeats(docs: DataFrame, settings: Settings = Settings(), doc_id: str
     rows = docs.select(id_.alias("doc_id"), body.alias("body"), block.alias("block"), *[F.col(c).alias(f"c_{c}") for c in carry])
     by_block = rows.select("doc_id", "body", "block").groupBy("block").cogroup(known.groupBy("block"))
     runs = staged(by_block.applyInArrow(_run_stage(settings, ranges), "range bigint, block bigint, payload binary"), "runs", parts)
+    discard(known)
     merged = runs.where("range >= 0").groupBy("range").applyInArrow(_merge_stage(settings), "range bigint, block bigint, payload binary")
     replies = staged(merged, "extents", parts).unionByName(runs.where("range < 0"))
     names = ["doc_id", *[f"c_{c}" for c in carry]]
