@@ -1,309 +1,88 @@
-"""Language-model scores by logistic context mixing.
-
-The model gives a probability to each token of a text (its words in lower case, then one
-end), bit by bit: a word is its bytes and a terminator, the end is the terminator alone.
-Hashed contexts inside the word (the last one to four bytes, and the whole prefix) each
-predict the next bit from counts; the predictions meet in the logistic domain, under weights
-gated by the bit and by how much the longest contexts have seen, learnt by online gradient
-steps. The chain of bits makes the token probabilities sum to one.
-
-Within a document the result is refined as it goes, by a Bayes mixture whose posterior follows
-the tokens already coded. Its experts are themes, which multiply a token's probability by the
-theme's share in that word's training counts and are normalised over all words, and shares of a
-cache of the document's own past tokens. The themes are the most frequent values of a column of
-the training documents (their language); that of a scored document is never read. The sum is
-the code length, reported as log10 probability and as bits per byte of the text.
-
-How it is spread. Documents are dealt into blocks by hash. A block sends its distinct words
-with their training counts by ranges of the alphabet, cut at words of a sample so that ranges
-are even; each word goes once however frequent, so no hot word gathers. Words with a common
-prefix lie in one range, which counts its prefixes exactly; only prefixes of the cuts
-themselves span ranges, and their counts are added up in the driver (``Shared``). The
-contexts of one to four bytes are counted in hashed tables, whose slots are at least
-``spare`` times the measured number of contexts (``slots`` at least). They are summed by page
-and reach the driver at two bytes a slot. The mixing weights are learnt on all training words
-of all ranges, in rounds after which the ranges' weights are averaged; a word meets counts
-without one occurrence of its own, so that a word seen once is new. Each distinct word is then
-scored once in its range.
+"""Language-model scores by online logistic context mixing.
+
+A text is its tokens (words in lower case) and one end, coded in order, bit by bit:
+
+1. Does the token follow the two before it as it did in another training document? A flag
+   says so, if that context is known at all; if yes, the token costs its share of what followed.
+2. If not, it is a leaf of a Huffman tree: the end, a frequent word, a word met before in this
+   text (then its share of those), a class of rarer words by count and kind (then its share of the
+   class), or an unknown word.
+3. An unknown word is spelled, eight bits a byte and a terminator.
+
+All these bits are predicted by online logistic mixing (``mixing``): counts of the training
+tokens by node, and by node and kind of text; hashed orders one to five of the bytes, counted over
+all training words; and cells of the text itself, hashed by the node, by the node and the leaf
+before it, by the last outcomes. Gated weights mix them and move after every bit, and a table
+refines what they say. The kind of a text is, at each token, the one that its tokens so far
+speak for; kinds are the frequent values of a column of the training documents, and that of
+a scored document is never read. The sum is the code length, as log10 probability and as bits per
+byte of the text.
+
+A training document is scored as if it had not been seen: its own occurrences are left out
+of the counts of words, of what follows what, and of spellings. So documents in or out of the
+training set are alike, and text that the corpus repeats costs little wherever it occurs. For
+other documents the probabilities of all tokens sum to at most one; for training documents the
+classes keep the totals of the whole corpus.
+
+How it is spread. Documents are dealt into blocks by hash. A block sends its distinct words,
+and hashes of its distinct contexts and continuations, with their training counts, by ranges of
+the hash: each goes once however frequent, so no hot word gathers. Ranges add up and reply to the
+blocks; what is sent grows with the corpus, and hashes have ``context_bits`` bits more than the
+number of contexts needs. The driver gets frequent words (one in ``frequent`` tokens, so at most
+that many), sums of classes, and the spelling tables, whose slots are fixed. The weights are
+learnt on all training documents: each block learns online on its own from the same start, and
+the blocks' weights are averaged by what each set has met, in a tree of fixed fan-in.
 
 Words are identified by 64-bit hashes in the exchanges.
 
 Defined cases. Null or empty text: the end token alone, 0 bytes, bits per byte 0. No
-training documents: the baseline has N = V = 0, and the model knows nothing and gives each
-bit one half. Null id: the fold of the empty text. Repeated rows are scored alike. Empty
-table: empty result. Long texts and long words are taken whole. Other columns are ignored.
+training documents: the baseline has N = V = 0, and the model knows nothing. Null id: the fold
+of the empty text. Repeated rows are scored alike (and are each other's other documents); rows
+equal in id and text share a block. Empty table: empty result. Long texts and long words are taken
+whole, in lanes of ``lane_bits`` bits that each begin with the learnt weights. Other columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import math
 import pickle
-from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark import cloudpickle
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import block_count, fold, parts_for, staged, utf8
-
-#: Weight sets of a bit: four steps of what the last four bytes have been seen, eight of the prefix.
-GATES = 32
-P1, P2, P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
+from lectern.llm.common import block_count, discard, fold, parts_for, plan_bytes, staged, utf8
+from lectern.llm.mixing import MATCH_GATES, ORDERS, P1, P3, SLOTS, SPELL_GATES, Mixer, Spelling, Tree, encode, match_stream, mix64, run
 
 
 @dataclass(frozen=True)
 class Settings:
-    #: Least log2 of the slots of orders 1 to 4, and the least slots a measured context.
-    slots: tuple[int, ...] = (16, 20, 20, 21)
-    spare: int = 4
-    #: One in so many contexts is looked at to measure their number.
-    measure: int = 64
-    block_bytes: int = 3 << 20
+    block_bytes: int = 4 << 20
     range_bytes: int = 8 << 20
+    #: A frequent word is one in so many training tokens, and has been met sixteen times.
+    frequent: int = 8192
+    context_bits: int = 10
     pages: int = 16
-    #: Documents a range, of which the cuts between ranges are taken (and their characters).
-    cut_docs: int = 8
-    cut_chars: int = 2000
-    rate: float = 0.15
-    rounds: int = 2
-    #: Passes of a task over its words in a round, fewer if that makes more steps than ``steps``.
-    epochs: int = 4
-    steps: int = 200
-    shares: tuple[float, ...] = (0.0, 0.03, 0.1, 0.3, 0.6, 0.9)
-    #: Themes at most, the last of which stands for all other values.
-    themes: int = 5
-    theme_prior: float = 1.0
-
-
-class Words:
-    """Bytes of words, laid end to end with terminators, and their context hashes."""
-
-    def __init__(self, words: list[bytes]):
-        lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        self.byte = np.frombuffer(b" ".join(words) + b" ", np.uint8)
-        self.start = np.cumsum(lengths) - lengths
-        self.lengths = lengths
-        place = np.arange(len(self.byte)) - np.repeat(self.start, lengths)
-        past = np.zeros(len(self.byte), np.uint64)
-        self.contexts = []
-        for k in range(1, 5):
-            before = np.zeros(len(self.byte), np.uint64)
-            before[k:] = self.byte[:-k]
-            before[place < k] = 0
-            past = past * np.uint64(257) + before + np.uint64(1)
-            self.contexts.append((past + np.uint64(k)) * P1)
-        prefix, h = np.empty(len(self.byte), np.uint64), np.full(len(words), P3)
-        live, j = np.argsort(-lengths, kind="stable"), 0
-        ordered = lengths[live]
-        while len(live):
-            at = self.start[live] + j
-            prefix[at] = h[live]
-            x = (h[live] ^ self.byte[at]) * P2
-            h[live] = x ^ (x >> np.uint64(29))
-            j += 1
-            live = live[: int(np.searchsorted(-ordered, -j, "left"))]
-        self.contexts.append(prefix * P1)
-
-    def bits(self, slots: tuple[int, ...]) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray]]:
-        """For each of the eight bits: its values, the slot in each order's table, the node's key."""
-        node = np.ones(len(self.byte), np.uint64)
-        for b in range(7, -1, -1):
-            bit = (self.byte >> b) & 1
-            key = node * P3
-            yield bit, [((c ^ key) * P2 >> np.uint64(64 - size)).astype(np.int64) for c, size in zip(self.contexts, slots, strict=False)], key
-            node = node * np.uint64(2) + bit
-
-    def agree(self, other: bytes) -> np.ndarray:
-        """Whether the bytes before each place are those that ``other`` begins with."""
-        out = np.zeros(len(self.byte), bool)
-        live = np.arange(len(self.start))
-        for j in range(len(other) + 1):
-            out[self.start[live] + j] = True
-            if j < len(other):
-                live = live[self.byte[self.start[live] + j] == other[j]]
-                live = live[self.lengths[live] > j + 1]
-        return out
-
-    def prefix_counts(self, weight: np.ndarray) -> np.ndarray:
-        """Counts of bit 0 and 1 after the whole prefix of each bit, [8, bytes, 2]; the words are
-        in order and counted with ``weight``."""
-        out = np.zeros((8, len(self.byte), 2), np.float32)
-        # a word that shares no further prefix meets its own count
-        own = np.repeat(weight, self.lengths)
-        for b in range(8):
-            out[b, np.arange(len(self.byte)), (self.byte >> (7 - b)) & 1] = own
-        live, group, j = np.arange(len(self.start)), np.zeros(len(self.start), np.int64), 0
-        while len(live):
-            at = self.start[live] + j
-            for b in range(8):
-                bit = ((self.byte[at] >> (7 - b)) & 1).astype(np.int64)
-                n1 = np.bincount(group, weight[live] * bit)
-                n = np.bincount(group, weight[live])
-                out[b, at, 0], out[b, at, 1] = (n - n1)[group], n1[group]
-                finer = group * 2 + bit
-                group = np.cumsum(np.r_[0, finer[1:] != finer[:-1]])
-            stay = (np.bincount(group)[group] > 1) & (self.lengths[live] > j + 1)
-            live, group, j = live[stay], group[stay], j + 1
-            group = np.cumsum(np.r_[0, group[1:] != group[:-1]]) if len(live) else group
-        return out
-
-
-def count_bits(words: list[bytes], counts: np.ndarray, settings: Settings, tables: list[np.ndarray], chunk: int = 40_000) -> None:
-    """Add the words' bits to the tables, where 2 * slot + bit holds a count."""
-    slots = tuple(len(t).bit_length() - 2 for t in tables)
-    for i in range(0, len(words), chunk):
-        w, n = Words(words[i : i + chunk]), counts[i : i + chunk]
-        weight = np.repeat(n, w.lengths).astype(tables[0].dtype)
-        for bit, places, _ in w.bits(slots):
-            for table, at in zip(tables, places, strict=True):
-                np.add.at(table, at * 2 + bit, weight)
-
-
-def empty_tables(settings: Settings) -> list[np.ndarray]:
-    return [np.zeros(2 << s, np.float32) for s in settings.slots]
-
-
-#: Counts in a byte: exact up to 64, then eight steps an octave.
-COUNT = np.r_[np.arange(64), 64 * np.exp2(np.arange(192) / 8)]
-
-
-def encode(n: np.ndarray) -> np.ndarray:
-    return np.where(n < 64, np.round(n), np.minimum(255, 64 + np.round(8 * np.log2(np.maximum(n, 64) / 64)))).astype(np.uint8)
-
-
-class Shared:
-    """Exact counts of the bits after prefixes that more than one range has."""
-
-    def __init__(self, keys: np.ndarray, n: np.ndarray):
-        self.keys, where = np.unique(keys, return_inverse=True)
-        self.n = np.stack([np.bincount(where, n[:, k], len(self.keys)) for k in (0, 1)], axis=1)
-
-    @staticmethod
-    def of(words: Words, weight: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Keys and counts of the words' bits at the places ``inside``."""
-        own, keys, n = np.repeat(weight, words.lengths)[inside].astype(np.float64), [], []
-        for bit, _, key in words.bits(()):
-            found, where = np.unique((words.contexts[4][inside] ^ key[inside]) * P2, return_inverse=True)
-            keys.append(found)
-            n.append(np.stack([np.bincount(where, own * (bit[inside] == k), len(found)) for k in (0, 1)], axis=1))
-        return np.concatenate(keys), np.concatenate(n)
-
-    def fill(self, words: Words, inside: np.ndarray, counts: np.ndarray) -> None:
-        """Put the counts over all ranges in the place of the range's own."""
-        at = np.flatnonzero(inside)
-        for b, (_, _, key) in enumerate(words.bits(()) if len(self.keys) else ()):
-            want = (words.contexts[4][at] ^ key[at]) * P2
-            k = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
-            known = self.keys[k] == want
-            counts[b, at[known]] = self.n[k[known]]
-
-
-def stretch(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    return np.clip(np.log((n1 + 0.02) / (n0 + 0.02)), -12, 12)
-
-
-def seen(n: np.ndarray) -> np.ndarray:
-    return np.minimum(7, np.log2(1 + n)).astype(np.int64)
-
-
-class Model:
-    """Coded counts of all slots (two bytes each: of bit 0 and of bit 1), and the mixing weights."""
-
-    def __init__(self, tables: list[np.ndarray], settings: Settings):
-        """``tables`` hold counts, or their codes."""
-        self.settings = settings
-        self.codes = [(t if t.dtype == np.uint8 else encode(t)).view("<u2") for t in tables]
-        self.slots = tuple(len(c).bit_length() - 1 for c in self.codes)
-        self.weights = np.zeros((8 * GATES, len(tables) + 2), np.float32)
-        self.weights[:, : len(tables) + 1] = 0.25
-        # what a code says: as it is, and without an occurrence of a 0 or a 1
-        n0, n1 = np.tile(COUNT, 256), np.repeat(COUNT, 256)
-        cases = [(n0, n1), (np.maximum(n0 - 1, 0), n1), (n0, np.maximum(n1 - 1, 0))]
-        self.look = np.stack([stretch(a, b) for a, b in cases]).astype(np.float32).ravel()
-        self.look_seen = np.stack([seen(a + b) for a, b in cases]).ravel()
-
-    def inputs(self, words: Words, prefix: np.ndarray | None = None, leave: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each bit: its values, the mixer's inputs, the weight set in charge. ``prefix`` are
-        the counts after whole prefixes; with ``leave`` one occurrence of each word is left out."""
-        for b, (bit, places, _) in enumerate(words.bits(self.slots)):
-            x = np.empty((len(bit), len(places) + 2), np.float32)
-            case = (1 + bit.astype(np.int64)) * 65536 if leave else 0
-            for k, at in enumerate(places):
-                code = self.codes[k][at] + case
-                x[:, k] = self.look[code]
-            n = np.zeros((len(bit), 2)) if prefix is None else prefix[b].astype(np.float64)
-            if leave:
-                n[np.arange(len(bit)), bit] = np.maximum(n[np.arange(len(bit)), bit] - 1, 0)
-            x[:, -2] = stretch(n[:, 0], n[:, 1])
-            x[:, -1] = 0.3
-            yield bit, x, b * GATES + (self.look_seen[code] >> 1) * 8 + seen(n.sum(1))
-
-    def learn(self, w: Words, prefix: np.ndarray, counts: np.ndarray, rate: float, passes: int, batch: int = 4096) -> np.ndarray:
-        """Gradient steps over the words, each as often as it counts; what each weight set has met."""
-        rng = np.random.default_rng(7)
-        weight = np.repeat(counts, w.lengths).astype(np.float32)
-        data = [(bit.astype(np.float32), x, gate) for bit, x, gate in self.inputs(w, prefix, leave=True)]
-        for _ in range(passes):
-            for rows in np.array_split(rng.permutation(len(weight)), max(1, len(weight) // batch)):
-                for bit, x, gate in data:
-                    xs, g, n = x[rows], gate[rows], weight[rows]
-                    p = 1 / (1 + np.exp(-np.clip((xs * self.weights[g]).sum(1), -14, 14)))
-                    step = ((bit[rows] - p) * n)[:, None] * xs
-                    total = np.bincount(g, n, len(self.weights))
-                    for k in range(xs.shape[1]):
-                        self.weights[:, k] += rate * np.bincount(g, step[:, k], len(self.weights)) / np.maximum(total, 1) * np.minimum(1, total / 64)
-        return sum(np.bincount(gate, weight, len(self.weights)) for _, _, gate in data)
-
-    def log10(self, w: Words, prefix: np.ndarray) -> np.ndarray:
-        """log10 probability of each word, its terminator included."""
-        total = np.zeros(len(w.byte))
-        for bit, x, gate in self.inputs(w, prefix):
-            z = np.clip(np.einsum("ij,ij->i", x, self.weights[gate]), -14, 14)
-            total -= np.log1p(np.exp(np.where(bit == 1, -z, z)))
-        return np.add.reduceat(total, w.start) / math.log(10)
-
-
-class Lexicon:
-    """The words of a range, in order, with their counts."""
-
-    def __init__(self, words: list[bytes], total: np.ndarray, low: bytes, high: bytes | None):
-        self.words, self.total, self.all = words, total, Words(words)
-        self.inside = self.all.agree(low)
-        if high is not None:
-            self.inside |= self.all.agree(high)
-
-    def chunks(self, shared: Shared, least: int = 0, size: int = 40_000) -> Iterator[tuple[Words, np.ndarray, np.ndarray]]:
-        """Words, counts after their prefixes, counts: of the words seen ``least`` times, each
-        n-th of them in turn, so that each chunk is like the whole."""
-        prefix = self.all.prefix_counts(self.total)
-        shared.fill(self.all, self.inside, prefix)
-        for i in range(0, len(self.words), size):
-            pick = np.arange(i, min(i + size, len(self.words)))
-            if least:
-                n = -(-len(self.words) // size)
-                pick = np.arange(i // size, len(self.words), n)
-                pick = pick[self.total[pick] >= least]
-            if len(pick):
-                lengths = self.all.lengths[pick]
-                at = np.repeat(self.all.start[pick] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
-                yield Words([self.words[k] for k in pick.tolist()]), prefix[:, at], self.total[pick]
+    fan_in: int = 32
+    lane_bits: int = 2048
+    rate: float = 0.003
+    learning_rate: float = 0.02
+    #: Kinds at most, the last of which stands for all other values.
+    kinds: int = 5
 
 
 def tokens(body: bytes) -> list[bytes]:
     return body.lower().split()
 
 
-def _ranges(words: list[bytes], cuts: list[bytes]) -> np.ndarray:
-    return np.fromiter((bisect_right(cuts, w) for w in words), np.int64, len(words))
-
-
 def _pack(*parts: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
@@ -314,340 +93,476 @@ def _unpack(blob: bytes) -> bytes:
 
 ROWS = pa.schema([("kind", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("payload", pa.binary())])
 ROWS_SQL = "kind bigint, a bigint, b bigint, payload binary"
-COUNTS, TABLE, TOTALS, SCORES, MASS, THEME, RANGE, SPAN, SAMPLE, WEIGHTS = range(10)
-#: Masses of probability are summed as whole numbers of this size.
-UNIT = 10**15
+WORDS, FOLLOWS, REPLY, FOUND, TOTALS, MASS, CLASS, FREQUENT, LETTER, PREPARED, LEARNT = range(11)
+#: Numbers of the leaves that are not words: the classes follow, then the frequent words.
+END, ESCAPE, AGAIN, CLASSES = range(4)
+MOST_CLASSES = 40
 
 
-def theme_steps(counts: np.ndarray, total: np.ndarray, prior: np.ndarray, weight: float) -> np.ndarray:
-    """A word's share in each theme, smoothed, in sixteenths of a power of one half."""
-    share = (counts + weight * prior) / (total + weight)[..., None]
-    return np.clip(np.round(-16 * np.log2(np.maximum(share, 1e-9))), 0, 255).astype(np.uint8)
+def _rows(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ([], [], [], []), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], schema=ROWS)
 
 
-def theme_share(steps: np.ndarray) -> np.ndarray:
-    return np.exp2(-steps.astype(np.float64) / 16)
+class Text:
+    """The tokens of a block's documents: numbers of its distinct words, and one end each."""
+
+    def __init__(self, bodies: list[bytes]):
+        found: dict[bytes, int] = {}
+        parts = [np.fromiter((found.setdefault(w, len(found)) for w in ws), np.int64, len(ws)) for ws in map(tokens, bodies)]
+        self.words = list(found)
+        self.keys = np.fromiter(map(xxhash.xxh64_intdigest, self.words), np.uint64, len(self.words))
+        self.n = np.array([len(p) + 1 for p in parts], np.int64)
+        self.stop = np.cumsum(self.n)
+        self.start = self.stop - self.n
+        self.doc = np.repeat(np.arange(len(parts)), self.n)
+        self.token = np.full(int(self.n.sum()), len(self.words), np.int64)
+        inner = np.ones(len(self.token), bool)
+        inner[self.stop - 1] = False
+        if parts:
+            self.token[inner] = np.concatenate(parts)
+
+    def follows(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes, of ``bits`` bits, of the two tokens before each token, and of all three."""
+        h = np.r_[self.keys, np.uint64(1)][self.token]
+        before = [np.zeros(len(h), np.uint64) for _ in range(2)]
+        for k, b in enumerate(before, 1):
+            b[k:] = h[:-k]
+            for j in range(min(k, int(self.n.max(initial=0)))):
+                b[(self.start + j)[self.n > j]] = 2
+        context = mix64(before[1] * P3 + before[0])
+        drop = np.uint64(64 - bits)
+        return mix64(context ^ P1) >> drop, mix64(context + h * P3) >> drop
+
+
+def _runs_stage(bits: int, ranges: int, kinds: int):
+    """Rows (WORDS, range, block, ...) and (FOLLOWS, ranges + range, block, ...) of a block."""
+
+    def run_(docs: pa.Table) -> pa.Table:
+        block, kind = docs.column("block")[0].as_py(), np.array(docs.column("kind").to_pylist(), np.int64)
+        text, out = Text([b.as_py() for b in docs.column("body")]), []
+        n = np.zeros((len(text.words), kinds), "<u4")
+        own = kind[text.doc]
+        for k in range(kinds):
+            n[:, k] = np.bincount(text.token[own == k], minlength=len(text.words) + 1)[:-1]
+        order = np.argsort(text.keys)
+        keys, n = text.keys[order], n[order]
+        for r, i, j in _cuts(keys, ranges, 64):
+            out.append((WORDS, r, block, _pack(np.array([j - i], "<u4").tobytes(), keys[i:j].tobytes(), n[i:j].T.tobytes(), b" ".join([text.words[k] for k in order[i:j].tolist()]))))
+        # the lowest bit of a key says whether it is of a training document
+        packed = np.sort(np.concatenate(text.follows(bits)) * np.uint64(2) + np.tile(own >= 0, 2).astype(np.uint64))
+        keys, count = _distinct(packed >> np.uint64(1), (packed & np.uint64(1)).astype(np.int64))
+        for r, i, j in _cuts(keys, ranges, bits):
+            out.append((FOLLOWS, ranges + r, block, _pack(np.array([j - i], "<u4").tobytes(), _bytewise(np.diff(keys[i:j], prepend=np.uint64(0))), _bytewise(count[i:j]))))
+        return _rows(out)
 
+    return run_
 
-def _rows(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ([], [], [], []), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], schema=ROWS)
 
+def _distinct(keys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct sorted keys and their summed weights."""
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(weight, first) if len(first) else weight
 
-def _vocabulary_stage(cuts: list[bytes], themes: int):
-    """A block's distinct words with their training counts by theme: rows (0, range, block, payload)."""
-
-    def run(docs: pa.Table) -> pa.Table:
-        block = docs.column("block")[0].as_py()
-        counts = [Counter() for _ in range(themes)]
-        words: dict[bytes, int] = {}
-        for body, theme in zip(docs.column("body"), docs.column("theme").to_pylist(), strict=True):
-            found = tokens(body.as_py())
-            for word in found:
-                words.setdefault(word, len(words))
-            if theme >= 0:
-                counts[theme].update(found)
-        names = list(words)
-        keys = np.fromiter(map(xxhash.xxh64_intdigest, names), np.uint64, len(names))
-        n = np.zeros((len(names), themes), "<u4")
-        for k, own in enumerate(counts):
-            n[np.fromiter(map(words.__getitem__, own), np.int64, len(own)), k] = np.fromiter(own.values(), np.int64, len(own))
-        r = _ranges(names, cuts)
-        order = np.lexsort((keys, r))
-        keys, n, names, r = keys[order], n[order], [names[k] for k in order.tolist()], r[order]
-        ends = np.r_[np.flatnonzero(np.r_[True, r[1:] != r[:-1]]), len(r)] if len(r) else np.zeros(1, np.int64)
-        out = []
-        for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-            out.append((0, int(r[i]), block, _pack(np.array([j - i], "<u4").tobytes(), keys[i:j].tobytes(), n[i:j].T.tobytes(), b" ".join(names[i:j]))))
-        return _rows(out)
 
-    return run
+def _cuts(keys: np.ndarray, ranges: int, bits: int) -> list[tuple[int, int, int]]:
+    """(range, from, to) of sorted keys dealt by their high bits."""
+    if not len(keys):
+        return []
+    r = ((keys >> np.uint64(max(0, bits - 32))) * np.uint64(ranges) >> np.uint64(min(32, bits))).astype(np.int64)
+    ends = np.r_[np.flatnonzero(np.r_[True, r[1:] != r[:-1]]), len(r)]
+    return [(int(r[i]), i, j) for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
-def _read_runs(group: pa.Table, themes: int) -> tuple[list[np.ndarray], list[np.ndarray], list[list[bytes]]]:
-    keys, counts, words = [], [], []
-    for blob in group.column("payload"):
-        data = _unpack(blob.as_py())
-        n = int(np.frombuffer(data, "<u4", 1)[0])
-        keys.append(np.frombuffer(data, "<u8", n, 4))
-        counts.append(np.frombuffer(data, "<u4", themes * n, 4 + 8 * n).reshape(themes, n))
-        words.append(data[4 + (8 + 4 * themes) * n :].split(b" "))
-    return keys, counts, words
-
-
-def _distinct(group: pa.Table, themes: int) -> tuple[list[int], np.ndarray, np.ndarray, list[bytes]]:
-    """Of a range: lengths of the blocks' runs, number of each entry's word, counts by theme, words in order."""
-    keys, counts, words = _read_runs(group, themes)
-    _, first, where = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-    total = np.stack([np.bincount(where, np.concatenate([c[k] for c in counts]), len(first)) for k in range(themes)], axis=1)
-    flat = [w for run in words for w in run]
-    flat = [flat[i] for i in first.tolist()]
-    # as their bits go, with the terminator
-    order = sorted(range(len(flat)), key=[w + b" " for w in flat].__getitem__)
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    return [len(k) for k in keys], rank[where], total[order], [flat[k] for k in order]
-
-
-def _bounds(cuts: list[bytes], number: int) -> tuple[bytes, bytes | None]:
-    return cuts[number - 1] if number else b"", cuts[number] if number < len(cuts) else None
-
-
-def _range_stage(settings: Settings, cuts: list[bytes], themes: int):
-    """Rows (RANGE, range, 0, its words and what blocks ask for), (COUNTS, block, range, counts),
-    (TOTALS, N, V), (THEME, theme, tokens), (SPAN, 0, 0, counts after prefixes that other ranges
-    may have), (SAMPLE, order, 0, keys of contexts)."""
-
-    def run(group: pa.Table) -> pa.Table:
-        number, blocks = group.column("a")[0].as_py(), group.column("b").to_pylist()
-        lengths, where, by_theme, words = _distinct(group, themes)
-        total = by_theme.sum(axis=1).astype(np.int64)
-        out, at = [(TOTALS, int(total.sum()), int((total > 0).sum()), b"")], 0
-        out += [(THEME, k, int(n), b"") for k, n in enumerate(by_theme.sum(axis=0).tolist())]
-        out.append((RANGE, number, 0, _pack(pickle.dumps((blocks, lengths, where.astype("<u4"), by_theme.astype("<u8"), b" ".join(words))))))
-        for block, n in zip(blocks, lengths, strict=True):
-            out.append((COUNTS, block, number, _pack(total[where[at : at + n]].astype("<u8").tobytes())))
-            at += n
-        lexicon = Lexicon(words, total, *_bounds(cuts, number))
-        keys, n = Shared.of(lexicon.all, total, lexicon.inside)
-        out.append((SPAN, 0, 0, _pack(pickle.dumps((keys, n)))))
-        known = np.repeat(total > 0, lexicon.all.lengths)
-        found: list[list[np.ndarray]] = [[] for _ in settings.slots]
-        for _, _, key in lexicon.all.bits(()):
-            for k in range(len(settings.slots)):
-                x = (lexicon.all.contexts[k][known] ^ key[known]) * P2
-                found[k].append(np.unique(x[(x >> np.uint64(20)) % np.uint64(settings.measure) == 0]))
-        out += [(SAMPLE, k, 0, _pack(np.concatenate(x).tobytes())) for k, x in enumerate(found)]
-        return _rows(out)
+def _bytewise(x: np.ndarray) -> bytes:
+    """Whole numbers, byte by byte of all of them, which compresses well."""
+    return np.ascontiguousarray(x.astype("<u8").view("u1").reshape(-1, 8).T).tobytes()
 
-    return run
 
+def _from_bytewise(data: bytes, n: int, at: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, "u1", 8 * n, at).reshape(8, n).T).view("<u8").ravel()
 
-def _each_range(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Number, blocks, lengths, where, counts by theme, words of the ranges of a task."""
-    for batch in batches:
-        for number, blob in zip(batch.column("a").to_pylist(), batch.column("payload"), strict=True):
-            *rest, words = pickle.loads(_unpack(blob.as_py()))
-            yield number, *rest, words.split(b" ")
 
+def _range_stage(ranges: int, kinds: int):
+    """Rows (REPLY, range, block, counts and kinds in the order of the run), and of words (FOUND,
+    range, 0, training words), (TOTALS, tokens, words), (LETTER, byte, occurrences in them), (MASS, code, tokens), (CLASS, code, tokens)
+    and (FREQUENT, count, 0, word and counts)."""
 
-def _count_stage(slots: tuple[int, ...], settings: Settings):
-    """Rows (TABLE, order, page, counts of slots) of a task's ranges."""
+    def words(group: pa.Table) -> pa.Table:
+        number, keys, counts, names = group.column("a")[0].as_py(), [], [], []
+        for blob in group.column("payload"):
+            data = _unpack(blob.as_py())
+            n = int(np.frombuffer(data, "<u4", 1)[0])
+            keys.append(np.frombuffer(data, "<u8", n, 4))
+            counts.append(np.frombuffer(data, "<u4", kinds * n, 4 + 8 * n).reshape(kinds, n))
+            names.append(data[4 + (8 + 4 * kinds) * n :].split(b" "))
+        lengths = [len(k) for k in keys]
+        _, first, where = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        by_kind = np.stack([np.bincount(where, np.concatenate([c[k] for c in counts]), len(first)) for k in range(kinds)], axis=1).astype(np.int64)
+        flat = [w for run_ in names for w in run_]
+        flat = [flat[i] for i in first.tolist()]
+        total, main = by_kind.sum(1), by_kind.argmax(1).astype("u1")
+        out, at = [(TOTALS, int(total.sum()), int((total > 0).sum()), b"")], 0
+        for block, n in zip(group.column("b").to_pylist(), lengths, strict=True):
+            own = where[at : at + n]
+            out.append((REPLY, number, block, _pack(_bytewise(total[own]), main[own].tobytes())))
+            at += n
+        known = np.flatnonzero(total)
+        out.append((FOUND, number, 0, _pack(np.array([len(known)], "<u4").tobytes(), main[known].tobytes(), b" ".join([flat[k] for k in known.tolist()]))))
+        out += [(LETTER, k, n, b"") for k, n in enumerate(np.bincount(np.frombuffer(b" ".join([flat[k] for k in known.tolist()] + [b""]), "u1")).tolist()) if n]
+        size, rest = _octave(total), _octave(total - 1)  # a token of a training document finds one occurrence less
+        for k in range(kinds):
+            for code, n in _sums((size[known] * (MOST_CLASSES + 1) + rest[known] + 1) * kinds + main[known], by_kind[known, k]):
+                out.append((MASS, code * kinds + k, n, b""))
+        out += [(CLASS, code, n, b"") for code, n in _sums(size[known] * kinds + main[known], total[known])]
+        out += [(FREQUENT, int(total[k]), 0, pickle.dumps((flat[k], by_kind[k].tolist()))) for k in np.flatnonzero(total >= 16).tolist()]
+        return _rows(out)
+
+    def follows(group: pa.Table) -> pa.Table:
+        number, keys, counts = group.column("a")[0].as_py(), [], []
+        for blob in group.column("payload"):
+            data = _unpack(blob.as_py())
+            n = int(np.frombuffer(data, "<u4", 1)[0])
+            keys.append(np.cumsum(_from_bytewise(data, n, 4)))
+            counts.append(_from_bytewise(data, n, 4 + 8 * n).astype(np.int64))
+        _, where = np.unique(np.concatenate(keys), return_inverse=True)
+        total, out, at = np.bincount(where, np.concatenate(counts)).astype(np.int64), [], 0
+        for block, k in zip(group.column("b").to_pylist(), keys, strict=True):
+            out.append((REPLY, number, block, _pack(_bytewise(total[where[at : at + len(k)]]))))
+            at += len(k)
+        return _rows(out)
+
+    return lambda group: words(group) if group.column("a")[0].as_py() < ranges else follows(group)
+
+
+def _octave(n: np.ndarray) -> np.ndarray:
+    """Whole log2, -1 for nothing."""
+    return np.where(n > 0, np.minimum(MOST_CLASSES - 1, np.log2(np.maximum(n, 1))), -1).astype(np.int64)
+
+
+def _sums(code: np.ndarray, n: np.ndarray) -> list[tuple[int, int]]:
+    found, where = np.unique(code, return_inverse=True)
+    return [(int(c), int(s)) for c, s in zip(found, np.bincount(where, n, len(found)), strict=True) if s]
+
+
+@dataclass
+class Vocabulary:
+    """What the driver knows of the training tokens: totals, and the leaves with their masses."""
+
+    n_total: int
+    distinct: int
+    ends: int
+    octaves: int
+    mass: np.ndarray  # [leaves, kinds], tokens that reach the leaf
+    classes: np.ndarray  # [leaves], occurrences of a class's words
+    frequent: dict[bytes, int]
+    speaks: np.ndarray = field(init=False)  # [leaves, kinds], log-likelihoods
+
+    def __post_init__(self) -> None:
+        share = (self.mass.sum(1, keepdims=True) + 0.5) / (self.mass.sum() + 0.5 * len(self.mass))
+        self.speaks = np.log((self.mass + 2 * share) / (self.mass.sum(0) + 2)).astype(np.float32)
+        self.speaks[AGAIN] = 0
+
+
+def vocabulary(n_words: int, v: int, ends: list[int], mass: list[tuple[int, int]], classes: list[tuple[int, int]], frequent: list[tuple[int, bytes, list[int]]], octaves: int) -> Vocabulary:
+    """From the summed rows; words of ``2 ** octaves`` occurrences or more are the frequent ones."""
+    kinds = len(ends)
+    first = CLASSES + octaves * kinds
+    frequent = sorted(frequent, key=lambda x: (-x[0], x[1]))
+    m, c = np.zeros((first + len(frequent), kinds)), np.zeros(first + len(frequent))
+    m[END] = ends
+    for code, n in mass:
+        code, k = divmod(code, kinds)
+        code, main = divmod(code, kinds)
+        size, rest = divmod(code, MOST_CLASSES + 1)
+        if size < octaves:
+            m[ESCAPE if rest == 0 else CLASSES + (rest - 1) * kinds + main, k] += n
+    for code, n in classes:
+        size, main = divmod(code, kinds)
+        if size < octaves:
+            c[CLASSES + size * kinds + main] += n
+    m[AGAIN] = m[ESCAPE:first].sum(0) / 4  # how often words return within a text is for the mixing to learn
+    for k, (_, _, n) in enumerate(frequent):
+        m[first + k] = n
+    return Vocabulary(n_words + sum(ends), v + (sum(ends) > 0), sum(ends), octaves, m, c, {w: first + k for k, (_, w, _) in enumerate(frequent)})
+
+
+def prepare(text: Text, train: np.ndarray, count: np.ndarray, main: np.ndarray, follows: np.ndarray, bits: int, know: Vocabulary) -> dict[str, np.ndarray]:
+    """What is left to code of a block's documents: ``count`` and ``main`` are the training count
+    and the kind of each distinct word, ``follows`` the training counts of the distinct hashes of
+    contexts and continuations, in order."""
+    n_words, kinds = len(text.words), know.mass.shape[1]
+    own_train = train[text.doc]
+    c = np.r_[count, know.ends][text.token]
+    base = np.log10((c + 0.5) / (know.n_total + 0.5 * (know.distinct + 1)))
+    # occurrences of the token in its document, before and in all
+    order = np.argsort(text.doc * (n_words + 1) + text.token, kind="stable")
+    sorted_ = (text.doc * (n_words + 1) + text.token)[order]
+    head = np.r_[True, sorted_[1:] != sorted_[:-1]] if len(order) else np.zeros(0, bool)
+    group = np.cumsum(head) - 1
+    size = np.bincount(group)
+    before, inside = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+    before[order] = np.arange(len(order)) - np.flatnonzero(head)[group]
+    inside[order] = size[group]
+    rest = c - inside * own_train
+    leaf = np.r_[np.fromiter((know.frequent.get(w, -1) for w in text.words), np.int64, n_words), END][text.token]
+    rare = leaf < 0
+    octave = np.minimum(know.octaves - 1, _octave(rest))
+    known = CLASSES + octave * kinds + np.r_[main, 0][text.token]
+    plain = np.where(rare, np.where(rest > 0, known, ESCAPE), leaf)
+    again = rare & (before > 0)
+    so_far = np.cumsum(rare) - rare
+    so_far = so_far - so_far[text.start][text.doc]
+    share = np.zeros(len(c))
+    share[again] = np.log2(before[again] / so_far[again])
+    of_class = rare & ~again & (rest > 0)
+    share[of_class] = np.log2(np.minimum(1, rest[of_class] / np.maximum(1, know.classes[plain[of_class]])))
+    leaf = np.where(again, AGAIN, plain)
+    # the kind that the tokens before speak for
+    said = know.speaks[plain]
+    said[again] = 0
+    upto = np.cumsum(said, axis=0, dtype=np.float64) - said
+    upto -= upto[text.start][text.doc]
+    kind = (upto + np.log(know.mass.sum(0) + 1)).argmax(1).astype("u1")
+    # what the two tokens before were followed by elsewhere
+    here = np.concatenate(text.follows(bits))
+    docs = np.tile(text.doc.astype(np.uint64), 2)
+    doc_bits = max(1, int(len(text.n)).bit_length())
+    if bits + doc_bits <= 64:
+        packed = (here << np.uint64(doc_bits)) | docs
+        order = np.argsort(packed)
+        sorted_ = packed[order]
+        new, fresh = sorted_[1:] >> np.uint64(doc_bits) != sorted_[:-1] >> np.uint64(doc_bits), sorted_[1:] != sorted_[:-1]
+    else:
+        order = np.lexsort((docs, here))
+        new = here[order][1:] != here[order][:-1]
+        fresh = new | (docs[order][1:] != docs[order][:-1])
+    total, own = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+    total[order] = follows[np.cumsum(np.r_[0, new])]
+    group = np.cumsum(np.r_[0, fresh])
+    own[order] = np.bincount(group)[group]
+    left = np.maximum(0, total - own * np.tile(own_train, 2))
+    around, both = left[: len(c)], left[len(c) :]
+    hit = (both > 0) & (around > 0)
+    coded = around > 0
+    past = np.zeros(len(c), np.int64)
+    for k in (1, 2, 3):
+        last = np.zeros(len(c), np.int64)
+        last[k:] = hit[:-k]
+        last[np.arange(len(c)) - text.start[text.doc] < k] = 0
+        past += last << (k - 1)
+    state = 2 * (8 * np.searchsorted([2, 3, 5, 17], around, "right") + past) + hit
+    share[hit] = np.log2(np.minimum(1, both[hit] / around[hit]))
+    in_tree = ~hit
+    spelled = in_tree & (leaf == ESCAPE)
+    per = lambda x: np.add.reduceat(x.astype(np.int64), text.start) if len(text.start) else np.zeros(0, np.int64)
+    total_of = lambda x: np.add.reduceat(x, text.start) if len(text.start) else np.zeros(0)
+    return {
+        "train": train, "n_tokens": text.n, "n_known": per(c > 0), "base": total_of(base), "share": total_of(share),
+        "state": state[coded].astype("u1"), "n_state": per(coded),
+        "leaf": leaf[in_tree].astype("<u2"), "kind": kind[in_tree], "n_leaf": per(in_tree),
+        "words": np.frombuffer(b" ".join([text.words[k] for k in text.token[spelled].tolist()]), "u1"), "word_kind": kind[spelled], "n_words": per(spelled),
+    }
+
+
+@dataclass
+class Model:
+    know: Vocabulary
+    tree: Tree
+    letters: Tree
+    codes: list[np.ndarray]
+    mixers: dict[str, Mixer]
+
+    @classmethod
+    def new(cls, know: Vocabulary, letters: Tree, tables: list[np.ndarray]) -> Model:
+        """``tables`` are coded counts, two bytes a slot."""
+        mixers = {"match": Mixer.new(0, MATCH_GATES), "tree": Mixer.new(2, Tree.GATES), "spell": Mixer.new(len(ORDERS), SPELL_GATES, 1.3)}
+        return cls(know, Tree(know.mass), letters, [t.view("<u2") for t in tables], mixers)
+
+    def _streams(self, p: dict[str, np.ndarray]) -> Iterator[tuple[str, Callable]]:
+        """The streams of a block, the spelling of its words in parts of bounded size."""
+        yield "match", lambda: match_stream(p["state"], p["n_state"])
+        yield "tree", lambda: self.tree.stream(p["leaf"].astype(np.int64), p["kind"], p["n_leaf"])
+        words, text = p["words"].tobytes().split(b" ") if len(p["word_kind"]) else [], np.repeat(np.arange(len(p["train"])), p["n_words"])
+        part = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) >> 20
+        ends = np.r_[np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), len(part)] if len(part) else np.zeros(1, np.int64)
+        for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            yield "spell", lambda i=i, j=j: Spelling(words[i:j], p["word_kind"][i:j], self.letters).stream(self.codes, p["train"][text[i:j]], text[i:j], len(p["train"]))
+
+    def bits(self, p: dict[str, np.ndarray], settings: Settings) -> np.ndarray:
+        """What each prepared document costs."""
+        cost = -p["share"].astype(np.float64)
+        for name, stream in self._streams(p):
+            cost = cost + run(self.mixers[name], stream(), settings.rate, settings.lane_bits)
+        return cost
+
+    def learn(self, p: dict[str, np.ndarray], settings: Settings) -> list[np.ndarray]:
+        """Learn the mixers on prepared documents: what they have become, weighted by what each
+        of their sets has met, and that."""
+        own = {name: Mixer(*(x.copy() for x in m.arrays())) for name, m in self.mixers.items()}
+        met = {name: [np.zeros(len(m.weights)), np.zeros(len(m.refine))] for name, m in own.items()}
+        for name, stream in self._streams(p):
+            run(own[name], stream(), settings.learning_rate, settings.lane_bits, met[name])
+        out = []
+        for name, start in self.mixers.items():
+            sets, steps = met[name]
+            out += [((own[name].weights - start.weights) * sets[:, None]).ravel(), sets, (own[name].refine - start.refine) * steps, steps]
+        return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [np.zeros(2 << s, np.float32) for s in slots]
-        for _, _, _, _, by_theme, words in _each_range(batches):
-            total = by_theme.sum(axis=1)
-            known = np.flatnonzero(total)
-            count_bits([words[k] for k in known.tolist()], total[known], settings, tables)
+    def learnt(self, sums: list[np.ndarray]) -> None:
+        """Move the mixers to the mean of what blocks have learnt."""
+        for k, mixer in enumerate(self.mixers.values()):
+            w, met, r, steps = sums[4 * k : 4 * k + 4]
+            mixer.weights = (mixer.weights + w.reshape(mixer.weights.shape) / np.maximum(1, met)[:, None]).astype(np.float32)
+            mixer.refine = (mixer.refine + r / np.maximum(1, steps)).astype(np.float32)
+
+
+def part_of(p: dict[str, np.ndarray], keep: np.ndarray) -> dict[str, np.ndarray]:
+    """The prepared documents of ``keep``."""
+    words = p["words"].tobytes().split(b" ") if len(p["word_kind"]) else []
+    held = {k: np.repeat(keep, p[k]) for k in ("n_state", "n_leaf", "n_words")}
+    out = {k: p[k][keep] for k in ("train", "n_tokens", "n_known", "base", "share", "n_state", "n_leaf", "n_words")}
+    out |= {"state": p["state"][held["n_state"]], "leaf": p["leaf"][held["n_leaf"]], "kind": p["kind"][held["n_leaf"]], "word_kind": p["word_kind"][held["n_words"]]}
+    return out | {"words": np.frombuffer(b" ".join([words[k] for k in np.flatnonzero(held["n_words"]).tolist()]), "u1")}
+
+
+def _table_stage(letters: Tree, settings: Settings):
+    """Rows (order, page, task, counts of slots) of the training words of a task's ranges."""
+
+    def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = [np.zeros(2 << s, np.uint32) for s in SLOTS]
+        for batch in batches:
+            for blob in batch.column("payload"):
+                data = _unpack(blob.as_py())
+                n = int(np.frombuffer(data, "<u4", 1)[0])
+                words, main = data[4 + n :].split(b" ") if n else [], np.frombuffer(data, "u1", n, 4)
+                for i in range(0, n, 20_000):
+                    Spelling(words[i : i + 20_000], main[i : i + 20_000], letters).count(tables)
         for k, table in enumerate(tables):
             for page, part in enumerate(table.reshape(settings.pages, -1)):
                 used = np.flatnonzero(part)
                 if len(used):
-                    yield from _rows([(TABLE, k, page, _pack(np.diff(used, prepend=0).astype("<u4").tobytes(), part[used].astype("<f4").tobytes()))]).to_batches()
+                    yield from _rows([(k, page, TaskContext.get().partitionId(), _pack(_bytewise(np.diff(used, prepend=0)), _bytewise(part[used])))]).to_batches()
 
-    return run
+    return run_
 
 
-def _learn_stage(shared, weights: np.ndarray, rate: float, settings: Settings, cuts: list[bytes]):
-    """A row (WEIGHTS, 0, 0, sum of the weights learnt on a task's ranges, by what each set has met)."""
+def _add_pages(settings: Settings):
+    def run_(group: pa.Table) -> pa.Table:
+        k, page, at = (group.column(c)[0].as_py() for c in ("kind", "a", "b"))
+        total = np.zeros((2 << SLOTS[k]) // settings.pages, np.int64)
+        for blob in group.column("payload"):
+            data = _unpack(blob.as_py())
+            n = len(data) // 16
+            total[np.cumsum(_from_bytewise(data, n, 0).astype(np.int64))] += _from_bytewise(data, n, 8 * n).astype(np.int64)
+        used = np.flatnonzero(total)
+        return _rows([(k, page, at, _pack(_bytewise(np.diff(used, prepend=0)), _bytewise(total[used])))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, spans = pickle.loads(shared.value)
-        total, met = np.zeros(weights.shape), np.zeros(len(weights))
-        for number, _, _, _, by_theme, words in _each_range(batches):
-            lexicon = Lexicon(words, by_theme.sum(axis=1).astype(np.int64), *_bounds(cuts, number))
-            passes = max(1, min(settings.epochs, settings.steps * 4096 // max(1, len(lexicon.all.byte))))
-            # ranges are unlike each other, so each starts afresh and none has the last word
-            model.weights, own = weights.copy(), np.zeros(len(weights))
-            for w, prefix, n in lexicon.chunks(spans, 1):
-                own += model.learn(w, prefix, n, rate, passes)
-            total, met = total + model.weights * own[:, None], met + own
-        yield from _rows([(WEIGHTS, 0, 0, pickle.dumps((total, met)))]).to_batches()
+    return run_
 
-    return run
 
+def _add_arrays(group: pa.Table) -> pa.Table:
+    total: list[np.ndarray] = []
+    for blob in group.column("payload"):
+        part = pickle.loads(_unpack(blob.as_py()))
+        total = [x + y for x, y in zip(total, part, strict=True)] if total else part
+    return _rows([(*(group.column(c)[0].as_py() for c in ("kind", "a", "b")), _pack(pickle.dumps(total)))])
 
-def _page_stage(slots: tuple[int, ...], settings: Settings):
-    def run(group: pa.Table) -> pa.Table:
-        k, page = group.column("a")[0].as_py(), group.column("b")[0].as_py()
-        total = np.zeros((2 << slots[k]) // settings.pages)
-        for blob in group.column("payload"):
-            data = _unpack(blob.as_py())
-            n = len(data) // 8
-            total[np.cumsum(np.frombuffer(data, "<u4", n), dtype=np.int64)] += np.frombuffer(data, "<f4", n, 4 * n)
-        return _rows([(TABLE, k, page, _pack(encode(total).tobytes()))])
-
-    return run
-
-
-def _score_stage(shared, weights: np.ndarray, settings: Settings, cuts: list[bytes], prior: np.ndarray):
-    """Rows (SCORES, block, range, log10 probabilities and theme steps): each word of a range is
-    scored once; and (MASS, theme, whole number) with the range's probability under each theme,
-    before normalisation, and under none (-1)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, spans = pickle.loads(shared.value)
-        model.weights = weights
-        for number, blocks, lengths, where, by_theme, words in _each_range(batches):
-            total = by_theme.sum(axis=1)
-            lexicon = Lexicon(words, total.astype(np.int64), *_bounds(cuts, number))
-            score = np.concatenate([model.log10(w, prefix) for w, prefix, _ in lexicon.chunks(spans)]).astype("<f4")
-            steps = theme_steps(by_theme, total, prior, settings.theme_prior)
-            p = np.power(10.0, score.astype(np.float64)) * (total > 0)
-            mass = (p[:, None] * theme_share(steps)).sum(axis=0)
-            out, at = [(MASS, k, int(UNIT * m), b"") for k, m in [(-1, p.sum()), *enumerate(mass.tolist())]], 0
-            for block, n in zip(blocks, lengths, strict=True):
-                own = where[at : at + n]
-                out.append((SCORES, block, number, _pack(np.array([n], "<u4").tobytes(), score[own].tobytes(), steps[own].tobytes())))
-                at += n
-            yield from _rows(out).to_batches()
-
-    return run
 
+def _tree_sum(rows: DataFrame, numbers: int, add, fan_in: int) -> DataFrame:
+    """Rows (kind, a, b, payload), b below ``numbers``, summed over b in rounds: no task holds more than
+    ``fan_in`` payloads of one key."""
+    while numbers > 1:
+        numbers = -(-numbers // fan_in)
+        rows = rows.withColumn("b", F.floor(F.col("b") / fan_in)).groupBy("kind", "a", "b").applyInArrow(add, ROWS_SQL)
+    return rows
 
-RESULT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_bytes bigint, bits_per_byte double"
 
+def _prepare_stage(shared, bits: int, ranges: int, settings: Settings):
+    """Rows (PREPARED, block, 0, documents) and (LEARNT, 0, block, what the mixers learnt)."""
 
-def mixture(static: list[np.ndarray], cache: np.ndarray, start: np.ndarray, shares: tuple[float, ...]) -> np.ndarray:
-    """log10 probability of each document under the Bayes mixture over themes and cache shares.
-    ``static`` are the tokens' probabilities under each theme, ``cache`` those of the cache;
-    ``start`` are the first tokens of the documents. Cache shares are evaluated for a document's
-    best theme alone: what is left out of the mixture is positive, so the sum over all texts
-    stays at most one."""
-    first = np.zeros(len(cache), bool)
-    first[start] = True
-    lengths = np.diff(np.r_[start, len(cache)])
-    with np.errstate(divide="ignore"):
-        plain = np.stack([np.add.reduceat(np.log10(p), start) for p in static])
-        best = np.repeat(plain.argmax(axis=0), lengths)
-        p = np.choose(best, static) if len(static) > 1 else static[0]
-        rest = [np.add.reduceat(np.log10(np.where(first, p, (1 - s) * p + s * cache)), start) for s in shares if s]
-    each = np.concatenate([plain, np.stack(rest)])
-    top = each.max(axis=0)
-    return top + np.log10(np.power(10.0, each - top).sum(axis=0) / (len(static) * len(shares)))
-
-
-def _document_stage(settings: Settings, n_total: int, v: int, ends: int, end_score: float, end_steps: np.ndarray, norm: np.ndarray, cuts: list[bytes]):
-    def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
-        names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"]
-        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64()]
+    def run_(docs: pa.Table, replies: pa.Table) -> pa.Table:
         if not len(docs):
-            return pa.table([pa.array([], t) for t in kinds], names=names)
-        rows = sorted(zip(replies.column("kind").to_pylist(), replies.column("b").to_pylist(), replies.column("payload").to_pylist(), strict=True))
-        join = lambda kind, t: np.frombuffer(b"".join(_unpack(x) for k, _, x in rows if k == kind), t)
-        count, score, steps = join(COUNTS, "<u8").astype(np.float64), [np.array([])], [np.zeros((0, len(norm)), np.uint8)]
-        for data in (_unpack(x) for k, _, x in rows if k == SCORES):
-            n = int(np.frombuffer(data, "<u4", 1)[0])
-            score.append(np.frombuffer(data, "<f4", n, 4).astype(np.float64))
-            steps.append(np.frombuffer(data, np.uint8, -1, 4 + 4 * n).reshape(n, -1))
-        cache, parts, sizes = {}, [], []
-        for body in docs.column("body"):
-            words = tokens(body.as_py())
-            parts.append(np.fromiter((cache.setdefault(w, len(cache)) for w in words), np.int64, len(words)))
-            sizes.append(len(body.as_py()))
-        n_words = np.array([len(p) for p in parts], np.int64)
-        keys = np.fromiter(map(xxhash.xxh64_intdigest, cache), np.uint64, len(cache))
-        rank = np.empty(len(keys), np.int64)
-        rank[np.lexsort((keys, _ranges(list(cache), cuts)))] = np.arange(len(keys))
-        where = rank[np.concatenate(parts)]
-        # every document's tokens are its words and one end, whose number is that of no word
-        stop = np.cumsum(n_words + 1)
-        start = stop - n_words - 1
-        token = np.full(int(stop[-1]), len(keys), np.int64)
-        inner = np.ones(len(token), bool)
-        inner[stop - 1] = False
-        token[inner] = where
-        count, p = np.r_[count, float(ends)], np.power(10.0, np.r_[np.concatenate(score), end_score])
-        theme = theme_share(np.concatenate([*steps, end_steps[None]])) / norm * p[:, None]
-        base = np.log10((count + 0.5) / (n_total + 0.5 * (v + 1)))
-        doc = np.repeat(np.arange(len(start)), n_words + 1)
-        place = np.arange(len(token)) - start[doc]
-        order = np.argsort(doc * (len(keys) + 1) + token, kind="stable")
-        same = np.r_[False, (doc[order][1:] == doc[order][:-1]) & (token[order][1:] == token[order][:-1])]
-        run_ = np.arange(len(order))
-        before = np.empty(len(order))
-        before[order] = run_ - np.maximum.accumulate(np.where(same, 0, run_))
-        own = mixture([theme[token, k] for k in range(len(norm))], before / np.maximum(place, 1), start, settings.shares)
-        size = np.array(sizes, np.int64)
-        out = [
-            docs.column("doc_id").combine_chunks(),
-            pa.array(~np.array(docs.column("train").to_pylist(), bool)),
-            pa.array(n_words + 1),
-            pa.array(np.add.reduceat((count[token] > 0).astype(np.int64), start)),
-            pa.array(np.full(len(start), n_total, np.int64)),
-            pa.array(np.add.reduceat(base[token], start)),
-            pa.array(own),
-            pa.array(size),
-            pa.array(np.where(size > 0, -own * math.log2(10) / np.maximum(size, 1), 0.0)),
-        ]
-        return pa.table([c.cast(t) for c, t in zip(out, kinds, strict=True)], names=names)
-
-    return run
-
-
-def _cuts(docs: DataFrame, body, ranges: int, settings: Settings) -> list[bytes]:
-    """Words at which the alphabet is cut into ranges of about as many different words."""
-    if ranges < 2:
-        return []
-    rate = max(400, settings.cut_docs * ranges) / max(1, docs.count())
-    unit = F.pmod(F.xxhash64(body, F.lit("cut")), F.lit(1 << 30)) / float(1 << 30)
-    some = {w[:16] for r in docs.where(unit < rate).select(F.substring(body, 1, settings.cut_chars).alias("body")).toLocalIterator() for w in tokens(bytes(r["body"]))}
-    words = sorted(some)
-    return sorted({words[k * len(words) // ranges] for k in range(1, ranges)}) if words else []
+            return ROWS.empty_table()
+        model: Model = pickle.loads(shared.value)
+        block, text = docs.column("block")[0].as_py(), Text([b.as_py() for b in docs.column("body")])
+        rows = sorted(zip(replies.column("a").to_pylist(), replies.column("payload").to_pylist(), strict=True))
+        counts, main, follows = [np.zeros(0, np.int64)], [np.zeros(0, "u1")], [np.zeros(0, np.int64)]
+        for a, blob in rows:
+            data = _unpack(blob)
+            n = len(data) // (9 if a < ranges else 8)
+            (counts if a < ranges else follows).append(_from_bytewise(data, n, 0).astype(np.int64))
+            if a < ranges:
+                main.append(np.frombuffer(data, "u1", n, 8 * n))
+        rank = np.empty(len(text.words), np.int64)
+        rank[np.argsort(text.keys)] = np.arange(len(text.words))
+        train = np.array(docs.column("kind").to_pylist(), np.int64) >= 0
+        p = prepare(text, train, np.concatenate(counts)[rank], np.concatenate(main)[rank].astype(np.int64), np.concatenate(follows), bits, model.know)
+        learnt = model.learn(part_of(p, train), settings)
+        p["doc_id"], p["n_bytes"] = docs.column("doc_id").to_pylist(), np.array([len(b.as_py()) for b in docs.column("body")], np.int64)
+        return _rows([(PREPARED, block, 0, _pack(pickle.dumps(p))), (LEARNT, 0, block, _pack(pickle.dumps(learnt)))])
+
+    return run_
+
+
+RESULT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_bytes bigint, bits_per_byte double"
+RESULT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64()), ("bits_per_byte", pa.float64())])
+
+
+def _score_stage(shared, settings: Settings):
+    def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model: Model = pickle.loads(shared.value)
+        for batch in batches:
+            for blob in batch.column("payload"):
+                p = pickle.loads(_unpack(blob.as_py()))
+                cost, size = model.bits(p, settings), p["n_bytes"]
+                columns = [p["doc_id"], ~p["train"], p["n_tokens"], p["n_known"], np.full(len(size), model.know.n_total), p["base"], -cost * math.log10(2), size, np.where(size > 0, cost / np.maximum(size, 1), 0.0)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, RESULT_SCHEMA.types, strict=True)], schema=RESULT_SCHEMA)
+
+    return run_
 
 
 def score(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text", theme: str | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte.
 
-    ``theme`` names the column whose frequent values are the themes; by default there is one."""
+    ``theme`` names the column whose frequent values are the kinds; by default there is one."""
     spark = docs.sparkSession
+    size, parts = plan_bytes(docs), parts_for(docs)
     blocks, ranges = block_count(docs, settings.block_bytes), block_count(docs, settings.range_bytes)
-    parts = parts_for(docs)
+    bits = min(60, settings.context_bits + max(20, math.ceil(math.log2(max(2, size)))))
     id_, body = F.col(doc_id), utf8(F.col(text))
     train = fold(id_) != 1
-    values = [] if theme is None else [r[0] for r in docs.where(train & F.col(theme).isNotNull()).groupBy(theme).count().orderBy(F.desc("count"), theme).limit(settings.themes - 1).collect()]
-    themes = len(values) + 1
-    number = F.lit(themes - 1)
+    values = [] if theme is None else [r[0] for r in docs.where(train & F.col(theme).isNotNull()).groupBy(theme).count().orderBy(F.desc("count"), theme).limit(settings.kinds - 1).collect()]
+    kinds = len(values) + 1
+    kind = F.lit(kinds - 1)
     for k, value in enumerate(values):
-        number = F.when(F.col(theme) == value, k).otherwise(number)
-    rows = docs.select(id_.cast("long").alias("doc_id"), body.alias("body"), train.alias("train"), F.when(train, number).otherwise(-1).alias("theme"), F.pmod(F.xxhash64(id_, body), F.lit(blocks)).alias("block"))
-    cuts = _cuts(docs, body, ranges, settings)
-    runs = staged(rows.select("body", "theme", "block").groupBy("block").applyInArrow(_vocabulary_stage(cuts, themes), ROWS_SQL), "words", parts)
-    merged = staged(runs.groupBy("a").applyInArrow(_range_stage(settings, cuts, themes), ROWS_SQL), "ranges", parts)
-    of = lambda kind: merged.where(F.col("kind") == kind)
+        kind = F.when(F.col(theme) == value, k).otherwise(kind)
+    rows = docs.select(id_.cast("long").alias("doc_id"), body.alias("body"), F.when(train, kind).otherwise(-1).alias("kind"), F.pmod(F.xxhash64(id_, body), F.lit(blocks)).alias("block"))
+    ends = Counter({r["kind"]: r["n"] for r in rows.groupBy("kind").agg(F.count("*").alias("n")).collect()})
+    runs = rows.select("body", "kind", "block").groupBy("block").applyInArrow(_runs_stage(bits, ranges, kinds), ROWS_SQL)
+    merged = staged(runs.groupBy("a").applyInArrow(_range_stage(ranges, kinds), ROWS_SQL), "ranges", parts)
+    of = lambda name: merged.where(F.col("kind") == name)
     totals = of(TOTALS).agg(F.sum("a").alias("n"), F.sum("b").alias("v")).first()
-    sizes = {r["a"]: r["n"] for r in of(THEME).groupBy("a").agg(F.sum("b").alias("n")).collect()}
-    prior = np.array([sizes.get(k, 0) for k in range(themes)], np.float64) + 1
-    prior /= prior.sum()
-    ends = docs.where(train).count()
-    n_total, v = (totals["n"] or 0) + ends, (totals["v"] or 0) + (ends > 0)
-    end = Words([b""])
-    spans = [Shared.of(end, np.array([ends]), np.ones(1, bool))] + [pickle.loads(_unpack(bytes(r["payload"]))) for r in of(SPAN).toLocalIterator()]
-    spans = Shared(np.concatenate([k for k, _ in spans]), np.concatenate([n for _, n in spans]))
-    found = [np.zeros(0, np.uint64) for _ in settings.slots]
-    for r in of(SAMPLE).toLocalIterator():
-        found[r["a"]] = np.union1d(found[r["a"]], np.frombuffer(_unpack(bytes(r["payload"])), "<u8"))
-    slots = tuple(max(s, math.ceil(math.log2(max(1, settings.spare * settings.measure * len(x))))) for s, x in zip(settings.slots, found, strict=True))
-    tables = [np.zeros(2 << s, np.uint8) for s in slots]
-    for r in of(RANGE).mapInArrow(_count_stage(slots, settings), ROWS_SQL).groupBy("a", "b").applyInArrow(_page_stage(slots, settings), ROWS_SQL).toLocalIterator():
-        tables[r["a"]].reshape(settings.pages, -1)[r["b"]] = np.frombuffer(_unpack(bytes(r["payload"])), np.uint8)
-    for bit, places, _ in end.bits(slots):
-        for table, at in zip(tables, places, strict=True):
-            k = at * 2 + bit
-            table[k] = encode(COUNT[table[k]] + ends)
-    model = Model(tables, settings)
-    shared = spark.sparkContext.broadcast(cloudpickle.dumps((model, spans)))
-    for k in range(settings.rounds):
-        learnt = [pickle.loads(bytes(r["payload"])) for r in of(RANGE).mapInArrow(_learn_stage(shared, model.weights, settings.rate / (1 + k), settings, cuts), ROWS_SQL).collect()]
-        met = sum((m for _, m in learnt), np.zeros(len(model.weights)))[:, None]
-        model.weights = np.where(met > 0, sum((w for w, _ in learnt), 0.0) / np.maximum(met, 1), model.weights).astype(np.float32)
-    scored = staged(of(RANGE).mapInArrow(_score_stage(shared, model.weights, settings, cuts, prior), ROWS_SQL), "scores", parts)
-    # words never seen and the end have the themes' own shares; with them each theme's mass is whole
-    prefix = end.prefix_counts(np.zeros(1))
-    spans.fill(end, np.ones(1, bool), prefix)
-    end_score = float(model.log10(end, prefix)[0])
-    steps = theme_steps(np.zeros(themes), np.zeros(()), prior, settings.theme_prior)
-    mass = {r["a"]: r["m"] / UNIT for r in scored.where(F.col("kind") == MASS).groupBy("a").agg(F.sum("b").alias("m")).collect()}
-    norm = np.array([mass.get(k, 0.0) for k in range(themes)]) + (1 - mass.get(-1, 0.0)) * theme_share(steps)
-    replies = of(COUNTS).unionByName(scored.where(F.col("kind") == SCORES))
-    return rows.select("doc_id", "body", "train", "block").groupBy("block").cogroup(replies.groupBy("a")).applyInArrow(_document_stage(settings, n_total, v, ends, end_score, steps, norm, cuts), RESULT)
+    sums = lambda name: [(r["a"], r["n"]) for r in of(name).groupBy("a").agg(F.sum("b").alias("n")).collect()]
+    octaves = max(4, math.ceil(math.log2(max(1, (totals["n"] or 0) / settings.frequent))))
+    frequent = [(r["a"], *pickle.loads(bytes(r["payload"]))) for r in of(FREQUENT).where(F.col("a") >= 1 << octaves).select("a", "payload").collect()]
+    know = vocabulary(totals["n"] or 0, totals["v"] or 0, [ends[k] for k in range(kinds)], sums(MASS), sums(CLASS), frequent, octaves)
+    mass = np.zeros((256, 1))
+    for byte, n in sums(LETTER):
+        mass[byte] = n
+    letters = Tree(mass)
+    tables = [np.zeros(2 << s, np.uint8) for s in SLOTS]
+    found = of(FOUND)
+    pages = _tree_sum(found.mapInArrow(_table_stage(letters, settings), ROWS_SQL), found.rdd.getNumPartitions(), _add_pages(settings), settings.fan_in)
+    for r in pages.toLocalIterator():
+        data = _unpack(bytes(r["payload"]))
+        n = len(data) // 16
+        tables[r["kind"]].reshape(settings.pages, -1)[r["a"]][np.cumsum(_from_bytewise(data, n, 0).astype(np.int64))] = encode(_from_bytewise(data, n, 8 * n))
+    model = Model.new(know, letters, tables)
+    shared = spark.sparkContext.broadcast(cloudpickle.dumps(model))
+    ready = rows.groupBy("block").cogroup(of(REPLY).groupBy("b")).applyInArrow(_prepare_stage(shared, bits, ranges, settings), ROWS_SQL)
+    ready = staged(ready, "prepared", parts)
+    discard(merged)
+    learnt = _tree_sum(ready.where(F.col("kind") == LEARNT), blocks, _add_arrays, settings.fan_in).collect()
+    if learnt:
+        model.learnt(pickle.loads(_unpack(bytes(learnt[0]["payload"]))))
+    return ready.where(F.col("kind") == PREPARED).select("payload").mapInArrow(_score_stage(spark.sparkContext.broadcast(cloudpickle.dumps(model)), settings), RESULT)

@@ -5,14 +5,12 @@ import hashlib
 import io
 import itertools
 import math
-import pickle
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import duckdb
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -212,88 +210,6 @@ def test_quality_equals_brute_force(docs, rows, empty):
     assert quality.ledger(empty).count() == 0
 
 
-def test_lm_baseline_and_normalisation(docs, rows):
-    got = {}
-    for r in lm_scoring.score(docs, theme="lang").collect():
-        got.setdefault(r.doc_id, []).append(r)
-    tokens = lambda t: [*re.findall(WORD, ascii_lower(t or "")), None]
-    train = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 != 1
-    c = Counter(w for i, t in rows if train(i) for w in tokens(t))
-    n, v = sum(c.values()), len(c)
-    for i, t in rows:
-        k = tokens(t)
-        base = sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in k)
-        assert any(r.n_tokens == len(k) and r.n_known == sum(c[w] > 0 for w in k) and r.train_tokens == n and r.base_score == pytest.approx(base) and r.held_out != train(i) and r.score < 0 for r in got[i]), i
-    tables = lm_scoring.empty_tables(lm_scoring.Settings())
-    lm_scoring.count_bits([b"ab", b"a", b""], np.array([5, 3, 2]), lm_scoring.Settings(), tables)
-    model = lm_scoring.Model(tables, lm_scoring.Settings())
-    first = [bytes([b]) for b in range(256) if b != 0x20]
-    total = sum(np.power(10.0, _first_byte(model, [b""] + first)))
-    assert total == pytest.approx(1, abs=1e-3)
-
-
-def _first_byte(model, words):
-    """log10 probability of each word's first byte (the terminator for the end)."""
-    w = lm_scoring.Words(words)
-    total = np.zeros(len(w.byte))
-    for bit, x, gate in model.inputs(w):
-        z = np.clip((x * model.weights[gate]).sum(1), -14, 14)
-        total -= np.log1p(np.exp(np.where(bit == 1, -z, z)))
-    return total[w.start] / math.log(10)
-
-
-def test_lm_learns(spark):
-    r = random.Random(2)
-    words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7))) for _ in range(300)]
-    rows = [(i, " ".join(words[min(299, int(r.expovariate(0.02)))] for _ in range(60))) for i in range(400)]
-    got = lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").agg(F.avg("bits_per_byte")).first()[0]
-    assert got < 2.5
-
-
-def test_lm_prefixes_are_counted_exactly_whatever_the_cuts():
-    r = random.Random(21)
-    words = sorted({"".join(r.choice("abé") for _ in range(r.randint(1, 7))).encode() for _ in range(400)}, key=lambda w: w + b" ")
-    total = np.array([r.choice([0, 1, 1, 2, 9]) for _ in words])
-    brute = Counter()
-    for w, n in zip(words, total.tolist(), strict=True):
-        bits = "".join(f"{b:08b}" for b in w + b" ")
-        brute.update({bits[: k + 1]: n for k in range(len(bits))})
-    for cuts in ([], [b"ab", b"abba", "aé".encode(), b"b"]):
-        of = lm_scoring._ranges(words, cuts)
-        ranges = [lm_scoring.Lexicon([w for w, k in zip(words, of, strict=True) if k == i], total[of == i], *lm_scoring._bounds(cuts, i)) for i in range(len(cuts) + 1)]
-        parts = [lm_scoring.Shared.of(x.all, x.total, x.inside) for x in ranges]
-        shared = lm_scoring.Shared(np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts]))
-        for x in ranges:
-            for w, prefix, n in x.chunks(shared):
-                at = 0
-                for i in range(len(n)):
-                    word = x.words[i]
-                    bits = "".join(f"{b:08b}" for b in word + b" ")
-                    for k in range(len(bits)):
-                        assert prefix[k % 8, at + k // 8].tolist() == [brute[bits[:k] + "0"], brute[bits[:k] + "1"]], (cuts, word, k)
-                    at += len(word) + 1
-
-
-def test_lm_weights_are_learnt_from_every_training_word(spark, monkeypatch):
-    r = random.Random(22)
-    rows = [(i, " ".join("".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(8))) for i in range(900)]
-    seen, read = [], pickle.loads
-    monkeypatch.setattr(lm_scoring.pickle, "loads", lambda data: (lambda x: (seen.append(x), x)[1])(read(data)))
-    lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), lm_scoring.Settings(rounds=1))
-    met = sum(x[1].sum() for x in seen if isinstance(x, tuple) and len(x) == 2 and getattr(x[0], "ndim", 0) == 2 and x[1].ndim == 1)
-    train = [t for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
-    assert len(train) > 600 and met == sum(8 * (len(w) + 1) for t in train for w in t.split())
-
-
-def test_lm_leaves_a_words_own_occurrence_out():
-    words, n = [b"abc", b"xyz"], np.array([1, 5])
-    tables = lm_scoring.empty_tables(lm_scoring.Settings())
-    lm_scoring.count_bits(words, n, lm_scoring.Settings(), tables)
-    model, w = lm_scoring.Model(tables, lm_scoring.Settings()), lm_scoring.Words(words)
-    (_, x, _), *_ = model.inputs(w, w.prefix_counts(n), leave=True)
-    assert (x[1:4, :-1][:, 1:] == 0).all() and (x[5:8, 1:-1] != 0).all()
-
-
 def test_language_identification(spark, docs, empty):
     r = random.Random(4)
     words = {k: ["".join(r.choice(a) for _ in range(r.randint(2, 8))) for _ in range(80)] for k, a in (("aa", "abcdeg"), ("bb", "klmnou"))}
@@ -473,24 +389,6 @@ def test_zip_of_bytes():  # the writer's members stand alone
     assert gzip.GzipFile(fileobj=io.BytesIO(raw)).read().endswith(b"abc\r\n\r\n")
 
 
-def test_mixture_of_themes_and_cache():
-    static = [np.array([0.5, 0.2, 0.1, 0.4]), np.array([0.1, 0.1, 0.6, 0.4])]
-    cache = np.array([0.0, 0.5, 0.0, 1.0])
-    got = np.power(10.0, lm_scoring.mixture(static, cache, np.array([0, 2]), (0.0, 0.5)))
-    # a document's first token has no cache; the second share counts for the better theme alone
-    want = [(0.5 * 0.2 + 0.1 * 0.1 + 0.5 * (0.5 * 0.2 + 0.25)) / 4, (0.1 * 0.4 + 0.6 * 0.4 + 0.6 * (0.2 + 0.5)) / 4]
-    assert got == pytest.approx(want)
-
-
-def test_themes_help_texts_of_their_own(spark):
-    r = random.Random(8)
-    words = {k: ["".join(r.choice(a) for _ in range(4)) for _ in range(200)] for k, a in (("aa", "abcd"), ("bb", "efgh"), ("cc", "ijkl"))}
-    rows = [(i, " ".join(r.choice(words[k]) for _ in range(50)), k) for i, k in ((i, "abc"[i % 3] * 2) for i in range(300))]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    mean = lambda d: d.where("held_out").agg(F.avg("score")).first()[0]
-    assert mean(lm_scoring.score(df, theme="lang")) > mean(lm_scoring.score(df)) + 15
-
-
 def test_small_groups_of_copies_share_a_shard(spark):
     rows = spark.range(30000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.floor(F.col("id") / 3).cast("string"), F.repeat(F.lit("z"), (F.floor(F.col("id") / 3) % 30).cast("int"))).alias("text"))
     found = sharding.shard_by_size(rows, range_rows=512)
