@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from lectern.config import Config, parse_overrides
-from lectern.operators import context, ingest, lexical
+from lectern.operators import chunking, context, ingest, lexical
 from lectern.sources.books import discover, read_blocks
 from lectern.sources.index_store import IndexStore, books_of, chapters_of
 
@@ -17,7 +17,7 @@ def build(spark: SparkSession, folder: str, cfg: Config):
     """Chunks of all books of a folder."""
     blocks = read_blocks(discover(spark, folder)).where("text is not null").withColumnRenamed("path", "book")
     units = ingest.paragraph_units(ingest.annotate(blocks, cfg.get("chunk.heading_ratio", 1.15)))
-    chunks = ingest.pack_chunks(units, cfg.get("chunk.tokens", 700), cfg.get("chunk.overlap", 120), cfg.get("chunk.min_tokens", 60))
+    chunks = chunking.pack_chunks(units, cfg.get("chunk.tokens", 700), cfg.get("chunk.overlap", 120), cfg.get("chunk.min_tokens", 60))
     return ingest.dedup_passages(chunks)
 
 

@@ -13,10 +13,11 @@ from lectern.plans.tables import table
 
 def _answers(spark: SparkSession, d: str) -> DataFrame:
     """Assistant messages as answers, with markers put in by rule so that every rung of the
-    ladder is met; three passages are on offer, two of them with the same label."""
+    ladder is met, and a reply that only looks like a refusal; three passages are on offer, two of
+    them with the same label."""
     rows = table(spark, d, "conversations").where("role = 'assistant'")
     key = (F.col("conv_id") * 100 + F.col("turn")).alias("answer_id")
-    k = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(7))
+    k = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(8))
     body = F.col("text")
     raw = (
         F.when(k == 0, F.concat(body, F.lit(" [1]. And more [2, 3].")))
@@ -25,16 +26,18 @@ def _answers(spark: SparkSession, d: str) -> DataFrame:
         .when(k == 3, body)
         .when(k == 4, F.concat(body, F.lit(" [2].\n\nA plain second part without any marker at all.")))
         .when(k == 5, F.concat(F.lit("It is given by:\n\n$x$\n\nso "), body, F.lit(" [3].")))
+        .when(k == 6, F.concat(F.lit("NOT IN SOURCE is what others say of it.\n- Or this:\n"), body, F.lit("\n[1]")))
         .otherwise(F.concat(body, F.lit(" [2][1]")))
     )
     return rows.select(key, k.alias("k"), raw.alias("raw"), F.array(F.lit("A, p.1"), F.lit("B, p.2"), F.lit("A, p.1")).alias("citations"))
 
 
 RAW = r"""
-a as (select conv_id * 100 + turn as answer_id, (conv_id + turn) % 7 as k, text as body from conversations where role = 'assistant'),
+a as (select conv_id * 100 + turn as answer_id, (conv_id + turn) % 8 as k, text as body from conversations where role = 'assistant'),
 r as (select answer_id, k, case k when 0 then body || ' [1]. And more [2, 3].' when 1 then 'NOT_IN_SOURCE: ' || body when 2 then body || ' [1; 9].' when 3 then body
       when 4 then body || ' [2].' || chr(10) || chr(10) || 'A plain second part without any marker at all.'
-      when 5 then 'It is given by:' || chr(10) || chr(10) || '$x$' || chr(10) || chr(10) || 'so ' || body || ' [3].' else body || ' [2][1]' end as raw from a),
+      when 5 then 'It is given by:' || chr(10) || chr(10) || '$x$' || chr(10) || chr(10) || 'so ' || body || ' [3].'
+      when 6 then 'NOT IN SOURCE is what others say of it.' || chr(10) || '- Or this:' || chr(10) || body || chr(10) || '[1]' else body || ' [2][1]' end as raw from a),
 n as (select answer_id, k, raw, list_sort(list_distinct(flatten(list_transform(regexp_extract_all(raw, '\[\d+(?:\s*[,;]\s*\d+)*\]'), lambda g: list_transform(regexp_extract_all(g, '\d+'), lambda x: x::int))))) as cited from r)"""
 
 
@@ -146,13 +149,15 @@ def _values(rows: list, names: str) -> str:
 
 
 def _math_sql(t: str) -> str:
-    t = rf"regexp_replace({t}, '\${{1,2}}', ' ', 'g')"
-    for pattern, by in ((r"\\(?:text|mathrm|mathit|mathbf|operatorname|rm)\{([^{}]*)\}", r"\1"), (r"_\{([^{}]*)\}", r"_\1"), (r"\^\{([^{}]*)\}", r"^\1"), (r"\\[dt]?frac\{([^{}]*)\}\{([^{}]*)\}", r"(\1)/(\2)")):
+    """Nested braces first, then commands, as a reader of the formulas would write it out."""
+    t = rf"regexp_replace({t}, '\$+', ' ', 'g')"
+    for command, by in ((r"\\(?:text|mathrm|mathit|mathbf|operatorname|rm)", ""), ("_", "_"), (r"\^", "^")):
         for _ in range(4):
-            t = f"regexp_replace({t}, '{pattern}', '{by}', 'g')"
-    for pattern, by in ((r"\\(?:left|right)\b", ""), (r"\\(?:cdot|times)\b", "*"), (r"\\([A-Za-z]+)", r"\1"), (r"\s+", " ")):
-        t = f"regexp_replace({t}, '{pattern}', '{by}', 'g')"
-    return f"trim({t})"
+            t = rf"regexp_replace({t}, '{command}\{{([^{{}}]*)\}}', '{by}\1', 'g')"
+    for _ in range(4):
+        t = rf"regexp_replace({t}, '\\[dt]?frac\{{([^{{}}]*)\}}\{{([^{{}}]*)\}}', '(\1)/(\2)', 'g')"
+    t = rf"regexp_replace(regexp_replace({t}, '\\(left|right)\b', '', 'g'), '\\(cdot|times)\b', '*', 'g')"
+    return rf"trim(regexp_replace(replace({t}, '\', ''), '\s+', ' ', 'g'))"
 
 
 def _strip_sql(t: str) -> str:
@@ -173,8 +178,21 @@ select answer_id, array_to_string(cited, ',') as cited, coalesce(c, 0)::int as u
     "answer_sources": f"""with {RAW}, c as (select answer_id, unnest(case when len(list_filter(cited, lambda x: x between 1 and 3)) > 0 then list_filter(cited, lambda x: x between 1 and 3) else [1, 2, 3] end) as n from n),
 l as (select answer_id, ['A, p.1', 'B, p.2', 'A, p.1'][n] as label, string_agg('[' || n || ']', '' order by n) as m, min(n) as f from c group by 1, 2)
 select answer_id, string_agg(m || ' ' || label, chr(10) order by f) as sources from l group by 1""",
-    "answer_verdict": f"""with {RAW} select answer_id, case when regexp_matches(raw, '(?is)^\\s*NOT[_ ]IN[_ ]SOURCE\\b') then 'not_in_source'
+    "answer_verdict": f"""with {RAW} select answer_id, case when regexp_matches(raw, '(?i)^\\s*NOT_IN_SOURCE') then 'not_in_source'
 when len(list_filter(cited, lambda x: x < 1 or x > 3)) > 0 then 'invalid_citation' when len(cited) = 0 then 'no_citation' when answer_id % 3 = 0 then 'failed_claim' else 'accepted' end as verdict from n""",
+    "statement_cover": rf"""with {RAW},
+p as (select answer_id, unnest(l) as p, generate_subscripts(l, 1) as par from (select answer_id, regexp_split_to_array(trim(raw, ' ' || chr(10)), '\n\s*\n') as l from n)),
+q as (select answer_id, par, unnest(l) as q, generate_subscripts(l, 1) as nth from (select answer_id, par, string_split(regexp_replace(regexp_replace(p, '([.!?])\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)) as l from p)),
+c as (select *, nullif(list_sort(list_distinct(list_transform(flatten(list_transform(regexp_extract_all(q, '\[\d+(?:\s*[,;]\s*\d+)*\]'), lambda g: regexp_extract_all(g, '\d+'))), lambda x: x::int))), []) as own,
+      trim(regexp_replace(trim(regexp_replace(regexp_replace(q, '\[\d+(?:\s*[,;]\s*\d+)*\]', '', 'g'), '\s+([.,;:!?])', '\1', 'g')), '^[-*\x{{2022}}#> ]+', '')) as body from q),
+l as (select *, own is null and body like '%:' as lead from c),
+g as (select *, count(case when body <> '' and not lead then 1 end) over (partition by answer_id order by par, nth rows between unbounded preceding and 1 preceding) as g from l),
+w as (select *, string_agg(case when lead then body end, ' ') over (partition by answer_id, g order by par, nth rows between unbounded preceding and 1 preceding) as leads,
+      coalesce(first_value(own ignore nulls) over (partition by answer_id, par order by nth rows between current row and unbounded following), last_value(own ignore nulls) over (partition by answer_id, par order by nth rows unbounded preceding),
+               first_value(own ignore nulls) over (partition by answer_id order by par, nth rows between current row and unbounded following), last_value(own ignore nulls) over (partition by answer_id order by par, nth rows unbounded preceding), []) as cites from g),
+s as (select answer_id, par, nth, own, cites, concat_ws(' ', leads, body) as statement from w where body <> '' and not lead)
+select answer_id, row_number() over (partition by answer_id order by par, nth)::int as id, statement, array_to_string(cites, ',') as cites from s
+where case when own is not null then regexp_matches(statement, '[\p{{L}}\p{{N}}]') else contains(statement, '$') or contains(statement, chr(92)) or len(regexp_split_to_array(statement, '\s+')) >= 4 end""",
     "answer_gate": "select doc_id, doc_id % 5 <> 0 and trim(case when doc_id % 7 = 0 then ' ' else text end) <> '' and coalesce(case when doc_id % 11 <> 0 then (doc_id % 20) / 100.0 end, -1e9)::double >= 0.05 as answered from documents",
     "claim_check": """with s as (select conv_id as answer_id, (conv_id * 7 + turn * 3) % 41 as k from conversations)
 select answer_id, bool_and(k not in (0, 1, 2)) as claims_ok, count(case when k in (0, 1, 2) then 1 end) as n_failed from s group by 1""",

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions.text import book_id, is_title, is_upper, looks_like_heading, sentences, tail_tokens, token_count, truncate_tokens
-from lectern.operators import ingest
+from lectern.operators import chunking, ingest
 from lectern.plans.tables import table
 
 #: With sources as books the usual share of 0.30 finds nothing in the larger tables.
@@ -79,7 +79,7 @@ def _units(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_pack(spark: SparkSession, d: str) -> DataFrame:
-    return ingest.pack_chunks(_units(spark, d))
+    return chunking.pack_chunks(_units(spark, d))
 
 
 def passage_dedup(spark: SparkSession, d: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.operators import answer, context, dense, evaluation, fusion, ingest, lexical, paper
-from lectern.operators.ingest import Packer
+from lectern.operators.chunking import Limits, Unit, chunks_of, cost
 
 
 def one(spark, value, f):
@@ -83,32 +83,57 @@ def test_furniture_of_five_pages(spark):
 
 
 def pack(units, limit=60, overlap=10, least=8):
-    p = Packer(limit, overlap, least)
-    for u in units:
-        p.add({"section": "", "start": 1, "end": 1, "marks": [(0, 1)], **u})
-    return p.close()
+    return chunks_of([Unit(**u) for u in units], Limits(limit, overlap, least))
 
 
 def test_chunks_stay_within_the_limit_and_their_chapter():
     units = [{"text": f"Sentence number {i} is here. " * (1 + i % 9), "chapter": "AB"[i // 20], "section": f"s{i // 5}"} for i in range(40)]
     units.append({"text": "entropy" * 400, "chapter": "B"})
     chunks = pack(units)
-    assert all(Packer.cost(c["text"]) <= 60 for c in chunks)
-    assert [c["chapter"] for c in chunks] == sorted(c["chapter"] for c in chunks)
-    assert sum(c["text"].count("entropy") for c in chunks) >= 390
+    assert all(cost(c.text) <= 60 for c in chunks)
+    assert [c.chapter for c in chunks] == sorted(c.chapter for c in chunks)
+    assert sum(c.text.count("entropy") for c in chunks) >= 390
+    text = " ".join(c.text for c in chunks)
+    assert all(f"Sentence number {i} is here." in text for i in range(40))
 
 
 def test_small_rests_fold_back_or_wait():
     chunks = pack([{"text": "a" * 120, "chapter": "1"}, {"text": "tiny", "chapter": "2"}, {"text": "b" * 120, "chapter": "2"}])
-    assert [c["chapter"] for c in chunks] == ["1", "2"] and chunks[1]["text"].startswith("tiny")
+    assert [c.chapter for c in chunks] == ["1", "2"] and chunks[1].text.startswith("tiny")
     chunks = pack([{"text": "tiny", "chapter": "1"}, {"text": "b" * 120, "chapter": "2"}])
-    assert [(c["chapter"], c["text"][:4]) for c in chunks] == [("1", "tiny"), ("2", "bbbb")]
+    assert [(c.chapter, c.text[:4]) for c in chunks] == [("1", "tiny"), ("2", "bbbb")]
+    chunks = pack([{"text": "a" * 120, "chapter": "1"}, {"text": "c" * 130, "chapter": "1"}, {"text": "tiny", "chapter": "1"}, {"text": "b" * 120, "chapter": "2"}], overlap=0)
+    assert [c.text[-4:] for c in chunks] == ["aaaa", "tiny", "bbbb"]
 
 
-def test_oversized_unit_keeps_its_pages():
+def test_oversized_unit_keeps_its_pages_and_overlaps_by_whole_sentences():
     text = "First part is long enough. " * 20 + "Second part is here. " * 20
-    chunks = pack([{"text": text, "chapter": "", "marks": [(0, 1), (540, 2)], "end": 2}])
-    assert chunks[0]["start"] == 1 and chunks[-1]["end"] == 2
+    chunks = pack([{"text": text, "marks": ((0, 1), (540, 2)), "last": 2}])
+    assert chunks[0].first == 1 and chunks[-1].last == 2
+    sentences = [c.text.replace("enough. F", "enough.|F").replace("here. S", "here.|S").replace("enough. S", "enough.|S").split("|") for c in chunks]
+    assert all(a[-1] == b[0] for a, b in zip(sentences, sentences[1:]))
+    plain = pack([{"text": "word " * 300}])
+    assert all(cost(c.text) <= 60 for c in plain) and sum(c.text.count("word") for c in plain) >= 300
+
+
+def test_chunks_end_where_the_next_unit_finds_no_room():
+    """Boundaries by trying: a chunk takes units as long as their costs and separators fit."""
+    sizes = [40, 80, 120, 20, 60, 100, 44, 36, 28, 160, 90]
+    chunks = pack([{"text": chr(97 + k) * n} for k, n in enumerate(sizes)], overlap=0, least=1)
+    want, load = [[]], 0
+    for k, n in enumerate(sizes):
+        if want[-1] and load + n // 4 + 2 > 60:
+            want.append([])
+            load = 0
+        want[-1].append(k)
+        load += n // 4 + 2
+    assert [sorted({ord(ch) - 97 for ch in c.text if ch.isalpha()}) for c in chunks] == want
+
+
+def test_sections_of_a_chunk_and_of_its_overlap():
+    body = "A sentence of some words stands here. "
+    chunks = pack([{"text": body * n, "section": s} for n, s in ((1, "A"), (1, "B"), (1, "A"), (4, "C"))], overlap=12, least=1)
+    assert [c.label for c in chunks] == ["A – B", "B – C"] and chunks[1].text.startswith("s here. ")
 
 
 def test_section_ranges(spark):
@@ -116,14 +141,30 @@ def test_section_ranges(spark):
     assert [r[0] for r in df.select(T.section_label(F.col("s"))).collect()] == ["a – c", "a", "", "z"]
 
 
-def test_statements_and_their_cover():
-    f = answer.split_statements
-    assert f("A plain claim stands here. Another one follows it [2].") == [("A plain claim stands here.", [2]), ("Another one follows it.", [2])]
-    assert f("It is given by:\n\n$E = m$\n\nThis follows from that [5].") == [("It is given by: $E = m$", [5]), ("This follows from that.", [5])]
-    assert f("Cited here first [1]. The tail has no marker.") == [("Cited here first.", [1]), ("The tail has no marker.", [1])]
-    assert f("Uncited words at the end only") == [("Uncited words at the end only", [])]
-    assert f("No [3].") == [("No.", [3])]
-    assert f("Earlier words wait for it\n\n[4]") == [("Earlier words wait for it", [4])]
+def test_statements_and_their_cover(spark):
+    cases = {
+        "A plain claim stands here. Another one follows it [2].": [("A plain claim stands here.", [2]), ("Another one follows it.", [2])],
+        "It is given by:\n\n$E = m$\n\nThis follows from that [5].": [("It is given by: $E = m$", [5]), ("This follows from that.", [5])],
+        "Cited here first [1]. The tail has no marker.": [("Cited here first.", [1]), ("The tail has no marker.", [1])],
+        "Uncited words at the end only": [("Uncited words at the end only", [])],
+        "No [3].": [("No.", [3])],
+        "Earlier words wait for it\n\n[4]": [("Earlier words wait for it", [4])],
+        "Heat is energy in transit [1].\n\nIt always flows from hot to cold.": [("Heat is energy in transit.", [1]), ("It always flows from hot to cold.", [1])],
+        "$$ S = k \\ln W $$\n[2]": [("$$ S = k \\ln W $$", [2])],
+        "It needs a temperature gradient [2].\n\n## Notes\nWork is done by the gas [1][3].": [("It needs a temperature gradient.", [2]), ("Work is done by the gas.", [1, 3])],
+        "": [],
+    }
+    rows = spark.createDataFrame(list(enumerate(cases)), "answer_id long, raw string")
+    got = {}
+    for r in answer.statements(rows).orderBy("answer_id", "id").collect():
+        got.setdefault(r.answer_id, []).append((r.statement, r.cites))
+    assert [got.get(k, []) for k in range(len(cases))] == list(cases.values())
+
+
+def test_refusals(spark):
+    said = ["NOT_IN_SOURCE", " not_in_source: nothing on it", "NOT IN SOURCE [1].", "It is NOT_IN_SOURCE [1]."]
+    rows = spark.createDataFrame([(s,) for s in said], "raw string").select(answer.verdict(F.col("raw"), F.lit(1), F.lit(True)))
+    assert [r[0] for r in rows.collect()] == ["not_in_source", "not_in_source", "accepted", "accepted"]
 
 
 def test_claims_fail_closed(spark):
