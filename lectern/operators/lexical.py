@@ -1,58 +1,75 @@
 """BM25 over an inverted index that is a DataFrame.
 
-Statistics are those of the whole corpus, whatever filter a query has; the filter applies to
-scores. The Okapi weights are ours to state: idf = ln(N - n + 0.5) - ln(n + 0.5); a negative
-idf becomes a quarter of the mean idf of the vocabulary; k1 = 1.5, b = 0.75.
+An index is made in one scan of the texts and stored: postings (term, key, f, dl), counted before
+and after one shuffle, and the terms with their weights. What is read again for a search
+are the postings, never the texts. The statistics are those of the whole corpus, whatever filter a
+query has; the filter applies to scores. The Okapi weights are ours to state: idf =
+ln(N - n + 0.5) - ln(n + 0.5); a negative idf becomes a quarter of the mean idf of the
+vocabulary; k1 = 1.5, b = 0.75.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions.text import terms
+from lectern.sources.scratch import stored
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
-def corpus_size(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row: n, avgdl."""
-    return docs.agg(F.count("*").alias("n"), F.avg(F.size(terms(F.col(text)))).alias("avgdl"))
+@dataclass(frozen=True)
+class Index:
+    """``postings`` (term, key, f, dl) and ``weights`` (term, idf) are stored tables."""
+
+    key: str
+    postings: DataFrame
+    weights: DataFrame
+    avgdl: float
+    #: The mean idf of the vocabulary.
+    mean: float
 
 
-def inverse_frequencies(docs: DataFrame, size: DataFrame, text: str = "text") -> DataFrame:
-    """(term, idf). A document names each term once, so terms are counted before the shuffle, and
-    what is shuffled is in proportion to the vocabulary."""
-    df = docs.select(F.explode(F.array_distinct(terms(F.col(text)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.crossJoin(F.broadcast(size.select("n"))).select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))  # one row
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    return raw.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, F.col("mean") * EPSILON).otherwise(F.col("raw")).alias("idf"))
+def build(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
+    rows = docs.select(key, terms(F.col(text)).alias("t"))
+    # the outer form, as Spark would have the plain one split the text a second time to test it
+    rows = rows.select(key, F.size("t").alias("dl"), F.explode_outer("t").alias("term")).where(F.col("term").isNotNull())
+    postings = stored(rows.groupBy("term", key, "dl").agg(F.count("*").alias("f")))
+    n = docs.count()
+    tokens = postings.agg(F.sum("f")).first()[0] or 0
+    # a posting is a document of the term
+    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    raw = stored(df.select("term", (F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")))
+    mean = raw.agg(F.avg("raw")).first()[0] or 0.0
+    weights = raw.select("term", F.when(F.col("raw") < 0, F.lit(mean * EPSILON)).otherwise(F.col("raw")).alias("idf"))
+    return Index(key, postings, weights, tokens / max(1, n), mean)
 
 
-def scores(queries: DataFrame, docs: DataFrame, size: DataFrame, key: str = "doc_id", query: str = "query_id", text: str = "text") -> DataFrame:
+def scores(queries: DataFrame, index: Index, query: str = "query_id", text: str = "text") -> DataFrame:
     """(query, key, score) of documents that share a term with the query; a term repeated in
-    the query counts again. Only tokens that a query names leave the scan: Spark broadcasts the
-    queries' terms if they are small, by its own check."""
+    the query counts again. The queries' terms meet the postings in a join that Spark broadcasts
+    if they are small, by its own check."""
     wanted = queries.select(query, F.explode(terms(F.col(text))).alias("term")).groupBy(query, "term").agg(F.count("*").alias("qf"))
-    rows = docs.select(F.col(key), terms(F.col(text)).alias("t"))
-    tokens = rows.select(key, F.size("t").alias("dl"), F.explode("t").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
-    # dealt by document once, and in a set number of parts, as each row meets many queries below;
-    # neither the counts nor the sums of scores need another shuffle then
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tf = tokens.repartition(parts, key).groupBy(key, "term").agg(F.count("*").alias("f"), F.first("dl").alias("dl"))
-    hits = tf.join(wanted.join(inverse_frequencies(docs, size, text), "term"), "term").crossJoin(F.broadcast(size.select("avgdl")))  # one row
-    weight = F.col("qf") * F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return hits.groupBy(query, key).agg(F.round(F.sum(weight), 6).alias("score"))
-
-
-def padded(scored: DataFrame, queries: DataFrame, docs: DataFrame, k: int, key: str = "doc_id", query: str = "query_id") -> DataFrame:
-    """With zero scores for documents without a common term, as far as a top k can need them: of
-    the first 2k documents at most k - 1 are scored when there is room, so these suffice."""
-    first = docs.select(key).orderBy(key).limit(2 * k)
-    zero = queries.select(query).crossJoin(F.broadcast(first)).withColumn("score", F.lit(0.0))
+    hits = index.postings.join(wanted.join(index.weights, "term"), "term")
+    weight = F.col("qf") * F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.lit(index.avgdl)))
+    return hits.groupBy(query, index.key).agg(F.round(F.sum(weight), 6).alias("score"))
+
+
+def padded(scored: DataFrame, queries: DataFrame, docs: DataFrame, index: Index, k: int, query: str = "query_id") -> DataFrame:
+    """With zero scores for documents without a common term, as far as a top k can need them. Where
+    scores are positive, at most k - 1 documents are scored when there is room, so the first 2k
+    documents suffice. Only with a negative mean idf can scored documents rank below others, and
+    then all documents are candidates."""
+    first = docs.select(index.key)
+    if index.mean >= 0:
+        first = first.orderBy(index.key).limit(2 * k)
+    zero = queries.select(query).crossJoin(first).withColumn("score", F.lit(0.0))
     # a sum rather than an anti-join, for which the scores would be computed twice
-    return scored.unionByName(zero).groupBy(query, key).agg(F.sum("score").alias("score"))
+    return scored.unionByName(zero).groupBy(query, index.key).agg(F.sum("score").alias("score"))
 
 
 def top_k(scored: DataFrame, k: int, key: str = "doc_id", query: str = "query_id", score: str = "score") -> DataFrame:
@@ -61,10 +78,11 @@ def top_k(scored: DataFrame, k: int, key: str = "doc_id", query: str = "query_id
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
 
 
-def search(queries: DataFrame, docs: DataFrame, k: int, only: Column | None = None, key: str = "doc_id", query: str = "query_id", text: str = "text") -> DataFrame:
+def search(queries: DataFrame, docs: DataFrame, k: int, only: Column | None = None, key: str = "doc_id", query: str = "query_id", text: str = "text", index: Index | None = None) -> DataFrame:
     """BM25 top k; ``only`` filters the documents after scoring, under statistics of all."""
-    found = scores(queries, docs, corpus_size(docs, text), key, query, text)
+    index = index or build(docs, key, text)
+    found = scores(queries, index, query, text)
     allowed = docs if only is None else docs.where(only)
     if only is not None:
         found = found.join(allowed.select(key), key, "left_semi").select(query, key, "score")
-    return top_k(padded(found, queries, allowed, k, key, query), k, key, query)
+    return top_k(padded(found, queries, allowed, index, k, query), k, key, query)

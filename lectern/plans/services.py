@@ -2,25 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.text import passage_key
 from lectern.operators import blueprint, evaluation, ingest, variants
 from lectern.plans.tables import table
+from lectern.sources.scratch import scratch_folder
 from lectern.sources.index_store import IndexStore, books_of, chapters_of
 from lectern.streaming.ingest import ingest_available
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder in the shared scratch space of the session."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="lectern-")
-    return f"{root.rstrip('/')}/lectern/{uuid.uuid4().hex}"
-
-
 def text_blocks(spark: SparkSession, d: str) -> DataFrame:
     """Documents as Markdown: every fifth begins with a heading of a level that follows its id."""
     t = F.when(F.col("doc_id") % 5 == 0, F.concat(F.repeat(F.lit("#"), (F.col("doc_id") % 4 + 1).cast("int")), F.lit(" Title\n"), "text")).otherwise(F.col("text"))
@@ -35,7 +27,7 @@ def chapters_per_book(spark: SparkSession, d: str) -> DataFrame:
 
 def index_generations(spark: SparkSession, d: str) -> DataFrame:
     """Two generations of an index saved; the books of the one in force."""
-    store = IndexStore(spark, _folder(spark))
+    store = IndexStore(spark, scratch_folder(spark))
     docs = table(spark, d, "documents").select(F.col("source").alias("book"), F.col("doc_id").cast("int").alias("page_start"), F.col("doc_id").cast("int").alias("page_end"))
     store.save(docs.where(F.col("book") == "src0"), {"embedding_model": "none"})
     store.save(docs, {"embedding_model": "none"})
@@ -51,7 +43,7 @@ def index_refresh(spark: SparkSession, d: str) -> DataFrame:
 
 def incremental_ingest(spark: SparkSession, d: str) -> DataFrame:
     """All documents through the stream in three parts: the passages that the index has then."""
-    root, docs = _folder(spark), table(spark, d, "documents").select("doc_id", "text")
+    root, docs = scratch_folder(spark), table(spark, d, "documents").select("doc_id", "text")
     for k in range(3):
         docs.where(F.pmod("doc_id", F.lit(3)) == k).write.mode("append").parquet(f"{root}/in")
         ingest_available(spark, spark.readStream.schema("doc_id bigint, text string").parquet(f"{root}/in"), f"{root}/index", f"{root}/state")
