@@ -226,6 +226,16 @@ def _more_centres(rest: DataFrame, percent: int, centres: int = 6) -> DataFrame:
 BLOCK_SHINGLES = 250_000
 
 
+#: Parts of a component in joins by component, of which one may hold a third of all rows.
+SALTS = 64
+
+
+def _by_component(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """Rows (c, v, ...) with the columns of their component in ``table``, which has a row for each."""
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS))).join(table.withColumn("salt", parts), ["c", "salt"]).drop("salt")
+
+
 def _against_component(rest: DataFrame, members: DataFrame, comps: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
     """Links of the members of a bucket outside its largest component, with that component and
     with each other.
@@ -234,16 +244,16 @@ def _against_component(rest: DataFrame, members: DataFrame, comps: DataFrame, se
     outsiders as the ones who ask; each block of the ones meets each block of the others once: an
     inverted index of the block's shingles gives the intersections with all its members, so no
     pairs are made but links, and no task holds more than two blocks however hot a component is."""
-    wanted = rest.where("c <> main").select(F.col("main").alias("c"), F.col("v").alias("x"), "n").distinct()
-    named = members.select("v", "n").distinct().join(comps, "v", "left").select("v", "n", F.coalesce("c", "v").alias("c")).join(wanted.select("c").distinct(), "c", "left_semi")
-    named = named.select("c", "v", "n").unionByName(wanted.select("c", F.col("x").alias("v"), "n"))
+    wanted = rest.where("c <> main").select(F.col("main").alias("c"), "v", "n").distinct()
+    named = _by_component(members.select("v", "n").distinct().join(comps, "v", "left").select("v", "n", F.coalesce("c", "v").alias("c")), wanted.select("c").distinct())
+    named = named.select("c", "v", "n").unionByName(wanted)
     blocks = named.groupBy("c").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"))
     askers = wanted.groupBy("c").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("askers"))
     cut = blocks.join(askers, "c")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    dealt = lambda v, n: F.pmod(F.xxhash64(v), F.col(n))
-    have = named.join(cut, "c").select("c", dealt("v", "blocks").alias("block"), every("askers").alias("asker"), "v").join(sets, "v")
-    ask = wanted.join(cut, "c").select("c", F.col("x").alias("v"), dealt("x", "askers").alias("asker"), every("blocks").alias("block")).join(sets, "v")
+    dealt = lambda n: F.pmod(F.xxhash64("v"), F.col(n))
+    have = _by_component(named, cut).select("c", dealt("blocks").alias("block"), every("askers").alias("asker"), "v").join(sets, "v")
+    ask = _by_component(wanted, cut).select("c", "v", dealt("askers").alias("asker"), every("blocks").alias("block")).join(sets, "v")
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(own: pa.Table, asked: pa.Table) -> pa.Table:
