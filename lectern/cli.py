@@ -5,31 +5,19 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
+from lectern import engine, plugins
 from lectern.config import Config, parse_overrides
-from lectern.operators import chunking, context, ingest, lexical
-from lectern.sources.books import discover, read_blocks
 from lectern.sources.index_store import IndexStore, books_of, chapters_of
 
-
-def build(spark: SparkSession, folder: str, cfg: Config):
-    """Chunks of all books of a folder."""
-    blocks = read_blocks(discover(spark, folder)).where("text is not null").withColumnRenamed("path", "book")
-    units = ingest.paragraph_units(ingest.annotate(blocks, cfg.get("chunk.heading_ratio", 1.15)))
-    chunks = chunking.pack_chunks(units, cfg.get("chunk.tokens", 700), cfg.get("chunk.overlap", 120), cfg.get("chunk.min_tokens", 60))
-    return ingest.dedup_passages(chunks)
+#: The stand-in for an encoder, under its name in the index.
+ENCODER, ENCODER_NAME = plugins.hash_encoder(256), "words-256"
 
 
 def ask(spark: SparkSession, store: IndexStore, question: str, cfg: Config):
-    """The context that an answer to the question may cite, from lexical search."""
-    chunks, _ = store.load()
-    docs = chunks.withColumn("book_id", F.col("book"))
-    q = spark.createDataFrame([(0, question)], "query_id long, text string")
-    hits = lexical.search(q, docs, cfg.get("rerank.top_k", 8), key="id").where("score > 0").withColumnRenamed("rank", "relevance_rank").join(docs.select("id", "book_id", "ordinal"), "id")
-    near = context.reading_order(context.expand_neighbours(hits, docs, cfg.get("retrieve.neighbor_window", 1)))
-    rows = near.join(docs.select("id", "text", F.concat_ws(", p.", "book", F.col("page_start").cast("string")).alias("citation")), "id")
-    return context.render(context.select_within(rows, cfg.get("retrieve.max_context_tokens", 4500)))
+    """The context that an answer to the question may cite."""
+    chunks, _ = store.load(ENCODER_NAME)
+    return engine.retrieve(spark.createDataFrame([(0, question)], "query_id long, text string"), chunks, cfg, ENCODER)
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -44,13 +32,15 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("lectern").getOrCreate()
     cfg, store = Config().with_overrides(parse_overrides(a.set)), IndexStore(spark, a.index)
     if a.what == "ingest":
-        print(store.save(build(spark, a.folder, cfg), {"embedding_model": ""}))
+        chunks, report = engine.build(spark, a.folder, cfg, ENCODER)
+        report.select("path", "became", "n_lines").show(100, truncate=False)
+        print(store.save(chunks, {"embedding_model": ENCODER_NAME}))
     elif a.what == "books":
         chunks, _ = store.load()
         books_of(chunks).join(chapters_of(chunks), "book", "left").show(truncate=False)
     else:
         row = ask(spark, store, a.question, cfg).first()
-        print(row["context"] if row else "Nothing on this in the index.")
+        print(row["context"] if row and row["answered"] else "Nothing on this in the index.")
     return 0
 
 

@@ -33,6 +33,17 @@ def full_question(text: Column, options: Column, correct: Column) -> Column:
     return F.when(F.size(F.coalesce(options, F.array().cast("array<string>"))) > 0, F.concat(text, F.lit("\n"), F.array_join(shown, "\n"), F.lit("\nStated correct answer: "), F.coalesce(correct, F.lit("")))).otherwise(text)
 
 
+def style_note(instructions: Column, guide: Column, examples: Column, feedback: Column) -> Column:
+    """What a question is to be like: the parts that say anything, with a blank line between them."""
+    shown = F.when(F.size(examples) > 0, F.concat(F.lit("Examples of the style:\n"), F.array_join(F.transform(examples, lambda e: F.concat(F.lit("- "), e)), "\n")))
+    return F.concat_ws("\n\n", *[F.nullif(F.trim(p), F.lit("")) for p in (instructions, guide)], shown, F.nullif(F.trim(feedback), F.lit("")))
+
+
+def row_json(*columns: str) -> Column:
+    """A row as a JSON object, fields without a value included."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+
 def gold_keywords(keywords: Column, passage: Column, most: int = 4) -> Column:
     """Keywords that occur in the passage, each once whatever its case, in its first spelling."""
     trimmed = F.filter(F.transform(keywords, lambda k: F.trim(k)), lambda k: (k != "") & F.contains(F.lower(passage), F.lower(k)))

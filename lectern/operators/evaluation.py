@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions.nfkc import nfkc
+from lectern.functions.text import plain_math
+
 
 def retrieval_metrics(ranks: DataFrame, k: int) -> DataFrame:
     """Cases (rank or null, refused) to hit rates, mean reciprocal rank and refusal rate."""
@@ -43,6 +46,16 @@ def upper_quantile(groups: DataFrame, value: str, share: float, by: str) -> Data
     return rows.where(F.col("i") == at).select(by, "n", F.col(value).alias("quantile"))
 
 
+def keyword_present(keyword: Column, answer: Column) -> Column:
+    """Whether an answer names a keyword, formulas and compatibility forms aside: a short one as a
+    word, a longer one anywhere."""
+    norm = lambda c: F.lower(nfkc(plain_math(c)))
+    compact = lambda c: F.regexp_replace(c, r"(?U)[\W_]+", "")
+    said, k = norm(answer), compact(norm(keyword))
+    whole = F.array_contains(F.transform(F.split(said, r"\s+"), compact), k)
+    return F.when(k == "", False).when(F.length(k) < 3, whole).otherwise(F.contains(compact(said), k))
+
+
 def gold_summary(cases: DataFrame) -> DataFrame:
     """Gold cases (answerable, answered, error, reviewed, cited_hit, context_hit, keyword_recall)."""
     ok = ~F.col("error")
@@ -64,6 +77,15 @@ def pages_overlap(start: Column, end: Column, pages: Column) -> Column:
     return F.exists(pages, lambda p: (p >= start) & (p <= end))
 
 
+def with_substance(chunks: DataFrame, least: int = 150, or_all: bool = True) -> DataFrame:
+    """Chunks of at least so many tokens; if there are none, all of them, unless ``or_all`` is off."""
+    long = F.col("token_count") >= least
+    if not or_all:
+        return chunks.where(long)
+    any_long = chunks.agg(F.coalesce(F.max(long), F.lit(False)).alias("_any"))
+    return chunks.crossJoin(F.broadcast(any_long)).where(long | ~F.col("_any")).drop("_any")  # one row
+
+
 def round_robin(rows: DataFrame, n: int, seed: int = 7, book: str = "book", key: str = "id") -> DataFrame:
     """``n`` rows drawn from the books in turn, in a hashed order within each."""
     from pyspark.sql import Window as W

@@ -17,20 +17,36 @@ STOP_VERBS = (
     "these", "those", "such", "each", "both",
 )
 JACCARD = 0.45
+# The level of a paper whose mix names none; mixes by the most marks that they are for.
+ONLY_LEVEL = "understand"
+MARKS_MIX = (
+    (2, {"remember": 0.5, "understand": 0.5}),
+    (5, {"understand": 0.4, "apply": 0.4, "analyze": 0.2}),
+    (None, {"apply": 0.3, "analyze": 0.4, "evaluate": 0.2, "create": 0.1}),
+)
 
 
 def allocate_levels(mix: DataFrame, slots: str = "slots", paper: str = "paper") -> DataFrame:
     """Rows (paper, slots, level, weight, seq) to (paper, level, n): largest remainders among the
-    known levels with positive weight, ties in input order."""
-    known = mix.where(F.col("level").isin(*BLOOM_LEVELS) & (F.col("weight") > 0))
-    exact = F.col(slots) * F.col("weight") / F.sum("weight").over(W.partitionBy(paper))
-    rows = known.withColumn("exact", F.round(exact, 9)).withColumn("whole", F.floor("exact"))
-    rows = rows.withColumns({"left": F.col(slots) - F.sum("whole").over(W.partitionBy(paper)), "place": F.row_number().over(W.partitionBy(paper).orderBy(F.desc(F.col("exact") - F.col("whole")), "seq"))})
-    return rows.select(paper, "level", (F.col("whole") + F.when(F.col("place") <= F.col("left"), 1).otherwise(0)).cast("long").alias("n"))
-
-
-def level_for_marks(marks: Column) -> Column:
-    return F.when(marks <= 2, "remember").when(marks <= 5, "understand").otherwise("analyze")
+    known levels with positive weight, ties in input order. A paper without any has one level."""
+    counts = F.col("level").isin(*BLOOM_LEVELS) & (F.col("weight") > 0)
+    rows = mix.withColumn("known", F.coalesce(counts, F.lit(False)))
+    sums = W.partitionBy(paper)
+    rows = rows.withColumn("any", F.max("known").over(sums))
+    none = rows.where(~F.col("any") & (F.col(slots) > 0)).groupBy(paper).agg(F.max(slots).cast("long").alias("n")).select(paper, F.lit(ONLY_LEVEL).alias("level"), "n")
+    exact = F.col(slots) * F.col("weight") / F.sum("weight").over(sums)
+    rows = rows.where("known").withColumn("exact", F.round(exact, 9)).withColumn("whole", F.floor("exact"))
+    rows = rows.withColumns({"left": F.col(slots) - F.sum("whole").over(sums), "place": F.row_number().over(sums.orderBy(F.desc(F.col("exact") - F.col("whole")), "seq"))})
+    return rows.select(paper, "level", (F.col("whole") + F.when(F.col("place") <= F.col("left"), 1).otherwise(0)).cast("long").alias("n")).unionByName(none)
+
+
+def mix_for_marks(marks: Column) -> Column:
+    """The mix of levels, a map of shares, that the marks of a question suggest."""
+    mix = lambda shares: F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])
+    out = mix(MARKS_MIX[-1][1])
+    for most, shares in MARKS_MIX[-2::-1]:
+        out = F.when(marks <= most, mix(shares)).otherwise(out)
+    return out
 
 
 def topic_weights(chunks: DataFrame, most: int = 40) -> DataFrame:
@@ -121,17 +137,43 @@ def mcq_flags_problem(indices: Column, flags: Column, n: Column) -> Column:
     return F.when(~whole, "malformed").when(F.size(F.filter(flags, as_bool)) != 1, "not_one_true").otherwise("")
 
 
+def mcq_true_option(options: Column, indices: Column, flags: Column) -> Column:
+    """The option that is judged true, to which the key is set, if the judgements are whole."""
+    true = F.filter(F.zip_with(indices, flags, lambda i, f: F.when(as_bool(f), i)), lambda i: i.isNotNull())
+    return F.when(mcq_flags_problem(indices, flags, F.size(options)) == "", F.get(options, F.get(true, F.lit(0))))
+
+
 def accepted(answerable: Column, confidence: Column, least: float = 0.7) -> Column:
     """The verifier's gate: an explicit true and a confidence that reaches the floor."""
     return as_bool(answerable) & (as_confidence(confidence) >= least)
 
 
 def frequencies(questions: DataFrame, column: str, paper: str = "profile") -> DataFrame:
-    rows = questions.where(F.col(column).isNotNull() & (F.col(column).cast("string") != ""))
+    """(paper, value, n, share): how often each value of a column occurs; blanks and zeros do not
+    count. ``share`` is rounded to three places."""
+    rows = questions.where(F.col(column).isNotNull() & ~F.col(column).cast("string").isin("", "0"))
     counts = rows.groupBy(paper, column).agg(F.count("*").alias("n"))
     return counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(W.partitionBy(paper)), 3))
 
 
+def profile(questions: DataFrame, paper: str = "profile") -> DataFrame:
+    """One row a paper of past questions (paper, seq, topic, verb, marks, bloom): maps of how often
+    topics, verbs in lower case and marks occur, and the mix of levels."""
+    rows = questions.withColumn("verb", F.lower("verb"))
+    out = rows.select(paper).distinct()
+    for column, name, value in (("topic", "topics", "n"), ("verb", "verbs", "n"), ("marks", "marks", "n"), ("bloom", "levels", "share")):
+        pairs = frequencies(rows, column, paper).groupBy(paper).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(column).cast("string").alias("k"), value)))).alias(name))
+        out = out.join(pairs, paper, "left")
+    return out
+
+
+def priority_topics(questions: DataFrame, most: int = 25, paper: str = "profile") -> DataFrame:
+    """The most frequent topics of each paper (paper, seq, topic); ties go to the one seen first."""
+    counts = questions.where(F.coalesce("topic", F.lit("")) != "").groupBy(paper, "topic").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
+    w = W.partitionBy(paper).orderBy(F.desc("n"), "first")
+    return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select(paper, "rank", "topic", "n")
+
+
 def bands(questions: DataFrame) -> DataFrame:
     """(marks, type) bands with the upper median, over the papers that have one, of its count."""
     per = questions.groupBy("paper", "marks", "type").agg(F.count("*").alias("n"))

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.functions.nfkc import nfkc
 from lectern.operators import answer
 from lectern.plans.tables import table
 
@@ -86,88 +85,7 @@ def history_window(spark: SparkSession, d: str) -> DataFrame:
     return answer.history(table(spark, d, "conversations")).select("conv_id", "turn", "history")
 
 
-def _texts(spark: SparkSession, rows: list[str]) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(rows)), "id bigint, t string")
-
-
-MATH = [r"$\eta = 1 - \frac{T_{\text{cold}}}{T_{\text{hot}}}$", r"$$E = E_a P V^{+}$$", r"\left( a \cdot b \right) \times \Delta", "plain text  with   spaces", r"\mathrm{d}S = \frac{\mathrm{d}Q_{rev}}{T}", ""]
-
-
-def plain_math(spark: SparkSession, d: str) -> DataFrame:
-    return _texts(spark, MATH).select("id", T.plain_math(F.col("t")).alias("plain"))
-
-
-QUESTIONS = [
-    "State the law of Ohm, as described in the passage.", "Create an expression for the work done.", "Using the following equation, compute the heat.",
-    "Remember the definition of entropy.", "According to the text, what is heat?", "Explain the cycle discussed in Chapter 4.", "Using the definition of G, create an expression for dG.",
-    "Define heat capacity .", "derive the expression of work", "What is pressure?",
-]
-
-
-def strip_sources(spark: SparkSession, d: str) -> DataFrame:
-    return _texts(spark, QUESTIONS).select("id", T.strip_sources(F.col("t")).alias("clean"), T.refers_to_source(F.col("t")).alias("refers"))
-
-
-REPLIES = ['{"a": "one"}', '{"a": "$\\frac{1}{2}$"}', '```json\n{"a": "x\\ny"}\n```', '<think>no</think> {"a": "\\\\eta"}', 'text before {"a": "z"} after', "nothing here", '{"a": "\\u00e9 \\alpha"}']
-
-
-def json_repair(spark: SparkSession, d: str) -> DataFrame:
-    """The value of ``a`` in replies: fenced, thought about, inside other text, badly escaped."""
-    t = T.strip_thinking(F.col("t"))
-    fenced = F.regexp_extract(t, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    body = F.when(fenced != "", F.trim(fenced)).otherwise(t)
-    inner = F.regexp_extract(body, r"(?s)(\{.*\})", 1)
-    read = lambda x: F.get_json_object(x, "$.a")
-    return _texts(spark, REPLIES).select("id", F.coalesce(*[read(v) for v in (T.repair_escapes(body), body, T.repair_escapes(inner), inner)]).alias("a"))
-
-
-KEYWORDS = [("GSM method", "The (GSM) method works.", True), ("P", "Pressure rises", False), ("P", "the P value", True), ("Ea", "E_a is high", True), ("T_cold / T_hot", r"$\frac{T_{\text{cold}}}{T_{\text{hot}}}$", True), ("", "anything", False), ("\ufb01eld", "a field", True), ("V+", "V^+ then", True)]
-
-
-def keyword_present(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, k, a) for i, (k, a, _) in enumerate(KEYWORDS)], "id bigint, keyword string, answer string")
-    norm = lambda c: F.lower(nfkc(T.plain_math(c)))
-    compact = lambda c: F.regexp_replace(c, r"(?U)[\W_]+", "")
-    rows = rows.select("id", compact(norm(F.col("keyword"))).alias("k"), norm(F.col("answer")).alias("a"))
-    whole = F.array_contains(F.transform(F.split("a", r"\s+"), compact), F.col("k"))
-    return rows.select("id", F.when(F.col("k") == "", False).when(F.length("k") < 3, whole).otherwise(F.contains(compact(F.col("a")), F.col("k"))).alias("present"))
-
-
-FAILURES = [("http", 400), ("http", 503), ("connect", None), ("http", 429), ("http", 408), ("timeout", None), ("http", 404), ("reply", None)]
-
-
-def failover(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, k, s) for i, (k, s) in enumerate(FAILURES)], "id bigint, kind string, status int")
-    return rows.select("id", F.coalesce(T.should_fail_over(F.col("kind"), F.col("status")), F.lit(False)).alias("second_model"))
-
-
-def _values(rows: list, names: str) -> str:
-    def lit(x) -> str:
-        return "null" if x is None else str(x).lower() if isinstance(x, bool) else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
-
-    return "(values " + ", ".join(f"({', '.join(lit(x) for x in (i, *(r if isinstance(r, tuple) else (r,))))})" for i, r in enumerate(rows)) + f") as v({names})"
-
-
-def _math_sql(t: str) -> str:
-    """Nested braces first, then commands, as a reader of the formulas would write it out."""
-    t = rf"regexp_replace({t}, '\$+', ' ', 'g')"
-    for command, by in ((r"\\(?:text|mathrm|mathit|mathbf|operatorname|rm)", ""), ("_", "_"), (r"\^", "^")):
-        for _ in range(4):
-            t = rf"regexp_replace({t}, '{command}\{{([^{{}}]*)\}}', '{by}\1', 'g')"
-    for _ in range(4):
-        t = rf"regexp_replace({t}, '\\[dt]?frac\{{([^{{}}]*)\}}\{{([^{{}}]*)\}}', '(\1)/(\2)', 'g')"
-    t = rf"regexp_replace(regexp_replace({t}, '\\(left|right)\b', '', 'g'), '\\(cdot|times)\b', '*', 'g')"
-    return rf"trim(regexp_replace(replace({t}, '\', ''), '\s+', ' ', 'g'))"
-
-
-def _strip_sql(t: str) -> str:
-    for pattern, by in T.SOURCE_PHRASES:
-        t = f"regexp_replace({t}, '{pattern}', '{by.replace('$1', chr(92) + '1')}', 'g')"
-    t = rf"regexp_replace(regexp_replace(trim(regexp_replace({t}, '\s{{2,}}', ' ', 'g')), '\s+([,.?!])', '\1', 'g'), '^[\s,;:.\-]+', '')"
-    return f"upper(substring({t}, 1, 1)) || substring({t}, 2)"
-
-
-QUERIES = {f.__name__: f for f in (citation_parse, cited_passages, answer_sources, answer_verdict, answer_gate, statement_cover, claim_check, needs_condense, history_window, plain_math, strip_sources, json_repair, keyword_present, failover)}
+QUERIES = {f.__name__: f for f in (citation_parse, cited_passages, answer_sources, answer_verdict, answer_gate, statement_cover, claim_check, needs_condense, history_window)}
 ORACLE_SQL = {
     "citation_parse": rf"""with {RAW},
 s as (select answer_id, unnest(string_split(regexp_replace(regexp_replace(raw, '([.!?])\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1))) as s from n),
@@ -199,9 +117,4 @@ select answer_id, bool_and(k not in (0, 1, 2)) as claims_ok, count(case when k i
     "needs_condense": rf"""select conv_id, turn, len(regexp_extract_all(trim(text), '\S+')) <= 3 or regexp_matches(trim(text), '{T.NEEDS_HISTORY.replace("'", "''")}') as needs_condensing from conversations where role = 'user'""",
     "history_window": """with h as (select conv_id, turn, role, string_agg(role || ': ' || substring(text, 1, 400), chr(10)) over (partition by conv_id order by turn rows between 6 preceding and 1 preceding) as history from conversations)
 select conv_id, turn, coalesce(history, '') as history from h where role = 'user'""",
-    "plain_math": f"select id::bigint as id, {_math_sql('t')} as plain from {_values(MATH, 'id, t')}",
-    "strip_sources": f"select id::bigint as id, {_strip_sql('t')} as clean, regexp_matches(t, '(?i)\\b(passages?|excerpts?|the text|the author)\\b') as refers from {_values(QUESTIONS, 'id, t')}",
-    "json_repair": f"select id::bigint as id, a from {_values(['one', chr(36) + chr(92) + 'frac{1}{2}' + chr(36), 'x' + chr(10) + 'y', chr(92) + 'eta', 'z', None, 'é ' + chr(92) + 'alpha'], 'id, a')}",
-    "keyword_present": f"select id::bigint as id, present from {_values([p for _, _, p in KEYWORDS], 'id, present')}",
-    "failover": f"select id::bigint as id, kind in ('connect', 'timeout') or coalesce(status in (408, 429) or status >= 500, false) as second_model from {_values(FAILURES, 'id, kind, status')}",
 }

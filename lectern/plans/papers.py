@@ -14,10 +14,35 @@ LEVELS = paper.BLOOM_LEVELS
 
 
 def bloom_allocation(spark: SparkSession, d: str) -> DataFrame:
-    """Languages as papers: their documents by source number make the weights of the levels."""
+    """Languages as papers: their documents by source number make the weights of the levels. Each
+    source is a paper too, of which the odd ones name no level that is known."""
     names = F.array(*map(F.lit, (*LEVELS, "unknown")))
     mix = table(spark, d, "documents").groupBy(F.col("lang").alias("paper"), F.pmod(F.substring("source", 4, 9).cast("int"), F.lit(7)).alias("seq")).agg(F.count("*").alias("weight")).select("paper", F.get(names, "seq").alias("level"), "weight", "seq", F.lit(17).alias("slots"))
-    return paper.allocate_levels(mix)
+    own = table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("weight")).select(F.col("source").alias("paper"), F.when(F.substring("source", 4, 9).cast("int") % 2 == 0, "apply").otherwise("recall").alias("level"), "weight", F.lit(0).alias("seq"), F.lit(9).alias("slots"))
+    return paper.allocate_levels(mix.unionByName(own))
+
+
+def marks_mix(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as questions: the last digit of the id makes the marks."""
+    mix = F.explode(paper.mix_for_marks(F.col("doc_id") % 10)).alias("level", "share")
+    return table(spark, d, "documents").select("doc_id", mix)
+
+
+def past_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Languages as past papers, documents as their questions: how often what occurs."""
+    rows = paper.profile(_by_language(spark, d))
+    text = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return rows.select("profile", *[text(c).alias(c) for c in ("topics", "verbs", "marks", "levels")])
+
+
+def priority_topics(spark: SparkSession, d: str) -> DataFrame:
+    return paper.priority_topics(_by_language(spark, d), 5)
+
+
+def _by_language(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    level = F.get(F.array(*map(F.lit, LEVELS)), F.col("n_chars") % 6)
+    return docs.select(F.col("lang").alias("profile"), F.col("doc_id").alias("seq"), F.when(F.col("doc_id") % 9 != 0, F.col("source")).alias("topic"), F.when(F.col("doc_id") % 2 == 0, "Explain").otherwise("explain").alias("verb"), (F.col("doc_id") % 4).alias("marks"), level.alias("bloom"))
 
 
 def topic_weights(spark: SparkSession, d: str) -> DataFrame:
@@ -52,33 +77,6 @@ def question_dedup(spark: SparkSession, d: str) -> DataFrame:
     return paper.near_duplicate_questions(table(spark, d, "documents").select(F.col("doc_id").alias("qid"), "text"))
 
 
-MCQ = [
-    (["dS = dQ_rev / T", "dS = dQ / T", "dS = T dQ", "dS = 0"], "A"), (["one", "two", "three", "four"], "three"), (["one", "two", "three", "four"], "(b)"), (["one", "two", "three", "four"], "4"),
-    (["one", "two", "three"], "one"), (["dS = dQ/T", "dS=dQ/T.", "x", "y"], "x"), (["one", "two", "three", "four"], "E"), (["a", "", "c", "d"], "a"), (["T_{hot}/T_{cold}", "T_{cold}/T_{hot}", "1", "2"], "T_{hot}/T_{cold}"),
-]
-MCQ_RESULT = ["qualifier_dropped", "", "", "", "too_few_options", "duplicate_options", "key_unresolved", "too_few_options", ""]
-
-
-def mcq_shape(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, o, k) for i, (o, k) in enumerate(MCQ)], "id bigint, options array<string>, k string")
-    return rows.select("id", paper.mcq_problem(F.col("options"), F.col("k")).alias("problem"))
-
-
-FLAGS = [([0, 1, 2, 3], ["true", "false", "false", "false"]), ([0, 1, 2], ["true", "false", "false"]), ([3, 2, 1, 0], ["false", "TRUE", "no", "false"]), ([0, 1, 1, 3], ["true", "false", "false", "false"]), ([0, 1, 2, 3], ["true", "true", "false", "false"])]
-FLAGS_RESULT = ["", "malformed", "", "malformed", "not_one_true"]
-VERDICTS = [("true", "0.9"), ("false", "0.9"), ("true", "0.69"), ("True ", "0.7"), ("true", "95"), ("true", "nan"), ("true", "true"), ("yes", "1"), (None, "0.8"), ("true", None)]
-
-
-def mcq_flags(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(FLAGS)], "id bigint, indices array<int>, flags array<string>")
-    return rows.select("id", paper.mcq_flags_problem(F.col("indices"), F.col("flags"), F.lit(4)).alias("problem"))
-
-
-def verdict_gate(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, a, c) for i, (a, c) in enumerate(VERDICTS)], "id bigint, answerable string, confidence string")
-    return rows.select("id", paper.accepted(F.col("answerable"), F.col("confidence")).alias("accepted"))
-
-
 def _past(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
     return o.select((F.col("o_custkey") % 12).alias("paper"), (F.col("o_custkey") % 3).alias("profile"), (F.col("o_orderkey") % 4 + 1).alias("marks"), F.col("o_orderstatus").alias("type"), F.lower("o_orderpriority").alias("verb"), F.col("o_orderkey").alias("seq"))
@@ -152,11 +150,6 @@ PAST = "p as (select o_custkey % 12 as paper, o_custkey % 3 as profile, o_orderk
 WORDS = ", ".join(f"'{w}'" for w in paper.STOP_VERBS)
 
 
-def _values(rows: list, names: str) -> str:
-    lit = lambda x: "null" if x is None else str(x).lower() if isinstance(x, bool) else f"'{x}'"
-    return "(values " + ", ".join(f"({i}, {lit(x)})" for i, x in enumerate(rows)) + f") as v({names})"
-
-
 def _gold_sql() -> str:
     from lectern.plans.search import _bm25
 
@@ -165,13 +158,22 @@ h as (select query_id, min(rank) as rank from top join documents d on d.doc_id =
 g as (select item_id as query_id, rank from benchmark left join h on query_id = item_id)"""
 
 
-QUERIES = {f.__name__: f for f in (bloom_allocation, topic_weights, topic_pool, topic_pick, section_marks, question_dedup, mcq_shape, mcq_flags, verdict_gate, pyq_profile, pyq_bands, merge_sections, pyq_exemplars, retrieval_metrics, gold_metrics, faithfulness, verdict_match, latency_p95, labels_text)}
+QUERIES = {f.__name__: f for f in (bloom_allocation, marks_mix, past_profile, priority_topics, topic_weights, topic_pool, topic_pick, section_marks, question_dedup, pyq_profile, pyq_bands, merge_sections, pyq_exemplars, retrieval_metrics, gold_metrics, faithfulness, verdict_match, latency_p95, labels_text)}
 ORACLE_SQL = {
     "bloom_allocation": f"""
 with m as (select lang as paper, [{', '.join(f"'{x}'" for x in (*LEVELS, 'unknown'))}][substring(source, 4)::int % 7 + 1] as level, count(*) as weight, substring(source, 4)::int % 7 as seq from documents group by 1, 2, 4),
 e as (select *, round(17 * weight::double / sum(weight) over (partition by paper), 9) as exact from m where level <> 'unknown'),
 f as (select *, floor(exact) as whole, 17 - sum(floor(exact)) over (partition by paper) as rest, row_number() over (partition by paper order by exact - floor(exact) desc, seq) as place from e)
-select paper, level, (whole + (place <= rest)::int)::bigint as n from f""",
+select paper, level, (whole + (place <= rest)::int)::bigint as n from f union all select distinct source, case when substring(source, 4)::int % 2 = 0 then 'apply' else 'understand' end, 9 from documents""",
+    "marks_mix": """with m(low, high, level, share) as (values (0, 2, 'remember', 0.5), (0, 2, 'understand', 0.5), (3, 5, 'understand', 0.4), (3, 5, 'apply', 0.4), (3, 5, 'analyze', 0.2),
+(6, 9, 'apply', 0.3), (6, 9, 'analyze', 0.4), (6, 9, 'evaluate', 0.2), (6, 9, 'create', 0.1)) select doc_id, level, share::double as share from documents join m on doc_id % 10 between low and high""",
+    "past_profile": f"""with q as (select lang as profile, case when doc_id % 9 <> 0 then source end as topic, 'explain' as verb, doc_id % 4 as marks, [{', '.join(f"'{x}'" for x in LEVELS)}][n_chars % 6 + 1] as bloom from documents),
+t as (select profile, topic as k, count(*) as n from q where topic is not null group by 1, 2), m as (select profile, marks::varchar as k, count(*) as n from q where marks <> 0 group by 1, 2),
+b as (select profile, bloom as k, round(count(*) / sum(count(*)) over (partition by profile), 3) as n from q group by 1, 2), j as (select profile, count(*) as c from q group by 1)
+select profile, (select string_agg(k || '=' || n, ',' order by k) from t where t.profile = j.profile) as topics, 'explain=' || c as verbs,
+       (select string_agg(k || '=' || n, ',' order by k) from m where m.profile = j.profile) as marks, (select string_agg(k || '=' || n, ',' order by k) from b where b.profile = j.profile) as levels from j""",
+    "priority_topics": """with t as (select lang as profile, source as topic, count(*) as n, min(doc_id) as f from documents where doc_id % 9 <> 0 group by 1, 2)
+select profile, row_number() over (partition by profile order by n desc, f)::int as rank, topic, n from t qualify rank <= 5""",
     "topic_weights": """with t as (select coalesce(nullif(case when doc_id % 4 = 0 then '' else source end, ''), nullif(case when doc_id % 8 = 0 then '' else lang end, ''), '') as topic, greatest(1, n_chars // 4) as n, doc_id from documents),
 s as (select topic, sum(n)::bigint as tokens, min(doc_id) as first from t group by 1 order by tokens desc, first limit 12) select topic, tokens from s where topic <> ''""",
     "topic_pool": """with a as (select upper(lang) as topic, min(doc_id) as seq from documents group by 1),
@@ -189,9 +191,6 @@ k as (select qid, case when len(long) > 0 then long else short end as w, array_t
 j as (select a.qid as a, b.qid as b, case when len(a.w) + len(b.w) = 0 then 0 else len(list_intersect(a.w, b.w))::double / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) end as jaccard, a.n = b.n and a.n <> '' as same, a.n <> '' and a.n = b.n and exists (select 1 from k c where c.n = a.n and c.qid < a.qid) as later
       from k a join k b on a.qid < b.qid and (a.n = b.n or len(a.w) >= 0.45 * len(b.w) and len(b.w) >= 0.45 * len(a.w)))
 select a, b, round(jaccard, 6) as jaccard from j where jaccard >= {paper.JACCARD} or (same and not later)""",
-    "mcq_shape": f"select id::bigint as id, problem from {_values(MCQ_RESULT, 'id, problem')}",
-    "mcq_flags": f"select id::bigint as id, problem from {_values(FLAGS_RESULT, 'id, problem')}",
-    "verdict_gate": f"select id::bigint as id, accepted from {_values([True, False, False, True, False, False, False, False, False, False], 'id, accepted')}",
     "pyq_profile": f"with {PAST} select profile, verb, count(*) as n, round(count(*)::double / sum(count(*)) over (partition by profile), 3) as share from p group by 1, 2",
     "pyq_bands": f"with {PAST}, n as (select paper, marks, type, count(*) as n from p group by 1, 2, 3) select marks, type, list_sort(list(n))[count(*) // 2 + 1] as count, count(*) as papers from n group by 1, 2",
     "merge_sections": f"""with {PAST}, s as (select 'S' || seq % 23 as name, case when seq % 5 = 0 then '' else verb end as instructions, type, seq % 4 as count, case when seq % 23 = 7 then 0 else marks end as marks, seq from p),

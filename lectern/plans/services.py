@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.text import passage_key
-from lectern.operators import blueprint, evaluation, ingest, variants
+from lectern.operators import evaluation, ingest, variants
 from lectern.plans.tables import table
 from lectern.sources.scratch import scratch_folder
 from lectern.sources.index_store import IndexStore, books_of, chapters_of
@@ -61,26 +61,6 @@ def gold_round_robin(spark: SparkSession, d: str) -> DataFrame:
     return drawn.select("id", "book", F.col("turn").cast("long").alias("turn"))
 
 
-SECTIONS = [("p", 1, "A", "mcq", 10, 2, "", 0), ("p", 2, "a ", "short", 5, 6, "", 3), ("p", 3, "", "x", 0, 0, "", 4), ("q", 1, "B", "long", 4, 10, "", 2)]
-
-
-def blueprint_problems(spark: SparkSession, d: str) -> DataFrame:
-    found = blueprint.section_problems(spark.createDataFrame(SECTIONS, blueprint.SECTION))
-    return found.select("paper", "seq", F.array_join("problems", "; ").alias("problems"))
-
-
-def blueprint_marks(spark: SparkSession, d: str) -> DataFrame:
-    return blueprint.paper_marks(spark.createDataFrame(SECTIONS, blueprint.SECTION))
-
-
-SOURCES = [("2", 5), ('"1, 3"', 5), ('{"x":1}', 5), ('[true,null,"4",9,4]', 5), (None, 5), ("7", 2), ("7", 0)]
-
-
-def source_ids(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, s, n) for i, (s, n) in enumerate(SOURCES)], "id bigint, s string, n int")
-    return rows.select("id", F.array_join(variants.source_numbers(F.col("s"), F.col("n")).cast("array<string>"), ",").alias("numbers"))
-
-
 def query_variants(spark: SparkSession, d: str) -> DataFrame:
     """Benchmark items as queries; rewrites are cut from the item, one equal to it, one blank."""
     t = F.col("text")
@@ -89,7 +69,7 @@ def query_variants(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select("item_id", F.size(made).alias("n"), F.element_at(made, 2).alias("second"), F.element_at(made, -1).alias("last"))
 
 
-QUERIES = {f.__name__: f for f in (text_blocks, chapters_per_book, index_generations, index_refresh, incremental_ingest, page_overlap, gold_round_robin, blueprint_problems, blueprint_marks, source_ids, query_variants)}
+QUERIES = {f.__name__: f for f in (text_blocks, chapters_per_book, index_generations, index_refresh, incremental_ingest, page_overlap, gold_round_robin, query_variants)}
 ORACLE_SQL = {
     "text_blocks": r"""
 with d as (select doc_id as path, case when doc_id % 5 = 0 then repeat('#', (doc_id % 4 + 1)::int) || ' Title' || chr(10) || text else text end as t from documents),
@@ -101,9 +81,6 @@ select path, count(*) as blocks, max(case when n > 0 then n end)::int as level,
     "index_refresh": "select source as book, count(*) as n, sum(doc_id)::bigint as ids from documents where source not in (select source from documents where source in ('src2', 'src5') and doc_id % 2 = 0) or doc_id % 2 = 0 group by 1",
     "incremental_ingest": "select distinct sha1(trim(regexp_replace(lower(text), '[\\s\\x{00A0}]+', ' ', 'g'))) as passage from documents",
     "page_overlap": "select doc_id, len(list_filter([3, 40, 41], lambda p: p between doc_id % 90 and doc_id % 90 + doc_id % 7)) > 0 as hit from documents",
-    "blueprint_problems": "select * from (values ('p', 1, ''), ('p', 2, 'name used twice'), ('p', 3, 'blank name; no questions; no marks; cannot attempt so many'), ('q', 1, '')) as v(paper, seq, problems)",
-    "blueprint_marks": "select * from (values ('p', 38::bigint, 15::bigint), ('q', 20, 4)) as v(paper, marks, questions)",
-    "source_ids": "select id::bigint as id, numbers from (values (0, '2'), (1, '1,3'), (2, '1,2,3'), (3, '4'), (4, '1,2,3'), (5, '1,2'), (6, '')) as v(id, numbers)",
     "query_variants": """with r as (select item_id, text, [x for x in ['say ' || text, lower(text), text || '?', 'more'] if x <> text][1:3] as r from benchmark)
 select item_id, (1 + len(r) + (item_id % 2 = 0)::int)::int as n, r[1] as second, case when item_id % 2 = 0 then 'a passage' else r[-1] end as last from r""",
 }

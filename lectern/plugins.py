@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import threading
+import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions.replies import reply_json
 from lectern.functions.text import terms
 from lectern.operators.fusion import overlap_score
+from lectern.sources.scratch import stored
 
 
 def embedder(encode: Callable[[list[str]], np.ndarray]) -> Callable[[Column], Column]:
@@ -68,3 +73,45 @@ def complete(prompts: DataFrame, client: Callable[[], Callable[[str], str]]) ->
             yield pdf[["prompt_id"]].assign(reply=said, problem=failed)
 
     return prompts.select("prompt_id", "prompt").mapInPandas(run, "prompt_id bigint, reply string, problem string")
+
+
+#: What is added to a prompt whose reply was no JSON.
+AGAIN = "\n\nThe reply before was not valid JSON:\n{}\nReply with valid JSON only."
+
+
+def complete_json(prompts: DataFrame, client: Callable[[], Callable[[str], str]], retries: int = 2) -> DataFrame:
+    """(prompt_id, json, problem): replies as JSON texts. Prompts without one are asked again, with
+    what was said, in rounds over those that are left; each round is stored."""
+    done, left = None, prompts.select("prompt_id", "prompt")
+    for attempt in range(retries + 1):
+        said = stored(complete(left, client).withColumn("json", reply_json(F.col("reply"))))
+        last = attempt == retries
+        found = (said if last else said.where("json is not null")).select("prompt_id", "json", F.when(F.col("json").isNull(), F.coalesce("problem", F.lit("no JSON"))).alias("problem"))
+        done = found if done is None else done.unionByName(found)
+        if last or said.where("json is null").isEmpty():
+            return done
+        more = F.concat("prompt", F.replace(F.lit(AGAIN), F.lit("{}"), F.coalesce(F.substring("reply", 1, 500), F.lit(""))))
+        left = left.join(said.where("json is null").select("prompt_id", "reply"), "prompt_id").select("prompt_id", more.alias("prompt"))
+    return done
+
+
+@contextmanager
+def cancellable(spark: SparkSession, name: str, should_stop: Callable[[], bool], every: float = 0.5) -> Iterator[None]:
+    """Jobs of the block form a group, which is cancelled once ``should_stop`` says so."""
+    group, over = f"{name}-{uuid.uuid4().hex}", threading.Event()
+    spark.sparkContext.setJobGroup(group, name, True)
+
+    def watch() -> None:
+        while not over.wait(every):
+            if should_stop():
+                spark.sparkContext.cancelJobGroup(group)
+                return
+
+    watcher = threading.Thread(target=watch, daemon=True)
+    watcher.start()
+    try:
+        yield
+    finally:
+        over.set()
+        watcher.join()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

@@ -1,13 +1,12 @@
 """Books as files: discovery, hashes, and readers by format.
 
-Readers give blocks (path, page, line_no, text, size, bold, level). Plain text and Markdown are
+Readers give blocks (path, page, line_no, text, size, bold, level, y). Plain text and Markdown are
 read with built-in functions; zip formats by an Arrow function, one file at a time, after
 a check of the archive's directory. PDF needs PyMuPDF, and is skipped with a reason without it.
 """
 
 from __future__ import annotations
 
-import html
 import io
 import re
 import xml.etree.ElementTree as ET
@@ -18,12 +17,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions.markup import BODY_SIZE, HTML_SIZES, blocks
 from lectern.functions.text import book_id
-from lectern.operators.ingest import BODY_SIZE, HTML_SIZES, text_blocks
+from lectern.operators.ingest import text_blocks
 
 SUFFIXES = ("pdf", "epub", "txt", "md", "docx")
 MOST_MEMBERS, MOST_BYTES = 20_000, 2 << 30
-BLOCKS = "path string, page int, line_no long, text string, size double, bold boolean, level int, problem string"
+BLOCKS = "path string, page int, line_no long, text string, size double, bold boolean, level int, y double, problem string"
 
 
 def suffix(path: Column) -> Column:
@@ -49,17 +49,8 @@ def archive_problem(data: bytes) -> str | None:
     return f"{total} bytes unpacked" if total > MOST_BYTES else None
 
 
-_ELEMENT = re.compile(r"<(h[1-4]|p|li)(?:\s[^>]*)?>(.*?)</\1\s*>", re.IGNORECASE | re.DOTALL)
-
-
 def _markup(document: str) -> list[tuple[str, float, bool, int | None]]:
-    out = []
-    for tag, body in _ELEMENT.findall(re.sub(r"(?is)<(script|style)\b.*?</\1\s*>", " ", document)):
-        text = " ".join(html.unescape(re.sub(r"<[^>]*>", " ", body)).split())
-        if text:
-            tag = tag.lower()
-            out.append((text, HTML_SIZES.get(tag, BODY_SIZE), tag in HTML_SIZES, int(tag[1]) if tag in HTML_SIZES else None))
-    return out
+    return [(text, HTML_SIZES.get(tag, BODY_SIZE), tag in HTML_SIZES, int(tag[1]) if tag in HTML_SIZES else None) for tag, text in blocks(document)]
 
 
 def read_epub(data: bytes) -> list[list[tuple]]:
@@ -79,26 +70,47 @@ def read_epub(data: bytes) -> list[list[tuple]]:
 
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+# Sizes of headings one and two, and of all others.
+DOCX_SIZES, DOCX_HEADING = {1: 18.0, 2: 16.0}, 14.0
+
+
+def _paragraph(e: ET.Element) -> str:
+    said = {f"{_W}tab": "\t", f"{_W}br": "\n", f"{_W}cr": "\n"}
+    return "".join(t.text or "" if t.tag == f"{_W}t" else said.get(t.tag, "") for t in e.iter()).strip()
+
+
+def _table_rows(table: ET.Element) -> Iterator[str]:
+    """Rows of a table as their cells' texts. A cell merged over columns counts once in a row; one
+    merged over rows counts in each of them."""
+    above: dict[int, str] = {}
+    for row in table.findall(f"{_W}tr"):
+        cells, column = [], 0
+        for cell in row.findall(f"{_W}tc"):
+            span, merged = cell.find(f"{_W}tcPr/{_W}gridSpan"), cell.find(f"{_W}tcPr/{_W}vMerge")
+            text = " ".join(" ".join(_paragraph(p) for p in cell.findall(f"{_W}p")).split())
+            if merged is not None and merged.get(f"{_W}val") != "restart":
+                text = above.get(column, text)
+            width = int(span.get(f"{_W}val") or 1) if span is not None else 1
+            above |= dict.fromkeys(range(column, column + width), text)
+            column += width
+            cells.append(text)
+        if any(cells):
+            yield " | ".join(c for c in cells if c)
 
 
 def read_docx(data: bytes) -> list[list[tuple]]:
     """One page: paragraphs in order, headings by style, tables as rows of cells."""
     body = ET.fromstring(zipfile.ZipFile(io.BytesIO(data)).read("word/document.xml")).find(f"{_W}body")
-    words = lambda e: "".join(t.text or "" for t in e.iter(f"{_W}t")).strip()
     out: list[tuple] = []
     for e in body if body is not None else []:
-        if e.tag == f"{_W}p":
+        if e.tag == f"{_W}p" and _paragraph(e):
             style = e.find(f"{_W}pPr/{_W}pStyle")
             name = (style.get(f"{_W}val") or "").lower() if style is not None else ""
-            m = re.match(r"heading\s*(\d)", name)
+            m = re.search(r"heading\s*(\d)", name)
             level = int(m[1]) if m else 1 if name == "title" else None
-            if words(e):
-                out.append((words(e), BODY_SIZE if level is None else 20.0 - 2 * (level - 1), level is not None, level))
+            out.append((_paragraph(e), BODY_SIZE if not level else DOCX_SIZES.get(level, DOCX_HEADING), bool(level), level or None))
         elif e.tag == f"{_W}tbl":
-            for row in e.iter(f"{_W}tr"):
-                cells = list(dict.fromkeys(words(c) for c in row.iter(f"{_W}tc")))
-                if any(cells):
-                    out.append((" | ".join(cells), BODY_SIZE, False, None))
+            out += [(row, BODY_SIZE, False, None) for row in _table_rows(e)]
     return [out] if out else []
 
 
@@ -109,11 +121,19 @@ def read_pdf(data: bytes) -> list[list[tuple]]:
     with fitz.open(stream=data, filetype="pdf") as book:
         for page in book:
             lines = [ln for b in page.get_text("dict")["blocks"] for ln in b.get("lines", ())]
-            rows = [("".join(s["text"] for s in ln["spans"]).strip(), round(max(s["size"] for s in ln["spans"]), 1), bool(ln["spans"][0]["flags"] & 16), None) for ln in lines if ln["spans"]]
+            rows = [("".join(s["text"] for s in ln["spans"]).strip(), round(max(s["size"] for s in ln["spans"]), 1), bool(ln["spans"][0]["flags"] & 16), None, float(ln["bbox"][1])) for ln in lines if ln["spans"]]
             pages.append([r for r in rows if r[0]])
     return pages
 
 
+def contents(data: bytes) -> tuple[str, list[tuple[int, str, int]]]:
+    """Title of a PDF, and (level, title, page) of its contents."""
+    import fitz
+
+    with fitz.open(stream=data, filetype="pdf") as book:
+        return (book.metadata or {}).get("title") or "", [(int(e[0]), str(e[1]).strip(), int(e[2])) for e in book.get_toc() if e[1] and e[2] > 0]
+
+
 READERS = {"epub": read_epub, "docx": read_docx, "pdf": read_pdf}
 
 
@@ -126,8 +146,9 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     pages = READERS[kind](data)
                 except Exception as e:  # a bad file is reported and does not stop the others
                     problem = f"{type(e).__name__}: {e}"[:200]
-            rows = [(path, k, 0, *b, None) for k, p in enumerate(pages, 1) for b in p]
-            rows = [(r[0], r[1], i, *r[3:]) for i, r in enumerate(rows)] or [(path, None, None, None, None, None, None, problem or "no text")]
+            found = [(k, *b) for k, p in enumerate(pages, 1) for b in p]
+            rows = [(path, k, i, text, size, bold, level, top[0] if top else 0.0, None) for i, (k, text, size, bold, level, *top) in enumerate(found)]
+            rows = rows or [(path, *[None] * 7, problem or "no text")]
             frame = pd.DataFrame(rows, columns=[c.split()[0] for c in BLOCKS.split(", ")])
             yield frame.astype({"page": "Int32", "line_no": "Int64", "level": "Int32", "bold": "boolean"})
 
@@ -135,6 +156,24 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def read_blocks(files: DataFrame) -> DataFrame:
     """Blocks of discovered files; a file that cannot be read gives one row with its problem."""
     plain = files.where(F.col("suffix").isin("txt", "md")).select("path", F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("�"), F.lit("")).alias("text"))
-    lines = text_blocks(plain).select("path", F.lit(1).alias("page"), F.col("line_no").cast("long").alias("line_no"), "text", "size", F.col("level").isNotNull().alias("bold"), "level", F.lit(None).cast("string").alias("problem"))
+    lines = text_blocks(plain).select("path", F.lit(1).alias("page"), F.col("line_no").cast("long").alias("line_no"), "text", "size", F.col("level").isNotNull().alias("bold"), "level", F.lit(0.0).alias("y"), F.lit(None).cast("string").alias("problem"))
     packed = files.where(F.col("suffix").isin(*READERS)).select("path", "suffix", "content").mapInPandas(_read, BLOCKS)
     return lines.unionByName(packed)
+
+
+def read_contents(files: DataFrame) -> DataFrame:
+    """(path, title, seq, level, entry, page): the titles and contents of PDF files; a file without
+    contents gives one row without an entry, one that cannot be read none (see ``read_blocks``)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for path, data in zip(pdf["path"], pdf["content"], strict=True):
+                try:
+                    title, entries = contents(data)
+                except Exception:  # reported with its blocks
+                    continue
+                rows += [(path, title, i, *e) for i, e in enumerate(entries)] or [(path, title, 0, None, None, None)]
+            yield pd.DataFrame(rows, columns=["path", "title", "seq", "level", "entry", "page"]).astype({"level": "Int32", "page": "Int32"})
+
+    return files.where("suffix = 'pdf'").select("path", "content").mapInPandas(run, "path string, title string, seq int, level int, entry string, page int")

@@ -104,3 +104,9 @@ def chapters_of(chunks: DataFrame) -> DataFrame:
     """Chapters of each book in order of first sight."""
     first = chunks.where("chapter <> ''").groupBy("book", "chapter").agg(F.min("ordinal").alias("at"))
     return first.groupBy("book").agg(F.array_sort(F.collect_list(F.struct("at", "chapter"))).alias("x")).select("book", F.transform("x", lambda r: r["chapter"]).alias("chapters"))
+
+
+def matching_books(books: DataFrame, name: str) -> DataFrame:
+    """Books (book, title) whose id or title holds the name, case aside."""
+    holds = lambda c: F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lower(F.lit(name)))
+    return books.where(holds(F.col("book")) | holds(F.col("title")))

@@ -58,14 +58,15 @@ def test_variants_and_sources(spark):
 
 
 def test_ingest_and_ask(spark, tmp_path):
-    from lectern.cli import ask, build
+    from lectern import engine
+    from lectern.cli import ENCODER, ENCODER_NAME, ask
     from lectern.sources.index_store import IndexStore, chapters_of
 
     (tmp_path / "b").mkdir()
     (tmp_path / "b" / "one.md").write_text("# Heat\n\n" + "Heat is energy in transit between bodies. " * 30 + "\n# Work\n\n" + "A piston moves and work is done on it. " * 30)
     (tmp_path / "b" / "two.txt").write_text("Gardens need water and light in spring. " * 30)
     store = IndexStore(spark, str(tmp_path / "ix"))
-    store.save(build(spark, str(tmp_path / "b"), Config()), {"embedding_model": ""})
+    store.save(engine.build(spark, str(tmp_path / "b"), Config(), ENCODER)[0], {"embedding_model": ENCODER_NAME})
     chunks, _ = store.load()
     assert [r.chapters for r in chapters_of(chunks).collect()] == [["Heat", "Work"]]
     assert "energy in transit" in ask(spark, store, "what is heat energy", Config()).first().context
