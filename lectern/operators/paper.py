@@ -91,25 +91,44 @@ def question_norm(text: Column) -> Column:
     return F.array_join(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)), " ")
 
 
-def near_duplicate_questions(questions: DataFrame, threshold: float = JACCARD) -> DataFrame:
-    """Pairs (a, b, jaccard) of questions (qid, text) that are equal in normal form or share
-    enough words. Candidates come from a prefix filter: with words in one order, rarest
-    first, two sets that reach the threshold share a word among the first of each, so frequent
-    words make no pairs."""
-    rows = questions.select("qid", question_tokens(F.col("text")).alias("t"), question_norm(F.col("text")).alias("norm"))
-    word = rows.select("qid", F.explode("t").alias("w"))
+def question_classes(questions: DataFrame) -> DataFrame:
+    """(qid, class_id, t): questions (qid, text) with the same words, or without any the same normal
+    form, are one class, which the smallest qid names; a question of nothing is its own."""
+    t = F.array_sort(question_tokens(F.col("text")))
+    rows = questions.select("qid", t.alias("t"), question_norm(F.col("text")).alias("norm"))
+    key = F.when(F.size("t") > 0, F.array_join("t", " ")).when(F.col("norm") != "", F.concat(F.lit("="), F.col("norm"))).otherwise(F.concat(F.lit("#"), F.col("qid").cast("string")))
+    rows = rows.withColumn("key", key)
+    first = rows.groupBy("key").agg(F.min("qid").alias("class_id"))
+    return rows.join(first, "key").select("qid", "class_id", "t")
+
+
+def similar_classes(classes: DataFrame, threshold: float = JACCARD) -> DataFrame:
+    """Pairs (a, b, jaccard) of classes, by their representatives, whose words reach the threshold.
+
+    Candidates come from a prefix filter: with words in one order, rarest first, two sets that
+    reach the threshold share a word among the first of each, at places that leave enough words
+    behind them. Copies are one class and make no pairs."""
+    sets = classes.where("qid = class_id and size(t) > 0").select("qid", "t")
+    word = sets.select("qid", F.explode("t").alias("w"))
     order = word.groupBy("w").agg(F.count("*").alias("df"))
     ranked = word.join(order, "w").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("r"))
     keep = F.size("r") - F.ceil(F.size("r") * threshold - 1e-9) + 1
-    prefix = ranked.select("qid", F.size("r").alias("n"), F.explode(F.slice(F.col("r"), F.lit(1), keep.cast("int"))).alias("p")).select("qid", "n", "p.w")
-    near = prefix.alias("x").join(prefix.alias("y"), "w").where(f"x.qid < y.qid and least(x.n, y.n) >= {threshold} * greatest(x.n, y.n)").select(F.col("x.qid").alias("a"), F.col("y.qid").alias("b")).distinct()
-    same = rows.where("norm <> ''").groupBy("norm").agg(F.min("qid").alias("a"))
-    equal = rows.join(same, "norm").where("qid > a").select("a", F.col("qid").alias("b"))
-    pairs = near.unionByName(equal).distinct()
-    full = pairs.join(rows.select(F.col("qid").alias("a"), F.col("t").alias("ta"), F.col("norm").alias("na")), "a").join(rows.select(F.col("qid").alias("b"), F.col("t").alias("tb"), F.col("norm").alias("nb")), "b")
-    union = F.size(F.array_union("ta", "tb"))
-    jaccard = F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect("ta", "tb")) / union)
-    return full.withColumn("jaccard", F.round(jaccard, 6)).where((jaccard >= threshold) | (F.col("na") == F.col("nb"))).select("a", "b", "jaccard")
+    prefix = ranked.select("qid", F.size("r").alias("n"), F.posexplode(F.slice(F.col("r"), F.lit(1), keep.cast("int"))).alias("i", "p")).select("qid", "n", "i", "p.w")
+    both = f"{threshold} / (1 + {threshold}) * (x.n + y.n) - 1e-9"
+    fits = f"x.qid < y.qid and least(x.n, y.n) >= {threshold} * greatest(x.n, y.n) and least(x.i, y.i) + 1 + least(x.n - x.i - 1, y.n - y.i - 1) >= {both}"
+    near = prefix.alias("x").join(prefix.alias("y"), "w").where(fits).select(F.col("x.qid").alias("a"), F.col("y.qid").alias("b")).distinct()
+    full = near.join(sets.select(F.col("qid").alias("a"), F.col("t").alias("ta")), "a").join(sets.select(F.col("qid").alias("b"), F.col("t").alias("tb")), "b")
+    jaccard = F.size(F.array_intersect("ta", "tb")) / F.size(F.array_union("ta", "tb"))
+    return full.where(jaccard >= threshold).select("a", "b", F.round(jaccard, 6).alias("jaccard"))
+
+
+def near_duplicate_questions(questions: DataFrame, threshold: float = JACCARD) -> DataFrame:
+    """(qid, class_id, n_links): each question with its class and the number of other classes that
+    are similar to it."""
+    classes = question_classes(questions)
+    pairs = similar_classes(classes, threshold)
+    links = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).groupBy("a").agg(F.count("*").alias("n_links"))
+    return classes.join(links, F.col("class_id") == F.col("a"), "left").select("qid", "class_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
 def mcq_problem(options: Column, key: Column, norm=norm_option, bare=bare_option) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions.text import strip_sources
-from lectern.operators.paper import near_duplicate_questions
+from lectern.operators.paper import question_classes, similar_classes
 
 ATTEMPT = "slot bigint, round int, text string, reason string"
 
@@ -31,8 +31,15 @@ def fill(slots: DataFrame, generate: Callable[[DataFrame], DataFrame], verify: C
         asked = made.where("text is not null").withColumn("text", strip_sources(F.col("text")))
         accepted = log.where("reason = ''").select(F.col("slot").alias("qid"), "text", F.lit(0).alias("age"))
         pool = accepted.unionByName(asked.select(F.col("slot").alias("qid"), "text", F.lit(1).alias("age")))
-        pairs = near_duplicate_questions(pool.select("qid", "text")).join(accepted.select(F.col("qid").alias("a"), F.lit(True).alias("old_a")), "a", "left")
-        twice = pairs.select(F.when(F.col("old_a"), F.col("b")).otherwise(F.greatest("a", "b")).alias("slot")).distinct().withColumn("dup", F.lit(True))
+        # a question is one too many if what was accepted, or asked for an earlier slot, is like it
+        classes = question_classes(pool.select("qid", "text"))
+        first = pool.join(classes, "qid").groupBy("class_id").agg(F.min(F.struct("age", "qid")).alias("first"))
+        pairs = similar_classes(classes)
+        links = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = links.join(first, links["b"] == first["class_id"]).groupBy("a").agg(F.min("first").alias("near"))
+        like = asked.select("slot").join(classes, F.col("slot") == F.col("qid")).join(first, "class_id").join(near, F.col("class_id") == F.col("a"), "left")
+        own = F.struct(F.lit(1).alias("age"), F.col("slot").alias("qid"))
+        twice = like.where((F.col("first") < own) | (F.col("near") < own)).select("slot", F.lit(True).alias("dup"))
         judged = verify(asked.join(twice, "slot", "left"))
         reason = F.when(F.col("dup"), "duplicate").otherwise(F.coalesce("problem", F.lit("no verdict")))
         attempt = judged.select("slot", F.lit(k).alias("round"), "text", reason.alias("reason")).unionByName(made.where("text is null").select("slot", F.lit(k).alias("round"), "text", F.lit("not grounded").alias("reason")))

@@ -188,9 +188,13 @@ select paper, section, sum(case when section = 'N' or place <= case section when
     "question_dedup": f"""with q as (select doc_id as qid, text as t from documents),
 w as (select qid, t, list_distinct(list_filter(regexp_extract_all(lower(t), '[a-z]{{4,}}'), lambda x: x not in ({WORDS}))) as long, list_distinct(list_filter(regexp_extract_all(lower(t), '[a-z0-9]{{2,}}'), lambda x: x not in ({WORDS}))) as short from q),
 k as (select qid, case when len(long) > 0 then long else short end as w, array_to_string(regexp_extract_all(lower(t), '[a-z0-9]+'), ' ') as n from w),
-j as (select a.qid as a, b.qid as b, case when len(a.w) + len(b.w) = 0 then 0 else len(list_intersect(a.w, b.w))::double / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) end as jaccard, a.n = b.n and a.n <> '' as same, a.n <> '' and a.n = b.n and exists (select 1 from k c where c.n = a.n and c.qid < a.qid) as later
-      from k a join k b on a.qid < b.qid and (a.n = b.n or len(a.w) >= 0.45 * len(b.w) and len(b.w) >= 0.45 * len(a.w)))
-select a, b, round(jaccard, 6) as jaccard from j where jaccard >= {paper.JACCARD} or (same and not later)""",
+g as (select qid, w, case when len(w) > 0 then array_to_string(list_sort(w), ' ') when n <> '' then '=' || n else '#' || qid end as key from k),
+c as (select qid, w, min(qid) over (partition by key) as class_id from g),
+r as (select qid, w from c where qid = class_id and len(w) > 0),
+p as (select a.qid as a, b.qid as b from r a join r b on a.qid < b.qid and len(a.w) >= {paper.JACCARD} * len(b.w) and len(b.w) >= {paper.JACCARD} * len(a.w)
+      where len(list_intersect(a.w, b.w))::double / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) >= {paper.JACCARD}),
+l as (select x, count(*) as n from (select a as x from p union all select b from p) group by 1)
+select qid, class_id, coalesce(n, 0) as n_links from c left join l on class_id = x""",
     "pyq_profile": f"with {PAST} select profile, verb, count(*) as n, round(count(*)::double / sum(count(*)) over (partition by profile), 3) as share from p group by 1, 2",
     "pyq_bands": f"with {PAST}, n as (select paper, marks, type, count(*) as n from p group by 1, 2, 3) select marks, type, list_sort(list(n))[count(*) // 2 + 1] as count, count(*) as papers from n group by 1, 2",
     "merge_sections": f"""with {PAST}, s as (select 'S' || seq % 23 as name, case when seq % 5 = 0 then '' else verb end as instructions, type, seq % 4 as count, case when seq % 23 = 7 then 0 else marks end as marks, seq from p),
