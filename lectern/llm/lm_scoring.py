@@ -13,7 +13,7 @@ All these bits are predicted by online logistic mixing (``mixing``): counts of t
 tokens by node, and by node and kind of text; hashed orders one to five of the bytes, counted over
 all training words; and cells of the text itself, hashed by the node, by the node and the leaf
 before it, by the last outcomes. Gated weights mix them and move after every bit, and a table
-refines what they say. The kind of a text is, at each token, the one that its tokens so far
+refines what they say: both learn online, in the order of a block's texts. The kind of a text is, at each token, the one that its tokens so far
 speak for; kinds are the frequent values of a column of the training documents, and that of
 a scored document is never read. The sum is the code length, as log10 probability and as bits per
 byte of the text.
@@ -29,9 +29,9 @@ and hashes of its distinct contexts and continuations, with their training count
 the hash: each goes once however frequent, so no hot word gathers. Ranges add up and reply to the
 blocks; what is sent grows with the corpus, and hashes have ``context_bits`` bits more than the
 number of contexts needs. The driver gets frequent words (one in ``frequent`` tokens, so at most
-that many), sums of classes, and the spelling tables, whose slots are fixed. The weights are
-learnt on all training documents: each block learns online on its own from the same start, and
-the blocks' weights are averaged by what each set has met, in a tree of fixed fan-in.
+that many), sums of classes, and the spelling tables, whose slots are fixed and which are added up in a
+tree of fixed fan-in. Then each block codes its documents, with weights that begin alike and learn
+from each training document of the block, but from no other, as it is coded.
 
 Words are identified by 64-bit hashes in the exchanges.
 
@@ -39,7 +39,7 @@ Defined cases. Null or empty text: the end token alone, 0 bytes, bits per byte 0
 training documents: the baseline has N = V = 0, and the model knows nothing. Null id: the fold
 of the empty text. Repeated rows are scored alike (and are each other's other documents); rows
 equal in id and text share a block. Empty table: empty result. Long texts and long words are taken
-whole, in lanes of ``lane_bits`` bits that each begin with the learnt weights. Other columns are
+whole, in lanes of ``lane_bits`` bits (or ``lane_flags`` flags) that each begin with empty cells. Other columns are
 ignored.
 """
 
@@ -53,36 +53,31 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import block_count, discard, fold, parts_for, plan_bytes, staged, utf8
-from lectern.llm.mixing import MATCH_GATES, ORDERS, P1, P3, SLOTS, SPELL_GATES, Mixer, Spelling, Tree, encode, match_stream, mix64, run
+from lectern.llm.common import block_count, fold, parts_for, plan_bytes, staged, utf8
+from lectern.llm.mixing import MATCH_GATES, ORDERS, P1, P3, SLOTS, SPELL_GATES, Mixer, Spelling, Tree, encode, looked_up, match_stream, mix64, run
 
 
 @dataclass(frozen=True)
 class Settings:
-    block_bytes: int = 4 << 20
+    block_bytes: int = 3 << 20
     range_bytes: int = 8 << 20
     #: A frequent word is one in so many training tokens, and has been met sixteen times.
     frequent: int = 8192
     context_bits: int = 10
     pages: int = 16
     fan_in: int = 32
-    lane_bits: int = 2048
-    rate: float = 0.003
-    learning_rate: float = 0.02
+    lane_bits: int = 1024
+    lane_flags: int = 256
+    rate: float = 0.16
     #: Kinds at most, the last of which stands for all other values.
     kinds: int = 5
 
 
-def tokens(body: bytes) -> list[bytes]:
-    return body.lower().split()
-
-
 def _pack(*parts: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
@@ -93,7 +88,7 @@ def _unpack(blob: bytes) -> bytes:
 
 ROWS = pa.schema([("kind", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("payload", pa.binary())])
 ROWS_SQL = "kind bigint, a bigint, b bigint, payload binary"
-WORDS, FOLLOWS, REPLY, FOUND, TOTALS, MASS, CLASS, FREQUENT, LETTER, PREPARED, LEARNT = range(11)
+WORDS, FOLLOWS, REPLY, FOUND, TOTALS, MASS, CLASS, FREQUENT, LETTER = range(9)
 #: Numbers of the leaves that are not words: the classes follow, then the frequent words.
 END, ESCAPE, AGAIN, CLASSES = range(4)
 MOST_CLASSES = 40
@@ -103,23 +98,78 @@ def _rows(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ([], [], [], []), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], schema=ROWS)
 
 
+_SPACES = np.zeros(256, bool)
+_SPACES[[9, 10, 11, 12, 13, 32]] = True
+#: Words are summed as polynomials of an odd number, modulo two to the 64th.
+BASE = 0xD1342543DE82EF95
+WINDOW = 1 << 20
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of ``BASE`` and of its inverse."""
+    out = []
+    for b in (BASE, pow(BASE, -1, 1 << 64)):
+        x = np.full(n, b, np.uint64)
+        x[0] = 1
+        out.append(np.cumprod(x))
+    return out[0], out[1]
+
+
+def split(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and 64-bit hashes of the words of bytes that end in a space."""
+    starts, ends, keys, at = [], [], [], 0
+    powers = _powers(min(len(data), WINDOW + 4096) + 1)
+    while at < len(data):
+        stop = max((data.find(c, at + WINDOW) for c in (b" ", b"\n")), key=lambda k: (k < 0, -k)) + 1 if at + WINDOW < len(data) else 0
+        stop = stop or len(data)
+        part = np.frombuffer(data, np.uint8, stop - at, at)
+        if len(part) >= len(powers[0]):
+            powers = _powers(len(part) + 1)
+        bare = _SPACES[part]
+        turn = np.flatnonzero(bare[1:] != bare[:-1]) + 1
+        turn = np.r_[0, turn] if not bare[0] else turn
+        first, last = turn[::2], turn[1::2]
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part + np.uint64(1)) * powers[0][: len(part)], out=total[1:])
+        keys.append(mix64((total[last] - total[first]) * powers[1][first]))
+        starts.append(first + at)
+        ends.append(last + at)
+        at = stop
+    join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
+    return join(starts, np.int64), join(ends, np.int64), join(keys, np.uint64)
+
+
+def word_key(word: bytes) -> int:
+    return int(split(word + b" ")[2][0])
+
+
 class Text:
-    """The tokens of a block's documents: numbers of its distinct words, and one end each."""
+    """The tokens of a block's documents, as numbers of its distinct words in the order of their
+    hashes, and one end each."""
 
     def __init__(self, bodies: list[bytes]):
-        found: dict[bytes, int] = {}
-        parts = [np.fromiter((found.setdefault(w, len(found)) for w in ws), np.int64, len(ws)) for ws in map(tokens, bodies)]
-        self.words = list(found)
-        self.keys = np.fromiter(map(xxhash.xxh64_intdigest, self.words), np.uint64, len(self.words))
-        self.n = np.array([len(p) + 1 for p in parts], np.int64)
+        self.data = b" ".join(bodies).lower() + b" "
+        first, last, keys = split(self.data)
+        offsets = np.cumsum([0] + [len(b) + 1 for b in bodies])
+        doc = np.searchsorted(offsets, first, "right") - 1
+        order = np.argsort(keys)
+        sorted_ = keys[order]
+        fresh = np.r_[True, sorted_[1:] != sorted_[:-1]] if len(keys) else np.zeros(0, bool)
+        self.keys = sorted_[fresh]
+        self.first, self.last = first[order[fresh]], last[order[fresh]]
+        number = np.empty(len(keys), np.int64)
+        number[order] = np.cumsum(fresh) - 1
+        self.n = np.bincount(doc, minlength=len(bodies)).astype(np.int64)[: len(bodies)] + 1
         self.stop = np.cumsum(self.n)
         self.start = self.stop - self.n
-        self.doc = np.repeat(np.arange(len(parts)), self.n)
-        self.token = np.full(int(self.n.sum()), len(self.words), np.int64)
+        self.doc = np.repeat(np.arange(len(bodies)), self.n)
+        self.token = np.full(int(self.n.sum()), len(self.keys), np.int64)
         inner = np.ones(len(self.token), bool)
         inner[self.stop - 1] = False
-        if parts:
-            self.token[inner] = np.concatenate(parts)
+        self.token[inner] = number
+
+    def words(self, numbers: np.ndarray) -> list[bytes]:
+        return [self.data[i:j] for i, j in zip(self.first[numbers].tolist(), self.last[numbers].tolist(), strict=True)]
 
     def follows(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes, of ``bits`` bits, of the two tokens before each token, and of all three."""
@@ -140,14 +190,12 @@ def _runs_stage(bits: int, ranges: int, kinds: int):
     def run_(docs: pa.Table) -> pa.Table:
         block, kind = docs.column("block")[0].as_py(), np.array(docs.column("kind").to_pylist(), np.int64)
         text, out = Text([b.as_py() for b in docs.column("body")]), []
-        n = np.zeros((len(text.words), kinds), "<u4")
-        own = kind[text.doc]
+        keys, own = text.keys, kind[text.doc]
+        n = np.zeros((len(keys), kinds), "<u4")
         for k in range(kinds):
-            n[:, k] = np.bincount(text.token[own == k], minlength=len(text.words) + 1)[:-1]
-        order = np.argsort(text.keys)
-        keys, n = text.keys[order], n[order]
+            n[:, k] = np.bincount(text.token[own == k], minlength=len(keys) + 1)[:-1]
         for r, i, j in _cuts(keys, ranges, 64):
-            out.append((WORDS, r, block, _pack(np.array([j - i], "<u4").tobytes(), keys[i:j].tobytes(), n[i:j].T.tobytes(), b" ".join([text.words[k] for k in order[i:j].tolist()]))))
+            out.append((WORDS, r, block, _pack(np.array([j - i], "<u4").tobytes(), keys[i:j].tobytes(), n[i:j].T.tobytes(), b" ".join(text.words(np.arange(i, j))))))
         # the lowest bit of a key says whether it is of a training document
         packed = np.sort(np.concatenate(text.follows(bits)) * np.uint64(2) + np.tile(own >= 0, 2).astype(np.uint64))
         keys, count = _distinct(packed >> np.uint64(1), (packed & np.uint64(1)).astype(np.int64))
@@ -174,12 +222,17 @@ def _cuts(keys: np.ndarray, ranges: int, bits: int) -> list[tuple[int, int, int]
 
 
 def _bytewise(x: np.ndarray) -> bytes:
-    """Whole numbers, byte by byte of all of them, which compresses well."""
-    return np.ascontiguousarray(x.astype("<u8").view("u1").reshape(-1, 8).T).tobytes()
+    """Whole numbers, byte by byte of all of them, which compresses well; the first byte says how
+    many bytes a number has."""
+    width = 1 if not len(x) or (top := int(x.max())) < 1 << 8 else 4 if top < 1 << 32 else 8
+    return bytes([width]) + np.ascontiguousarray(x.astype(f"<u{width}").view("u1").reshape(-1, width).T).tobytes()
 
 
-def _from_bytewise(data: bytes, n: int, at: int) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, "u1", 8 * n, at).reshape(8, n).T).view("<u8").ravel()
+def _from_bytewise(data: bytes, n: int, at: int) -> tuple[np.ndarray, int]:
+    """The numbers, and where they end."""
+    width = data[at]
+    raw = np.frombuffer(data, "u1", width * n, at + 1).reshape(width, n)
+    return np.ascontiguousarray(raw.T).view(f"<u{width}").ravel().astype(np.uint64), at + 1 + width * n
 
 
 def _range_stage(ranges: int, kinds: int):
@@ -204,7 +257,7 @@ def _range_stage(ranges: int, kinds: int):
         out, at = [(TOTALS, int(total.sum()), int((total > 0).sum()), b"")], 0
         for block, n in zip(group.column("b").to_pylist(), lengths, strict=True):
             own = where[at : at + n]
-            out.append((REPLY, number, block, _pack(_bytewise(total[own]), main[own].tobytes())))
+            out.append((REPLY, number, block, _pack(np.array([n], "<u4").tobytes(), _bytewise(total[own]), main[own].tobytes())))
             at += n
         known = np.flatnonzero(total)
         out.append((FOUND, number, 0, _pack(np.array([len(known)], "<u4").tobytes(), main[known].tobytes(), b" ".join([flat[k] for k in known.tolist()]))))
@@ -222,12 +275,13 @@ def _range_stage(ranges: int, kinds: int):
         for blob in group.column("payload"):
             data = _unpack(blob.as_py())
             n = int(np.frombuffer(data, "<u4", 1)[0])
-            keys.append(np.cumsum(_from_bytewise(data, n, 4)))
-            counts.append(_from_bytewise(data, n, 4 + 8 * n).astype(np.int64))
+            found, at = _from_bytewise(data, n, 4)
+            keys.append(np.cumsum(found))
+            counts.append(_from_bytewise(data, n, at)[0].astype(np.int64))
         _, where = np.unique(np.concatenate(keys), return_inverse=True)
         total, out, at = np.bincount(where, np.concatenate(counts)).astype(np.int64), [], 0
         for block, k in zip(group.column("b").to_pylist(), keys, strict=True):
-            out.append((REPLY, number, block, _pack(_bytewise(total[where[at : at + len(k)]]))))
+            out.append((REPLY, number, block, _pack(np.array([len(k)], "<u4").tobytes(), _bytewise(total[where[at : at + len(k)]]))))
             at += len(k)
         return _rows(out)
 
@@ -256,8 +310,12 @@ class Vocabulary:
     classes: np.ndarray  # [leaves], occurrences of a class's words
     frequent: dict[bytes, int]
     speaks: np.ndarray = field(init=False)  # [leaves, kinds], log-likelihoods
+    keys: np.ndarray = field(init=False)  # hashes of the frequent words
+    leaves: np.ndarray = field(init=False)  # and their leaves
 
     def __post_init__(self) -> None:
+        self.keys = np.fromiter(map(word_key, self.frequent), np.uint64, len(self.frequent))
+        self.leaves = np.fromiter(self.frequent.values(), np.int64, len(self.frequent))
         share = (self.mass.sum(1, keepdims=True) + 0.5) / (self.mass.sum() + 0.5 * len(self.mass))
         self.speaks = np.log((self.mass + 2 * share) / (self.mass.sum(0) + 2)).astype(np.float32)
         self.speaks[AGAIN] = 0
@@ -286,25 +344,32 @@ def vocabulary(n_words: int, v: int, ends: list[int], mass: list[tuple[int, int]
     return Vocabulary(n_words + sum(ends), v + (sum(ends) > 0), sum(ends), octaves, m, c, {w: first + k for k, (_, w, _) in enumerate(frequent)})
 
 
-def prepare(text: Text, train: np.ndarray, count: np.ndarray, main: np.ndarray, follows: np.ndarray, bits: int, know: Vocabulary) -> dict[str, np.ndarray]:
+def prepare(text: Text, train: np.ndarray, count: np.ndarray, main: np.ndarray, follows: np.ndarray, bits: int, know: Vocabulary) -> dict:
     """What is left to code of a block's documents: ``count`` and ``main`` are the training count
     and the kind of each distinct word, ``follows`` the training counts of the distinct hashes of
     contexts and continuations, in order."""
-    n_words, kinds = len(text.words), know.mass.shape[1]
+    n_words, kinds = len(text.keys), know.mass.shape[1]
     own_train = train[text.doc]
-    c = np.r_[count, know.ends][text.token]
-    base = np.log10((c + 0.5) / (know.n_total + 0.5 * (know.distinct + 1)))
+    by_word = np.r_[count, know.ends]
+    c = by_word[text.token]
+    base = np.log10((by_word + 0.5) / (know.n_total + 0.5 * (know.distinct + 1)))[text.token]
     # occurrences of the token in its document, before and in all
-    order = np.argsort(text.doc * (n_words + 1) + text.token, kind="stable")
-    sorted_ = (text.doc * (n_words + 1) + text.token)[order]
-    head = np.r_[True, sorted_[1:] != sorted_[:-1]] if len(order) else np.zeros(0, bool)
-    group = np.cumsum(head) - 1
-    size = np.bincount(group)
-    before, inside = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
-    before[order] = np.arange(len(order)) - np.flatnonzero(head)[group]
-    inside[order] = size[group]
+    place_bits = max(1, int(len(c)).bit_length())
+    packed = np.sort((text.doc * (n_words + 1) + text.token).astype(np.uint64) << np.uint64(place_bits) | np.arange(len(c), dtype=np.uint64))
+    order, packed = (packed & np.uint64((1 << place_bits) - 1)).astype(np.int64), packed >> np.uint64(place_bits)
+    head = np.flatnonzero(np.r_[True, packed[1:] != packed[:-1]]) if len(c) else np.zeros(0, np.int64)
+    size = np.diff(np.r_[head, len(c)])
+    before, inside = np.empty(len(c), np.int64), np.empty(len(c), np.int64)
+    before[order] = np.arange(len(c)) - np.repeat(head, size)
+    inside[order] = np.repeat(size, size)
     rest = c - inside * own_train
-    leaf = np.r_[np.fromiter((know.frequent.get(w, -1) for w in text.words), np.int64, n_words), END][text.token]
+    leaf = np.full(n_words + 1, -1)
+    leaf[-1] = END
+    if n_words:
+        spot = np.minimum(np.searchsorted(text.keys, know.keys), n_words - 1)
+        here = text.keys[spot] == know.keys
+        leaf[spot[here]] = know.leaves[here]
+    leaf = leaf[text.token]
     rare = leaf < 0
     octave = np.minimum(know.octaves - 1, _octave(rest))
     known = CLASSES + octave * kinds + np.r_[main, 0][text.token]
@@ -320,9 +385,10 @@ def prepare(text: Text, train: np.ndarray, count: np.ndarray, main: np.ndarray,
     # the kind that the tokens before speak for
     said = know.speaks[plain]
     said[again] = 0
-    upto = np.cumsum(said, axis=0, dtype=np.float64) - said
-    upto -= upto[text.start][text.doc]
-    kind = (upto + np.log(know.mass.sum(0) + 1)).argmax(1).astype("u1")
+    upto = np.cumsum(said, axis=0, dtype=np.float64)
+    upto -= said
+    upto -= (upto[text.start] - np.log(know.mass.sum(0) + 1))[text.doc]
+    kind = upto.argmax(1).astype("u1")
     # what the two tokens before were followed by elsewhere
     here = np.concatenate(text.follows(bits))
     docs = np.tile(text.doc.astype(np.uint64), 2)
@@ -359,8 +425,8 @@ def prepare(text: Text, train: np.ndarray, count: np.ndarray, main: np.ndarray,
     return {
         "train": train, "n_tokens": text.n, "n_known": per(c > 0), "base": total_of(base), "share": total_of(share),
         "state": state[coded].astype("u1"), "n_state": per(coded),
-        "leaf": leaf[in_tree].astype("<u2"), "kind": kind[in_tree], "n_leaf": per(in_tree),
-        "words": np.frombuffer(b" ".join([text.words[k] for k in text.token[spelled].tolist()]), "u1"), "word_kind": kind[spelled], "n_words": per(spelled),
+        "leaf": leaf[in_tree], "kind": kind[in_tree], "n_leaf": per(in_tree),
+        "words": text.words(text.token[spelled]), "word_kind": kind[spelled], "n_words": per(spelled),
     }
 
 
@@ -369,60 +435,45 @@ class Model:
     know: Vocabulary
     tree: Tree
     letters: Tree
-    codes: list[np.ndarray]
-    mixers: dict[str, Mixer]
+    says: list[np.ndarray]
+    #: Words spelled at a time.
+    spell_bytes: int = 1 << 20
 
     @classmethod
     def new(cls, know: Vocabulary, letters: Tree, tables: list[np.ndarray]) -> Model:
         """``tables`` are coded counts, two bytes a slot."""
-        mixers = {"match": Mixer.new(0, MATCH_GATES), "tree": Mixer.new(2, Tree.GATES), "spell": Mixer.new(len(ORDERS), SPELL_GATES, 1.3)}
-        return cls(know, Tree(know.mass), letters, [t.view("<u2") for t in tables], mixers)
+        return cls(know, Tree(know.mass), letters, looked_up(tables))
 
-    def _streams(self, p: dict[str, np.ndarray]) -> Iterator[tuple[str, Callable]]:
+    def _streams(self, p: dict) -> Iterator[tuple[str, Callable]]:
         """The streams of a block, the spelling of its words in parts of bounded size."""
         yield "match", lambda: match_stream(p["state"], p["n_state"])
-        yield "tree", lambda: self.tree.stream(p["leaf"].astype(np.int64), p["kind"], p["n_leaf"])
-        words, text = p["words"].tobytes().split(b" ") if len(p["word_kind"]) else [], np.repeat(np.arange(len(p["train"])), p["n_words"])
-        part = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) >> 20
+        yield "tree", lambda: self.tree.stream(p["leaf"], p["kind"], p["n_leaf"])
+        words, text = p["words"], np.repeat(np.arange(len(p["train"])), p["n_words"])
+        size = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+        part = size * (1 + int(size[-1]) // self.spell_bytes) // (int(size[-1]) + 1) if len(size) else size
         ends = np.r_[np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), len(part)] if len(part) else np.zeros(1, np.int64)
         for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-            yield "spell", lambda i=i, j=j: Spelling(words[i:j], p["word_kind"][i:j], self.letters).stream(self.codes, p["train"][text[i:j]], text[i:j], len(p["train"]))
+            yield "spell", lambda i=i, j=j: Spelling(words[i:j], p["word_kind"][i:j], self.letters).stream(self.says, p["train"][text[i:j]], text[i:j], len(p["train"]))
 
-    def bits(self, p: dict[str, np.ndarray], settings: Settings) -> np.ndarray:
-        """What each prepared document costs."""
-        cost = -p["share"].astype(np.float64)
+    def bits(self, p: dict, settings: Settings) -> np.ndarray:
+        """What each prepared document costs. The mixers learn from the training documents on the way."""
+        mixers = {"match": Mixer.new(0, MATCH_GATES), "tree": Mixer.new(2, Tree.GATES), "spell": Mixer.new(len(ORDERS), SPELL_GATES, 1.3)}
+        cost = -p["share"]
         for name, stream in self._streams(p):
-            cost = cost + run(self.mixers[name], stream(), settings.rate, settings.lane_bits)
+            cost = cost + run(mixers[name], stream(), p["train"], settings.rate, settings.lane_flags if name == "match" else settings.lane_bits)
         return cost
 
-    def learn(self, p: dict[str, np.ndarray], settings: Settings) -> list[np.ndarray]:
-        """Learn the mixers on prepared documents: what they have become, weighted by what each
-        of their sets has met, and that."""
-        own = {name: Mixer(*(x.copy() for x in m.arrays())) for name, m in self.mixers.items()}
-        met = {name: [np.zeros(len(m.weights)), np.zeros(len(m.refine))] for name, m in own.items()}
-        for name, stream in self._streams(p):
-            run(own[name], stream(), settings.learning_rate, settings.lane_bits, met[name])
-        out = []
-        for name, start in self.mixers.items():
-            sets, steps = met[name]
-            out += [((own[name].weights - start.weights) * sets[:, None]).ravel(), sets, (own[name].refine - start.refine) * steps, steps]
-        return out
-
-    def learnt(self, sums: list[np.ndarray]) -> None:
-        """Move the mixers to the mean of what blocks have learnt."""
-        for k, mixer in enumerate(self.mixers.values()):
-            w, met, r, steps = sums[4 * k : 4 * k + 4]
-            mixer.weights = (mixer.weights + w.reshape(mixer.weights.shape) / np.maximum(1, met)[:, None]).astype(np.float32)
-            mixer.refine = (mixer.refine + r / np.maximum(1, steps)).astype(np.float32)
-
-
-def part_of(p: dict[str, np.ndarray], keep: np.ndarray) -> dict[str, np.ndarray]:
-    """The prepared documents of ``keep``."""
-    words = p["words"].tobytes().split(b" ") if len(p["word_kind"]) else []
-    held = {k: np.repeat(keep, p[k]) for k in ("n_state", "n_leaf", "n_words")}
-    out = {k: p[k][keep] for k in ("train", "n_tokens", "n_known", "base", "share", "n_state", "n_leaf", "n_words")}
-    out |= {"state": p["state"][held["n_state"]], "leaf": p["leaf"][held["n_leaf"]], "kind": p["kind"][held["n_leaf"]], "word_kind": p["word_kind"][held["n_words"]]}
-    return out | {"words": np.frombuffer(b" ".join([words[k] for k in np.flatnonzero(held["n_words"]).tolist()]), "u1")}
+
+def _pack_page(used: np.ndarray, n: np.ndarray) -> bytes:
+    return _pack(np.array([len(used)], "<u4").tobytes(), _bytewise(np.diff(used, prepend=0)), _bytewise(n))
+
+
+def _unpack_page(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Places in use, and what they hold."""
+    data = _unpack(blob)
+    n = int(np.frombuffer(data, "<u4", 1)[0])
+    used, at = _from_bytewise(data, n, 4)
+    return np.cumsum(used).astype(np.int64), _from_bytewise(data, n, at)[0].astype(np.int64)
 
 
 def _table_stage(letters: Tree, settings: Settings):
@@ -441,7 +492,7 @@ def _table_stage(letters: Tree, settings: Settings):
             for page, part in enumerate(table.reshape(settings.pages, -1)):
                 used = np.flatnonzero(part)
                 if len(used):
-                    yield from _rows([(k, page, TaskContext.get().partitionId(), _pack(_bytewise(np.diff(used, prepend=0)), _bytewise(part[used])))]).to_batches()
+                    yield from _rows([(k, page, TaskContext.get().partitionId(), _pack_page(used, part[used]))]).to_batches()
 
     return run_
 
@@ -451,23 +502,14 @@ def _add_pages(settings: Settings):
         k, page, at = (group.column(c)[0].as_py() for c in ("kind", "a", "b"))
         total = np.zeros((2 << SLOTS[k]) // settings.pages, np.int64)
         for blob in group.column("payload"):
-            data = _unpack(blob.as_py())
-            n = len(data) // 16
-            total[np.cumsum(_from_bytewise(data, n, 0).astype(np.int64))] += _from_bytewise(data, n, 8 * n).astype(np.int64)
+            used, n = _unpack_page(blob.as_py())
+            total[used] += n
         used = np.flatnonzero(total)
-        return _rows([(k, page, at, _pack(_bytewise(np.diff(used, prepend=0)), _bytewise(total[used])))])
+        return _rows([(k, page, at, _pack_page(used, total[used]))])
 
     return run_
 
 
-def _add_arrays(group: pa.Table) -> pa.Table:
-    total: list[np.ndarray] = []
-    for blob in group.column("payload"):
-        part = pickle.loads(_unpack(blob.as_py()))
-        total = [x + y for x, y in zip(total, part, strict=True)] if total else part
-    return _rows([(*(group.column(c)[0].as_py() for c in ("kind", "a", "b")), _pack(pickle.dumps(total)))])
-
-
 def _tree_sum(rows: DataFrame, numbers: int, add, fan_in: int) -> DataFrame:
     """Rows (kind, a, b, payload), b below ``numbers``, summed over b in rounds: no task holds more than
     ``fan_in`` payloads of one key."""
@@ -477,46 +519,31 @@ def _tree_sum(rows: DataFrame, numbers: int, add, fan_in: int) -> DataFrame:
     return rows
 
 
-def _prepare_stage(shared, bits: int, ranges: int, settings: Settings):
-    """Rows (PREPARED, block, 0, documents) and (LEARNT, 0, block, what the mixers learnt)."""
+RESULT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_bytes bigint, bits_per_byte double"
+RESULT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64()), ("bits_per_byte", pa.float64())])
+
 
+def _score_stage(shared, bits: int, ranges: int, settings: Settings):
     def run_(docs: pa.Table, replies: pa.Table) -> pa.Table:
         if not len(docs):
-            return ROWS.empty_table()
+            return RESULT_SCHEMA.empty_table()
         model: Model = pickle.loads(shared.value)
-        block, text = docs.column("block")[0].as_py(), Text([b.as_py() for b in docs.column("body")])
-        rows = sorted(zip(replies.column("a").to_pylist(), replies.column("payload").to_pylist(), strict=True))
+        ids, kind, bodies = docs.column("doc_id").to_pylist(), docs.column("kind").to_pylist(), [b.as_py() for b in docs.column("body")]
+        # an order that depends on the documents alone, as the weights learn from one after the other
+        order = sorted(range(len(ids)), key=lambda k: (ids[k] is not None, ids[k] or 0, bodies[k]))
+        text, train = Text([bodies[k] for k in order]), np.array([kind[k] >= 0 for k in order])
         counts, main, follows = [np.zeros(0, np.int64)], [np.zeros(0, "u1")], [np.zeros(0, np.int64)]
-        for a, blob in rows:
+        for a, blob in sorted(zip(replies.column("a").to_pylist(), replies.column("payload").to_pylist(), strict=True)):
             data = _unpack(blob)
-            n = len(data) // (9 if a < ranges else 8)
-            (counts if a < ranges else follows).append(_from_bytewise(data, n, 0).astype(np.int64))
+            n = int(np.frombuffer(data, "<u4", 1)[0])
+            found, at = _from_bytewise(data, n, 4)
+            (counts if a < ranges else follows).append(found.astype(np.int64))
             if a < ranges:
-                main.append(np.frombuffer(data, "u1", n, 8 * n))
-        rank = np.empty(len(text.words), np.int64)
-        rank[np.argsort(text.keys)] = np.arange(len(text.words))
-        train = np.array(docs.column("kind").to_pylist(), np.int64) >= 0
-        p = prepare(text, train, np.concatenate(counts)[rank], np.concatenate(main)[rank].astype(np.int64), np.concatenate(follows), bits, model.know)
-        learnt = model.learn(part_of(p, train), settings)
-        p["doc_id"], p["n_bytes"] = docs.column("doc_id").to_pylist(), np.array([len(b.as_py()) for b in docs.column("body")], np.int64)
-        return _rows([(PREPARED, block, 0, _pack(pickle.dumps(p))), (LEARNT, 0, block, _pack(pickle.dumps(learnt)))])
-
-    return run_
-
-
-RESULT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_bytes bigint, bits_per_byte double"
-RESULT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64()), ("bits_per_byte", pa.float64())])
-
-
-def _score_stage(shared, settings: Settings):
-    def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = pickle.loads(shared.value)
-        for batch in batches:
-            for blob in batch.column("payload"):
-                p = pickle.loads(_unpack(blob.as_py()))
-                cost, size = model.bits(p, settings), p["n_bytes"]
-                columns = [p["doc_id"], ~p["train"], p["n_tokens"], p["n_known"], np.full(len(size), model.know.n_total), p["base"], -cost * math.log10(2), size, np.where(size > 0, cost / np.maximum(size, 1), 0.0)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, RESULT_SCHEMA.types, strict=True)], schema=RESULT_SCHEMA)
+                main.append(np.frombuffer(data, "u1", n, at))
+        p = prepare(text, train, np.concatenate(counts), np.concatenate(main).astype(np.int64), np.concatenate(follows), bits, model.know)
+        cost, size = model.bits(p, settings), np.array([len(bodies[k]) for k in order], np.int64)
+        columns = [[ids[k] for k in order], ~train, p["n_tokens"], p["n_known"], np.full(len(size), model.know.n_total), p["base"], -cost * math.log10(2), size, np.where(size > 0, cost / np.maximum(size, 1), 0.0)]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, RESULT_SCHEMA.types, strict=True)], schema=RESULT_SCHEMA)
 
     return run_
 
@@ -554,15 +581,7 @@ def score(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_i
     found = of(FOUND)
     pages = _tree_sum(found.mapInArrow(_table_stage(letters, settings), ROWS_SQL), found.rdd.getNumPartitions(), _add_pages(settings), settings.fan_in)
     for r in pages.toLocalIterator():
-        data = _unpack(bytes(r["payload"]))
-        n = len(data) // 16
-        tables[r["kind"]].reshape(settings.pages, -1)[r["a"]][np.cumsum(_from_bytewise(data, n, 0).astype(np.int64))] = encode(_from_bytewise(data, n, 8 * n))
-    model = Model.new(know, letters, tables)
-    shared = spark.sparkContext.broadcast(cloudpickle.dumps(model))
-    ready = rows.groupBy("block").cogroup(of(REPLY).groupBy("b")).applyInArrow(_prepare_stage(shared, bits, ranges, settings), ROWS_SQL)
-    ready = staged(ready, "prepared", parts)
-    discard(merged)
-    learnt = _tree_sum(ready.where(F.col("kind") == LEARNT), blocks, _add_arrays, settings.fan_in).collect()
-    if learnt:
-        model.learnt(pickle.loads(_unpack(bytes(learnt[0]["payload"]))))
-    return ready.where(F.col("kind") == PREPARED).select("payload").mapInArrow(_score_stage(spark.sparkContext.broadcast(cloudpickle.dumps(model)), settings), RESULT)
+        used, n = _unpack_page(bytes(r["payload"]))
+        tables[r["kind"]].reshape(settings.pages, -1)[r["a"]][used] = encode(n)
+    shared = spark.sparkContext.broadcast(cloudpickle.dumps(Model.new(know, letters, tables)))
+    return rows.groupBy("block").cogroup(of(REPLY).groupBy("b")).applyInArrow(_score_stage(shared, bits, ranges, settings), RESULT)

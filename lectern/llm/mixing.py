@@ -1,15 +1,12 @@
 """Online logistic mixing of bit predictors, for many texts side by side.
 
-A stream of bits is cut into lanes, which are coded in step, each for itself. For each bit
-the predictors speak in the logistic domain: fixed ones that the caller looks up, and two
-whose cells, addressed by hashed contexts, belong to the lane and learn from its own bits. A
-weight set, chosen by the caller's gate and by how much those two cells have seen, mixes
-them; after the bit the chosen set takes a gradient step, the cells move on, and so does a
-table that refines the mixed probability (each bit's final probability is the mean of the
-mixed and the refined one). A lane begins with the given weights, so what a text costs
-depends on the model and the text alone.
-
-To learn the weights, lanes share one set of them, which takes the mean step of all lanes.
+A stream of bits is cut into lanes, which are coded in step. For each bit the predictors speak
+in the logistic domain: fixed ones that the caller looks up, and two whose cells, addressed by
+hashed contexts, belong to the lane and learn from its own bits. A weight set, chosen by the
+caller's gate and by how much those two cells have seen, mixes them, and a table refines what
+they say (a bit's final probability is the mean of the mixed and the refined one). Then the cells
+move on, and the weights and the table take the mean gradient step of the lanes that are learnt
+from; the others are only coded. A bit is always coded before anything learns from it.
 """
 
 from __future__ import annotations
@@ -24,7 +21,8 @@ import numpy as np
 ZEROS, ONES = np.divmod(np.arange(256), 16)
 CELL_STRETCH = np.log((ONES + 0.4) / (ZEROS + 0.4)).astype(np.float32)
 CELLS = 1024
-STEPS = 33
+#: Entries of the refining table: half steps of the logistic domain, which is cut off at 14.
+STEPS = 57
 P1, P2, P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
@@ -37,7 +35,7 @@ def _after(bit: int) -> np.ndarray:
 
 CELL_NEXT = np.concatenate([_after(0), _after(1)])
 #: Weight sets of a gate: three steps of what the first cell has seen, two of the second.
-SEEN = (np.searchsorted([1, 3], ZEROS + ONES, "right") * 2).astype(np.int32), np.searchsorted([1], ZEROS + ONES, "right").astype(np.int32)
+SEEN = np.searchsorted([1, 3], ZEROS + ONES, "right") * 2, np.searchsorted([1], ZEROS + ONES, "right")
 SETS = 6
 
 
@@ -60,16 +58,27 @@ class Mixer:
         weights[:, :fixed] = trust / max(1, fixed)
         weights[:, fixed : fixed + 2] = 0.15 if fixed else 0.5
         steps = 1 / (1 + np.exp(-(np.arange(STEPS) - STEPS // 2) / 2))
-        return cls(weights, steps.astype(np.float32))
-
-    def arrays(self) -> list[np.ndarray]:
-        return [self.weights, self.refine]
+        return cls(weights, steps)
+
+    def learn(self, counts: np.ndarray, chosen: np.ndarray, error: np.ndarray, x: np.ndarray, step: np.ndarray, wrong: np.ndarray, rate: float) -> None:
+        """Mean steps of the sets and table entries that were met by the lanes that count (1, else 0),
+        small ones if met by few."""
+        sets, width = self.weights.shape
+        pull = x * (error * counts)[:, None]
+        change = np.empty((sets, width))
+        for k in range(width):
+            change[:, k] = np.bincount(chosen, pull[:, k], sets)
+        met = np.bincount(chosen, counts, sets)
+        self.weights += (change * (rate * np.minimum(1 / 16, 1 / np.maximum(1, met)))[:, None]).astype(np.float32)
+        met = np.bincount(step, counts, STEPS)
+        self.refine += np.bincount(step, wrong * counts, STEPS) * (0.05 * np.minimum(1 / 16, 1 / np.maximum(1, met)))
 
 
 @dataclass
 class Stream:
     """Bits of consecutive texts. ``feed`` gives, for places in the stream, the bits, the inputs
-    (with three columns to spare), the two cells, and the gates (times ``SETS``)."""
+    (with three columns to spare), the two cells (the second past all of the first), and the gates
+    (times ``SETS``). What it looks up lies in one number a bit, as lanes read far apart."""
 
     per_text: np.ndarray
     feed: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
@@ -84,70 +93,54 @@ def lanes_of(per_text: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, n
     return start, np.minimum(most, per_text[text] - nth * most), text
 
 
-def run(mixer: Mixer, stream: Stream, rate: float, most: int, shared: list[np.ndarray] | None = None, batch: int = 1 << 22) -> np.ndarray:
-    """Bits that each text costs. With ``shared`` (two arrays for what the sets and the refining
-    steps have met, which are added to), the mixer itself is learnt instead."""
+def run(mixer: Mixer, stream: Stream, learn: np.ndarray, rate: float, most: int, batch: int = 1 << 22) -> np.ndarray:
+    """Bits that each text costs, in lanes of at most ``most`` bits, the longest first, some
+    ``batch`` bits at a time; the mixer learns from the texts of ``learn``."""
     start, length, text = lanes_of(stream.per_text, most)
     cost = np.zeros(len(stream.per_text))
-    if not len(start):
-        return cost
-    groups = np.cumsum(length) // batch
+    order = np.argsort(-length, kind="stable")
+    groups = np.cumsum(length[order]) // batch
     for g in np.unique(groups):
-        pick = np.flatnonzero(groups == g)
-        np.add.at(cost, text[pick], _run_lanes(mixer, stream, start[pick], length[pick], rate, shared))
+        pick = order[groups == g]
+        np.add.at(cost, text[pick], _run_lanes(mixer, stream, start[pick], length[pick], learn[text[pick]].astype(np.float32), rate))
     return cost
 
 
-def _run_lanes(mixer: Mixer, stream: Stream, start: np.ndarray, length: np.ndarray, rate: float, shared: list[np.ndarray] | None) -> np.ndarray:
-    order = np.argsort(-length, kind="stable")
-    start, n = start[order], len(order)
-    live = np.searchsorted(-length[order], -np.arange(int(length.max())), "left")
-    sets, width = mixer.weights.shape
-    lane = np.arange(n)
-    if shared is None:
-        weights, refine, row, step_row = np.tile(mixer.weights, (n, 1)), np.tile(mixer.refine, n), lane * sets, lane * STEPS
-    else:
-        weights, refine, row, step_row = mixer.weights, mixer.refine, np.zeros(n, np.int64), np.zeros(n, np.int64)
-    cells, base, cost = np.zeros(2 * n * CELLS, np.uint8), lane * (2 * CELLS), np.zeros(n)
+def _run_lanes(mixer: Mixer, stream: Stream, start: np.ndarray, length: np.ndarray, counts: np.ndarray, rate: float) -> np.ndarray:
+    """Bits that each lane costs; lanes come by length, the longest first."""
+    n = len(start)
+    live = np.searchsorted(-length, -np.arange(int(length[0])), "left")
+    cells, base = np.zeros(2 * n * CELLS, np.uint8), np.arange(n) * (2 * CELLS)
+    cost, likely = np.zeros(n), np.ones(n)
     for t, a in enumerate(live.tolist()):
-        bit, x, one, two, gate = stream.feed(start[:a] + t)
+        bit, x, one, two, chosen = stream.feed(start[:a] + t)
         at1 = base[:a] + one
         at2 = base[:a] + two
-        at2 += CELLS
-        cell1, cell2 = cells[at1], cells[at2]
-        x[:, -3], x[:, -2], x[:, -1] = CELL_STRETCH[cell1], CELL_STRETCH[cell2], 0.3
-        chosen = SEEN[0][cell1] + SEEN[1][cell2]
-        chosen += gate
-        at = row[:a] + chosen
-        w = weights[at]
-        z = np.einsum("ij,ij->i", w, x)
+        cell1, cell2 = cells.take(at1), cells.take(at2)
+        x[:, -3] = CELL_STRETCH.take(cell1)
+        x[:, -2] = CELL_STRETCH.take(cell2)
+        x[:, -1] = 0.3
+        chosen += SEEN[0].take(cell1)
+        chosen += SEEN[1].take(cell2)
+        z = np.einsum("ij,ij->i", mixer.weights.take(chosen, 0), x)
         np.clip(z, -14, 14, out=z)
-        p = 1 / (1 + np.exp(-z))
-        spot = step_row[:a] + np.clip(z * 2 + (STEPS // 2 + 0.5), 0, STEPS - 1).astype(np.int64)
-        q = refine[spot]
-        error = bit - p
-        wrong = bit - q
+        p = np.exp(-z)
+        p += 1
+        np.reciprocal(p, out=p)
+        z *= 2
+        z += STEPS / 2
+        step = z.astype(np.int64)
+        error, wrong = bit - p, bit - mixer.refine.take(step)
         # the final probability of the bit that came
-        cost[:a] -= np.log2(1 - np.abs(error + wrong) / 2)
-        turn = bit.astype(np.int64) << 8
-        cells[at1], cells[at2] = CELL_NEXT[cell1 + turn], CELL_NEXT[cell2 + turn]
-        if shared is None:
-            error *= np.float32(rate)
-            w += error[:, None] * x
-            weights[at] = w
-            refine[spot] = q + np.float32(0.02) * wrong
-            continue
-        met = np.bincount(chosen, minlength=sets)
-        pull = np.minimum(1, met / 16) / np.maximum(1, met) * (rate * 8 / (1 + t / 400))
-        for k in range(width):
-            weights[:, k] += pull * np.bincount(chosen, error * x[:, k], sets)
-        met_steps = np.bincount(spot, minlength=STEPS)
-        refine += (0.05 * np.minimum(1, met_steps / 16) / np.maximum(1, met_steps) * np.bincount(spot, wrong, STEPS)).astype(np.float32)
-        shared[0] += met
-        shared[1] += met_steps
-    out = np.empty(n)
-    out[order] = cost
-    return out
+        likely[:a] *= 1 - np.abs(error + wrong) / 2
+        turn = bit << 8
+        cells[at1] = CELL_NEXT.take(cell1 + turn)
+        cells[at2] = CELL_NEXT.take(cell2 + turn)
+        mixer.learn(counts[:a], chosen, error, x, step, wrong, rate / (1 + t / 400))
+        if t % 32 == 31:
+            cost -= np.log2(likely)
+            likely[:] = 1
+    return cost - np.log2(likely)
 
 
 class Tree:
@@ -206,15 +199,22 @@ class Tree:
         before[(np.cumsum(per_text) - per_text)[per_text > 0]] = 0
         two = ((mix64(before * P3) >> np.uint64(40)).astype(np.int32)[of] + node * 40503 & (CELLS - 1)).astype(np.int16)
         gate = (SETS * np.searchsorted([2, 4, 7], np.arange(int(self.length.max(initial=0)) + 1), "right")).astype(np.uint8)[depth]
-        row = ((kind.astype(np.int32) + 1) * self.nodes)[of] + node
+        # bit, gate, second cell, kind, node
+        packed = bit.astype(np.int64)
+        packed |= gate.astype(np.int64) << 1
+        packed |= two.astype(np.int64) << 9
+        packed |= (kind.astype(np.int64) << 20)[of]
+        packed |= node.astype(np.int64) << 28
         flat, plain = self.stretch.ravel(), self.stretch[0]
         ends = np.r_[0, np.cumsum(self.length[leaf])][np.cumsum(per_text)]
 
         def feed(at: np.ndarray):
-            n = node[at]
+            u = packed.take(at)
+            n = u >> 28
             x = np.empty((len(at), 5), np.float32)
-            x[:, 0], x[:, 1] = plain[n], flat[row[at]]
-            return bit[at], x, n & (CELLS - 1), two[at], gate[at]
+            x[:, 0] = plain.take(n)
+            x[:, 1] = flat.take(((u >> 20 & 255) + 1) * self.nodes + n)
+            return u & 1, x, n & (CELLS - 1), (u >> 9 & (CELLS - 1)) + CELLS, u >> 1 & 255
 
         return Stream(np.diff(ends, prepend=0), feed)
 
@@ -238,38 +238,47 @@ class Spelling:
         self.size = np.r_[0, np.cumsum(letters.length[byte])][np.cumsum(self.lengths)]
         self.size = np.diff(self.size, prepend=0)
         past, self.slots, self.cells = np.zeros(len(byte), np.uint64), [], []
-        turn = (np.arange(letters.nodes + 1, dtype=np.uint64) * P3)[node]
+        turn = mix64(np.arange(letters.nodes + 1, dtype=np.uint64)).astype(np.uint32)[node]
         for k in range(1, max(ORDERS) + 1):
             before = np.zeros(len(byte), np.uint64)
             before[k:] = byte[:-k]
             before[place < k] = 0
             past = past * np.uint64(257) + before + np.uint64(1)
             if k in ORDERS:
-                context = mix64(past * np.uint64(8) + np.uint64(k) + (of_kind * P3 if k < 3 else np.uint64(0)))
-                key = (context[self.of] ^ turn) * P2
-                self.slots.append((key >> np.uint64(64 - SLOTS[len(self.slots)])).astype(np.int32))
+                context = mix64(past * np.uint64(8) + np.uint64(k) + (of_kind * P3 if k < 3 else np.uint64(0))).astype(np.uint32)
+                key = context[self.of]
+                key += turn
+                key *= np.uint32(0x9E3779B1)
                 if k in (2, 3):
-                    self.cells.append(((key >> np.uint64(20)) & np.uint64(CELLS - 1)).astype(np.int16))
+                    self.cells.append((key & np.uint32(CELLS - 1)).astype(np.int16))
+                key >>= np.uint32(32 - SLOTS[len(self.slots)])
+                self.slots.append(key.view(np.int32))
 
     def count(self, tables: list[np.ndarray]) -> None:
         """Add the bits to tables (of 32-bit numbers) where 2 * slot + bit holds a count."""
         for table, at in zip(tables, self.slots, strict=True):
-            np.add.at(table, 2 * at + self.bit, np.uint32(1))
-
-    def stream(self, codes: list[np.ndarray], leave: np.ndarray, text: np.ndarray, texts: int) -> Stream:
-        """The words' bits; ``text`` are the texts of the words, in order. ``codes`` are the tables as
-        ``encode`` leaves them. Of words that have ``leave`` set, one occurrence is in the tables and
-        is left out."""
-        x = np.empty((len(self.bit), len(ORDERS) + 3), np.float32)
-        case = np.where(np.repeat(leave, self.size), 1 + self.bit.astype(np.int32), 0) << 16
+            np.add.at(table, (at << 1) + self.bit, np.uint32(1))
+
+    def stream(self, says: list[np.ndarray], leave: np.ndarray, text: np.ndarray, texts: int) -> Stream:
+        """The words' bits; ``text`` are the texts of the words, in order, ``says`` the tables as
+        ``looked_up`` makes them. Of words that have ``leave`` set, one occurrence is in the tables
+        and is left out."""
+        case, said = np.where(np.repeat(leave, self.size), 1 + self.bit.astype(np.int32), 0), np.empty((len(self.bit), 4), np.uint8)
         for k, at in enumerate(self.slots):
-            code = codes[k][at] + case
-            x[:, k] = LOOK[code]
-        gate = (SETS * (3 * np.searchsorted([1, 2, 4], np.arange(256), "right"))).astype(np.uint8)[self.depth] + SETS * LOOK_SEEN[code]
-        bit, (one, two) = self.bit, self.cells
+            at = at + (case << SLOTS[k])
+            said[:, k] = says[k].take(at)
+        packed = said.view(np.uint32).ravel().astype(np.uint64) << np.uint64(32)
+        packed |= self.bit
+        gate = SETS * (3 * np.searchsorted([1, 2, 4], np.arange(256), "right")[self.depth] + says[-1].take(at))
+        for x, place in ((gate, 1), (self.cells[0], 9), (self.cells[1], 20)):
+            packed |= x.astype(np.uint64) << np.uint64(place)
+        packed = packed.view(np.int64)
 
         def feed(at: np.ndarray):
-            return bit[at], x[at], one[at], two[at], gate[at]
+            u = packed.take(at)
+            x = np.empty((len(at), len(ORDERS) + 3), np.float32)
+            x[:, : len(ORDERS)] = SAYS.take(u.view(np.uint8).reshape(-1, 8)[:, 4:])
+            return u & 1, x, u >> 9 & (CELLS - 1), (u >> 20 & (CELLS - 1)) + CELLS, u >> 1 & 127
 
         return Stream(np.bincount(text, self.size, texts).astype(np.int64), feed)
 
@@ -283,15 +292,20 @@ def encode(n: np.ndarray) -> np.ndarray:
     return np.where(n < 64, np.round(n), np.minimum(255, 64 + np.round(8 * np.log2(np.maximum(n, 64) / 64)))).astype(np.uint8)
 
 
-def _looks() -> tuple[np.ndarray, np.ndarray]:
-    """What a pair of coded counts says: as it is, and without an occurrence of a 0 or of a 1."""
+def looked_up(codes: list[np.ndarray]) -> list[np.ndarray]:
+    """From tables of coded pairs, what each slot says, in a byte: as it is, and without an occurrence
+    of a 0 or of a 1, one after the other; and how much the slots of the last have seen."""
     n0, n1 = np.tile(COUNT, 256), np.repeat(COUNT, 256)
     cases = [(n0, n1), (np.maximum(n0 - 1, 0), n1), (n0, np.maximum(n1 - 1, 0))]
-    says = [np.clip(np.log((b + 0.05) / (a + 0.05)), -10, 10) for a, b in cases]
-    return np.concatenate(says).astype(np.float32), np.concatenate([np.searchsorted([1, 4], a + b, "right") for a, b in cases]).astype(np.uint8)
+    look = [np.round((np.clip(np.log((b + 0.05) / (a + 0.05)), -10, 10) + 10) * SAY).astype(np.uint8) for a, b in cases]
+    seen = [np.searchsorted([1, 4], a + b, "right").astype(np.uint8) for a, b in cases]
+    pairs = [t.view("<u2") for t in codes]
+    return [np.concatenate([x[t] for x in look]) for t in pairs] + [np.concatenate([x[pairs[-1]] for x in seen])]
 
 
-LOOK, LOOK_SEEN = _looks()
+#: Steps, a unit, of what coded counts say, which is held in a byte, and the bytes' meanings.
+SAY = 12.75
+SAYS = (np.arange(256) / SAY - 10).astype(np.float32)
 
 
 #: Whether a token follows the two before it as it did elsewhere: gates of the count (five steps) and of the last three outcomes.
@@ -302,8 +316,8 @@ def match_stream(state: np.ndarray, per_text: np.ndarray) -> Stream:
     """Flags as 2 * (8 * step of the count + last outcomes) + flag."""
 
     def feed(at: np.ndarray):
-        s = state[at].astype(np.int64)
+        s = state.take(at).astype(np.int64)
         gate = s >> 1
-        return (s & 1).astype(np.uint8), np.empty((len(at), 3), np.float32), gate & 7, gate, gate * SETS
+        return s & 1, np.empty((len(at), 3), np.float32), gate & 7, gate + CELLS, gate * SETS
 
     return Stream(per_text, feed)

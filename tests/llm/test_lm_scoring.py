@@ -46,45 +46,64 @@ def rows():
 
 @pytest.fixture(scope="module")
 def scored(spark, rows):
-    """Scores, and the model as it was when the scores were made."""
+    """Scores, what the driver knew, and the block of each row."""
     made = []
     with pytest.MonkeyPatch.context() as patch:
-        patch.setattr(lm_scoring.Model, "learnt", (lambda old: lambda self, sums: (old(self, sums), made.append(self))[0])(lm_scoring.Model.learnt))
-        df = spark.createDataFrame(rows, DOC).withColumns({"kind": F.lit("clash"), "block": F.lit(1), "body": F.lit("x"), "a": F.lit(2)}).repartition(3)
-        got = lm_scoring.score(df, theme="lang").collect()
-    return got, made[0]
+        patch.setattr(lm_scoring.Model, "new", classmethod((lambda old: lambda cls, *a: (made.append(old(*a)), made[-1])[1])(lm_scoring.Model.new)))
+        df = spark.createDataFrame(rows, DOC).withColumns({"kind": F.lit("clash"), "block": F.lit(1), "body": F.lit("x"), "a": F.lit(2)})
+        got = lm_scoring.score(df.repartition(3), theme="lang").collect()
+    body = F.encode(F.coalesce("text", F.lit("")), "utf-8")
+    blocks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return got, made[0], [r[0] for r in df.select(F.pmod(F.xxhash64("doc_id", body), F.lit(blocks))).collect()]
 
 
 class Plain:
-    """One text's bits through scalar mixing, with plain numbers."""
+    """The mixing of a stream of a block, with plain numbers: all texts step by step."""
 
     def __init__(self, mixer, rate, most):
-        self.mixer, self.rate, self.most, self.n = mixer, rate, most, 0
-
-    def cost(self, bit, fixed, one, two, gate):
-        if self.n % self.most == 0:
-            self.w, self.refine, self.cells = self.mixer.weights.astype(float), self.mixer.refine.astype(float), {}
-        self.n += 1
-        a, b = self.cells.get((0, one), (0, 0)), self.cells.get((1, two), (0, 0))
-        stretch = lambda c: math.log((c[1] + 0.4) / (c[0] + 0.4))
-        x = [*fixed, stretch(a), stretch(b), 0.3]
-        k = gate * 6 + (0 if sum(a) < 1 else 2 if sum(a) < 3 else 4) + (sum(b) > 0)
-        z = max(-14, min(14, sum(u * v for u, v in zip(self.w[k], x, strict=True))))
-        p, step = 1 / (1 + math.exp(-z)), int(max(0, min(32, z * 2 + 16.5)))
-        q = self.refine[step]
-        final = (p + q) / 2 if bit else 1 - (p + q) / 2
-        self.w[k] += self.rate * (bit - p) * np.array(x)
-        self.refine[step] += 0.02 * (bit - q)
-        for key, c in (((0, one), a), ((1, two), b)):
-            n = list(c)
-            n[bit] = min(15, n[bit] + 1)
-            n[1 - bit] = n[1 - bit] // 2 + 1 if n[1 - bit] > 2 else n[1 - bit]
-            self.cells[key] = tuple(n)
-        return -math.log2(final)
-
-
-def plain_scores(rows, model):
-    """log2 cost of each row, from counts made by hand and the model's learnt weights."""
+        self.w, self.refine = mixer.weights.astype(float), mixer.refine.astype(float)
+        self.rate, self.most, self.texts = rate, most, []
+
+    def add(self, train):
+        self.texts.append((train, []))
+
+    def bit(self, *what):
+        self.texts[-1][1].append(what)
+
+    def run(self):
+        """Bits that each text costs."""
+        lanes = [(k, train, bits[i : i + self.most], {}) for k, (train, bits) in enumerate(self.texts) for i in range(0, len(bits), self.most)]
+        cost = [0.0] * len(self.texts)
+        for t in range(max((len(x) for _, _, x, _ in lanes), default=0)):
+            moves, steps = defaultdict(list), defaultdict(list)
+            for k, train, bits, cells in lanes:
+                if t >= len(bits):
+                    continue
+                bit, fixed, one, two, gate = bits[t]
+                a, b = cells.get((0, one), (0, 0)), cells.get((1, two), (0, 0))
+                x = np.array([*fixed, *(math.log((c[1] + 0.4) / (c[0] + 0.4)) for c in (a, b)), 0.3])
+                chosen = gate * 6 + (0 if sum(a) < 1 else 2 if sum(a) < 3 else 4) + (sum(b) > 0)
+                z = max(-14.0, min(14.0, float(self.w[chosen] @ x)))
+                p, step = 1 / (1 + math.exp(-z)), int(z * 2 + 28.5)
+                final = (p + self.refine[step]) / 2
+                cost[k] -= math.log2(final if bit else 1 - final)
+                for key, c in (((0, one), a), ((1, two), b)):
+                    n = list(c)
+                    n[bit] = min(15, n[bit] + 1)
+                    n[1 - bit] = n[1 - bit] // 2 + 1 if n[1 - bit] > 2 else n[1 - bit]
+                    cells[key] = tuple(n)
+                if train:
+                    moves[chosen].append((bit - p) * x)
+                    steps[step].append(bit - self.refine[step])
+            for chosen, found in moves.items():
+                self.w[chosen] += self.rate / (1 + t / 400) * min(1, len(found) / 16) * np.mean(found, axis=0)
+            for step, found in steps.items():
+                self.refine[step] += 0.05 * min(1, len(found) / 16) * np.mean(found)
+        return cost
+
+
+def plain_scores(rows, blocks, model):
+    """log2 cost of each row, from counts made by hand."""
     know, settings = model.know, lm_scoring.Settings()
     docs = [(i, tokens(t), in_training(i)) for i, t, _ in rows]
     count = Counter(w for _, ts, tr in docs if tr for w in ts)
@@ -112,10 +131,14 @@ def plain_scores(rows, model):
             for keys, _, _, bit in spelled(w, kinds[w]):
                 for table, key in zip(tables, keys, strict=True):
                     table[key, bit] += 1
+    new = {"match": (0, mixing.MATCH_GATES), "tree": (2, mixing.Tree.GATES), "spell": (4, mixing.SPELL_GATES, 1.3)}
+    mixed = {b: {name: Plain(mixing.Mixer.new(*args), settings.rate, settings.lane_flags if name == "match" else settings.lane_bits) for name, args in new.items()} for b in set(blocks)}
     out = []
-    for _, ts, tr in docs:
+    for (_, ts, tr), block in zip(docs, blocks, strict=True):
         own, mine, mine_around = Counter(ts), Counter(grams(ts)), Counter(g[:2] for g in grams(ts))
-        coders = {name: Plain(m, settings.rate, settings.lane_bits) for name, m in model.mixers.items()}
+        coders = mixed[block]
+        for coder in coders.values():
+            coder.add(tr)
         cost, seen, hits, said, before = 0.0, Counter(), [0, 0, 0], np.log(know.mass.sum(0) + 1), 0
         for g in grams(ts):
             w = g[2]
@@ -131,12 +154,12 @@ def plain_scores(rows, model):
             if n > 0:
                 step = sum(n >= x for x in (2, 3, 5, 17))
                 context = 8 * step + hits[-1] + 2 * hits[-2] + 4 * hits[-3]
-                cost += coders["match"].cost(hit, [], context & 7, context, context)
+                coders["match"].bit(hit, [], context & 7, context, context)
             if hit:
                 cost -= math.log2(both / n)
             else:
                 for depth, (node, bit) in enumerate(paths(model.tree, leaf)):
-                    cost += coders["tree"].cost(bit, [model.tree.stretch[0, node], model.tree.stretch[kind + 1, node]], node, (before, node), sum(depth >= x for x in (2, 4, 7)))
+                    coders["tree"].bit(bit, [model.tree.stretch[0, node], model.tree.stretch[kind + 1, node]], node, (before, node), sum(depth >= x for x in (2, 4, 7)))
                 before = leaf + 1
                 if leaf == AGAIN:
                     cost -= math.log2(seen[w] / sum(seen.values()))
@@ -147,9 +170,9 @@ def plain_scores(rows, model):
                             c = [table[key, 0], table[key, 1]]
                             c[bit] = max(0, c[bit] - 1) if tr else c[bit]
                             pairs.append(c)
-                        fixed = [max(-10, min(10, math.log((c[1] + 0.05) / (c[0] + 0.05)))) for c in pairs]
+                        fixed = [round((max(-10, min(10, math.log((c[1] + 0.05) / (c[0] + 0.05)))) + 10) * mixing.SAY) / mixing.SAY - 10 for c in pairs]
                         gate = 3 * sum(depth >= x for x in (1, 2, 4)) + sum(sum(pairs[-1]) >= x for x in (1, 4))
-                        cost += coders["spell"].cost(bit, fixed, keys[1], keys[2], gate)
+                        coders["spell"].bit(bit, fixed, keys[1], keys[2], gate)
                 elif rare:
                     total = classes[min(know.octaves - 1, int(math.log2(left))), kinds[w]]
                     cost -= math.log2(min(1, left / max(1, total)))
@@ -159,7 +182,8 @@ def plain_scores(rows, model):
                 seen[w] += 1
             hits.append(hit)
         out.append(cost)
-    return out
+    totals = {b: iter(np.sum([coder.run() for coder in coders.values()], axis=0)) for b, coders in mixed.items()}
+    return [cost + next(totals[b]) for cost, b in zip(out, blocks, strict=True)]
 
 
 def _main_kinds(rows):
@@ -174,18 +198,18 @@ def _main_kinds(rows):
 
 
 def test_scores_equal_a_plain_coder(rows, scored):
-    got, model = scored
+    got, model, blocks = scored
     found = defaultdict(list)
     for r in got:
         found[r.doc_id, r.n_bytes].append(-r.score * math.log2(10))
-    for (i, t, _), want in zip(rows, plain_scores(rows, model), strict=True):
+    for (i, t, _), want in zip(rows, plain_scores(rows, blocks, model), strict=True):
         have = found[i, len((t or "").encode())]
         # cells are hashed into a thousand places, where a few of a text meet
         assert all(x == pytest.approx(want, rel=0.03, abs=0.5) for x in have), (i, have, want)
 
 
 def test_baseline_columns(rows, scored):
-    got, _ = scored
+    got, _, _ = scored
     count = Counter(w for i, t, _ in rows if in_training(i) for w in tokens(t))
     n, v = sum(count.values()), len(count)
     assert len(got) == len(rows)
@@ -204,7 +228,7 @@ def test_bits_of_a_stream_have_probabilities_that_sum_to_one():
     mixer = mixing.Mixer.new(2, tree.GATES)
     total = 0.0
     for leaf in range(40):
-        cost = [mixing.run(mixer, tree.stream(np.array(x), np.zeros(len(x), "u1"), np.array([len(x)])), 0.01, 4096)[0] for x in (past, [*past, leaf])]
+        cost = [mixing.run(mixer, tree.stream(np.array(x), np.zeros(len(x), "u1"), np.array([len(x)])), np.array([False]), 0.1, 4096)[0] for x in (past, [*past, leaf])]
         total += 2 ** (cost[0] - cost[1])
     assert total == pytest.approx(1, abs=1e-3)
 
@@ -228,25 +252,40 @@ def test_documents_that_occur_twice_are_told_apart(spark):
     assert max(twice) < 0.3 and min(once) > 1
 
 
-def test_every_training_document_is_learnt_from(spark, monkeypatch):
-    r = random.Random(22)
-    rows = [(i, " ".join("".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(8))) for i in range(900)]
-    met = []
-    monkeypatch.setattr(lm_scoring.Model, "learnt", lambda self, sums: met.append((self, sums)))
-    scores = lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), lm_scoring.Settings(block_bytes=2000, fan_in=3)).collect()
-    model, sums = met[0]
-    train = [tokens(t) for i, t in rows if in_training(i)]
-    count, follows = Counter(w for ts in train for w in ts), Counter(g for ts in train for g in grams(ts))
-    bits = 0
-    for ts in train:
-        own, mine, seen = Counter(ts), Counter(grams(ts)), set()
-        for g in grams(ts):
-            w = g[2]
-            if follows[g] == mine[g]:  # not what followed elsewhere, so a leaf of the tree
-                left = count[w] - own[w]
-                bits += model.tree.length[END if w is None else AGAIN if w in seen else CLASSES + int(math.log2(left)) if left else ESCAPE]
-            seen.add(w)
-    assert len(scores) == 900 and not model.know.frequent and sums[5].sum() == bits
+def test_weights_learn_from_training_texts_alone():
+    r, tree = np.random.default_rng(3), mixing.Tree(np.random.default_rng(1).random((40, 1)) * 100)
+    leaves, per_text = r.integers(0, 3, 4000), np.full(40, 100)
+    one = mixing.Mixer.new(2, tree.GATES)
+    stream = lambda: tree.stream(leaves, np.zeros(4000, "u1"), per_text)
+    plain = mixing.run(one, stream(), np.zeros(40, bool), 0.1, 2048)
+    assert (one.weights == mixing.Mixer.new(2, tree.GATES).weights).all()
+    learnt = mixing.run(one, stream(), np.arange(40) % 2 == 0, 0.1, 2048)
+    assert (one.weights != mixing.Mixer.new(2, tree.GATES).weights).any() and learnt.sum() < plain.sum()
+    # in lanes of the same length, what a text costs does not depend on its place
+    again = mixing.run(mixing.Mixer.new(2, tree.GATES), stream(), np.ones(40, bool), 0.1, 2048)
+    assert again.sum() < plain.sum()
+
+
+def test_words_are_split_as_bytes_are(rows):
+    bodies = [(t or "").encode() for _, t, _ in rows] + [b"", b"  a\x0bb \x00 c" + "é\u00a0x".encode(), b"w" * 3000 + b" tail"]
+    for window in (64, 1 << 20):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(lm_scoring, "WINDOW", window)
+            text = lm_scoring.Text(bodies)
+        want = [b.lower().split() for b in bodies]
+        assert text.n.tolist() == [len(w) + 1 for w in want] and (np.diff(text.keys.astype(object)) > 0).all()
+        names = [*text.words(np.arange(len(text.keys))), None]
+        assert [names[k] for k in text.token.tolist()] == [w for ws in want for w in [*ws, None]]
+
+
+def test_a_page_sum_holds_few_payloads_at_a_time(spark):
+    rows = [(0, p, t, lm_scoring._pack_page(np.array([t, 70]), np.array([1, 2]))) for p in range(2) for t in range(50)]
+    df = spark.createDataFrame(rows, lm_scoring.ROWS_SQL)
+    got = lm_scoring._tree_sum(df, 50, lm_scoring._add_pages(lm_scoring.Settings()), 4).collect()
+    assert len(got) == 2
+    for r in got:
+        used, n = lm_scoring._unpack_page(bytes(r.payload))
+        assert used.tolist() == [*range(50), 70] and n.tolist() == [1] * 50 + [100]
 
 
 def test_no_training_documents(spark):
