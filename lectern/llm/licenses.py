@@ -1,19 +1,23 @@
 """License scans by canonical digest lookup.
 
-Entire texts are normalised (case, copyright lines, equivalent spellings, punctuation and
+Entire texts are normalised (case, copyright statements, equivalent spellings, punctuation and
 white space), and their SHA-256 digests are hash-joined to the digests of known license
 texts, normalised the same way. The units are whole documents and whole lines, so a bare
 license document and a one-line notice are both found. Only DataFrame functions are used;
-the known side is a fixed list, far below any broadcast bound, and only matches are shuffled.
+only units with the length of a known text are hashed, and only matches are shuffled. Whether
+the known side is broadcast is left to Spark's own check of its size.
 
-Defined cases. Null or empty text: no match. A text that is nothing but a copyright line
-normalises to nothing and matches nothing. A document that matches as a whole and by lines
+Defined cases. Null or empty text: no match. Of a line that begins with a copyright statement
+what follows as a notice of its own stays, the rest goes; a text that is nothing but copyright
+lines normalises to nothing and matches nothing. Lines end at line feeds alone. A document that matches as a whole and by lines
 gets a row for each unit. Repeated rows add up in ``n_units``. Rows without id are counted
 together. Empty table: empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +37,12 @@ _BSD2 = """Redistribution and use in source and binary forms, with or without mo
 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
 
 THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_BSD3 = _BSD2.replace("\n\nTHIS SOFTWARE", "\n\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\nTHIS SOFTWARE")
+#: Longer texts are files, named by their identifiers.
+_FILES = tuple((f.stem, f.read_text(encoding="utf-8")) for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt")))
 KNOWN: tuple[tuple[str, str], ...] = (
+    *_FILES,
+    ("BSD-3-Clause", _BSD3),
     ("MIT", _MIT),
     ("MIT", "MIT License\n\n" + _MIT),
     ("ISC", _ISC),
@@ -52,15 +61,16 @@ KNOWN: tuple[tuple[str, str], ...] = (
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC0-1.0", "SPDX-License-Identifier: CC0-1.0"),
 )
-#: A line that begins so is a copyright line.
-COPYRIGHT = r"(?m)^[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
+#: A line that begins so is a copyright line, and words that begin a notice after one.
+COPYRIGHT = r"^[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
+NOTICE = r"^[ \t]*(?:copyright|\(c\)|©)[^\n]*?\.[ \t]+((?:released|licensed|permission|redistribution|distributed|available|this (?:work|project|program|software|file|library)|spdx-license-identifier)\b[^\n]*)$"
 #: Spellings that count as equal, applied in this order to lower-case text.
 EQUIVALENT = (("licence", "license"), ("sub-license", "sublicense"), ("non-infringement", "noninfringement"), ("non-commercial", "noncommercial"), ("https:", "http:"), ("organisation", "organization"), ("&", " and "))
 
 
 def _clean(text: Column) -> Column:
     """Normalised text that still has its line breaks."""
-    t = F.regexp_replace(F.lower(text), COPYRIGHT, "")
+    t = F.regexp_replace(F.regexp_replace(F.lower(text), "(?md)" + NOTICE, "$1"), "(?md)" + COPYRIGHT, "")
     for a, b in EQUIVALENT:
         t = F.replace(t, F.lit(a), F.lit(b))
     return F.regexp_replace(t, r"[^\p{L}\p{N}\n]+", " ")
@@ -70,6 +80,10 @@ def _lines(clean: Column) -> Column:
     return F.filter(F.transform(F.split(clean, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
+#: Lengths of known texts that are listed in the plan, to save hashing what cannot match.
+MOST_LENGTHS = 1000
+
+
 def known_digests(spark, known=KNOWN) -> DataFrame:
     rows = spark.createDataFrame([(k, t) for k, t in known], "license string, t string")
     return rows.select("license", F.array_join(_lines(_clean(F.col("t"))), " ").alias("n")).select(F.sha2("n", 256).alias("digest"), "license", F.length("n").alias("chars")).distinct()
@@ -78,18 +92,19 @@ def known_digests(spark, known=KNOWN) -> DataFrame:
 def scan(docs: DataFrame, known: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, license, unit (``document`` or ``line``), n_units, digest."""
     known = known_digests(docs.sparkSession) if known is None else known
-    lens = [r["chars"] for r in known.select("chars").distinct().collect()]
+    lens = [r["chars"] for r in known.select("chars").distinct().limit(MOST_LENGTHS + 1).collect()]
     rows = docs.select(F.col(doc_id).alias("doc_id"), _lines(_clean(F.col(text))).alias("lines"))
     unit = lambda name, value: F.struct(F.lit(name).alias("unit"), value.alias("n"))
     units = F.concat(F.array(unit("document", F.array_join("lines", " "))), F.when(F.size("lines") > 1, F.transform("lines", lambda x: unit("line", x))).otherwise(F.array().cast("array<struct<unit:string,n:string>>")))
-    # a text whose length no known text has cannot have its digest either
-    fits = F.filter(units, lambda u: F.length(u["n"]).isin(*lens))
+    # a text whose length no known text has cannot have its digest either; with too many lengths to
+    # list, all are hashed
+    fits = F.filter(units, lambda u: F.length(u["n"]).isin(*lens)) if len(lens) <= MOST_LENGTHS else units
     found = rows.select("doc_id", F.explode(fits).alias("u")).select("doc_id", "u.unit", F.sha2("u.n", 256).alias("digest"))
     return found.join(known.select("digest", "license"), "digest").groupBy("doc_id", "license", "unit", "digest").agg(F.count("*").alias("n_units")).select("doc_id", "license", "unit", "n_units", "digest")
 
 
 def oracle(known=KNOWN) -> str:
-    text = "regexp_replace(lower(@), '" + COPYRIGHT + "', '', 'g')"
+    text = rf"regexp_replace(regexp_replace(lower(@), '(?m){NOTICE}', '\1', 'g'), '(?m){COPYRIGHT}', '', 'g')"
     for a, b in EQUIVALENT:
         text = f"replace({text}, '{a}', '{b}')"
     lines = "list_filter(list_transform(string_split(regexp_replace(" + text + r", '[^\p{L}\p{N}\n]+', ' ', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '')"

@@ -339,7 +339,7 @@ def test_best_fit_takes_the_tightest_compatible_bin():
 
 
 def test_license_texts(spark, empty):
-    mit = licenses.KNOWN[0][1]
+    mit = next(t for k, t in licenses.KNOWN if k == "MIT")
     texts = [(1, "Copyright (c) 2020 Jane\n\n" + mit.upper().replace(",", " ,")), (2, "some words\nReleased under the MIT Licence\nmore"), (3, "Released under the MIT License, mostly."), (4, None), (5, ""), (6, "(c) 2020"), (7, "Licensed under CC BY-NC 4.0."), (2, "Released under the MIT License.\nx\nreleased under the mit license")]
     got = sorted((r.doc_id, r.license, r.unit, r.n_units) for r in licenses.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect())
     assert got == [(1, "MIT", "document", 1), (2, "MIT", "line", 3), (7, "CC-BY-NC-4.0", "document", 1)]
@@ -404,3 +404,61 @@ def test_groups_under_the_limit_are_never_cut(spark):
     assert found.groupBy("text_hash").agg(F.countDistinct("shard").alias("n"), F.sum("size").alias("b")).where(f"n > 1 and b <= {0.02 / 16} * {found.agg(F.sum('size')).first()[0]}").count() == 0
     sizes = [r.b for r in found.groupBy("shard").agg(F.sum("size").alias("b")).collect()]
     assert len(sizes) == 16 and max(sizes) - min(sizes) < 3200
+
+
+def test_license_lines_and_long_texts(spark):
+    texts = [
+        (1, "Copyright 2020 J. Smith. Released under the MIT License."),
+        (2, "© 2020 X Inc. All rights reserved."),
+        (3, dict(licenses._FILES)["Apache-2.0"].upper()),
+        (4, "Copyright (c) 1999 Y.\n\n" + dict(licenses._FILES)["GPL-3.0"].replace("\n\n", "\n").replace("license", "licence")),
+        (5, "SPDX-License-Identifier: MIT and more\rSPDX-License-Identifier: MIT"),
+        (None, "Released under the MIT License."),
+    ]
+    df = spark.createDataFrame(texts, "doc_id long, text string").withColumns({"license": F.lit("clash"), "digest": F.lit("x"), "unit": F.lit(1)})
+    got = sorted(((r.doc_id, r.license, r.unit, r.n_units) for r in licenses.scan(df).collect()), key=repr)
+    assert got == sorted([(1, "MIT", "document", 1), (3, "Apache-2.0", "document", 1), (4, "GPL-3.0", "document", 1), (None, "MIT", "document", 1)], key=repr)
+    # a list of more lengths than a plan can hold finds the same
+    known = licenses.known_digests(spark, [*licenses.KNOWN, *((f"x{k}", "y" * k) for k in range(1, 1200))])
+    assert sorted(((r.doc_id, r.license, r.unit, r.n_units) for r in licenses.scan(df, known).collect()), key=repr) == got
+
+
+def test_null_ids_and_columns_of_other_names(spark):
+    """Rows without an id are sharded and compared like others, beside columns that clash."""
+    rows = [(None, None), (None, "a text"), (None, "a text"), (1, "a text"), (2, None), (2, ""), (2, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({k: F.lit("clash") for k in ("size", "h", "r", "shard", "v", "u", "c", "n", "key", "class", "i", "t", "part", "w", "term")})
+    got = Counter((r.doc_id, r.size, r.text_crc32) for r in sharding.shard_by_size(df).collect())
+    assert got == Counter((i, len((t or "").encode()) + (t is not None or 1), zlib.crc32((t or "").encode())) for i, t in rows)
+    near = Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df, minhash.Settings(words=2)).collect())
+    assert near == Counter([(None, 0, None, True), (None, 1, 1, False), (None, 1, 1, False), (1, 1, 1, True), (2, 0, 2, True), (2, 0, 2, True), (2, 0, 2, True)])
+    bench = spark.createDataFrame([(7, "a text"), (None, "a text")], "item_id long, text string").withColumn("doc_id", F.lit(3))
+    found = Counter((r.doc_id, r.item_id) for r in decontamination.contaminated(df, bench).collect())
+    assert found == Counter({(None, 7): 2, (None, None): 2, (1, 7): 1, (1, None): 1})
+    assert packing.pack(df.withColumn("source", F.lit(None).cast("string"))).count() == len(rows)
+    judged = quality.ledger(df).collect()
+    assert len(judged) == len(rows) and all(r.failures == 1 for r in judged)
+
+
+def test_very_long_texts(spark):
+    """Texts that cross every block of the operators."""
+    r = random.Random(13)
+    words = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) for _ in range(3000)]
+    long = [" ".join(r.choice(words) for _ in range(60_000)) for _ in range(3)]
+    shared = " ".join(r.choice(words) for _ in range(80))
+    at = [0, 65_536 - 100, 200_000]
+    long = [t[:k] + shared + t[k:] for t, k in zip(long, at, strict=True)]
+    texts = [*enumerate(long), (3, shared), (4, long[0])]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = suffix_dedup.digest(suffix_dedup.remove_repeats(df)).collect()
+    assert keyed(tuple(x) for x in got) == keyed(repeats(texts, 200))
+    item = " ".join(r.choice(words) for _ in range(40))
+    leaked = [(k, t[:cut] + " " + item + " " + t[cut:]) for (k, t), cut in zip(texts, (5, 300_000, len(texts[2][1]), 40, 100), strict=True)]
+    index = decontamination.build([(1, item)])
+    found = decontamination.scan([t for _, t in leaked] + [t for _, t in texts], index, batch_chars=50_000)
+    assert [len(f) for f in found] == [1] * 5 + [0] * 5
+    comps = {x.doc_id: x.component_id for x in minhash.near_duplicates(df, minhash.Settings(words=2)).collect()}
+    assert comps == {0: 0, 1: 1, 2: 2, 3: 3, 4: 0}
+    lengths = [x.n_words for x in quality.ledger(df).orderBy("doc_id").collect()]
+    assert lengths == [len(t.split()) for _, t in texts]
+    packed = packing.pack(df.withColumn("source", F.lit("s"))).groupBy("doc_id").agg(F.sum("n_bytes").alias("n")).collect()
+    assert {x.doc_id: x.n for x in packed} == {k: len(t) for k, t in texts}
