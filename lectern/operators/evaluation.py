@@ -87,8 +87,8 @@ def with_substance(chunks: DataFrame, least: int = 150, or_all: bool = True) ->
 
 
 def round_robin(rows: DataFrame, n: int, seed: int = 7, book: str = "book", key: str = "id") -> DataFrame:
-    """``n`` rows drawn from the books in turn, in a hashed order within each."""
+    """``n`` rows drawn from the books in turn, in an order within each that a hash of seed and key gives."""
     from pyspark.sql import Window as W
 
-    w = W.partitionBy(book).orderBy(F.xxhash64(F.lit(seed), key), key)
+    w = W.partitionBy(book).orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col(key))), key)
     return rows.withColumn("turn", F.row_number().over(w)).orderBy("turn", book).limit(n)

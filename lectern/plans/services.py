@@ -71,6 +71,7 @@ def query_variants(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (text_blocks, chapters_per_book, index_generations, index_refresh, incremental_ingest, page_overlap, gold_round_robin, query_variants)}
 ORACLE_SQL = {
+    "gold_round_robin": "select doc_id as id, source as book, row_number() over (partition by source order by md5('7:' || doc_id), doc_id) as turn from documents order by turn, book limit 45",
     "text_blocks": r"""
 with d as (select doc_id as path, case when doc_id % 5 = 0 then repeat('#', (doc_id % 4 + 1)::int) || ' Title' || chr(10) || text else text end as t from documents),
 l as (select path, unnest(string_split(t, chr(10))) as line from d),
