@@ -313,3 +313,17 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), doc_id: st
     out = found.select("doc_id", "n_shingles", "class").join(by_class, "class", "left")
     component = F.coalesce("c", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+#: The result of ``near_duplicates`` over two-word shingles, from all pairs of different sets that share a shingle.
+ORACLE = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select doc_id, list_sort(list_distinct(case when len(w) < 2 then w else list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) end)) as s from w),
+c as (select doc_id, len(s) as n, case when len(s) > 0 then min(doc_id) over (partition by md5(array_to_string(s, chr(10)))) else doc_id end as v, s from s),
+x as (select v, n, unnest(s) as x from c where doc_id = v),
+p as (select a.v as a, b.v as b from x a join x b on a.x = b.x and a.v < b.v and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) group by a.v, b.v, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+e as (select a, b from p union all select b, a from p),
+r(v, c) as (select a, a from e union select r.v, e.b from r join e on e.a = r.c),
+m as (select v, min(c) as c from r group by v)
+select doc_id, n::bigint as n_shingles, coalesce(m.c, c.v) as component_id, coalesce(m.c, c.v) = doc_id as kept from c left join m on m.v = c.v
+"""

@@ -37,7 +37,7 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = minhash.near_duplicates(docs, minhash.Settings(words=2))
-    return compact(found.select("doc_id", "n_shingles", "component_id", "kept", "n_links"), docs)
+    return compact(found.select("doc_id", "n_shingles", "component_id", "kept"), docs)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,4 +84,4 @@ QUERIES = {
     "op10_language_id": op10_language_id,
     "quality_ablations": quality_ablations,
 }
-ORACLE_SQL = {"op1_warc": OP1_SQL, "op6_licenses": licenses.oracle(), "op8_quality": quality.oracle(), "quality_ablations": quality.ablations_oracle()}
+ORACLE_SQL = {"op1_warc": OP1_SQL, "op6_licenses": licenses.oracle(), "op7_minhash": minhash.ORACLE, "op8_quality": quality.oracle(), "quality_ablations": quality.ablations_oracle()}
