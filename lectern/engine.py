@@ -73,3 +73,21 @@ def retrieve(questions: DataFrame, chunks: DataFrame, cfg: Config, encode: Encod
     best = hits.groupBy("query_id").agg(F.max("score").alias("top_score"))
     out = questions.select("query_id").join(made, "query_id", "left").join(best, "query_id", "left").join(sound, "query_id", "left").withColumn("grounded", F.coalesce("grounded", F.lit(False)))
     return out.withColumn("answered", answer.gate(F.col("grounded"), F.col("context"), F.col("top_score"), cfg.get("grounding.answer_threshold", 0.05)))
+
+
+Client = Callable[[], Callable[[str], str]]
+
+
+def check_claims(answers: DataFrame, passages: DataFrame, fast: Client, primary: Client | None = None, retries: int = 0) -> DataFrame:
+    """(answer_id, claims_ok, n_failed) of answers (answer_id, raw) with statements, judged against
+    the passages they cite; where the fast model gives no JSON, the primary one is asked. What
+    no verdict supports has failed."""
+    said = stored(answer.statements(answers))
+    prompts = answer.claim_prompts(said, passages).withColumn("prompt_id", F.xxhash64("answer_id", "batch"))
+    prompts = stored(prompts)
+    replies = plugins.complete_json(prompts, fast, retries)
+    if primary is not None:
+        rest = prompts.join(replies.where("json is null").select("prompt_id"), "prompt_id", "left_semi")
+        replies = replies.where("json is not null").unionByName(plugins.complete_json(rest, primary, retries))
+    verdicts = answer.claim_verdicts(prompts.select("prompt_id", "answer_id").join(replies, "prompt_id"))
+    return answer.claims_supported(said, verdicts)

@@ -9,9 +9,12 @@ from __future__ import annotations
 
 import io
 import re
+import subprocess
+import tempfile
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -177,3 +180,24 @@ def read_contents(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["path", "title", "seq", "level", "entry", "page"]).astype({"level": "Int32", "page": "Int32"})
 
     return files.where("suffix = 'pdf'").select("path", "content").mapInPandas(run, "path string, title string, seq int, level int, entry string, page int")
+
+
+def ocr(files: DataFrame, command: tuple[str, ...] = ("ocrmypdf", "--force-ocr"), timeout: float = 3600.0) -> DataFrame:
+    """(path, content, problem): PDF files as a program makes them that reads one path and writes
+    another; what fails, or takes too long, is reported and does not stop the others."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for path, data in zip(pdf["path"], pdf["content"], strict=True):
+                with tempfile.TemporaryDirectory() as folder:  # the task's own, gone when it is done
+                    source, made = Path(folder) / "in.pdf", Path(folder) / "out.pdf"
+                    source.write_bytes(data)
+                    try:
+                        subprocess.run([*command, str(source), str(made)], check=True, capture_output=True, timeout=timeout)
+                        rows.append((path, made.read_bytes(), None))
+                    except (OSError, subprocess.SubprocessError) as e:
+                        rows.append((path, None, f"{type(e).__name__}: {e}"[:200]))
+            yield pd.DataFrame(rows, columns=["path", "content", "problem"])
+
+    return files.where("suffix = 'pdf'").select("path", "content").mapInPandas(run, "path string, content binary, problem string")

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from lectern import connectors, engine, plugins
 from lectern.config import Config
-from lectern.functions import markup, render
+from lectern.functions import markup, models, render
 from lectern.functions.replies import question_items, reply_json, without_thinking
 from lectern.operators import answer, evaluation, ingest, lexical, paper
-from lectern.sources import books, papers
+from lectern.sources import books, export, papers
 from lectern.sources.index_store import matching_books
 
 
@@ -215,3 +215,56 @@ def test_zeros_rank_above_negative_scores(spark):
     assert index.mean < 0
     got = [(r.doc_id, r.score) for r in lexical.search(spark.createDataFrame([(0, "a")], "query_id long, text string"), docs, 12, index=index).orderBy("rank").collect()]
     assert [k for k, _ in got] == [*range(90, 100), 0, 1] and got[-1][1] < 0 == got[0][1]
+
+
+def test_claims_are_checked_in_batches_by_two_models(spark):
+    raw = {1: " ".join(f"Statement number {k} says a thing [1]." for k in range(15)), 2: "Only this one is said here [2].", 3: "This one is doubtful to all [1].", 4: "It says $x^{2}$ without a marker."}
+    answers = spark.createDataFrame(list(raw.items()), "answer_id long, raw string")
+    passages = spark.createDataFrame([(a, n, f"B, p.{n}", f"passage {n} of {a}") for a in raw for n in (1, 2)], "answer_id long, n int, citation string, text string")
+    prompts = {(r.answer_id, r.batch): r.prompt for r in answer.claim_prompts(answer.statements(answers), passages).collect()}
+    assert sorted(prompts) == [(1, 0), (1, 1), (2, 0), (3, 0), (4, 0)]
+    assert "passage 1 of 1" in prompts[1, 0] and "passage 2 of 1" not in prompts[1, 0] and "12. Statement" in prompts[1, 0] and "13. Statement" in prompts[1, 1]
+    assert "passage 1 of 4" in prompts[4, 0] and "passage 2 of 4" in prompts[4, 0] and "It says x^2 without a marker. (cites none)" in prompts[4, 0]
+
+    def judge(trusts):
+        def make():
+            def say(prompt):
+                import json
+                import re
+
+                if not trusts and "of 2" in prompt:
+                    return "no JSON"
+                ids = re.findall(r"(?m)^(\d+)\. ", prompt.partition("STATEMENTS")[2])
+                return json.dumps({"verdicts": [{"id": int(i), "supported": "doubtful" not in prompt} for i in ids] + ["odd"]})
+
+            return say
+
+        return make
+
+    got = {r.answer_id: (r.claims_ok, r.n_failed) for r in engine.check_claims(answers, passages, judge(False), judge(True)).collect()}
+    assert got == {1: (True, 0), 2: (True, 0), 3: (False, 1), 4: (True, 0)}
+    assert {r.answer_id: r.claims_ok for r in engine.check_claims(answers, passages, judge(False)).collect()}[2] is False
+
+
+def test_files_made_of_papers_and_uploads(spark, tmp_path):
+    q = spark.createDataFrame([("p", "A", 1, "Pick & choose", 2, ["x", "y"], None, "y", "n")], "paper string, section string, number int, text string, marks int, options array<string>, answer string, correct_option string, verify_notes string")
+    [rows] = books.read_docx(bytes(export.to_docx(q).first().docx))
+    assert [(t, n) for t, _, _, n in rows] == [("A", 2), ("1. Pick & choose [2]", None), ("A) x", None), ("B) y", None), ("Answer: y", None)]
+    assert "Answer" not in str(books.read_docx(bytes(export.to_docx(q, False).first().docx)))
+    export.save_report(spark.createDataFrame([(3, None)], "n int, mrr double"), str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report")).first().n == 3 and '"mrr":null' in spark.read.text(str(tmp_path / "report")).first()[0]
+    say = lambda name, data: export.save_upload(str(tmp_path), name, data)
+    assert [say("a.txt", b"1"), say("a.txt", b"1"), say("a.txt", b"2"), say("b.exe", b"1"), say("../c.MD", b"1")] == ["saved", "same", "another file of that name", "unknown suffix", "saved"]
+    assert (tmp_path / "c.MD").exists() and not list(tmp_path.glob(".*.part"))
+
+
+def test_a_program_that_reads_scans(spark):
+    files = spark.createDataFrame([("x/a.pdf", "pdf", b"scan"), ("x/b.txt", "txt", b"text")], "path string, suffix string, content binary")
+    assert [(r.path, bytes(r.content), r.problem) for r in books.ocr(files, ("cp",)).collect()] == [("x/a.pdf", b"scan", None)]
+    assert books.ocr(files, ("false",)).first().problem.startswith("CalledProcessError") and books.ocr(files, ("no-such-program",)).first().problem.startswith("FileNotFoundError")
+    assert books.ocr(files, ("sleep", "9", "#"), 0.2).first().problem is not None
+
+
+def test_catalogue(spark):
+    rows = spark.createDataFrame([("small", "4B"), ("bge-m3", "567M"), ("large", "8.2B"), ("odd", None)], "name string, size string")
+    assert [(r.name, r.billions, r.speed) for r in models.catalogue(rows).collect()] == [("large", 8.2, 9.8), ("small", 4.0, 20.1), ("odd", None, None), ("bge-m3", 0.567, 141.7)]
