@@ -14,8 +14,10 @@ to the right, then the bytes to the left in reverse. The sorted run is front-cod
 prefix length and rest) and sent by ranges. Each range merges its runs with a loser tree whose
 nodes remember the prefix shared with the last string put out, so no known prefix is compared
 again, and the merge yields the array of common prefixes (LCP) as it goes. Equal contexts are
-one entry with a count, within a block and in the merge, so a passage shared by a third of all
-documents costs an entry a block.
+one entry with a count, within a block and in the merge. Where a range has runs of more than
+``fan_in`` blocks, they are merged in rounds: so many neighbouring runs become one, in which a
+passage shared by a third of all documents is one entry again, and what is found goes back the same
+way. So no task holds more than ``fan_in`` entries of one context, however hot it is.
 
 Within the entries that share their first 64 bytes, the LCPs to the right and those of the
 left contexts tell, for each anchor, the farthest repeated window on either side; all bytes
@@ -53,6 +55,7 @@ class Settings:
     length: int = 200
     block_bytes: int = 2 << 20
     range_bytes: int = 8 << 20
+    fan_in: int = 256
     #: Groups of more distinct contexts are resolved by classes of each offset, smaller ones by pairs.
     pairwise: int = 24
 
@@ -424,6 +427,57 @@ def _merge_stage(settings: Settings):
     return run
 
 
+MERGED = pa.schema([("kind", pa.int64()), ("range", pa.int64()), ("block", pa.int64()), ("payload", pa.binary())])
+RUN, ORIGIN = 0, 1
+
+
+def _join_stage(group: pa.Table) -> pa.Table:
+    """Neighbouring runs of a range as one: rows (RUN, range, number, run) and (ORIGIN, range, number,
+    where the entries of each block's run have gone)."""
+    number, joint = group.column("range")[0].as_py(), group.column("joint")[0].as_py()
+    sizes, streams, flags = zip(*(unpack_run(x.as_py()) for x in group.column("payload")), strict=True)
+    place = [np.zeros(n, "<u4") for n in sizes]
+    seen = [0] * len(sizes)
+    strings: list[bytes] = []
+    many: list[bool] = []
+    for s, k, r in merge(list(streams)):
+        if strings and k == len(s) == len(strings[-1]):
+            many[-1] = True
+        else:
+            strings.append(s)
+            many.append(bool(flags[r][seen[r]]))
+        place[r][seen[r]] = len(strings) - 1
+        seen[r] += 1
+    blocks = np.array(group.column("block").to_pylist(), "<i8")
+    origin = np.array([len(sizes)], "<u4").tobytes() + blocks.tobytes() + np.array(sizes, "<u4").tobytes() + b"".join(p.tobytes() for p in place)
+    rows = [(RUN, pack_run(strings, many)), (ORIGIN, zstandard.ZstdCompressor(level=3).compress(origin))]
+    return pa.table([pa.array([k for k, _ in rows], pa.int64()), pa.array([number] * 2, pa.int64()), pa.array([joint] * 2, pa.int64()), pa.array([x for _, x in rows], pa.binary())], schema=MERGED)
+
+
+def _spread_stage(origin: pa.Table, extents: pa.Table) -> pa.Table:
+    """Extents of a joint run, for each of its blocks."""
+    number = origin.column("range")[0].as_py()
+    found = np.frombuffer(extents.column("payload")[0].as_py(), "u1").reshape(-1, 2)
+    data = zstandard.ZstdDecompressor().decompress(origin.column("payload")[0].as_py())
+    n = int(np.frombuffer(data, "<u4", 1)[0])
+    blocks, sizes = np.frombuffer(data, "<i8", n, 4), np.frombuffer(data, "<u4", n, 4 + 8 * n)
+    place = np.frombuffer(data, "<u4", int(sizes.sum()), 4 + 12 * n)
+    parts = np.split(found[place], np.cumsum(sizes)[:-1])
+    return pa.table([pa.array([number] * n, pa.int64()), pa.array(blocks), pa.array([p.tobytes() for p in parts], pa.binary())], schema=RUNS)
+
+
+def _extents(runs: DataFrame, blocks: int, settings: Settings, parts: int) -> DataFrame:
+    """(range, block, extents of the run's entries) of runs (range, block, payload) numbered below ``blocks``."""
+    kind = "range bigint, block bigint, payload binary"
+    if blocks <= settings.fan_in:
+        return runs.groupBy("range").applyInArrow(_merge_stage(settings), kind)
+    joint = runs.withColumn("joint", F.floor(F.col("block") / settings.fan_in)).groupBy("range", "joint")
+    joined = staged(joint.applyInArrow(_join_stage, "kind bigint, range bigint, block bigint, payload binary"), "joined", parts)
+    upper = _extents(joined.where(F.col("kind") == RUN).drop("kind"), -(-blocks // settings.fan_in), settings, parts)
+    origin = joined.where(F.col("kind") == ORIGIN).drop("kind")
+    return origin.groupBy("range", "block").cogroup(upper.groupBy("range", "block")).applyInArrow(_spread_stage, kind)
+
+
 def _cut_stage(names: list[str], schema: pa.Schema):
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
         if not len(docs):
@@ -470,8 +524,7 @@ def remove_repeats(docs: DataFrame, settings: Settings = Settings(), doc_id: str
     by_block = rows.select("doc_id", "body", "block").groupBy("block").cogroup(known.groupBy("block"))
     runs = staged(by_block.applyInArrow(_run_stage(settings, ranges), "range bigint, block bigint, payload binary"), "runs", parts)
     discard(known)
-    merged = runs.where("range >= 0").groupBy("range").applyInArrow(_merge_stage(settings), "range bigint, block bigint, payload binary")
-    replies = staged(merged, "extents", parts).unionByName(runs.where("range < 0"))
+    replies = staged(_extents(runs.where("range >= 0"), blocks, settings, parts), "extents", parts).unionByName(runs.where("range < 0"))
     names = ["doc_id", *[f"c_{c}" for c in carry]]
     out = rows.select(*names).schema.add("n_bytes", "long").add("kept", "binary").add("spans", T.ArrayType(T.StructType().add("start", "long").add("stop", "long")))
     cut = rows.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_cut_stage(names, to_arrow_schema(out)), out)

@@ -125,6 +125,14 @@ def test_repeats_equal_brute_force(docs, rows, spark):
         assert keyed(tuple(r) for r in got) == keyed(repeats(texts, 200))
 
 
+def test_repeats_merged_in_rounds_equal_brute_force(docs, rows, spark):
+    """Blocks of a few documents, joined three at a time."""
+    rounds = suffix_dedup.Settings(block_bytes=200, range_bytes=3000, fan_in=3)
+    assert suffix_dedup.block_count(docs, rounds.block_bytes) > 27
+    got = suffix_dedup.digest(suffix_dedup.remove_repeats(docs, rounds)).collect()
+    assert keyed(tuple(r) for r in got) == keyed(repeats(rows, 200))
+
+
 def test_loser_tree_merges_with_prefixes():
     r = random.Random(1)
     runs = [sorted(bytes(r.choice(b"ab") for _ in range(r.randint(0, 9))) for _ in range(r.randint(0, 30))) for _ in range(7)]
