@@ -12,6 +12,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from lectern.llm import decontamination, language_id, licenses, lm_scoring, minhash, packing, queries, quality, sharding, suffix_dedup, warc
@@ -470,3 +471,31 @@ def test_very_long_texts(spark):
     assert lengths == [len(t.split()) for _, t in texts]
     packed = packing.pack(df.withColumn("source", F.lit("s"))).groupBy("doc_id").agg(F.sum("n_bytes").alias("n")).collect()
     assert {x.doc_id: x.n for x in packed} == {k: len(t) for k, t in texts}
+
+
+def test_shards_equal_brute_force(docs, rows, spark):
+    """Places in the whole order of keys, summed up one by one."""
+    many = [(k, f"text {k // 4} " + "z" * (k % 90)) for k in range(3000)] + [(5000 + k, "one hot text") for k in range(1500)] + [(9000 + k, None if k % 2 else "") for k in range(300)]
+    for table, found in ((rows, docs), (many, spark.createDataFrame(many, "doc_id long, text string").repartition(5))):
+        got = sharding.shard_by_size(found, range_rows=256).select("doc_id", "size", "shard", "slot").collect()
+        keys = sorted(((xxhash.xxh64_intdigest((t or "").encode(), 42) + (1 << 63)) % (1 << 64) - (1 << 63), i is not None, i or 0, len((t or "").encode()) + 1) for i, t in table)
+        total, at = sum(k[3] for k in keys), 0
+        middle, groups = [], defaultdict(list)
+        for n, (h, _, _, size) in enumerate(keys):
+            at += size
+            middle.append(at - -(-size // 2))
+            groups[h].append(n)
+        shard = [0] * len(keys)
+        for members in groups.values():
+            whole = sum(keys[n][3] for n in members) <= 0.02 * total / 16 and len(members) <= 256
+            for n in members:
+                shard[n] = min(15, middle[members[0] if whole else n] * 16 // total)
+        seen = Counter()
+        want = []
+        for (_, named, i, size), s in zip(keys, shard, strict=True):
+            want.append((i if named else None, size, s, seen[s]))
+            seen[s] += 1
+        # rows alike in text and id are interchangeable
+        key = lambda x: (x[0], x[1], x[2])
+        assert Counter(key(x) for x in want) == Counter(key((r.doc_id, r.size, r.shard, r.slot)) for r in got)
+        assert Counter((x[2], x[3]) for x in want) == Counter((r.shard, r.slot) for r in got)
