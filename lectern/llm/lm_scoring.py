@@ -7,16 +7,16 @@ A text is its tokens (words in lower case) and one end, coded in order, bit by b
 2. If not, it is a leaf of a Huffman tree: the end, a frequent word, a word met before in this
    text (then its share of those), a class of rarer words by count and kind (then its share of the
    class), or an unknown word.
-3. An unknown word is spelled, eight bits a byte and a terminator.
+3. An unknown word is spelled: its bytes and a terminator, each a path in a Huffman tree of bytes.
 
 All these bits are predicted by online logistic mixing (``mixing``): counts of the training
 tokens by node, and by node and kind of text; hashed orders one to five of the bytes, counted over
 all training words; and cells of the text itself, hashed by the node, by the node and the leaf
 before it, by the last outcomes. Gated weights mix them and move after every bit, and a table
-refines what they say: both learn online, in the order of a block's texts. The kind of a text is, at each token, the one that its tokens so far
-speak for; kinds are the frequent values of a column of the training documents, and that of
-a scored document is never read. The sum is the code length, as log10 probability and as bits per
-byte of the text.
+refines what they say: both learn online, from all texts of a block step by step. The kind of a text
+is, at each token, the one that its tokens so far speak for; kinds are the frequent values of a
+column of the training documents, and that of a scored document is never read. The sum is the code
+length, as log10 probability and as bits per byte of the text.
 
 A training document is scored as if it had not been seen: its own occurrences are left out
 of the counts of words, of what follows what, and of spellings. So documents in or out of the
@@ -39,8 +39,9 @@ Defined cases. Null or empty text: the end token alone, 0 bytes, bits per byte 0
 training documents: the baseline has N = V = 0, and the model knows nothing. Null id: the fold
 of the empty text. Repeated rows are scored alike (and are each other's other documents); rows
 equal in id and text share a block. Empty table: empty result. Long texts and long words are taken
-whole, in lanes of ``lane_bits`` bits (or ``lane_flags`` flags) that each begin with empty cells. Other columns are
-ignored.
+whole, in lanes of ``lane_bits`` bits (or ``lane_flags`` flags) that each begin with empty cells; a
+task holds a block whole, at a few hundred bytes a token while it counts and some ten bytes a bit
+while it codes. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -64,7 +65,7 @@ from lectern.llm.mixing import MATCH_GATES, ORDERS, P1, P3, SLOTS, SPELL_GATES,
 
 @dataclass(frozen=True)
 class Settings:
-    block_bytes: int = 3 << 20
+    block_bytes: int = 2 << 20
     range_bytes: int = 8 << 20
     #: A frequent word is one in so many training tokens, and has been met sixteen times.
     frequent: int = 8192
@@ -120,8 +121,7 @@ def split(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts, ends, keys, at = [], [], [], 0
     powers = _powers(min(len(data), WINDOW + 4096) + 1)
     while at < len(data):
-        stop = max((data.find(c, at + WINDOW) for c in (b" ", b"\n")), key=lambda k: (k < 0, -k)) + 1 if at + WINDOW < len(data) else 0
-        stop = stop or len(data)
+        stop = min((k + 1 for k in (data.find(c, at + WINDOW) for c in (b" ", b"\n")) if k >= 0), default=len(data))
         part = np.frombuffer(data, np.uint8, stop - at, at)
         if len(part) >= len(powers[0]):
             powers = _powers(len(part) + 1)
@@ -524,10 +524,14 @@ RESULT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n
 
 
 def _score_stage(shared, bits: int, ranges: int, settings: Settings):
+    held: list[Model] = []  # by the task, for all its blocks
+
     def run_(docs: pa.Table, replies: pa.Table) -> pa.Table:
         if not len(docs):
             return RESULT_SCHEMA.empty_table()
-        model: Model = pickle.loads(shared.value)
+        if not held:
+            held.append(pickle.loads(shared.value))
+        model = held[0]
         ids, kind, bodies = docs.column("doc_id").to_pylist(), docs.column("kind").to_pylist(), [b.as_py() for b in docs.column("body")]
         # an order that depends on the documents alone, as the weights learn from one after the other
         order = sorted(range(len(ids)), key=lambda k: (ids[k] is not None, ids[k] or 0, bodies[k]))
@@ -540,8 +544,10 @@ def _score_stage(shared, bits: int, ranges: int, settings: Settings):
             (counts if a < ranges else follows).append(found.astype(np.int64))
             if a < ranges:
                 main.append(np.frombuffer(data, "u1", n, at))
+        size = np.array([len(bodies[k]) for k in order], np.int64)
         p = prepare(text, train, np.concatenate(counts), np.concatenate(main).astype(np.int64), np.concatenate(follows), bits, model.know)
-        cost, size = model.bits(p, settings), np.array([len(bodies[k]) for k in order], np.int64)
+        del text, bodies, counts, main, follows
+        cost = model.bits(p, settings)
         columns = [[ids[k] for k in order], ~train, p["n_tokens"], p["n_known"], np.full(len(size), model.know.n_total), p["base"], -cost * math.log10(2), size, np.where(size > 0, cost / np.maximum(size, 1), 0.0)]
         return pa.table([pa.array(c, t) for c, t in zip(columns, RESULT_SCHEMA.types, strict=True)], schema=RESULT_SCHEMA)
 

@@ -20,6 +20,7 @@ import numpy as np
 #: A cell is a byte: sixteen times the zeros it has seen, plus the ones; an opposite bit halves what is above two.
 ZEROS, ONES = np.divmod(np.arange(256), 16)
 CELL_STRETCH = np.log((ONES + 0.4) / (ZEROS + 0.4)).astype(np.float32)
+#: Cells of a lane for each of its two contexts; a hash of ten bits says which.
 CELLS = 1024
 #: Entries of the refining table: half steps of the logistic domain, which is cut off at 14.
 STEPS = 57
@@ -183,42 +184,43 @@ class Tree:
 
     GATES = 4
 
-    def bits(self, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of each bit of the leaves' paths: the leaf's number in the list, the depth, node and bit."""
+    def places(self, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bits of each leaf's path, and the places of all of them in the list of all paths."""
         length = self.length[leaf]
-        of = np.repeat(np.arange(len(leaf), dtype=np.int32), length)
-        depth = np.arange(len(of), dtype=np.int32) - np.repeat((np.cumsum(length) - length).astype(np.int32), length)
-        place = self.start[leaf].astype(np.int32)[of] + depth
-        return of, depth, self.node[place], self.bit[place]
+        ends = np.cumsum(length)
+        return length, np.repeat(self.start[leaf] - ends + length, length) + np.arange(int(ends[-1]) if len(ends) else 0)
 
     def stream(self, leaf: np.ndarray, kind: np.ndarray, per_text: np.ndarray) -> Stream:
         """The bits of leaves, given in order with the kind that each text seemed to be of before.
         The lane's cells belong to the node, and to the node after the leaf before."""
-        of, depth, node, bit = self.bits(leaf)
-        before = np.r_[0, leaf[:-1]].astype(np.uint64) + np.uint64(1)
+        # bit, gate, second cell, first cell, and from 32 the place in the table of what is fixed
+        depth = np.arange(len(self.node)) - np.repeat(self.start, self.length)
+        gate = SETS * np.searchsorted([2, 4, 7], depth, "right")
+        node = self.node.astype(np.int64)
+        of_path = self.bit + (gate << 1) + (_ten_bits(node) << 9) + ((node & (CELLS - 1)) << 20) + (node << 32)
+        before = np.r_[0, leaf[:-1]] + 1
         before[(np.cumsum(per_text) - per_text)[per_text > 0]] = 0
-        two = ((mix64(before * P3) >> np.uint64(40)).astype(np.int32)[of] + node * 40503 & (CELLS - 1)).astype(np.int16)
-        gate = (SETS * np.searchsorted([2, 4, 7], np.arange(int(self.length.max(initial=0)) + 1), "right")).astype(np.uint8)[depth]
-        # bit, gate, second cell, kind, node
-        packed = bit.astype(np.int64)
-        packed |= gate.astype(np.int64) << 1
-        packed |= two.astype(np.int64) << 9
-        packed |= (kind.astype(np.int64) << 20)[of]
-        packed |= node.astype(np.int64) << 28
-        flat, plain = self.stretch.ravel(), self.stretch[0]
-        ends = np.r_[0, np.cumsum(self.length[leaf])][np.cumsum(per_text)]
+        length, place = self.places(leaf)
+        of_leaf = (_ten_bits(before + self.nodes) << 9) + (kind.astype(np.int64) << 48)
+        packed = of_path.take(place)
+        packed ^= np.repeat(of_leaf, length)
+        fixed = np.stack([np.tile(self.stretch[0], len(self.stretch) - 1), self.stretch[1:].ravel()], axis=1)
+        ends = np.r_[0, np.cumsum(length)][np.cumsum(per_text)]
 
         def feed(at: np.ndarray):
             u = packed.take(at)
-            n = u >> 28
             x = np.empty((len(at), 5), np.float32)
-            x[:, 0] = plain.take(n)
-            x[:, 1] = flat.take(((u >> 20 & 255) + 1) * self.nodes + n)
-            return u & 1, x, n & (CELLS - 1), (u >> 9 & (CELLS - 1)) + CELLS, u >> 1 & 255
+            x[:, :2] = fixed.take((u >> 48) * self.nodes + (u >> 32 & 65535), 0)
+            return u & 1, x, u >> 20 & (CELLS - 1), (u >> 9 & (CELLS - 1)) + CELLS, u >> 1 & 255
 
         return Stream(np.diff(ends, prepend=0), feed)
 
 
+def _ten_bits(x: np.ndarray) -> np.ndarray:
+    """A hash that says which of a lane's cells."""
+    return (mix64(x.astype(np.uint64)) >> np.uint64(54)).astype(np.int64)
+
+
 #: Spelling: orders of the byte contexts, of which the first two know the kind; log2 of their slots.
 ORDERS = (1, 2, 3, 5)
 SLOTS = (16, 19, 20, 22)
@@ -234,11 +236,13 @@ class Spelling:
         byte = np.frombuffer(b" ".join(words) + b" " if words else b"", np.uint8)
         place = np.arange(len(byte)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
         of_kind = np.repeat(kind.astype(np.uint64) + np.uint64(1), self.lengths)
-        self.of, self.depth, node, self.bit = letters.bits(byte)
-        self.size = np.r_[0, np.cumsum(letters.length[byte])][np.cumsum(self.lengths)]
-        self.size = np.diff(self.size, prepend=0)
+        length, where = letters.places(byte)
+        self.size = np.diff(np.r_[0, np.cumsum(length)][np.cumsum(self.lengths)], prepend=0)
+        # of the nodes of all paths: the bit, and from 1 the gate
+        depth = np.arange(len(letters.node)) - np.repeat(letters.start, letters.length)
+        self.path = (letters.bit + (3 * SETS * np.searchsorted([1, 2, 4], depth, "right") << 1)).astype(np.uint64).take(where)
+        turn = mix64(letters.node.astype(np.uint64)).astype(np.uint32).take(where)
         past, self.slots, self.cells = np.zeros(len(byte), np.uint64), [], []
-        turn = mix64(np.arange(letters.nodes + 1, dtype=np.uint64)).astype(np.uint32)[node]
         for k in range(1, max(ORDERS) + 1):
             before = np.zeros(len(byte), np.uint64)
             before[k:] = byte[:-k]
@@ -246,31 +250,35 @@ class Spelling:
             past = past * np.uint64(257) + before + np.uint64(1)
             if k in ORDERS:
                 context = mix64(past * np.uint64(8) + np.uint64(k) + (of_kind * P3 if k < 3 else np.uint64(0))).astype(np.uint32)
-                key = context[self.of]
+                key = np.repeat(context, length)
                 key += turn
                 key *= np.uint32(0x9E3779B1)
                 if k in (2, 3):
-                    self.cells.append((key & np.uint32(CELLS - 1)).astype(np.int16))
+                    self.cells.append(key & np.uint32(CELLS - 1))
                 key >>= np.uint32(32 - SLOTS[len(self.slots)])
                 self.slots.append(key.view(np.int32))
 
     def count(self, tables: list[np.ndarray]) -> None:
         """Add the bits to tables (of 32-bit numbers) where 2 * slot + bit holds a count."""
+        bit = (self.path & np.uint64(1)).astype(np.int32)
         for table, at in zip(tables, self.slots, strict=True):
-            np.add.at(table, (at << 1) + self.bit, np.uint32(1))
+            np.add.at(table, (at << 1) + bit, np.uint32(1))
 
     def stream(self, says: list[np.ndarray], leave: np.ndarray, text: np.ndarray, texts: int) -> Stream:
         """The words' bits; ``text`` are the texts of the words, in order, ``says`` the tables as
         ``looked_up`` makes them. Of words that have ``leave`` set, one occurrence is in the tables
         and is left out."""
-        case, said = np.where(np.repeat(leave, self.size), 1 + self.bit.astype(np.int32), 0), np.empty((len(self.bit), 4), np.uint8)
+        case = np.repeat(leave.astype(np.int32), self.size)
+        case += case * (self.path & np.uint64(1)).astype(np.int32)
+        said = np.empty((len(case), 4), np.uint8)
         for k, at in enumerate(self.slots):
             at = at + (case << SLOTS[k])
             said[:, k] = says[k].take(at)
+        # bit, gate, cells, and from 32 what the tables say
         packed = said.view(np.uint32).ravel().astype(np.uint64) << np.uint64(32)
-        packed |= self.bit
-        gate = SETS * (3 * np.searchsorted([1, 2, 4], np.arange(256), "right")[self.depth] + says[-1].take(at))
-        for x, place in ((gate, 1), (self.cells[0], 9), (self.cells[1], 20)):
+        packed += self.path
+        packed += says[-1].take(at).astype(np.uint64) * np.uint64(2 * SETS)
+        for x, place in ((self.cells[0], 9), (self.cells[1], 20)):
             packed |= x.astype(np.uint64) << np.uint64(place)
         packed = packed.view(np.int64)
 

@@ -269,9 +269,12 @@ def test_weights_learn_from_training_texts_alone():
 def test_words_are_split_as_bytes_are(rows):
     bodies = [(t or "").encode() for _, t, _ in rows] + [b"", b"  a\x0bb \x00 c" + "é\u00a0x".encode(), b"w" * 3000 + b" tail"]
     for window in (64, 1 << 20):
+        pieces = []
         with pytest.MonkeyPatch.context() as patch:
             patch.setattr(lm_scoring, "WINDOW", window)
+            patch.setattr(lm_scoring.np, "frombuffer", (lambda old: lambda *a: (pieces.append(a[2]) if len(a) == 4 else None, old(*a))[1])(np.frombuffer))
             text = lm_scoring.Text(bodies)
+        assert len(pieces) > 20 if window == 64 else len(pieces) == 1  # the data are taken in windows
         want = [b.lower().split() for b in bodies]
         assert text.n.tolist() == [len(w) + 1 for w in want] and (np.diff(text.keys.astype(object)) > 0).all()
         names = [*text.words(np.arange(len(text.keys))), None]
