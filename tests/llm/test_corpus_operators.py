@@ -374,25 +374,6 @@ def test_empty_tables(empty, make):
     assert make(empty).count() == 0
 
 
-def test_pipeline(spark, data):
-    import corpus_pipeline as p
-
-    docs = spark.read.parquet(f"{data}/documents.parquet")
-    steps = [docs]
-    for name, stage in p.STAGES:
-        steps.append(p.staged(stage(spark, steps[-1], data), name))
-    counts = [s.count() for s in steps[:-1]]
-    assert all(s.columns == p.COLUMNS for s in steps[:-1]) and counts == sorted(counts, reverse=True) and counts[-1] > 0.6 * counts[0]
-    # one of each group of near-duplicates is left: none of the kept is linked to another
-    assert minhash.near_duplicates(steps[2], minhash.Settings(words=5)).where("not kept").count() == 0
-    kept = [r.text for r in steps[3].select("text").collect()]
-    assert not any("�" in t for t in kept)
-    bench = [r.text for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
-    assert not any(b in t for b in bench for t in (r.text for r in steps[4].collect()))
-    packed = steps[5].groupBy("doc_id").agg(F.sum("n_bytes").alias("n"))
-    assert packed.join(steps[4], "doc_id").where(F.octet_length("text") != F.col("n")).count() == 0 and packed.count() == counts[-1]
-
-
 def test_zip_of_bytes():  # the writer's members stand alone
     raw = warc.record_bytes(1, "u", b"abc", "d", None)
     assert gzip.GzipFile(fileobj=io.BytesIO(raw)).read().endswith(b"abc\r\n\r\n")
