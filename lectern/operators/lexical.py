@@ -1,17 +1,24 @@
 """BM25 over an inverted index that is a DataFrame.
 
-An index is made in one scan of the texts and stored: postings (term, key, f, dl), counted before
-and after one shuffle, and the terms with their weights. What is read again for a search
-are the postings, never the texts. The statistics are those of the whole corpus, whatever filter a
-query has; the filter applies to scores. The Okapi weights are ours to state: idf =
-ln(N - n + 0.5) - ln(n + 0.5); a negative idf becomes a quarter of the mean idf of the
-vocabulary; k1 = 1.5, b = 0.75.
+An index is made in one scan of the texts and stored: a row a document with its terms and their
+counts, which are counted inside the row and so need no shuffle, and the terms with their weights.
+What is read again for a search are these rows, never the texts. The statistics are those of the
+whole corpus, whatever filter a query has; the filter applies to scores. The Okapi weights are
+ours to state: idf = ln(N - n + 0.5) - ln(n + 0.5); a negative idf becomes a quarter of the mean
+idf of the vocabulary; k1 = 1.5, b = 0.75.
+
+A search of few query terms sends them to the rows, which are scored batch by batch, and only the
+best of each task are shuffled; one of many terms is a join.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,14 +27,18 @@ from lectern.functions.text import terms
 from lectern.sources.scratch import stored
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Query terms (rows of some fifty bytes) up to which they travel to the tasks.
+MOST_TERMS = 500_000
+#: Queries scored at once against a batch of documents.
+QUERY_BLOCK = 1024
 
 
 @dataclass(frozen=True)
 class Index:
-    """``postings`` (term, key, f, dl) and ``weights`` (term, idf) are stored tables."""
+    """``documents`` (key, dl, terms, counts) and ``weights`` (term, idf) are stored tables."""
 
     key: str
-    postings: DataFrame
+    documents: DataFrame
     weights: DataFrame
     avgdl: float
     #: The mean idf of the vocabulary.
@@ -35,28 +46,92 @@ class Index:
 
 
 def build(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
-    rows = docs.select(key, terms(F.col(text)).alias("t"))
-    # the outer form, as Spark would have the plain one split the text a second time to test it
-    rows = rows.select(key, F.size("t").alias("dl"), F.explode_outer("t").alias("term")).where(F.col("term").isNotNull())
-    postings = stored(rows.groupBy("term", key, "dl").agg(F.count("*").alias("f")))
-    n = docs.count()
-    tokens = postings.agg(F.sum("f")).first()[0] or 0
-    # a posting is a document of the term
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    raw = stored(df.select("term", (F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")))
+    spark = docs.sparkSession
+    rows = docs.select(key, text)
+    if rows.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+        rows = rows.repartition(spark.sparkContext.defaultParallelism)  # a small file, which few tasks would read
+    # equal terms stand together once sorted, and a run of them is a term and its count
+    line = F.array_join(F.transform(F.sort_array("t"), lambda w: F.concat(F.lit(" "), w)), "")
+    rows = rows.select(key, terms(F.col(text)).alias("t")).select(key, F.size("t").alias("dl"), F.regexp_extract_all(line, F.lit(r"( [a-z0-9]+)(?:\1(?= |$))*+(?= |$)"), F.lit(0)).alias("runs"))
+    words = F.transform("runs", lambda r: F.regexp_extract(r, "[a-z0-9]+", 0))
+    rows = rows.select(key, "dl", words.alias("terms"), "runs").select(key, "dl", "terms", F.zip_with("runs", "terms", lambda r, t: (F.length(r) / (F.length(t) + 1)).cast("int")).alias("counts"))
+    documents = stored(rows)
+    size = documents.agg(F.count("*").alias("n"), F.avg(F.coalesce("dl", F.lit(0))).alias("avgdl")).first()
+    df = documents.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    raw = stored(df.select("term", (F.log(F.lit(size["n"]) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")))
     mean = raw.agg(F.avg("raw")).first()[0] or 0.0
     weights = raw.select("term", F.when(F.col("raw") < 0, F.lit(mean * EPSILON)).otherwise(F.col("raw")).alias("idf"))
-    return Index(key, postings, weights, tokens / max(1, n), mean)
+    return Index(key, documents, weights, size["avgdl"] or 0.0, mean)
 
 
-def scores(queries: DataFrame, index: Index, query: str = "query_id", text: str = "text") -> DataFrame:
-    """(query, key, score) of documents that share a term with the query; a term repeated in
-    the query counts again. The queries' terms meet the postings in a join that Spark broadcasts
-    if they are small, by its own check."""
-    wanted = queries.select(query, F.explode(terms(F.col(text))).alias("term")).groupBy(query, "term").agg(F.count("*").alias("qf"))
-    hits = index.postings.join(wanted.join(index.weights, "term"), "term")
+def query_terms(queries: DataFrame, index: Index, query: str = "query_id", text: str = "text") -> DataFrame:
+    """(query, term, qf, idf): a term repeated in the query counts again."""
+    found = queries.select(query, F.explode_outer(terms(F.col(text))).alias("term")).where(F.col("term").isNotNull())
+    return stored(found.groupBy(query, "term").agg(F.count("*").alias("qf")).join(index.weights, "term"))
+
+
+def scores(wanted: DataFrame, index: Index, query: str = "query_id") -> DataFrame:
+    """(query, key, score) of documents that share a term with the query, by a join."""
+    posting = F.explode(F.arrays_zip("terms", "counts")).alias("p")
+    postings = index.documents.select(index.key, "dl", posting).select(index.key, "dl", F.col("p.terms").alias("term"), F.col("p.counts").alias("f"))
     weight = F.col("qf") * F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.lit(index.avgdl)))
-    return hits.groupBy(query, index.key).agg(F.round(F.sum(weight), 6).alias("score"))
+    return postings.join(wanted, "term").groupBy(query, index.key).agg(F.round(F.sum(weight), 6).alias("score"))
+
+
+def _scorer(queries: list, names: list[str], start: np.ndarray, owner: np.ndarray, weight: np.ndarray, avgdl: float, k: int, schema: pa.Schema):
+    """The best k of a task's documents for each query; ``owner`` and ``weight`` are the queries of
+    each term, from ``start`` on, and what the term weighs there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, best = pa.array(names, pa.string()), {}
+        for batch in batches:
+            keys, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
+            length = np.diff(lists.offsets.to_numpy())
+            found = pc.index_in(lists.flatten(), value_set=vocabulary)
+            here = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+            term = found.fill_null(0).to_numpy(zero_copy_only=False)[here]
+            doc = np.repeat(np.arange(len(keys)), length)[here]
+            f = batch.column(3).flatten().to_numpy(zero_copy_only=False)[here].astype(np.float64)
+            dl = batch.column(1).to_numpy(zero_copy_only=False)[doc]
+            tf = f * (K1 + 1) / (f + K1 * (1 - B + B * dl / avgdl))
+            count = start[term + 1] - start[term]
+            at = np.repeat(start[term] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+            doc, who, value = np.repeat(doc, count), owner[at], weight[at] * np.repeat(tf, count)
+            for low in range(0, len(queries), QUERY_BLOCK):
+                width = min(QUERY_BLOCK, len(queries) - low)
+                own = (who >= low) & (who < low + width)
+                cell = (who[own] - low) * len(keys) + doc[own]
+                total = np.round(np.bincount(cell, value[own], width * len(keys)).reshape(width, -1), 6)
+                hit = np.bincount(cell, minlength=width * len(keys)).reshape(width, -1) > 0
+                for q in np.flatnonzero(hit.any(axis=1)).tolist():
+                    some = np.flatnonzero(hit[q])
+                    old_keys, old = best.get(low + q, (keys[:0], np.zeros(0)))
+                    all_keys, all_ = np.concatenate([old_keys, keys[some]]), np.concatenate([old, total[q, some]])
+                    if len(all_) > 4 * k:  # far more than are kept: those below the k-th go first
+                        some = all_ >= np.partition(all_, len(all_) - k)[len(all_) - k]
+                        all_keys, all_ = all_keys[some], all_[some]
+                    top = np.lexsort((all_keys, -all_))[:k]
+                    best[low + q] = all_keys[top], all_[top]
+        for q, (found_keys, found) in best.items():
+            yield pa.RecordBatch.from_arrays([pa.array([queries[q]] * len(found), schema.field(0).type), pa.array(found_keys, schema.field(1).type), pa.array(found)], schema=schema)
+
+    return run
+
+
+def best_scores(wanted: DataFrame, index: Index, k: int, only: DataFrame | None, query: str = "query_id") -> DataFrame:
+    """(query, key, score): of each task the best k of each query, among the keys of ``only``."""
+    docs = index.documents.select(index.key, "dl", "terms", "counts")
+    if only is not None:
+        docs = docs.join(only.select(index.key), index.key, "left_semi").select(index.key, "dl", "terms", "counts")
+    rows = wanted.select(query, "term", (F.col("qf") * F.col("idf")).alias("w")).toArrow()
+    schema = pa.schema([(query, rows.schema.field(0).type), (index.key, pa.int64() if dict(docs.dtypes)[index.key] == "bigint" else pa.string()), ("score", pa.float64())])
+    queries, names = pc.unique(rows.column(0)), pc.unique(rows.column(1))
+    term, owner = pc.index_in(rows.column(1), value_set=names).to_numpy(), pc.index_in(rows.column(0), value_set=queries).to_numpy()
+    order = np.argsort(term, kind="stable")
+    start = np.r_[0, np.cumsum(np.bincount(term, minlength=len(names)))].astype(np.int64)
+    run = _scorer(queries.to_pylist(), names.to_pylist(), start, owner[order].astype(np.int64), rows.column(2).to_numpy()[order], index.avgdl, k, schema)
+    kinds = {query: dict(wanted.dtypes)[query], index.key: dict(docs.dtypes)[index.key]}
+    return docs.where(F.size("terms") > 0).mapInArrow(run, f"`{query}` {kinds[query]}, `{index.key}` {kinds[index.key]}, score double")
 
 
 def padded(scored: DataFrame, queries: DataFrame, docs: DataFrame, index: Index, k: int, query: str = "query_id") -> DataFrame:
@@ -81,8 +156,10 @@ def top_k(scored: DataFrame, k: int, key: str = "doc_id", query: str = "query_id
 def search(queries: DataFrame, docs: DataFrame, k: int, only: Column | None = None, key: str = "doc_id", query: str = "query_id", text: str = "text", index: Index | None = None) -> DataFrame:
     """BM25 top k; ``only`` filters the documents after scoring, under statistics of all."""
     index = index or build(docs, key, text)
-    found = scores(queries, index, query, text)
-    allowed = docs if only is None else docs.where(only)
-    if only is not None:
-        found = found.join(allowed.select(key), key, "left_semi").select(query, key, "score")
+    allowed, wanted = docs if only is None else docs.where(only), query_terms(queries, index, query, text)
+    if index.mean >= 0 and wanted.count() <= MOST_TERMS and dict(docs.dtypes)[key] in ("bigint", "string"):
+        found = best_scores(wanted, index, k, None if only is None else allowed, query)
+    else:  # too many terms to send, or scores below those of documents without any
+        found = scores(wanted, index, query)
+        found = found if only is None else found.join(allowed.select(key), key, "left_semi").select(query, key, "score")
     return top_k(padded(found, queries, allowed, index, k, query), k, key, query)

@@ -268,3 +268,20 @@ def test_a_program_that_reads_scans(spark):
 def test_catalogue(spark):
     rows = spark.createDataFrame([("small", "4B"), ("bge-m3", "567M"), ("large", "8.2B"), ("odd", None)], "name string, size string")
     assert [(r.name, r.billions, r.speed) for r in models.catalogue(rows).collect()] == [("large", 8.2, 9.8), ("small", 4.0, 20.1), ("odd", None, None), ("bge-m3", 0.567, 141.7)]
+
+
+def test_both_ways_to_score_say_the_same(spark, data, monkeypatch):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "source")
+    extra = spark.createDataFrame([(9001, "", "src1"), (9002, None, "src1"), (9003, "the the the of", "src1")], "doc_id long, text string, source string")
+    docs = docs.unionByName(extra)
+    q = spark.createDataFrame([(0, "the of the und"), (1, "zz9 qq8"), (2, ""), (3, docs.first().text)], "query_id long, text string")
+    index = lexical.build(docs)
+    assert index.documents.where("size(terms) <> size(array_distinct(terms)) or dl <> aggregate(counts, 0, (a, x) -> a + x)").count() == 0
+    for only in (None, F.col("source") == "src1"):
+        found = []
+        for most, block in ((500_000, 1024), (500_000, 2), (0, 1024)):
+            monkeypatch.setattr(lexical, "MOST_TERMS", most)
+            monkeypatch.setattr(lexical, "QUERY_BLOCK", block)
+            rows = lexical.search(q, docs, 7, only, index=index).collect()
+            found.append(sorted((r.query_id, r["rank"], r.doc_id, round(r.score, 5)) for r in rows))
+        assert found[0] == found[1] == found[2] and {r[0] for r in found[0]} == {0, 1, 2, 3}
