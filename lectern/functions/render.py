@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,6 +41,17 @@ def style_note(instructions: Column, guide: Column, examples: Column, feedback:
     return F.concat_ws("\n\n", *[F.nullif(F.trim(p), F.lit("")) for p in (instructions, guide)], shown, F.nullif(F.trim(feedback), F.lit("")))
 
 
+def filled(template: str, **values: Column) -> Column:
+    """A prompt made of a template with ``{names}`` (doubled braces stand for themselves); a null
+    value is empty, and a name without a value is an error before anything runs."""
+    parts = [F.lit("")]
+    for plain, name, _, _ in string.Formatter().parse(template):
+        parts.append(F.lit(plain))
+        if name is not None:
+            parts.append(F.coalesce(values[name].cast("string"), F.lit("")))
+    return F.concat(*parts)
+
+
 def row_json(*columns: str) -> Column:
     """A row as a JSON object, fields without a value included."""
     return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})

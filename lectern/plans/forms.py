@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions import render
 from lectern.functions import text as T
 from lectern.functions.replies import question_items as items_of
 from lectern.functions.replies import reply_json
@@ -195,12 +196,26 @@ def source_ids(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", F.array_join(variants.source_numbers(reply, (F.col("doc_id") % 5).cast("int")).cast("array<string>"), ",").alias("numbers"))
 
 
+def visitor_address(spark: SparkSession, d: str) -> DataFrame:
+    """Each event as a request: from this machine or elsewhere, with the headers that its number gives."""
+    k = F.col("event_id")
+    header = lambda n, name, value: F.when(k % n == 0, F.create_map(F.lit(name), value)).otherwise(F.create_map().cast("map<string,string>"))
+    address = lambda net: F.concat(F.lit(net), F.col("user_id").cast("string"))
+    headers = F.map_concat(header(2, "x-forwarded-for", F.concat(F.lit("6.6.6.6, "), address("10.0.0."), F.lit(" "))), header(3, "x-real-ip", address("10.1.0.")), header(5, "cf-connecting-ip", F.when(k % 10 == 0, "").otherwise(address("10.2.0."))))
+    peer = F.when(k % 4 < 3, "127.0.0.1").otherwise(address("192.0.2."))
+    return table(spark, d, "events").select("event_id", T.visitor_address(peer, headers).alias("visitor"))
+
+
+def filled_prompts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", render.filled("{{{lang}}} {id}: {text}\n{lang}", lang=F.col("lang"), id=F.col("doc_id"), text=F.col("text")).alias("prompt"))
+
+
 def _cases(values: list, of: str = "doc_id") -> str:
     lit = lambda x: "null" if x is None else str(x).lower() if isinstance(x, (bool, int)) else "'" + x.replace("'", "''") + "'"
     return f"case {of} % {len(values)} " + " ".join(f"when {k} then {lit(x)}" for k, x in enumerate(values)) + " end"
 
 
-QUERIES = {f.__name__: f for f in (plain_math, strip_sources, json_repair, question_items, keyword_present, failover, mcq_shape, mcq_flags, verdict_gate, blueprint_problems, blueprint_marks, source_ids)}
+QUERIES = {f.__name__: f for f in (plain_math, strip_sources, json_repair, question_items, keyword_present, failover, mcq_shape, mcq_flags, verdict_gate, blueprint_problems, blueprint_marks, source_ids, visitor_address, filled_prompts)}
 ORACLE_SQL = {
     "plain_math": f"with {DOCS} select doc_id, {_sql(list(FORMULAS.values()))} as plain from d",
     "strip_sources": f"with {DOCS} select doc_id, {_sql([c for c, _ in QUESTIONS.values()])} as clean, {_cases([r for _, r in QUESTIONS.values()])} as refers from d",
@@ -215,6 +230,8 @@ ORACLE_SQL = {
     "blueprint_problems": f"""with {SECTIONS}, r as (select *, row_number() over (partition by paper, lower(name) order by seq) as again from s)
 select paper, seq, concat_ws('; ', case when name = '' then 'blank name' end, case when again > 1 and name <> '' then 'name used twice' end, case when n < 1 then 'no questions' end, case when marks < 1 then 'no marks' end, case when attempt < 0 or attempt > n then 'cannot attempt so many' end) as problems from r""",
     "blueprint_marks": f"with {SECTIONS} select paper, sum(case when attempt > 0 then attempt else n end * marks)::bigint as marks, sum(n)::bigint as questions from s group by paper",
+    "visitor_address": """select event_id, case when event_id % 4 = 3 then '192.0.2.' || user_id when event_id % 5 = 0 and event_id % 2 = 1 then '10.2.0.' || user_id when event_id % 3 = 0 then '10.1.0.' || user_id when event_id % 2 = 0 then '10.0.0.' || user_id else '127.0.0.1' end as visitor from events""",
+    "filled_prompts": "select doc_id, concat('{', coalesce(lang, ''), '} ', doc_id, ': ', coalesce(text, ''), chr(10), coalesce(lang, '')) as prompt from documents",
     "source_ids": f"""with n as (select doc_id, doc_id % 5 as n, case doc_id % {len(SOURCES)} {' '.join(f'when {k} then {x}' for k, x in enumerate(SOURCES.values()))} end as l from documents)
 select doc_id, array_to_string(case when len(list_filter(l, lambda x: x <= n)) > 0 then list_filter(l, lambda x: x <= n) else range(1, least(3, n) + 1) end, ',') as numbers from n""",
 }

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lectern import connectors, engine, plugins
 from lectern.config import Config
-from lectern.functions import markup, models, render
+from lectern.functions import markup, models, render, text
 from lectern.functions.replies import question_items, reply_json, without_thinking
 from lectern.operators import answer, evaluation, ingest, lexical, paper
 from lectern.sources import books, export, papers
@@ -208,6 +208,29 @@ def test_small_filters(spark):
     assert note[0] == "Do.\n\nExamples of the style:\n- Q1\n- Q2\n\nagain" and note[1] == '{"id":0}'
 
 
+def test_visitors_behind_a_proxy(spark):
+    cases = [
+        ("9.9.9.9", {"x-real-ip": "1.1.1.1"}, "9.9.9.9"),
+        ("127.0.0.1", {"x-forwarded-for": "6.6.6.6, 2.2.2.2 "}, "2.2.2.2"),
+        ("::1", {"x-real-ip": "1.1.1.1", "x-forwarded-for": "2.2.2.2"}, "1.1.1.1"),
+        ("localhost", {"cf-connecting-ip": "3.3.3.3", "x-real-ip": "1.1.1.1"}, "3.3.3.3"),
+        ("127.0.0.1", {"cf-connecting-ip": "", "x-forwarded-for": "2.2.2.2, "}, "127.0.0.1"),
+        ("127.0.0.1", {}, "127.0.0.1"),
+        ("127.0.0.1", None, "127.0.0.1"),
+        (None, {"x-real-ip": "1.1.1.1"}, None),
+    ]
+    rows = spark.createDataFrame(cases, "peer string, headers map<string,string>, expected string")
+    assert all(r.got == r.expected for r in rows.withColumn("got", text.visitor_address(F.col("peer"), F.col("headers"))).collect())
+
+
+def test_templates_are_filled(spark):
+    rows = spark.createDataFrame([("a", 1), (None, 2)], "q string, n int")
+    got = [r[0] for r in rows.select(render.filled("{n}: {q} {{x}}{n}", q=F.col("q"), n=F.col("n"))).collect()]
+    assert got == ["1: a {x}1", "2:  {x}2"] and rows.select(render.filled("")).first()[0] == ""
+    with pytest.raises(KeyError):
+        render.filled("{missing}", q=F.col("q"))
+
+
 def test_zeros_rank_above_negative_scores(spark):
     """Terms in most of the documents have negative weights, and so do scores where the mean is."""
     docs = spark.createDataFrame([(i, "a b c" if i < 90 else "x") for i in range(100)], "doc_id long, text string")
