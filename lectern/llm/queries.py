@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import collocations, decontamination, language_id, licenses, lm_scoring, minhash, packing, quality, sharding, suffix_dedup, warc
+from lectern.llm import collocations, curriculum, decontamination, language_id, licenses, lm_scoring, minhash, packing, quality, sharding, suffix_dedup, warc
 from lectern.llm.common import compact, documents, fold, tuned
 
 
@@ -65,6 +65,13 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(documents(spark, sf_dir))
 
 
+def op12_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training order, summed for each document again."""
+    docs = documents(spark, sf_dir)
+    out = curriculum.mix(docs).groupBy("row", "doc_id", "size", "source_size", "target").agg(F.sum("taken").alias("taken"))
+    return compact(out.drop("row"), docs)
+
+
 OP1_SQL = """
 with p as (select page_id, coalesce(html, '') as html from pages),
 q as (select page_id, strlen(html)::bigint as payload_bytes, sha1(html) as payload_digest from p),
@@ -87,6 +94,7 @@ QUERIES = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_language_id": op10_language_id,
     "op11_collocations": op11_collocations,
+    "op12_curriculum": op12_curriculum,
     "quality_ablations": quality_ablations,
 }
-ORACLE_SQL = {"op1_warc": OP1_SQL, "op6_licenses": licenses.oracle(), "op7_minhash": minhash.ORACLE, "op8_quality": quality.oracle(), "op11_collocations": collocations.ORACLE, "quality_ablations": quality.ablations_oracle()}
+ORACLE_SQL = {"op1_warc": OP1_SQL, "op6_licenses": licenses.oracle(), "op7_minhash": minhash.ORACLE, "op8_quality": quality.oracle(), "op11_collocations": collocations.ORACLE, "op12_curriculum": curriculum.ORACLE, "quality_ablations": quality.ablations_oracle()}
