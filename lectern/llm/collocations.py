@@ -2,17 +2,17 @@
 
 Texts are lower-cased (A-Z only), cut into pieces at punctuation and line ends, and pieces into
 words. Every word begins a window of five words of its piece, under its language. A shard
-(4 MB of text) holds its windows as a count trie of that depth: distinct windows in order,
+(2 MB of text) holds its windows as a count trie of that depth: distinct windows in order,
 front-coded, with their counts, so a window that fills half a shard is one entry. The tries
-are cut where sampled splitters lie, and the pieces of one prefix range are merged, 128 at a time: with
-more shards than that, groups of shards are merged first, into ranges that get finer with each
-round, so the number of messages follows the corpus. The last merge walks the trie of its
+are cut where sampled splitters lie, and the pieces of one prefix range are merged, at most 512 at a
+time: with more shards than that, groups of shards are merged first, into ranges that get finer with
+each round, so the number of messages follows the corpus. The last merge walks the trie of its
 range level by level: a node's count is that of its phrase, the counts above it are those of its left
 parts, and what is below a node of too few occurrences is not looked at. Nodes that a splitter
 cuts in two are summed across ranges. Suffix links, a join of phrases with the ends of longer ones,
 give the right parts.
 
-The driver holds one splitter (five words) for each range of 4 MB of text, and the draws they come
+The driver holds one splitter (five words) for each range of 6 MB of text, and the draws they come
 from. Splitters decide who counts, never what is counted.
 
 Defined cases. Null or empty text, or one of separators only: no words. Null language: ``und``, as is
@@ -62,8 +62,9 @@ class Settings:
     least: int = 100
     cover: int = 100
     top: int = 2000
-    shard_bytes: int = 4 << 20
-    fan: int = 128
+    shard_bytes: int = 2 << 20
+    range_bytes: int = 6 << 20
+    fan: int = 512
     draws: int = 64
 
 
@@ -141,41 +142,52 @@ def runs(lang: bytes, text: bytes, most: int) -> Iterator[tuple[bytes, bytes, in
     yield lang, text[start:], len(text) - start
 
 
+def _planes(numbers: np.ndarray) -> np.ndarray:
+    """The lowest bytes of all numbers, then the next ones, and so on: those compress better."""
+    return np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, numbers.itemsize).T)
+
+
+def _numbers(planes: np.ndarray, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 def packed(trie: Trie) -> bytes:
     """Front-coded: of each window the words from the first one that differs from the window before."""
     new = np.ones(trie.windows.shape, bool)
     new[1:] = np.logical_or.accumulate(trie.windows[1:] != trie.windows[:-1], axis=1)
-    columns = [trie.windows[new[:, j], j] for j in range(DEPTH + 1)]
-    lengths = pc.binary_length(trie.words).to_numpy()
-    return zstandard.compress(pickle.dumps((lengths, b"".join(trie.words.to_pylist()), new.sum(axis=1).astype(np.uint8), columns, trie.counts), 5), 1)
+    columns = [_planes(trie.windows[new[:, j], j]) for j in range(DEPTH + 1)]
+    lengths = _planes(pc.binary_length(trie.words).to_numpy())
+    return zstandard.compress(pickle.dumps((lengths, b"".join(trie.words.to_pylist()), new.sum(axis=1).astype(np.uint8), columns, _planes(trie.counts)), 5), 1)
 
 
 def unpacked(payload: bytes) -> Trie:
     lengths, blob, fresh, columns, counts = pickle.loads(zstandard.decompress(payload))
-    offsets = np.r_[0, np.cumsum(lengths)].astype(np.int32)
-    words = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(blob)])
+    offsets = np.r_[0, np.cumsum(_numbers(lengths, np.int32))].astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(blob)])
     windows = np.empty((len(fresh), DEPTH + 1), np.int32)
     for j, column in enumerate(columns):
-        windows[:, j] = column[np.cumsum(fresh > DEPTH - j) - 1]
-    return Trie(words, windows, counts)
+        windows[:, j] = _numbers(column, np.int32)[np.cumsum(fresh > DEPTH - j) - 1]
+    return Trie(words, windows, _numbers(counts, np.int64))
 
 
-def place(trie: Trie, key: Key) -> int:
-    """How many windows are below the key."""
-    low, high = 0, len(trie.windows)
-    for j, word in enumerate(key):
-        at = 0 if word is None else bisect_left(range(len(trie.words)), word, key=lambda i: trie.words[i].as_py()) + 1
-        column = trie.windows[low:high, j]
-        found = low + int(np.searchsorted(column, at))
-        if word is not None and (at > len(trie.words) or trie.words[at - 1].as_py() != word):
-            return found
-        low, high = found, low + int(np.searchsorted(column, at, "right"))
-    return low
+def places(trie: Trie, keys: list[Key]) -> list[int]:
+    """How many windows are below each key."""
+    words, out = trie.words.to_pylist(), []
+    for key in keys:
+        low, high = 0, len(trie.windows)
+        for j, word in enumerate(key):
+            at = 0 if word is None else bisect_left(words, word) + 1
+            column = trie.windows[low:high, j]
+            low, high = low + int(np.searchsorted(column, at)), low + int(np.searchsorted(column, at, "right"))
+            if word is not None and (at > len(words) or words[at - 1] != word):
+                break
+        out.append(low)
+    return out
 
 
 def cut(trie: Trie, keys: list[Key]) -> Iterator[tuple[int, Trie]]:
     """(number of keys not above it, part) of each part between the keys that has windows."""
-    ends = [0, *(place(trie, k) for k in keys), len(trie.windows)]
+    ends = [0, *places(trie, keys), len(trie.windows)]
     for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
         if a < b:
             used = np.zeros(len(trie.words) + 1, bool)
@@ -284,13 +296,21 @@ def _messages(rows: list[tuple[int, int, bytes]]) -> pa.Table:
     return pa.table({"g": pa.array([x[0] for x in rows], pa.int64()), "r": pa.array([x[1] for x in rows], pa.int32()), "trie": pa.array([x[2] for x in rows], pa.binary())})
 
 
-def _merging(keys: list[Key], fan: int):
+def _root(n: int, times: int) -> int:
+    """The least number whose product with itself, so many times, is ``n`` or more."""
+    root = max(1, int(n ** (1 / times)) - 1)
+    while root**times < n:
+        root += 1
+    return root
+
+
+def _merging(keys: list[Key], width: int, split: int):
     """What one group has of a range, merged and cut into finer ranges, for the group of groups."""
 
     def run(key, table):
         group, r = key[0].as_py(), key[1].as_py()
-        parts = cut(merged(map(unpacked, table["trie"].to_pylist())), keys[r * fan : (r + 1) * fan - 1])
-        return _messages([(group // fan, r * fan + i, packed(t)) for i, t in parts])
+        parts = cut(merged(map(unpacked, table["trie"].to_pylist())), keys[r * split : (r + 1) * split - 1])
+        return _messages([(group // width, r * split + i, packed(t)) for i, t in parts])
 
     return run
 
@@ -301,13 +321,14 @@ def nodes(docs: DataFrame, s: Settings) -> DataFrame:
     spark, n_bytes = docs.sparkSession, size["bytes"] or 0
     # the shards that there can be: full ones, and a rest for each task
     shards = math.ceil(n_bytes / s.shard_bytes) + docs.rdd.getNumPartitions()
-    keys = splitters(docs, size["n"] or 1, n_bytes, max(spark.sparkContext.defaultParallelism, math.ceil(n_bytes / s.shard_bytes)), s)
+    keys = splitters(docs, size["n"] or 1, n_bytes, max(spark.sparkContext.defaultParallelism, math.ceil(n_bytes / s.range_bytes)), s)
     rounds = max(1, math.ceil(math.log(max(shards, len(keys) + 1), s.fan) - 1e-9))
+    width, split = _root(shards, rounds), _root(len(keys) + 1, rounds)
 
     def borders(level: int) -> list[Key]:
-        return keys[s.fan ** (rounds - 1 - level) - 1 :: s.fan ** (rounds - 1 - level)]
+        return keys[split ** (rounds - 1 - level) - 1 :: split ** (rounds - 1 - level)]
 
-    groups, coarse = math.ceil(shards / s.fan), borders(0)
+    groups, coarse = math.ceil(shards / width), borders(0)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -318,7 +339,7 @@ def nodes(docs: DataFrame, s: Settings) -> DataFrame:
 
     rows = docs.mapInArrow(count, MESSAGE)
     for level in range(1, rounds):
-        rows = rows.groupBy("g", "r").applyInArrow(_merging(borders(level), s.fan), MESSAGE)
+        rows = rows.groupBy("g", "r").applyInArrow(_merging(borders(level), width, split), MESSAGE)
     least = s.least
     return rows.groupBy("g", "r").applyInArrow(lambda key, table: walk(together(map(unpacked, table["trie"].to_pylist())), least), NODES_DDL)
 

@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 
 from lectern.llm import collocations
-from lectern.llm.collocations import Settings, Trie, cut, merged, packed, place, runs, unpacked, walk, windows_of
+from lectern.llm.collocations import Settings, Trie, cut, merged, packed, places, runs, unpacked, walk, windows_of
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -68,9 +68,9 @@ def docs(spark, rows):
     "s",
     [
         Settings(least=5),
-        Settings(least=1, top=50, shard_bytes=300, fan=3),
-        Settings(least=4, cover=60, shard_bytes=500, fan=2, draws=3),
-        Settings(least=2, top=3, shard_bytes=64, fan=4, draws=500),
+        Settings(least=1, top=50, shard_bytes=300, range_bytes=200, fan=3),
+        Settings(least=4, cover=60, shard_bytes=500, range_bytes=900, fan=2, draws=3),
+        Settings(least=2, top=3, shard_bytes=64, range_bytes=500, fan=4, draws=500),
     ],
 )
 def test_collocations_equal_brute_force(docs, rows, s):
@@ -106,7 +106,7 @@ def test_tries_survive_packing_and_cuts():
     assert [k for k, _ in whole] == sorted((k for k, _ in whole), key=lambda k: [w or b"" for w in k])
     assert listed(unpacked(packed(trie))) == whole
     keys = sorted({k for k, _ in r.sample(whole, 7)} | {(b"en", b"bx", None, None, None, None), (b"zz",) + (None,) * 5}, key=lambda k: [w or b"" for w in k])
-    assert [place(trie, k) for k in keys] == [sum([w or b"" for w in x] < [w or b"" for w in k] for x, _ in whole) for k in keys]
+    assert places(trie, keys) == [sum([w or b"" for w in x] < [w or b"" for w in k] for x, _ in whole) for k in keys]
     parts = [t for _, t in cut(trie, keys)]
     assert [x for t in parts for x in listed(unpacked(packed(t)))] == whole
     assert listed(merged(parts[::-1])) == whole
