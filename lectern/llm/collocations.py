@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.llm.common import discard, staged
+from lectern.llm.common import discard, parts_for, staged
 
 #: Words of a phrase at most; a window is its language and so many words.
 DEPTH = 5
@@ -361,7 +361,7 @@ def _with(array: str, n: int, value: Column) -> Column:
 
 def frequent(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, m, a, lefts) of all phrases with at least ``least`` occurrences, and (lang, n)."""
-    raw = staged(nodes(docs, s).withColumns({"lang": F.col("lang").cast("string"), "phrase": F.col("phrase").cast("string")}), "phrase-nodes")
+    raw = staged(nodes(docs, s).withColumns({"lang": F.col("lang").cast("string"), "phrase": F.col("phrase").cast("string")}), "phrase-nodes", parts_for(docs, 4 << 20))
     whole = raw.where("open").groupBy("lang", "phrase", "m").agg(F.sum("a").alias("a"), F.max("lefts").alias("lefts"), F.max("open_lefts").alias("open_lefts")).where((F.col("a") >= s.least) | (F.col("m") == 0))
     whole = staged(whole, "phrase-open", small=True)
     rows = raw.where("not open").drop("open").unionByName(whole)
