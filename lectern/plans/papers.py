@@ -151,9 +151,9 @@ WORDS = ", ".join(f"'{w}'" for w in paper.STOP_VERBS)
 
 
 def _gold_sql() -> str:
-    from lectern.plans.search import _bm25
+    from lectern.plans.search import bm25_sql
 
-    return _bm25(10) + """,
+    return bm25_sql(10) + """,
 h as (select query_id, min(rank) as rank from top join documents d on d.doc_id = top.doc_id join benchmark b on b.item_id = query_id where contains(d.text, b.text) group by 1),
 g as (select item_id as query_id, rank from benchmark left join h on query_id = item_id)"""
 

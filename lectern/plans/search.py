@@ -134,7 +134,7 @@ bm as (select item_id as query_id, doc_id, coalesce(score, 0) as score from benc
 BM25 = BM25.replace("from benchmark, documents left join", "from (select item_id, doc_id, source from benchmark, documents) as bd left join").replace("hit.query_id = item_id and hit.doc_id = documents.doc_id", "hit.query_id = bd.item_id and hit.doc_id = bd.doc_id").replace("select item_id as query_id, doc_id, coalesce", "select bd.item_id as query_id, bd.doc_id, coalesce")
 
 
-def _bm25(k: int, name: str = "top", where: str = "") -> str:
+def bm25_sql(k: int, name: str = "top", where: str = "") -> str:
     return f"{BM25.replace('@', where)}, {name} as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from bm qualify rank <= {k})"
 
 
@@ -186,25 +186,25 @@ MAKE = "select label::bigint as query_id, vec_id as doc_id, {v} as variant, '{r}
 
 QUERIES = {f.__name__: f for f in (bm25_topk, bm25_filtered_global_stats, dense_topk, dense_topk_arrow, dense_topk_filtered, rrf_fuse, hybrid_search, rerank_floor, neighbor_expand, dedup_gap_neighbors, context_budget, context_render, embed_texts)}
 ORACLE_SQL = {
-    "bm25_topk": f"with {_bm25(K)} select query_id, doc_id, score, rank from top",
-    "bm25_filtered_global_stats": f"with {_bm25(K, where=chr(10) + 'where source in ({})'.format(chr(39) + 'src1' + chr(39) + ', ' + chr(39) + 'src2' + chr(39)))} select query_id, doc_id, score, rank from top",
+    "bm25_topk": f"with {bm25_sql(K)} select query_id, doc_id, score, rank from top",
+    "bm25_filtered_global_stats": f"with {bm25_sql(K, where=chr(10) + 'where source in ({})'.format(chr(39) + 'src1' + chr(39) + ', ' + chr(39) + 'src2' + chr(39)))} select query_id, doc_id, score, rank from top",
     "dense_topk": _dense(),
     "dense_topk_arrow": _dense(),
     "dense_topk_filtered": _dense("where v.label in (1, 3)"),
     "rrf_fuse": "with lists as (" + " union all ".join(f"({MAKE.format(v=v, r=r, o=o)})" for v, r, o in ((0, "dense", 0), (0, "bm25", 1), (1, "dense", 2), (1, "bm25", 4))) + ")," + FUSE.replace("@", "12"),
-    "hybrid_search": f"with {_bm25(40)}, {HYBRID} {FUSE.replace('@', str(K))}",
-    "rerank_floor": f"""with {_bm25(12)},
+    "hybrid_search": f"with {bm25_sql(40)}, {HYBRID} {FUSE.replace('@', str(K))}",
+    "rerank_floor": f"""with {bm25_sql(12)},
 s as (select query_id, top.doc_id, rank, round((select count(distinct t) from (select unnest(regexp_extract_all(lower(b.text), '[a-z0-9]+')) as t) where list_contains(regexp_extract_all(lower(d.text), '[a-z0-9]+'), t))::double
         / len(list_distinct(regexp_extract_all(lower(b.text), '[a-z0-9]+'))), 6) as rerank_score from top join benchmark b on b.item_id = query_id join documents d on d.doc_id = top.doc_id)
 select query_id, doc_id, rerank_score, row_number() over (partition by query_id order by rerank_score desc, rank) as relevance_rank from s where rerank_score >= 0.3 qualify relevance_rank <= 8""",
-    "neighbor_expand": f"with {_bm25(4)}, {CHUNKS}, {NEAR} select query_id, id, book_id, ordinal, round(score, 6) as score, is_neighbor, relevance_rank from x",
+    "neighbor_expand": f"with {bm25_sql(4)}, {CHUNKS}, {NEAR} select query_id, id, book_id, ordinal, round(score, 6) as score, is_neighbor, relevance_rank from x",
     "dedup_gap_neighbors": f"""with {CHUNKS},
 k as (select * from c qualify row_number() over (partition by trim(regexp_replace(lower(text), '[\\s\\x{{00A0}}]+', ' ', 'g')) order by id) = 1),
 h as (select * from k where id % 50 = 0)
 select id, book_id, ordinal, 1.0::double as score, false as is_neighbor from h
 union all select distinct k.id, k.book_id, k.ordinal, 0.5::double, true from h join k on k.book_id = h.book_id and abs(k.ordinal - h.ordinal) = 1 where k.id not in (select id from h)""",
-    "context_budget": f"with {_bm25(4)}, {CHUNKS}, {NEAR}, {BUDGET} select query_id, id, position, number, tokens from s",
-    "context_render": f"""with {_bm25(4)}, {CHUNKS}, {NEAR}, {BUDGET}
+    "context_budget": f"with {bm25_sql(4)}, {CHUNKS}, {NEAR}, {BUDGET} select query_id, id, position, number, tokens from s",
+    "context_render": f"""with {bm25_sql(4)}, {CHUNKS}, {NEAR}, {BUDGET}
 select query_id, count(*)::int as n_citations, string_agg(citation, ' | ' order by number) as citations,
        length(string_agg('[' || number || '] ' || citation || chr(10) || substring(text, 1, tokens * 4 + 3), chr(10) || chr(10) order by number))::int as context_chars from s group by 1""",
     "embed_texts": """with d as (select doc_id, source, lang, case when doc_id % 3 = 0 then '' else 's' || doc_id % 5 end as section, text as t, doc_id as a, doc_id + doc_id % 2 as b from documents)

@@ -27,3 +27,11 @@ def stored(df: DataFrame) -> DataFrame:
     path = scratch_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The Parquet table at ``path``; one without rows if nothing has been written there yet."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return spark.read.schema(schema).parquet(path)
+    return spark.createDataFrame([], schema)
