@@ -28,7 +28,7 @@ def carried(
     sums: Mapping[str, Column] | None = None,
     lasts: Mapping[str, Column] | None = None,
     before: Mapping[str, Column] | None = None,
-    range_rows: int = RANGE_ROWS,
+    range_rows: int | None = None,
 ) -> DataFrame:
     """``rows`` with running values of each group in the given order.
 
@@ -39,8 +39,9 @@ def carried(
     """
     sums, lasts, before = dict(sums or {}), dict(lasts or {}), dict(before or {})
     inner = {f"_s{i}": c for i, c in enumerate(sums.values())} | {f"_l{i}": c for i, c in enumerate(lasts.values())} | {f"_b{i}": c for i, c in enumerate(before.values())}
-    taken = rows.withColumns(inner)
-    ranges = max(taken.sparkSession.sparkContext.defaultParallelism, math.ceil(rows.count() / range_rows))
+    # stored first: what makes the rows is not computed again to count and to sample them
+    taken = stored(rows.withColumns(inner))
+    ranges = max(taken.sparkSession.sparkContext.defaultParallelism, math.ceil(taken.count() / (range_rows or RANGE_ROWS)))
     taken = stored(taken.repartitionByRange(ranges, *group, *order).withColumn("_range", F.spark_partition_id()))
     fills = [n for n in inner if not n.startswith("_s")]
     position = F.struct(*order)
