@@ -28,41 +28,54 @@ def carried(
     sums: Mapping[str, Column] | None = None,
     lasts: Mapping[str, Column] | None = None,
     before: Mapping[str, Column] | None = None,
+    changes: Mapping[str, Column] | None = None,
     range_rows: int | None = None,
+    ready: bool = False,
 ) -> DataFrame:
     """``rows`` with running values of each group in the given order.
 
     ``sums`` are sums of a number up to and with the row, ``lasts`` the last value that is not null up to
-    and with the row, ``before`` those of the rows before it. ``order`` should tell the rows of a
+    and with the row, ``before`` those of the rows before it, ``changes`` how often a value was not that of
+    the row before, the first row included. ``order`` should tell the rows of a
     group apart: rows that are equal in it stand in any order, in one range. Null keys are a group
-    like any other; null positions come first. An empty table gives an empty one.
+    like any other; null positions come first. An empty table gives an empty one. Rows that are cheap to
+    read again, like those of a stored table, are ``ready``.
     """
-    sums, lasts, before = dict(sums or {}), dict(lasts or {}), dict(before or {})
-    inner = {f"_s{i}": c for i, c in enumerate(sums.values())} | {f"_l{i}": c for i, c in enumerate(lasts.values())} | {f"_b{i}": c for i, c in enumerate(before.values())}
-    # stored first: what makes the rows is not computed again to count and to sample them
-    taken = stored(rows.withColumns(inner))
+    kinds = {"_s": dict(sums or {}), "_l": dict(lasts or {}), "_b": dict(before or {}), "_d": dict(changes or {})}
+    inner = {f"{k}{i}": c for k, given in kinds.items() for i, c in enumerate(given.values())}
+    named = lambda *of: [n for n in inner if n[:2] in of]
+    taken = rows.withColumns(inner)
+    if not ready:  # what makes the rows is not computed again to count and to sample them
+        taken = stored(taken)
     ranges = max(taken.sparkSession.sparkContext.defaultParallelism, math.ceil(taken.count() / (range_rows or RANGE_ROWS)))
     taken = stored(taken.repartitionByRange(ranges, *group, *order).withColumn("_range", F.spark_partition_id()))
-    fills = [n for n in inner if not n.startswith("_s")]
     position = F.struct(*order)
-    own = [F.sum(n).alias(n) for n in inner if n.startswith("_s")] + [F.max_by(F.col(n), F.when(F.col(n).isNotNull(), position)).alias(n) for n in fills]
+    inside = W.partitionBy("_range", *group).orderBy(*order)
+    upto, ahead = inside.rowsBetween(W.unboundedPreceding, 0), inside.rowsBetween(W.unboundedPreceding, -1)
+    # in its range, a row differs from the one before it; of the first one there, its carry says
+    turned = {f"t{n}": (F.row_number().over(inside) > 1) & ~F.col(n).eqNullSafe(F.lag(n).over(inside)) for n in named("_d")}
+    own = [F.sum(n).alias(n) for n in named("_s")] + [F.max_by(F.col(n), F.when(F.col(n).isNotNull(), position)).alias(n) for n in named("_l", "_b")]
+    for n in named("_d"):
+        own += [F.count_if(F.col(f"t{n}")).alias(n), F.min_by(n, position).alias(f"f{n}"), F.max_by(n, position).alias(f"e{n}")]
     # a row for each group in a range, so the window sees a row for each range at most
-    found = taken.groupBy("_range", *group).agg(F.count("*").alias("_n"), *own)
-    earlier = W.partitionBy(*group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    carry = [(F.last(n, True) if n in fills else F.sum(n)).over(earlier).alias(f"c{n}") for n in inner]
+    found = taken.withColumns(turned).groupBy("_range", *group).agg(F.count("*").alias("_n"), *own)
+    by = W.partitionBy(*group).orderBy("_range")
+    earlier = by.rowsBetween(W.unboundedPreceding, -1)
+    found = found.withColumns({f"o{n}": (F.lag("_n").over(by).isNull() | ~F.col(f"f{n}").eqNullSafe(F.lag(f"e{n}").over(by))).cast("long") for n in named("_d")})
+    carry = [F.sum(n).over(earlier).alias(f"c{n}") for n in named("_s")] + [F.last(n, True).over(earlier).alias(f"c{n}") for n in named("_l", "_b")]
+    carry += [(F.coalesce(F.sum(F.col(n) + F.col(f"o{n}")).over(earlier), F.lit(0)) + F.col(f"o{n}")).alias(f"c{n}") for n in named("_d")]
     keys = [F.col(g).alias(f"_g{i}") for i, g in enumerate(group)]
     brought = stored(found.select(F.col("_range").alias("_at"), *keys, *carry))
     same = F.col("_range") == F.col("_at")
     for i, g in enumerate(group):
         same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
-    joined = taken.join(brought, same, "left")
-    inside = W.partitionBy("_range", *group).orderBy(*order)
-    upto, ahead = inside.rowsBetween(W.unboundedPreceding, 0), inside.rowsBetween(W.unboundedPreceding, -1)
-    out = {}
-    for i, name in enumerate(sums):
-        out[name] = F.coalesce(F.col(f"c_s{i}"), F.lit(0)) + F.coalesce(F.sum(f"_s{i}").over(upto), F.lit(0))
-    for i, name in enumerate(lasts):
-        out[name] = F.coalesce(F.last(f"_l{i}", True).over(upto), F.col(f"c_l{i}"))
-    for i, name in enumerate(before):
-        out[name] = F.coalesce(F.last(f"_b{i}", True).over(ahead), F.col(f"c_b{i}"))
+    joined = taken.join(brought, same, "left").withColumns(turned)
+    zero, out = F.lit(0), {}
+    for (kind, given), make in zip(kinds.items(), (
+        lambda n: F.coalesce(F.col(f"c{n}"), zero) + F.coalesce(F.sum(n).over(upto), zero),
+        lambda n: F.coalesce(F.last(n, True).over(upto), F.col(f"c{n}")),
+        lambda n: F.coalesce(F.last(n, True).over(ahead), F.col(f"c{n}")),
+        lambda n: F.col(f"c{n}") + F.count_if(F.col(f"t{n}")).over(upto),
+    ), strict=True):
+        out |= {name: make(f"{kind}{i}") for i, name in enumerate(given)}
     return joined.select(*[c for c in rows.columns if c not in out], *[c.alias(n) for n, c in out.items()])

@@ -145,8 +145,66 @@ ch as (select *, coalesce(last_value(case when heading_level = 1 then text end i
 an as (select *, coalesce(last_value(case when heading_level > 1 then text end ignore nulls) over (partition by book, no order by line_no rows unbounded preceding), '') as section, heading_level is not null as is_heading from ch)"""
 )
 
+# The chunker by recursion: word runs of sentences that are too large, windows of sentences of documents that are,
+# drafts of the documents that fit, and what becomes of small drafts.
+CHUNKS = r"""
+with recursive u0 as (select source as book, row_number() over (partition by source order by doc_id) - 1 as i, 'd' || doc_id as sec, doc_id::int as page, trim(replace(text, chr(10), ' '), ' ') as text from documents),
+u as (select *, greatest(1, length(text) // 4) as c, greatest(1, length(text) // 4) > 700 as big, max(i) over (partition by book) as last_i from u0),
+s0 as (select book, i, unnest(string_split(regexp_replace(text, '([.!?])(\s+)([A-Z0-9(])', '\1' || chr(1) || '\2' || chr(2) || '\3', 'g'), chr(1))) as seg,
+              generate_subscripts(string_split(regexp_replace(text, '([.!?])(\s+)([A-Z0-9(])', '\1' || chr(1) || '\2' || chr(2) || '\3', 'g'), chr(1)), 1) as k from u where big),
+s1 as (select book, i, k, case when contains(seg, chr(2)) then position(chr(2) in seg) - 1 else 0 end as gap, case when contains(seg, chr(2)) then substring(seg, position(chr(2) in seg) + 1) else seg end as s from s0),
+s2 as (select *, sum(gap + length(s)) over (partition by book, i order by k) as b from s1),
+s3 as (select *, b - length(s) as a, greatest(1, length(s) // 4) as c from s2 where length(s) > 0),
+w0 as (select book, i, k, a, unnest(string_split(regexp_replace(s, '\s', ' ', 'g'), ' ')) as w, generate_subscripts(string_split(regexp_replace(s, '\s', ' ', 'g'), ' '), 1) as j from s3 where c > 700),
+w1 as (select *, a + sum(length(w) + 1) over (partition by book, i, k order by j) - 1 as we from w0),
+w2 as (select book, i, k, row_number() over v as j, we - length(w) as wa, we, greatest(1, (length(w) + 1) // 4) as c, sum(greatest(1, (length(w) + 1) // 4)) over v as upto from w1 where w <> '' window v as (partition by book, i, k order by j)),
+w3 as (select x.*, greatest(x.j, y.j) as e from w2 x asof left join w2 y on x.book = y.book and x.i = y.i and x.k = y.k and x.upto - x.c + 700 >= y.upto),
+wr as (select * from w3 where j = 1 union all select y.* from wr x join w3 y on x.book = y.book and x.i = y.i and x.k = y.k and y.j = x.e + 1),
+p0 as (select book, i, k, 0 as j, a, b, c from s3 where c <= 700 union all
+       select r.book, r.i, r.k, r.j, r.wa, z.we, z.upto - r.upto + r.c from wr r join w2 z on r.book = z.book and r.i = z.i and r.k = z.k and z.j = r.e),
+p1 as (select book, i, a, b, c + 1 as c, row_number() over v as k, sum(c + 1) over v as upto, count(*) over (partition by book, i) as n from p0 window v as (partition by book, i order by k, j)),
+p2 as (select x.*, greatest(x.k, y.k) as e from p1 x asof left join p1 y on x.book = y.book and x.i = y.i and x.upto - x.c + 700 >= y.upto),
+p3 as (select x.book, x.i, x.k, x.a, x.e, x.n, z.b, z.upto as ends, f.upto as after from p2 x join p1 z on x.book = z.book and x.i = z.i and z.k = x.e left join p1 f on f.book = x.book and f.i = x.i and f.k = x.e + 1),
+p4 as (select x.*, (select min(y.k) from p1 y where y.book = x.book and y.i = x.i and y.upto - y.c >= x.ends - 120) as bk from p3 x),
+p5 as (select x.*, case when x.bk >= x.k and x.after - (y.upto - y.c) <= 700 then x.bk else x.e + 1 end as nx from p4 x left join p1 y on y.book = x.book and y.i = x.i and y.k = x.bk),
+pw as (select *, 1 as part from p5 where k = 1 union all select y.*, x.part + 1 from pw x join p5 y on x.book = y.book and x.i = y.i and y.k = x.nx where x.e < x.n),
+g0 as (select *, i - row_number() over (partition by book, big order by i) as grp from u),
+g as (select book, min(i) as base, list(text order by i) as texts, list(sec order by i) as secs, list(page order by i) as pages, list_prepend(0::bigint, list(run order by i)) as running, max(i) = max(last_i) as closing, count(*) as n
+      from (select *, sum(c + 2) over (partition by book, grp order by i)::bigint as run from g0 where not big) group by book, grp),
+d as (select book, base, 0::bigint as ui, 0::bigint as e, ''::varchar as text, []::varchar[] as secs, 0::int as first, 0::int as last, false as whole, ''::varchar as lt, ''::varchar as ls, 0::int as lp from g
+      union all
+      select book, base, ui, e, trim(raw, ' ' || chr(10) || chr(9)), ss, first, last, whole,
+             case when fits then tail else '' end, ss[-1], last from (
+        select *, tail <> '' and e < n and greatest(1, length(trim(raw, ' ' || chr(10) || chr(9))) // 4) >= 60 and greatest(1, length(tail) // 4) + greatest(1, length(texts[e + 1]) // 4) + 2 <= 700 as fits from (
+          select *, trim(case when length(regexp_extract(part, '(?s)^.*?[.!?]\s+(.*)$', 1)) > 40 then regexp_extract(part, '(?s)^.*?[.!?]\s+(.*)$', 1) else part end, ' ' || chr(10) || chr(9)) as tail from (
+            select *, right(raw, 480) as part, e = n and closing as whole from (
+              select book, base, ui, e, n, closing, texts, array_to_string(list_concat(case when lt <> '' then [lt] else [] end, texts[ui + 1:e]), chr(10) || chr(10)) as raw,
+                     list_concat(case when lt <> '' then [ls] else [] end, secs[ui + 1:e]) as ss, case when lt <> '' then lp else pages[ui + 1] end as first, list_max(pages[ui + 1:e]) as last from (
+                select d.book, d.base, d.e as ui, lt, ls, lp, texts, g.secs, pages, n, closing,
+                       greatest(d.e + 1, len(list_filter(running, lambda x: x <= running[d.e + 1] + 700 - case when lt <> '' then greatest(1, length(lt) // 4) + 2 else 0 end)) - 1) as e
+                from d join g on g.book = d.book and g.base = d.base where d.e < g.n)))))),
+z as (select x.book, x.i, x.part, u.sec, u.page, trim(substring(u.text, x.a::int + 1, (x.b - x.a)::int), ' ' || chr(9)) as t from pw x join u on u.book = x.book and u.i = x.i),
+a0 as (select book, base + ui as ui, 0 as part, 0 as cut, text, secs, first, last, whole, true as open from d where e > 0 and text <> '' union all
+       select book, i, part, cut, trim(substring(t, cut::int + 1, case when open then length(t) else 2800 end::int), ' ' || chr(9)), [sec], page, page, true, open
+       from (select *, length(t) // 4 <= 700 as open, unnest(case when length(t) // 4 <= 700 then [0] else range(0, length(t), 2800) end) as cut from z)),
+a as (select *, length(text) as chars, row_number() over (partition by book order by ui, part, cut) as pos from a0 where text <> ''),
+h as (select distinct book, 0::bigint as pos, null::bigint as head, 0::bigint as hc, null::bigint as w, 0::bigint as wc, null::bigint as own from a
+      union all
+      select book, pos, case when big then k when folds then ph else ph end, case when big then c when folds then pc + 2 + c else pc end, case when big or folds then null else k end, case when big or folds then 0 else c end, case when folds and not big then ph else k end from (
+        select *, whole or greatest(1, c // 4) >= 60 as big, ph is not null and greatest(1, (pc + 2 + c) // 4) <= 700 as folds from (
+          select a.book, a.pos, a.whole, case when joins then h.w else a.pos end as k, case when joins then h.wc + 2 + a.chars else a.chars end as c,
+                 case when h.w is not null and not joins then h.w else h.head end as ph, case when h.w is not null and not joins then h.wc else h.hc end as pc
+          from (select h.*, a.pos as np, a.chars as nc, h.w is not null and a.open and greatest(1, (h.wc + 2 + a.chars) // 4) <= 700 as joins from h join a on a.book = h.book and a.pos = h.pos + 1) h
+          join a on a.book = h.book and a.pos = h.np))),
+c as (select a.book, own, array_to_string(list(text order by a.pos), chr(10) || chr(10)) as text, flatten(list(secs order by a.pos)) as secs, arg_min(first, a.pos) as first, max(last) as last from a join h on h.book = a.book and h.pos = a.pos group by 1, 2),
+o as (select *, (row_number() over (partition by book order by own))::int as ordinal from c)
+select book, ordinal, book || '::' || lpad(ordinal::varchar, 5, '0') as id, book as chapter,
+       case when len(list_distinct(secs)) = 1 then secs[1] else secs[1] || ' – ' || list_filter(secs, lambda s, j: list_position(secs, s) = j)[-1] end as section, first::int as page_start, last::int as page_end, greatest(1, length(text) // 4)::int as token_count, text from o
+"""
+
 QUERIES = {f.__name__: f for f in (text_quality, page_furniture, html_blocks, body_size, structure_fill, outline, paragraph_units, chunk_pack, passage_dedup, sentence_split, token_counts, heading_shapes, book_files)}
 ORACLE_SQL = {
+    "chunk_pack": CHUNKS,
     "text_quality": """
 with l as (select doc_id as book, unnest(string_split(text, chr(10))) as line from documents), n as (select book, length(trim(line, ' ')) as n from l where trim(line, ' ') <> ''),
 q as (select book, count(*) as n_lines, list_sort(list(n))[count(*) // 2 + 1] as median_len, avg((n <= 3)::int) as f, sum(n)::double as c from n group by 1)

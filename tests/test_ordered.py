@@ -23,15 +23,16 @@ def rows(spark):
 def test_carried_equals_a_walk(spark, rows, range_rows, group):
     df = spark.createDataFrame(rows, "g string, at long, v long, mark string").withColumn("v2", F.col("v") * 2)
     order = ["at"] if group else ["at", "g"]
-    got = ordered.carried(df, group, order, sums={"total": F.col("v"), "n": F.lit(1)}, lasts={"last": F.col("mark")}, before={"prior": F.col("mark")}, range_rows=range_rows)
-    assert got.columns == ["g", "at", "v", "mark", "v2", "total", "n", "last", "prior"]
+    got = ordered.carried(df, group, order, sums={"total": F.col("v"), "n": F.lit(1)}, lasts={"last": F.col("mark")}, before={"prior": F.col("mark")}, changes={"turns": F.col("mark"), "values": F.struct("v", "mark")}, range_rows=range_rows)
+    assert got.columns == ["g", "at", "v", "mark", "v2", "total", "n", "last", "prior", "turns", "values"]
     want, state = [], {}
     for g, at, v, mark in sorted(rows, key=lambda x: (x[1] is not None, x[1] or 0, x[0] is not None, x[0] or "")):
         key = g if group else 0
-        total, n, last = state.get(key, (0, 0, None))
+        total, n, last, turns, values, old = state.get(key, (0, 0, None, 0, 0, ()))
         prior, total, n, last = last, total + v, n + 1, mark if mark is not None else last
-        state[key] = total, n, last
-        want.append((g, at, v, mark, v * 2, total, n, last, prior))
+        turns, values = turns + (old[1:] != (mark,)), values + (old != (v, mark))
+        state[key] = total, n, last, turns, values, (v, mark)
+        want.append((g, at, v, mark, v * 2, total, n, last, prior, turns, values))
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
 
 
