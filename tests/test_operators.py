@@ -43,7 +43,7 @@ def test_dense_paths_agree_and_an_unknown_filter_finds_nothing(spark):
     v = spark.createDataFrame([(i, [1.0 if j == i % 4 else 0.1 * i for j in range(4)], i % 2) for i in range(12)], "vec_id long, embedding array<float>, label int")
     q = v.where("vec_id < 3").select(F.col("vec_id").alias("query_id"), "embedding")
     key = lambda df: sorted(tuple(r) for r in df.select("query_id", "vec_id", "score", "rank").collect())
-    assert key(dense.search(q, v, 3)) == key(dense.search_arrow(q, v, 3))
+    assert key(dense.search(q, v, 3)) == key(dense.search(q, v, 3, index=dense.build(v)))
     assert dense.search(q, v, 3, F.col("label").isin(9)).count() == 0
 
 
