@@ -61,7 +61,8 @@ def _assign(pivots: np.ndarray):
         for pdf in batches:
             if len(pdf):
                 v = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-                yield pdf.assign(pivot=(v @ pivots.T - half).argmax(axis=1).astype(np.int32))
+                near = (v @ pivots.T - half).argmax(axis=1) if pivots.size else 0
+                yield pdf.assign(pivot=np.int32(near))
 
     return run
 
@@ -83,7 +84,7 @@ def _blocks(vectors: DataFrame, key: str, pivots: np.ndarray, size: int) -> Data
     kinds = dict(vectors.dtypes)
     near = stored(vectors.mapInPandas(_assign(pivots), f"`{key}` {kinds[key]}, embedding {kinds['embedding']}, pivot int"))
     slices = {r["pivot"]: math.ceil(r["count"] / size) for r in near.groupBy("pivot").count().collect()}  # a row a pivot
-    many = F.get(F.array(*[F.lit(slices.get(p, 1)) for p in range(len(pivots))]), F.col("pivot"))
+    many = F.get(F.array(*[F.lit(slices.get(p, 1)) for p in range(max(1, len(pivots)))]), F.col("pivot"))
     block = F.col("pivot").cast("long") * (1 << 32) + F.pmod(F.xxhash64(key, F.lit("slice")), many)
     return near.withColumn("block", block).groupBy("block").applyInPandas(_together(key), f"block long, ids array<{kinds[key]}>, data binary, center binary, radius double")
 
@@ -96,7 +97,7 @@ def build(vectors: DataFrame, key: str = "vec_id") -> Index:
         rows = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
     n = rows.count()
     drawn = rows.orderBy(F.xxhash64(key), key).limit(min(PIVOTS, max(1, math.ceil(n / BLOCK_ROWS)))).select("embedding").collect()
-    pivots = np.array([r[0] for r in drawn] or [[0.0]], np.float64)
+    pivots = np.array([r[0] for r in drawn], np.float64)
     blocks = stored(_blocks(rows, key, pivots, BLOCK_ROWS))
     parts = max(1, math.ceil(blocks.count() / HEADS))
     listed = F.array_sort(F.collect_list(F.struct("block", "radius", "center")))
