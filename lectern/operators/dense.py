@@ -57,7 +57,7 @@ def _assign(pivots: np.ndarray):
     """Number of the nearest pivot of each vector."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        half = (pivots**2).sum(axis=1) / 2
+        half = (pivots**2).sum(axis=-1) / 2
         for pdf in batches:
             if len(pdf):
                 v = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
