@@ -1,14 +1,16 @@
 """BM25 over an inverted index that is a DataFrame.
 
-An index is made in one scan of the texts and stored: a row a document with its terms and their
-counts, which are counted inside the row and so need no shuffle, and the terms with their weights.
-What is read again for a search are these rows, never the texts. The statistics are those of the
+An index is made in one scan of the texts and stored, a row a segment of documents: their keys and
+lengths, the terms that occur in them with the documents and counts, and for each term the largest
+count and the shortest document. A search reads segments, never texts. From a segment's largest counts follows a
+bound for what any of its documents can score for a query; a task keeps the best k of each query so far, and counts a
+segment out for a query whose k-th best the bound does not reach. The statistics are those of the
 whole corpus, whatever filter a query has; the filter applies to scores. The Okapi weights are
 ours to state: idf = ln(N - n + 0.5) - ln(n + 0.5); a negative idf becomes a quarter of the mean
 idf of the vocabulary; k1 = 1.5, b = 0.75.
 
-A search of few query terms sends them to the rows, which are scored batch by batch, and only the
-best of each task are shuffled; one of many terms is a join.
+A search of few query terms sends them to the segments, and only the best of each task are shuffled;
+one of many terms is a join.
 """
 
 from __future__ import annotations
@@ -29,39 +31,100 @@ from lectern.sources.scratch import stored
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Query terms (rows of some fifty bytes) up to which they travel to the tasks.
 MOST_TERMS = 500_000
-#: Queries scored at once against a batch of documents.
-QUERY_BLOCK = 1024
+#: Documents of a segment, and bytes of texts that are counted at once.
+SEGMENT_DOCS, BATCH_BYTES = 64, 4 << 20
+#: Products of postings and queries that are added up at once.
+CELLS = 1 << 21
+#: Scores are rounded to six places; a bound that is below the floor by more counts a segment out.
+MARGIN = 2e-6
+
+TOKEN = np.zeros(256, bool)
+TOKEN[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = True
 
 
 @dataclass(frozen=True)
 class Index:
-    """``documents`` (key, dl, terms, counts) and ``weights`` (term, idf) are stored tables."""
+    """``segments`` (segment, keys, dl, terms, df, most, shortest, docs, counts) and ``weights`` (term, idf) are
+    stored tables. ``docs`` and ``counts`` hold the postings of all terms, ``df`` of each, one after another."""
 
     key: str
-    documents: DataFrame
+    segments: DataFrame
     weights: DataFrame
     avgdl: float
     #: The mean idf of the vocabulary.
     mean: float
 
 
+_SEGMENT = [("dl", pa.list_(pa.int32())), ("terms", pa.list_(pa.string())), ("df", pa.list_(pa.int32())), ("most", pa.list_(pa.int32())), ("shortest", pa.list_(pa.int32())), ("docs", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))]
+_SEGMENT_DDL = "dl array<int>, terms array<string>, df array<int>, most array<int>, shortest array<int>, docs array<int>, counts array<int>"
+
+
+def _counted(keys: pa.Array, texts: list[bytes]) -> Iterator[list]:
+    """Segments of some documents with their lower-case texts."""
+    data = np.frombuffer(b"\n".join(texts), np.uint8)
+    inside = TOKEN[data]
+    edge = np.flatnonzero(np.diff(np.r_[False, inside, False].view(np.int8)))
+    starts, ends = edge[::2], edge[1::2]
+    begin = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
+    owner = np.searchsorted(begin, starts, "right") - 1
+    offsets = np.r_[0, np.cumsum(ends - starts)].astype(np.int32)
+    coded = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])]).dictionary_encode()
+    size = max(1, len(coded.dictionary))
+    length = np.bincount(owner, minlength=len(texts)).astype(np.int32)
+    # sorted by segment, then term, then document
+    cell = (owner // SEGMENT_DOCS * size + coded.indices.to_numpy()) * SEGMENT_DOCS + owner % SEGMENT_DOCS
+    cell, counts = np.unique(cell, return_counts=True)
+    doc, group = cell % SEGMENT_DOCS, cell // SEGMENT_DOCS
+    for at in range(0, len(texts), SEGMENT_DOCS):
+        low, high = np.searchsorted(group // size, [at // SEGMENT_DOCS, at // SEGMENT_DOCS + 1])
+        dl = length[at : at + SEGMENT_DOCS]
+        term, first = np.unique(group[low:high], return_index=True)
+        df = np.diff(np.r_[first, high - low])
+        most = np.maximum.reduceat(counts[low:high], first) if len(first) else first
+        shortest = np.minimum.reduceat(dl[doc[low:high]], first) if len(first) else first
+        yield [keys.slice(at, SEGMENT_DOCS), dl, coded.dictionary.take(term % size), df, most, shortest, doc[low:high], counts[low:high]]
+
+
+def _segments(schema: pa.Schema):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(keys: list, texts: list) -> pa.RecordBatch:
+            rows = list(_counted(pa.array(keys, schema.field(0).type.value_type), texts))
+            return pa.RecordBatch.from_arrays([pa.array([r[i] if i in (0, 2) else np.asarray(r[i], np.int32) for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+        keys, texts, n = [], [], 0
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                keys.append(key)
+                texts.append(text)
+                n += len(text)
+                if n >= BATCH_BYTES and len(texts) % SEGMENT_DOCS == 0:
+                    yield made(keys, texts)
+                    keys, texts, n = [], [], 0
+        if texts:
+            yield made(keys, texts)
+
+    return run
+
+
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+
+
 def build(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
     spark = docs.sparkSession
-    rows = docs.select(key, text)
+    rows = docs.select(key, F.encode(F.coalesce(F.lower(F.col(text)), F.lit("")), "utf-8").alias("text"))
     if rows.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
         rows = rows.repartition(spark.sparkContext.defaultParallelism)  # a small file, which few tasks would read
-    # equal terms stand together once sorted, and a run of them is a term and its count
-    line = F.array_join(F.transform(F.sort_array("t"), lambda w: F.concat(F.lit(" "), w)), "")
-    rows = rows.select(key, terms(F.col(text)).alias("t")).select(key, F.size("t").alias("dl"), F.regexp_extract_all(line, F.lit(r"( [a-z0-9]+)(?:\1(?= |$))*+(?= |$)"), F.lit(0)).alias("runs"))
-    words = F.transform("runs", lambda r: F.regexp_extract(r, "[a-z0-9]+", 0))
-    rows = rows.select(key, "dl", words.alias("terms"), "runs").select(key, "dl", "terms", F.zip_with("runs", "terms", lambda r, t: (F.length(r) / (F.length(t) + 1)).cast("int")).alias("counts"))
-    documents = stored(rows)
-    size = documents.agg(F.count("*").alias("n"), F.avg(F.coalesce("dl", F.lit(0))).alias("avgdl")).first()
-    df = documents.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    raw = stored(df.select("term", (F.log(F.lit(size["n"]) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")))
+    kind = dict(docs.dtypes)[key]
+    schema = pa.schema([("keys", pa.list_(_ARROW[kind])), *_SEGMENT])
+    made = rows.mapInArrow(_segments(schema), f"keys array<{kind}>, {_SEGMENT_DDL}")
+    segments = stored(made.withColumn("segment", F.monotonically_increasing_id()))
+    size = segments.agg(F.sum(F.size("keys")).alias("n"), F.sum(F.aggregate("dl", F.lit(0).cast("long"), lambda a, x: a + x)).alias("words")).first()
+    n = size["n"] or 0
+    df = segments.select(F.explode(F.arrays_zip("terms", "df")).alias("p")).groupBy(F.col("p.terms").alias("term")).agg(F.sum("p.df").alias("df"))
+    raw = stored(df.select("term", (F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")))
     mean = raw.agg(F.avg("raw")).first()[0] or 0.0
     weights = raw.select("term", F.when(F.col("raw") < 0, F.lit(mean * EPSILON)).otherwise(F.col("raw")).alias("idf"))
-    return Index(key, documents, weights, size["avgdl"] or 0.0, mean)
+    return Index(key, segments, weights, (size["words"] or 0) / n if n else 0.0, mean)
 
 
 def query_terms(queries: DataFrame, index: Index, query: str = "query_id", text: str = "text") -> DataFrame:
@@ -72,66 +135,143 @@ def query_terms(queries: DataFrame, index: Index, query: str = "query_id", text:
 
 def scores(wanted: DataFrame, index: Index, query: str = "query_id") -> DataFrame:
     """(query, key, score) of documents that share a term with the query, by a join."""
-    posting = F.explode(F.arrays_zip("terms", "counts")).alias("p")
-    postings = index.documents.select(index.key, "dl", posting).select(index.key, "dl", F.col("p.terms").alias("term"), F.col("p.counts").alias("f"))
+    each = F.flatten(F.transform(F.arrays_zip("terms", "df"), lambda p: F.array_repeat(p["terms"], p["df"])))
+    rows = index.segments.select("keys", "dl", F.explode(F.arrays_zip(each.alias("term"), "docs", "counts")).alias("p"))
+    postings = rows.select(F.get("keys", F.col("p.docs")).alias(index.key), F.get("dl", F.col("p.docs")).alias("dl"), F.col("p.term").alias("term"), F.col("p.counts").alias("f"))
     weight = F.col("qf") * F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.lit(index.avgdl)))
     return postings.join(wanted, "term").groupBy(query, index.key).agg(F.round(F.sum(weight), 6).alias("score"))
 
 
-def _scorer(queries: list, names: list[str], start: np.ndarray, owner: np.ndarray, weight: np.ndarray, avgdl: float, k: int, schema: pa.Schema):
-    """The best k of a task's documents for each query; ``owner`` and ``weight`` are the queries of
-    each term, from ``start`` on, and what the term weighs there."""
+def _saturated(f: np.ndarray, dl: np.ndarray, avgdl: float) -> np.ndarray:
+    return f * (K1 + 1) / (f + K1 * (1 - B + B * dl / avgdl))
 
+
+def _spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """All places from each start on, as many as its count."""
+    return np.repeat(start - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+
+
+class _Scorer:
+    """The best k of a task's documents for each query. ``owner`` and ``weight`` are the queries of each
+    term, from ``start`` on, and what the term weighs there."""
+
+    def __init__(self, n: int, names: pa.Array, start: np.ndarray, owner: np.ndarray, weight: np.ndarray, avgdl: float, k: int):
+        self.names, self.start, self.owner, self.weight, self.avgdl, self.k = names, start, owner, weight, avgdl, k
+        self.floor, self.best = np.full(n, -np.inf), [None] * n
+        self.scored = self.possible = 0
+
+    def bounds(self, row: dict) -> tuple:
+        """Of a segment: its terms that are asked for, who asks for them at which of these places and weight, and
+        what no document of it exceeds for each query; below anything where it shares no term."""
+        found = pc.index_in(row["terms"], value_set=self.names)
+        at = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+        term = found.fill_null(0).to_numpy(zero_copy_only=False)[at]
+        count = self.start[term + 1] - self.start[term]
+        here = _spread(self.start[term], count)
+        who, place, weight = self.owner[here], np.repeat(np.arange(len(at)), count), self.weight[here]
+        bound = np.bincount(who, weight * _saturated(row["most"][at].astype(np.float64), row["shortest"][at], self.avgdl)[place], len(self.floor)).astype(np.float64)
+        bound[np.bincount(who, minlength=len(bound)) == 0] = -np.inf
+        return at, who, place, weight, bound
+
+    def take(self, segments: list[tuple[np.ndarray, np.ndarray, dict]]) -> None:
+        """Each query first meets the segment that promises it most, so that its floor is high for the others."""
+        if not segments:
+            return
+        known = [self.bounds(row) for *_, row in segments]
+        bound = np.stack([x[-1] for x in known])
+        first = bound.argmax(axis=0)
+        for i in np.unique(first):
+            self._score(*segments[i], *known[i][:4], np.flatnonzero((first == i) & (bound[i] > -np.inf)))
+        for i, x in enumerate(known):
+            alive = (bound[i] > -np.inf) & (first != i) & (bound[i] + MARGIN >= self.floor)
+            self._score(*segments[i], *x[:4], np.flatnonzero(alive))
+            self.possible += int((bound[i] > -np.inf).sum()) * len(segments[i][0])
+
+    def _score(self, keys: np.ndarray, allowed: np.ndarray, row: dict, at: np.ndarray, who: np.ndarray, place: np.ndarray, weight: np.ndarray, alive: np.ndarray) -> None:
+        self.scored += len(alive) * len(keys)
+        # postings of each term found, times the queries that want it, some queries at a time
+        df = row["df"][at]
+        offset = (np.cumsum(row["df"]) - row["df"])[at]
+        per = np.bincount(who, df[place], len(self.floor))[alive]
+        for part in np.split(alive, np.flatnonzero(np.diff(np.cumsum(per) // CELLS)) + 1):
+            if not len(part):
+                continue
+            slot = np.full(len(self.floor), -1)
+            slot[part] = np.arange(len(part))
+            own = slot[who] >= 0
+            many = df[place[own]]
+            posting = _spread(offset[place[own]], many)
+            doc = row["docs"][posting]
+            value = np.repeat(weight[own], many) * _saturated(row["counts"][posting].astype(np.float64), row["dl"][doc], self.avgdl)
+            cell = np.repeat(slot[who[own]], many) * len(keys) + doc
+            total = np.round(np.bincount(cell, value, len(part) * len(keys)).reshape(len(part), -1), 6)
+            hit = (np.bincount(cell, minlength=len(part) * len(keys)).reshape(len(part), -1) > 0) & allowed
+            hit &= total >= self.floor[part][:, None]
+            for j in np.flatnonzero(hit.any(axis=1)).tolist():
+                self._keep(part[j], keys[hit[j]], total[j, hit[j]])
+
+    def _keep(self, q: int, keys: np.ndarray, score: np.ndarray) -> None:
+        if self.best[q] is not None:
+            keys, score = np.concatenate([self.best[q][0], keys]), np.concatenate([self.best[q][1], score])
+        top = np.lexsort((keys, -score))[: self.k]
+        self.best[q] = keys[top], score[top]
+        if len(top) == self.k:
+            self.floor[q] = score[top[-1]]
+
+
+def _columns(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Each segment's lists; of keys and terms as they are, of numbers as arrays."""
+    names = [n for n in batch.schema.names if n != "segment"]
+    for row in range(batch.num_rows):
+        lists = {n: batch.column(n)[row].values for n in names}
+        yield {n: v if n in ("terms", "keys") else v.to_numpy(zero_copy_only=False) for n, v in lists.items()}
+
+
+def _scan(queries: pa.Array, scorer: tuple, schema: pa.Schema, counts_only: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, best = pa.array(names, pa.string()), {}
+        s, held = _Scorer(len(queries), *scorer), []
         for batch in batches:
-            keys, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
-            length = np.diff(lists.offsets.to_numpy())
-            found = pc.index_in(lists.flatten(), value_set=vocabulary)
-            here = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
-            term = found.fill_null(0).to_numpy(zero_copy_only=False)[here]
-            doc = np.repeat(np.arange(len(keys)), length)[here]
-            f = batch.column(3).flatten().to_numpy(zero_copy_only=False)[here].astype(np.float64)
-            dl = batch.column(1).to_numpy(zero_copy_only=False)[doc]
-            tf = f * (K1 + 1) / (f + K1 * (1 - B + B * dl / avgdl))
-            count = start[term + 1] - start[term]
-            at = np.repeat(start[term] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-            doc, who, value = np.repeat(doc, count), owner[at], weight[at] * np.repeat(tf, count)
-            for low in range(0, len(queries), QUERY_BLOCK):
-                width = min(QUERY_BLOCK, len(queries) - low)
-                own = (who >= low) & (who < low + width)
-                cell = (who[own] - low) * len(keys) + doc[own]
-                total = np.round(np.bincount(cell, value[own], width * len(keys)).reshape(width, -1), 6)
-                hit = np.bincount(cell, minlength=width * len(keys)).reshape(width, -1) > 0
-                for q in np.flatnonzero(hit.any(axis=1)).tolist():
-                    some = np.flatnonzero(hit[q])
-                    old_keys, old = best.get(low + q, (keys[:0], np.zeros(0)))
-                    all_keys, all_ = np.concatenate([old_keys, keys[some]]), np.concatenate([old, total[q, some]])
-                    if len(all_) > 4 * k:  # far more than are kept: those below the k-th go first
-                        some = all_ >= np.partition(all_, len(all_) - k)[len(all_) - k]
-                        all_keys, all_ = all_keys[some], all_[some]
-                    top = np.lexsort((all_keys, -all_))[:k]
-                    best[low + q] = all_keys[top], all_[top]
-        for q, (found_keys, found) in best.items():
-            yield pa.RecordBatch.from_arrays([pa.array([queries[q]] * len(found), schema.field(0).type), pa.array(found_keys, schema.field(1).type), pa.array(found)], schema=schema)
+            for row in _columns(batch):
+                keys = row["keys"].to_numpy(zero_copy_only=False)
+                held.append((keys, np.isin(keys, row["allowed"]) if "allowed" in row else np.ones(len(keys), bool), row))
+                if len(held) * len(queries) >= CELLS:
+                    s.take(held)
+                    held = []
+            s.take(held)
+            held = []
+        if counts_only:
+            yield pa.RecordBatch.from_arrays([pa.array([s.scored]), pa.array([s.possible])], names=["scored", "possible"])
+            return
+        for q, kept in enumerate(s.best):
+            if kept is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([queries[q].as_py()] * len(kept[0]), schema.field(0).type), pa.array(kept[0], schema.field(1).type), pa.array(kept[1])], schema=schema)
 
     return run
 
 
-def best_scores(wanted: DataFrame, index: Index, k: int, only: DataFrame | None, query: str = "query_id") -> DataFrame:
-    """(query, key, score): of each task the best k of each query, among the keys of ``only``."""
-    docs = index.documents.select(index.key, "dl", "terms", "counts")
+def best_scores(wanted: DataFrame, index: Index, k: int, only: DataFrame | None, query: str = "query_id", counts_only: bool = False) -> DataFrame:
+    """(query, key, score): of each task the best k of each query, among the keys of ``only``; or, of each
+    task, how many pairs of a query and a document that may share a term were scored."""
+    segments = index.segments
     if only is not None:
-        docs = docs.join(only.select(index.key), index.key, "left_semi").select(index.key, "dl", "terms", "counts")
+        place = segments.select("segment", F.explode("keys").alias(index.key)).join(only.select(index.key), index.key, "left_semi")
+        segments = segments.join(place.groupBy("segment").agg(F.collect_list(index.key).alias("allowed")), "segment")
     rows = wanted.select(query, "term", (F.col("qf") * F.col("idf")).alias("w")).toArrow()
-    schema = pa.schema([(query, rows.schema.field(0).type), (index.key, pa.int64() if dict(docs.dtypes)[index.key] == "bigint" else pa.string()), ("score", pa.float64())])
+    kinds = {query: dict(wanted.dtypes)[query], index.key: dict(index.segments.dtypes)["keys"].removeprefix("array<").removesuffix(">")}
+    schema = pa.schema([(query, rows.schema.field(0).type), (index.key, _ARROW[kinds[index.key]]), ("score", pa.float64())])
     queries, names = pc.unique(rows.column(0)), pc.unique(rows.column(1))
     term, owner = pc.index_in(rows.column(1), value_set=names).to_numpy(), pc.index_in(rows.column(0), value_set=queries).to_numpy()
     order = np.argsort(term, kind="stable")
     start = np.r_[0, np.cumsum(np.bincount(term, minlength=len(names)))].astype(np.int64)
-    run = _scorer(queries.to_pylist(), names.to_pylist(), start, owner[order].astype(np.int64), rows.column(2).to_numpy()[order], index.avgdl, k, schema)
-    kinds = {query: dict(wanted.dtypes)[query], index.key: dict(docs.dtypes)[index.key]}
-    return docs.where(F.size("terms") > 0).mapInArrow(run, f"`{query}` {kinds[query]}, `{index.key}` {kinds[index.key]}, score double")
+    scorer = (names, start, owner[order].astype(np.int64), rows.column(2).to_numpy()[order], index.avgdl, k)
+    ddl = "scored long, possible long" if counts_only else f"`{query}` {kinds[query]}, `{index.key}` {kinds[index.key]}, score double"
+    return segments.mapInArrow(_scan(queries, scorer, schema, counts_only), ddl)
+
+
+def pruning(queries: DataFrame, index: Index, k: int, query: str = "query_id", text: str = "text") -> DataFrame:
+    """(scored, possible): pairs of a query and a document of a segment with a common term, and those of them
+    that a search for the best k scores; the bounds count the rest out."""
+    return best_scores(query_terms(queries, index, query, text), index, k, None, query, counts_only=True).agg(F.sum("scored").alias("scored"), F.sum("possible").alias("possible"))
 
 
 def padded(scored: DataFrame, queries: DataFrame, docs: DataFrame, index: Index, k: int, query: str = "query_id") -> DataFrame:
@@ -157,7 +297,7 @@ def search(queries: DataFrame, docs: DataFrame, k: int, only: Column | None = No
     """BM25 top k; ``only`` filters the documents after scoring, under statistics of all."""
     index = index or build(docs, key, text)
     allowed, wanted = docs if only is None else docs.where(only), query_terms(queries, index, query, text)
-    if index.mean >= 0 and wanted.count() <= MOST_TERMS and dict(docs.dtypes)[key] in ("bigint", "string"):
+    if index.mean >= 0 and wanted.count() <= MOST_TERMS:
         found = best_scores(wanted, index, k, None if only is None else allowed, query)
     else:  # too many terms to send, or scores below those of documents without any
         found = scores(wanted, index, query)

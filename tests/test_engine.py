@@ -299,12 +299,34 @@ def test_both_ways_to_score_say_the_same(spark, data, monkeypatch):
     docs = docs.unionByName(extra)
     q = spark.createDataFrame([(0, "the of the und"), (1, "zz9 qq8"), (2, ""), (3, docs.first().text)], "query_id long, text string")
     index = lexical.build(docs)
-    assert index.documents.where("size(terms) <> size(array_distinct(terms)) or dl <> aggregate(counts, 0, (a, x) -> a + x)").count() == 0
+    assert index.segments.where("size(terms) <> size(array_distinct(terms)) or aggregate(dl, 0, (a, x) -> a + x) <> aggregate(counts, 0, (a, x) -> a + x)").count() == 0
     for only in (None, F.col("source") == "src1"):
         found = []
-        for most, block in ((500_000, 1024), (500_000, 2), (0, 1024)):
+        for most, block in ((500_000, 1 << 21), (500_000, 2), (0, 1024)):
             monkeypatch.setattr(lexical, "MOST_TERMS", most)
-            monkeypatch.setattr(lexical, "QUERY_BLOCK", block)
+            monkeypatch.setattr(lexical, "CELLS", block)
             rows = lexical.search(q, docs, 7, only, index=index).collect()
             found.append(sorted((r.query_id, r["rank"], r.doc_id, round(r.score, 5)) for r in rows))
         assert found[0] == found[1] == found[2] and {r[0] for r in found[0]} == {0, 1, 2, 3}
+
+
+def test_bounds_count_segments_out(spark):
+    """A rare term's few documents leave most segments of common terms unscored."""
+    rows = [(i, "common words here " * (1 + i % 5) + ("rare " * 3 if i % 200 == 1 else "") + f"w{i % 50}") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    q = spark.createDataFrame([(0, "rare common"), (1, "w7 words")], "query_id long, text string")
+    index = lexical.build(docs)
+    seen = lexical.pruning(q.where("query_id = 0"), index, 1).first()
+    assert 0 < seen.scored < seen.possible / 2
+    got = lexical.search(q, docs, 3, index=index).orderBy("query_id", "rank").collect()
+    want = lexical.top_k(lexical.scores(lexical.query_terms(q, index), index), 3).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.doc_id, r.score) for r in got] == [(r.query_id, r.doc_id, r.score) for r in want]
+
+
+def test_terms_next_to_letters_of_other_scripts(spark):
+    docs = spark.createDataFrame([(1, "Été K9 naïve日本x"), (2, None), (3, "")], "doc_id int, text string")
+    index = lexical.build(docs)
+    assert {r.term for r in index.weights.collect()} == {"t", "k9", "na", "ve", "x"}
+    assert index.avgdl == 5 / 3
+    got = lexical.search(spark.createDataFrame([(0, "x")], "query_id long, text string"), docs, 3, index=index).collect()
+    assert sorted((r.doc_id, r.score > 0) for r in got) == [(1, True), (2, False), (3, False)]
