@@ -8,6 +8,7 @@ from pyspark.sql import SparkSession
 
 from lectern import engine, plugins
 from lectern.config import Config, parse_overrides
+from lectern.sources.book_cache import BookCache
 from lectern.sources.index_store import IndexStore, books_of, chapters_of
 
 #: The stand-in for an encoder, under its name in the index.
@@ -32,7 +33,7 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("lectern").getOrCreate()
     cfg, store = Config().with_overrides(parse_overrides(a.set)), IndexStore(spark, a.index)
     if a.what == "ingest":
-        chunks, report = engine.build(spark, a.folder, cfg, ENCODER)
+        chunks, report = engine.build_in_steps(spark, a.folder, cfg, BookCache(spark, f"{a.index}/cache"), ENCODER, ENCODER_NAME)
         report.select("path", "became", "n_lines").show(100, truncate=False)
         print(store.save(chunks, {"embedding_model": ENCODER_NAME}))
     elif a.what == "books":

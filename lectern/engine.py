@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -12,21 +13,17 @@ from lectern import plugins
 from lectern.config import Config
 from lectern.functions.text import citation, embed_text
 from lectern.operators import answer, chunking, context, dense, fusion, ingest, lexical
+from lectern.sources.book_cache import BookCache, cache_key
 from lectern.sources.books import discover, read_blocks, read_contents
 from lectern.sources.scratch import stored
 
 Encoder = Callable[[list[str]], np.ndarray]
 
 
-def build(spark: SparkSession, folder: str, cfg: Config, encode: Encoder | None = None, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Chunks of the books of a folder, with vectors if there is an encoder, and a report with a row
-    for each file: what became of it. Files of equal content are read once, those that are
-    ``known`` (sha) not at all; a book of poor text is left out. Running headers and footers go
-    from PDFs, whose contents, if they have any, say what chapter a page begins in."""
-    files = discover(spark, folder)
-    fresh = ingest.new_files(files.select("path", "sha"), known.select("sha") if known is not None else files.select("sha").limit(0))
-    chosen = files.join(fresh.select("path", F.lit(True).alias("fresh")), "path", "left")
-    read = chosen.where("fresh")
+def book_chunks(read: DataFrame, cfg: Config, encode: Encoder | None = None) -> tuple[DataFrame, DataFrame]:
+    """Chunks of each of the files (path, suffix, book_id, content), with vectors if there is an encoder, and (path,
+    became, n_lines). A book of poor text is left out. Running headers and footers go from PDFs, whose contents,
+    if they have any, say what chapter a page begins in."""
     blocks = stored(read_blocks(read).join(read.select("path", "suffix"), "path"))
     entries = read_contents(read)
     text = blocks.where("text is not null").withColumnRenamed("path", "book")
@@ -39,15 +36,55 @@ def build(spark: SparkSession, folder: str, cfg: Config, encode: Encoder | None
     units = ingest.paragraph_units(annotated)
     chunks = chunking.pack_chunks(units, cfg.get("chunk.tokens", 700), cfg.get("chunk.overlap", 120), cfg.get("chunk.min_tokens", 60))
     stem = F.regexp_replace(F.regexp_extract("path", r"([^/]*)$", 1), r"\.[^.]*$", "")
-    named = chosen.join(entries.select("path", "title").distinct(), "path", "left").select("path", "sha", "book_id", F.coalesce(F.nullif(F.trim("title"), F.lit("")), stem).alias("title"))
-    chunks = ingest.dedup_passages(chunks).join(named.select(F.col("path").alias("book"), "book_id", "title"), "book")
+    named = read.join(entries.select("path", "title").distinct(), "path", "left").select("path", "book_id", F.coalesce(F.nullif(F.trim("title"), F.lit("")), stem).alias("title"))
+    chunks = chunks.join(named.select(F.col("path").alias("book"), "book_id", "title"), "book")
     chunks = chunks.withColumn("citation", citation(F.col("title"), F.col("chapter"), F.col("section"), F.col("page_start"), F.col("page_end")))
     if encode is not None:
         chunks = chunks.withColumn("embedding", plugins.embedder(encode)(embed_text(F.col("title"), F.col("chapter"), F.col("section"), F.col("text"))))
     problems = blocks.where("problem is not null").select("path", "problem")
-    report = chosen.select("path", "sha", "book_id", "fresh").join(quality.select(F.col("book").alias("path"), "verdict", "n_lines"), "path", "left").join(problems, "path", "left")
-    became = F.when(F.col("fresh").isNull(), "same content as another or known").otherwise(F.coalesce("problem", "verdict"))
-    return chunks, report.select("path", "sha", "book_id", became.alias("became"), "n_lines")
+    report = read.select("path").join(quality.select(F.col("book").alias("path"), "verdict", "n_lines"), "path", "left").join(problems, "path", "left")
+    return stored(chunks), report.select("path", F.coalesce("problem", "verdict").alias("became"), "n_lines")
+
+
+SAME = "same content as another or known"
+
+
+def build(spark: SparkSession, folder: str, cfg: Config, encode: Encoder | None = None, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Chunks of the books of a folder, and a report with a row for each file: what became of it. Files of equal
+    content are read once, those that are ``known`` (sha) not at all."""
+    files = discover(spark, folder)
+    fresh = ingest.new_files(files.select("path", "sha"), known.select("sha") if known is not None else files.select("sha").limit(0))
+    read = files.join(fresh.select("path"), "path", "left_semi")
+    chunks, became = book_chunks(read, cfg, encode)
+    report = files.select("path", "sha", "book_id").join(fresh.select("path", F.lit(True).alias("fresh")), "path", "left").join(became, "path", "left")
+    became = F.when(F.col("fresh").isNull(), SAME).otherwise(F.col("became"))
+    return ingest.dedup_passages(chunks), report.select("path", "sha", "book_id", became.alias("became"), "n_lines")
+
+
+#: Settings that decide what a book's chunks are.
+CHUNK_SETTINGS = ("chunk.tokens", "chunk.overlap", "chunk.min_tokens", "chunk.heading_ratio", "ingest.skip_fragmented")
+
+
+def build_in_steps(spark: SparkSession, folder: str, cfg: Config, cache: BookCache, encode: Encoder | None = None, model: str = "none", books_per_commit: int = 256) -> tuple[DataFrame, DataFrame]:
+    """What ``build`` makes, of books in the cache and of those that are missing, which go there some at a
+    time. If it is stopped, the next call reads only the rest. Vectors of another ``model`` are not taken."""
+    files = discover(spark, folder)
+    settings = {name: cfg.get(name) for name in CHUNK_SETTINGS} | {"model": model}
+    fresh = ingest.new_files(files.select("path", "sha"), files.select("sha").limit(0))
+    books = stored(fresh.select("path", "sha").withColumn("key", cache_key(F.col("sha"), settings)))
+    left = stored(cache.missing(books))
+    steps = math.ceil(left.count() / books_per_commit)
+    for step in range(steps):
+        some = left.where(F.pmod(F.xxhash64("key"), F.lit(steps)) == step)
+        chunks, became = book_chunks(files.join(some.select("path"), "path", "left_semi"), cfg, encode)
+        cache.add(chunks.join(some.select(F.col("path").alias("book"), "key"), "book"), became.join(some, "path"))
+    made = cache.entries()
+    # a book keeps the chunks that it had under another path, and takes its own path for them
+    chunks = cache.chunks(books).drop("book").join(books.select("key", F.col("path").alias("book")), "key").drop("key")
+    named = books.join(made.select("key", "became", "n_lines"), "key", "left").select("path", "became", "n_lines", F.lit(True).alias("fresh"))
+    report = files.select("path", "sha", "book_id").join(named, "path", "left")
+    became = F.when(F.col("fresh").isNull(), SAME).otherwise(F.col("became"))
+    return ingest.dedup_passages(chunks), report.select("path", "sha", "book_id", became.alias("became"), "n_lines")
 
 
 def retrieve(questions: DataFrame, chunks: DataFrame, cfg: Config, encode: Encoder | None = None, rerank: Callable[[Column, Column], Column] = plugins.overlap_reranker, only: Column | None = None, index: lexical.Index | None = None) -> DataFrame:

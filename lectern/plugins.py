@@ -115,3 +115,21 @@ def cancellable(spark: SparkSession, name: str, should_stop: Callable[[], bool],
         over.set()
         watcher.join()
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+@contextmanager
+def tracked(spark: SparkSession, name: str) -> Iterator[Callable[[], list[tuple[int, str, int, int]]]]:
+    """Jobs of the block form a group; what is yielded says how far their stages are: (stage, name, tasks done,
+    tasks), of all that Spark still knows. Another thread may ask while the block runs."""
+    group, tracker = f"{name}-{uuid.uuid4().hex}", spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup(group, name)
+
+    def stages() -> list[tuple[int, str, int, int]]:
+        jobs = (tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup(group))
+        found = (tracker.getStageInfo(s) for s in sorted({s for job in jobs if job for s in job.stageIds}))
+        return [(s.stageId, s.name, s.numCompletedTasks, s.numTasks) for s in found if s]
+
+    try:
+        yield stages
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

@@ -85,17 +85,6 @@ class IndexStore:
         return chunks, manifest
 
 
-def cache_key(version: int, sha: str, settings: dict) -> str:
-    import hashlib
-
-    return hashlib.sha1(json.dumps([version, sha, settings], sort_keys=True).encode()).hexdigest()[:24]
-
-
-def missing(books: DataFrame, cached: DataFrame) -> DataFrame:
-    """Books whose cache key has no complete entry."""
-    return books.join(cached.where("complete").select("key"), "key", "left_anti")
-
-
 def books_of(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("book").agg(F.count("*").alias("n_chunks"), F.min("page_start").alias("first_page"), F.max("page_end").alias("last_page"))
 
