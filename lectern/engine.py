@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lectern import plugins
 from lectern.config import Config
 from lectern.functions.text import citation, embed_text
-from lectern.operators import answer, chunking, context, dense, fusion, ingest, lexical
+from lectern.operators import answer, chunking, context, dense, fusion, ingest, lexical, variants
 from lectern.sources.book_cache import BookCache, cache_key
 from lectern.sources.books import discover, read_blocks, read_contents
 from lectern.sources.scratch import stored
@@ -88,18 +88,22 @@ def build_in_steps(spark: SparkSession, folder: str, cfg: Config, cache: BookCac
 
 
 def retrieve(questions: DataFrame, chunks: DataFrame, cfg: Config, encode: Encoder | None = None, rerank: Callable[[Column, Column], Column] = plugins.overlap_reranker, only: Column | None = None, index: lexical.Index | None = None) -> DataFrame:
-    """(query_id, context, citations, top_score, grounded, answered) for questions (query_id, text).
+    """(query_id, context, citations, top_score, grounded, answered) for questions (query_id, text), which may have
+    ``history`` and ``condensed``, ``rewrites`` and ``passage``.
 
-    Dense and lexical lists are fused, the best candidates scored anew, and those that reach the
-    floor go with their neighbours into a context within the budget."""
+    All variants of all questions go through one search of each index. Dense and lexical lists are fused, the best
+    candidates scored anew, and those that reach the floor go with their neighbours into a context within the budget."""
+    kind = dict(questions.dtypes)["query_id"]
+    asked = stored(variants.keyed(variants.asked(questions, cfg.get("retrieve.n_queries", 3))))
     index = index or lexical.build(chunks, "id")
-    words = lexical.search(questions, chunks, cfg.get("retrieve.bm25_top_k", 40), only, key="id", index=index)
-    lists = words.select("query_id", "id", F.lit("bm25").alias("retriever"), "rank")
+    words = lexical.search(asked, chunks, cfg.get("retrieve.bm25_top_k", 40), only, key="id", query="asked", index=index)
+    lists = words.select("asked", "id", F.lit("bm25").alias("retriever"), "rank")
     if encode is not None:
-        asked = questions.select("query_id", plugins.embedder(encode)(F.col("text")).alias("embedding"))
-        near = dense.search(asked, chunks, cfg.get("retrieve.dense_top_k", 40), only, key="id")
-        lists = lists.unionByName(near.select("query_id", "id", F.lit("dense").alias("retriever"), "rank"))
-    fused = fusion.fuse(lists.withColumn("variant", F.lit(0)), cfg.get("rerank.candidates", 12), key="id")
+        meant = asked.select("asked", plugins.embedder(encode)(F.col("text")).alias("embedding"))
+        near = dense.search(meant, chunks, cfg.get("retrieve.dense_top_k", 40), only, key="id", query="asked")
+        lists = lists.unionByName(near.select("asked", "id", F.lit("dense").alias("retriever"), "rank"))
+    fused = fusion.fuse(variants.unkeyed(lists, kind), cfg.get("rerank.candidates", 12), key="id")
+    questions = asked.where("variant = 0").select("query_id", "text")
     rows = fused.join(chunks.select("id", "book_id", "ordinal", "text"), "id").join(questions.select("query_id", F.col("text").alias("question")), "query_id")
     hits = stored(fusion.rerank(rows, rerank(F.col("question"), F.col("text")), cfg.get("rerank.top_k", 8), cfg.get("rerank.min_score", 0.02)).select("query_id", "id", "book_id", "ordinal", F.col("rerank_score").alias("score"), "relevance_rank"))
     near = context.reading_order(context.expand_neighbours(hits, chunks, cfg.get("retrieve.neighbor_window", 1)))

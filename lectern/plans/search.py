@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions.text import citation, embed_text, terms
-from lectern.operators import context, dense, fusion, ingest, lexical
+from lectern.operators import context, dense, fusion, ingest, lexical, variants
 from lectern.plans.tables import table
 
 K = 10
@@ -58,6 +58,18 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     return fusion.fuse(_lists(spark, d), K)
 
 
+def variant_search(spark: SparkSession, d: str) -> DataFrame:
+    """Four variants of each item in one search: itself, its first and its last half, and the beginning of the
+    document of its number as a hypothetical passage."""
+    words = F.split("text", " ")
+    half = (F.size(words) / 2).cast("int")
+    rewrites = F.array(F.array_join(F.slice(words, F.lit(1), half), " "), F.array_join(F.slice(words, half + 1, F.size(words)), " "), F.lit(" "))
+    passages = table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 300).alias("passage"))
+    asked = variants.keyed(variants.asked(_questions(spark, d).withColumn("rewrites", rewrites).join(passages, "query_id", "left"), 2))
+    found = lexical.search(asked, table(spark, d, "documents"), 40, query="asked").select("asked", "doc_id", F.lit("bm25").alias("retriever"), "rank")
+    return fusion.fuse(variants.unkeyed(found, "bigint"), K)
+
+
 def rrf_fuse(spark: SparkSession, d: str) -> DataFrame:
     """Fusion alone, over lists made from the labels of vectors: four lists of two variants."""
     emb = table(spark, d, "embeddings").select("vec_id", "label")
@@ -184,15 +196,25 @@ ds as (select query_id, v.vec_id as doc_id, round({DOT}, 6) as score from dq q,
 dt as (select query_id, doc_id, row_number() over (partition by query_id order by score desc, doc_id) as rank from ds qualify rank <= 40),
 lists as (select query_id, doc_id, 'dense' as retriever, rank, 0 as variant from dt union all select query_id, doc_id, 'bm25', rank, 0 from top),
 """
+VARIANTS = f"""
+with items as (select item_id, text, string_split(text, ' ') as w from benchmark),
+v as (select item_id, 0 as variant, text from items
+      union all select item_id, 1, array_to_string(w[1:len(w) // 2], ' ') from items where len(w) > 1
+      union all select item_id, case when len(w) > 1 then 2 else 1 end, array_to_string(w[len(w) // 2 + 1:], ' ') from items where len(w) > 1
+      union all select item_id, case when len(w) > 1 then 3 else 1 end, substring(d.text, 1, 300) from items join documents d on d.doc_id = item_id where substring(d.text, 1, 300) <> ''),
+qs as (select item_id * 10 + variant as item_id, text from v),
+{bm25_sql(40).replace("benchmark", "qs")},
+lists as (select query_id // 10 as query_id, (query_id % 10)::int as variant, 'bm25' as retriever, doc_id, rank from top), {FUSE.replace("@", str(K))}"""
 MAKE = "select label::bigint as query_id, vec_id as doc_id, {v} as variant, '{r}' as retriever, row_number() over (partition by label order by (vec_id * (7 + {o})) % 101, vec_id) as rank from embeddings qualify rank <= 12"
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_filtered_global_stats, dense_topk, dense_topk_arrow, dense_topk_filtered, rrf_fuse, hybrid_search, rerank_floor, neighbor_expand, dedup_gap_neighbors, context_budget, context_render, embed_texts)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_filtered_global_stats, dense_topk, dense_topk_arrow, dense_topk_filtered, rrf_fuse, variant_search, hybrid_search, rerank_floor, neighbor_expand, dedup_gap_neighbors, context_budget, context_render, embed_texts)}
 ORACLE_SQL = {
     "bm25_topk": f"with {bm25_sql(K)} select query_id, doc_id, score, rank from top",
     "bm25_filtered_global_stats": f"with {bm25_sql(K, where=chr(10) + 'where source in ({})'.format(chr(39) + 'src1' + chr(39) + ', ' + chr(39) + 'src2' + chr(39)))} select query_id, doc_id, score, rank from top",
     "dense_topk": _dense(),
     "dense_topk_arrow": _dense(),
     "dense_topk_filtered": _dense("where v.label in (1, 3)"),
+    "variant_search": VARIANTS,
     "rrf_fuse": "with lists as (" + " union all ".join(f"({MAKE.format(v=v, r=r, o=o)})" for v, r, o in ((0, "dense", 0), (0, "bm25", 1), (1, "dense", 2), (1, "bm25", 4))) + ")," + FUSE.replace("@", "12"),
     "hybrid_search": f"with {bm25_sql(40)}, {HYBRID} {FUSE.replace('@', str(K))}",
     "rerank_floor": f"""with {bm25_sql(12)},

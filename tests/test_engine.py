@@ -330,3 +330,21 @@ def test_terms_next_to_letters_of_other_scripts(spark):
     assert index.avgdl == 5 / 3
     got = lexical.search(spark.createDataFrame([(0, "x")], "query_id long, text string"), docs, 3, index=index).collect()
     assert sorted((r.doc_id, r.score > 0) for r in got) == [(1, True), (2, False), (3, False)]
+
+
+def test_variants_go_through_one_search(spark, monkeypatch):
+    """A rewrite finds what the question does not, a condensed question is searched in its place."""
+    rows = [(f"b{i}", "b", 2 * i, t, "b, p.1") for i, t in enumerate(["entropy of a gas rises", "voltage drives a current", "enthalpy and pressure", "cats sleep all day", "dogs bark at night", "rain falls on hills", "trains run on rails"])]
+    chunks = spark.createDataFrame(rows, "id string, book_id string, ordinal int, text string, citation string")
+    ask = "query_id string, text string, history boolean, condensed string, rewrites array<string>, passage string"
+    q = spark.createDataFrame([("q:1", "voltage", None, None, None, None), ("q2", "tell me about it please", True, "entropy of a gas", ["enthalpy pressure"], "voltage current"), ("q3", "what about it", False, "entropy", None, None), ("q4", None, None, None, None, "")], ask)
+    searched, whole = [], lexical.search
+    monkeypatch.setattr(lexical, "search", lambda asked, *a, **k: (searched.append(asked.count()), whole(asked, *a, **k))[1])
+    got = {r.query_id: r.context or "" for r in engine.retrieve(q, chunks, Config()).collect()}
+    assert searched == [6]
+    assert "voltage" in got["q:1"] and "entropy" in got["q2"] and "entropy" not in got["q3"]
+    from lectern.operators import variants
+
+    assert [(r.variant, r.text) for r in variants.asked(q.where("query_id = 'q2'")).orderBy("variant").collect()] == [(0, "entropy of a gas"), (1, "enthalpy pressure"), (2, "voltage current")]
+    back = variants.unkeyed(variants.keyed(variants.asked(q)), "string").select("query_id", "variant").collect()
+    assert sorted(map(tuple, back)) == [("q2", 0), ("q2", 1), ("q2", 2), ("q3", 0), ("q4", 0), ("q:1", 0)]
