@@ -1,8 +1,8 @@
 """Books as files: discovery, hashes, and readers by format.
 
 Readers give blocks (path, page, line_no, text, size, bold, level, y). Plain text and Markdown are
-read with built-in functions; zip formats by an Arrow function, one file at a time, after
-a check of the archive's directory. PDF needs PyMuPDF, and is skipped with a reason without it.
+read with built-in functions; zip formats by Arrow functions, after a check of the archive's directory: EPUB by
+its documents, which many tasks parse, DOCX, which has one, by the file. PDF needs PyMuPDF, and is skipped with a reason without it.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from lectern.functions.markup import BODY_SIZE, HTML_SIZES, blocks
 from lectern.functions.text import book_id
 from lectern.operators.ingest import text_blocks
+from lectern.operators.ordered import carried
+from lectern.sources.scratch import stored
 
 SUFFIXES = ("pdf", "epub", "txt", "md", "docx")
 MOST_MEMBERS, MOST_BYTES = 20_000, 2 << 30
@@ -56,8 +58,8 @@ def _markup(document: str) -> list[tuple[str, float, bool, int | None]]:
     return [(text, HTML_SIZES.get(tag, BODY_SIZE), tag in HTML_SIZES, int(tag[1]) if tag in HTML_SIZES else None) for tag, text in blocks(document)]
 
 
-def read_epub(data: bytes) -> list[list[tuple]]:
-    """A page for each document of the spine that has text."""
+def epub_documents(data: bytes) -> Iterator[bytes]:
+    """The documents of the spine, one at a time."""
     z = zipfile.ZipFile(io.BytesIO(data))
     names = [n for n in z.namelist() if re.search(r"\.x?html?$", n, re.IGNORECASE)]
     try:
@@ -69,7 +71,8 @@ def read_epub(data: bytes) -> list[list[tuple]]:
         names = [f"{base}/{n}".lstrip("/") for n in spine]
     except (KeyError, StopIteration, ET.ParseError):
         names.sort()
-    return [p for p in (_markup(z.read(n).decode("utf-8", "ignore")) for n in names if n in z.namelist()) if p]
+    there = set(z.namelist())
+    yield from (z.read(n) for n in names if n in there)
 
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -137,7 +140,7 @@ def contents(data: bytes) -> tuple[str, list[tuple[int, str, int]]]:
         return (book.metadata or {}).get("title") or "", [(int(e[0]), str(e[1]).strip(), int(e[2])) for e in book.get_toc() if e[1] and e[2] > 0]
 
 
-READERS = {"epub": read_epub, "docx": read_docx, "pdf": read_pdf}
+READERS = {"docx": read_docx, "pdf": read_pdf}
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -156,12 +159,58 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield frame.astype({"page": "Int32", "line_no": "Int64", "level": "Int32", "bold": "boolean"})
 
 
+MEMBER = "path string, k int, body binary, problem string"
+
+
+def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Documents of EPUB files as rows, unpacked but not parsed."""
+    for pdf in batches:
+        for path, data in zip(pdf["path"], pdf["content"], strict=True):
+            problem, n = archive_problem(data), 0
+            try:
+                for n, body in enumerate(epub_documents(data) if problem is None else (), 1):  # noqa: B007
+                    yield pd.DataFrame({"path": [path], "k": [n], "body": [body], "problem": [None]})
+            except Exception as e:  # a bad file is reported and does not stop the others
+                problem = f"{type(e).__name__}: {e}"[:200]
+            if problem or not n:
+                yield pd.DataFrame({"path": [path], "k": [0], "body": [None], "problem": [problem or "no text"]})
+
+
+def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for path, k, body in zip(pdf["path"], pdf["k"], pdf["body"], strict=True):
+            frame = pd.DataFrame([(path, k, j, *b) for j, b in enumerate(_markup(bytes(body).decode("utf-8", "ignore")))], columns=["path", "k", "j", "text", "size", "bold", "level"])
+            yield frame.astype({"level": "Int32", "bold": "boolean", "k": "int32", "j": "int32", "size": "float64"})
+
+
+def _dealt(files: DataFrame) -> DataFrame:
+    """Documents of files, dealt to a number of tasks that their size on disk does not lower."""
+    parts = 4 * files.sparkSession.sparkContext.defaultParallelism
+    return files.select("path", "content").mapInPandas(_members, MEMBER).repartition(parts, "path", "k")
+
+
+def _epub_blocks(files: DataFrame) -> DataFrame | None:
+    """Blocks of EPUB files: one task takes a file apart, after a check of its directory, and its documents
+    are parsed by as many as there are. A page is a document that has text."""
+    members = stored(_dealt(files.where("suffix = 'epub'")))
+    if members.isEmpty():
+        return None
+    bad = members.where("problem is not null").select("path", "problem")
+    good = members.where("problem is null").join(bad.select("path"), "path", "left_anti").select("path", "k", "body")
+    found = stored(good.mapInPandas(_parsed, "path string, k int, j int, text string, size double, bold boolean, level int"))
+    rows = carried(found, ["path"], ["k", "j"], sums={"nth": F.lit(1).cast("long")}, changes={"page": F.col("k")}, ready=True)
+    rows = rows.select("path", F.col("page").cast("int").alias("page"), (F.col("nth") - 1).alias("line_no"), "text", "size", "bold", "level", F.lit(0.0).alias("y"), F.lit(None).cast("string").alias("problem"))
+    silent = good.select("path").distinct().join(found.select("path"), "path", "left_anti").withColumn("problem", F.lit("no text"))
+    return rows.unionByName(bad.distinct().unionByName(silent), allowMissingColumns=True)
+
+
 def read_blocks(files: DataFrame) -> DataFrame:
     """Blocks of discovered files; a file that cannot be read gives one row with its problem."""
     plain = files.where(F.col("suffix").isin("txt", "md")).select("path", F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("�"), F.lit("")).alias("text"))
     lines = text_blocks(plain).select("path", F.lit(1).alias("page"), F.col("line_no").cast("long").alias("line_no"), "text", "size", F.col("level").isNotNull().alias("bold"), "level", F.lit(0.0).alias("y"), F.lit(None).cast("string").alias("problem"))
-    packed = files.where(F.col("suffix").isin(*READERS)).select("path", "suffix", "content").mapInPandas(_read, BLOCKS)
-    return lines.unionByName(packed)
+    packed = lines.unionByName(files.where(F.col("suffix").isin(*READERS)).select("path", "suffix", "content").mapInPandas(_read, BLOCKS))
+    epub = _epub_blocks(files)
+    return packed if epub is None else packed.unionByName(epub)
 
 
 def read_contents(files: DataFrame) -> DataFrame:
