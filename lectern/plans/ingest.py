@@ -202,9 +202,31 @@ select book, ordinal, book || '::' || lpad(ordinal::varchar, 5, '0') as id, book
        case when len(list_distinct(secs)) = 1 then secs[1] else secs[1] || ' – ' || list_filter(secs, lambda s, j: list_position(secs, s) = j)[-1] end as section, first::int as page_start, last::int as page_end, greatest(1, length(text) // 4)::int as token_count, text from o
 """
 
+# Elements by a stack that is carried from token to token: a text counts for every block that is open around it.
+HTML = r"""
+with recursive c as (select page_id, regexp_replace(regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', '<!>', 'g'), '(?is)(<(?:script|style)[^>]*>).*?(</(?:script|style))', '\1\2', 'g') as h from pages),
+k as (select page_id, unnest(regexp_extract_all(h, '(?s)<[^>]*>|[^<]+')) as tok, generate_subscripts(regexp_extract_all(h, '(?s)<[^>]*>|[^<]+'), 1) as pos from c),
+t as (select *, lower(regexp_extract(tok, '^</?([a-zA-Z][^\s/>]*)', 1)) as tag, starts_with(tok, '<') as is_tag, starts_with(tok, '</') as ends, tok like '%/>' as alone from k),
+s as (select page_id, 0::bigint as pos, []::varchar[] as names, []::bigint[] as ids from c
+      union all
+      select page_id, pos, case when opens then list_append(names, tag) when back > 0 then names[1:len(names) - back] else names end,
+             case when opens then list_append(ids, case when tag in ('h1', 'h2', 'h3', 'h4', 'p', 'li') then pos else 0 end) when back > 0 then ids[1:len(ids) - back] else ids end
+      from (select s.page_id, t.pos, names, ids, tag, is_tag and not ends and tag <> '' and not alone
+                   and tag not in ('area', 'base', 'br', 'col', 'embed', 'hr', 'img', 'input', 'link', 'meta', 'param', 'source', 'track', 'wbr') as opens,
+                   case when ends then coalesce(list_position(list_reverse(names), tag), 0) else 0 end as back
+            from s join t on t.page_id = s.page_id and t.pos = s.pos + 1)),
+x as (select s.page_id, s.pos, unnest(ids) as id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(tok, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&nbsp;', chr(160)), '&amp;?', '&', 'g'), ' ' || chr(9) || chr(10) || chr(13)) as text
+      from s join t using (page_id, pos) where not is_tag and (len(names) = 0 or names[-1] not in ('script', 'style'))),
+b as (select page_id, id, string_agg(text, ' ' order by pos) as text from x where id > 0 and text <> '' group by 1, 2)
+select b.page_id, row_number() over (partition by b.page_id order by id) - 1 as line_no, tag, text,
+       case tag when 'h1' then 20.0 when 'h2' then 17.0 when 'h3' then 15.0 when 'h4' then 13.5 else 11.0 end::double as size, case when starts_with(tag, 'h') then substring(tag, 2, 1)::int end as level
+from b join t on t.page_id = b.page_id and t.pos = b.id
+"""
+
 QUERIES = {f.__name__: f for f in (text_quality, page_furniture, html_blocks, body_size, structure_fill, outline, paragraph_units, chunk_pack, passage_dedup, sentence_split, token_counts, heading_shapes, book_files)}
 ORACLE_SQL = {
     "chunk_pack": CHUNKS,
+    "html_blocks": HTML,
     "text_quality": """
 with l as (select doc_id as book, unnest(string_split(text, chr(10))) as line from documents), n as (select book, length(trim(line, ' ')) as n from l where trim(line, ' ') <> ''),
 q as (select book, count(*) as n_lines, list_sort(list(n))[count(*) // 2 + 1] as median_len, avg((n <= 3)::int) as f, sum(n)::double as c from n group by 1)
