@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lectern import plugins
 from lectern.config import Config
-from lectern.functions.text import citation, embed_text
+from lectern.functions.text import citation, embed_text, needs_condensing
 from lectern.operators import answer, chunking, context, dense, fusion, ingest, lexical, variants
 from lectern.sources.book_cache import BookCache, cache_key
 from lectern.sources.books import discover, read_blocks, read_contents
@@ -88,7 +88,7 @@ def build_in_steps(spark: SparkSession, folder: str, cfg: Config, cache: BookCac
 
 
 def retrieve(questions: DataFrame, chunks: DataFrame, cfg: Config, encode: Encoder | None = None, rerank: Callable[[Column, Column], Column] = plugins.overlap_reranker, only: Column | None = None, index: lexical.Index | None = None) -> DataFrame:
-    """(query_id, context, citations, top_score, grounded, answered) for questions (query_id, text), which may have
+    """(query_id, context, citations, passages, top_score, grounded, answered) for questions (query_id, text), which may have
     ``history`` and ``condensed``, ``rewrites`` and ``passage``.
 
     All variants of all questions go through one search of each index. Dense and lexical lists are fused, the best
@@ -132,3 +132,45 @@ def check_claims(answers: DataFrame, passages: DataFrame, fast: Client, primary:
         replies = replies.where("json is not null").unionByName(plugins.complete_json(rest, primary, retries))
     verdicts = answer.claim_verdicts(prompts.select("prompt_id", "answer_id").join(replies, "prompt_id"))
     return answer.claims_supported(said, verdicts)
+
+
+CONDENSE = "Rewrite the question so that it can be understood without the conversation. Reply with the question alone.\n\nCONVERSATION\n{}\n\nQUESTION\n{}"
+ANSWER = "Answer from the passages alone, with the number of a passage after each statement, as in [1]. If they do not say, reply NOT_IN_SOURCE.\n\nPASSAGES\n{}\n\nCONVERSATION\n{}\n\nQUESTION\n{}"
+
+
+def _prompt(template: str, *parts: Column) -> Column:
+    """The template's places filled in order, none of them looked at again."""
+    said = template.split("{}")
+    return F.concat(F.lit(said[0]), *[c for part, rest in zip(parts, said[1:], strict=True) for c in (F.coalesce(part, F.lit("")), F.lit(rest))])
+
+
+def ask(turns: DataFrame, chunks: DataFrame, cfg: Config, client: Client, fast: Client | None = None, encode: Encoder | None = None, **search) -> DataFrame:
+    """(query_id, searched, outcome, answer, sources) for turns (query_id long, text, history), where history is what
+    was said before, or empty.
+
+    A turn that leans on its history is rewritten by the model and searched in that form. Without passages that
+    reach the threshold the model is not asked, and the outcome is ``refused``; else it is that of the checks,
+    ``accepted`` if they all pass, ``failed`` if no reply came. Only an accepted answer is given, with its sources."""
+    turns = stored(turns.select(F.col("query_id").cast("long").alias("query_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("history", F.lit("")).alias("history")))
+    leans = turns.where((F.col("history") != "") & needs_condensing(F.col("text")))
+    rewritten = plugins.complete(leans.select(F.col("query_id").alias("prompt_id"), _prompt(CONDENSE, F.col("history"), F.col("text")).alias("prompt")), client)
+    asked = turns.join(rewritten.select(F.col("prompt_id").alias("query_id"), F.col("reply").alias("condensed")), "query_id", "left")
+    asked = stored(asked.withColumn("has", F.col("history") != ""))
+    questions = asked.select("query_id", "text", F.col("has").alias("history"), "condensed")
+    found = stored(retrieve(questions, chunks, cfg, encode, **search))
+    rows = found.where("answered").join(asked.select("query_id", "text", F.col("history").alias("said")), "query_id")
+    prompts = rows.select(F.col("query_id").alias("prompt_id"), _prompt(ANSWER, F.col("context"), F.col("said"), F.col("text")).alias("prompt"))
+    replied = stored(plugins.complete(prompts, client).select(F.col("prompt_id").alias("answer_id"), F.col("reply").alias("raw")))
+    answers = replied.where("raw is not null").join(found.select(F.col("query_id").alias("answer_id"), "citations", "passages"), "answer_id")
+    checked = answers.select("answer_id").withColumns({"claims_ok": F.lit(True)})
+    if cfg.get("grounding.verify_answer_claims", True):
+        passages = answers.select("answer_id", F.explode("passages").alias("p")).select("answer_id", "p.n", "p.citation", "p.text")
+        checked = check_claims(answers.select("answer_id", "raw"), passages, fast or client, client if fast else None).select("answer_id", "claims_ok")
+    outcome = answer.verdict(F.col("raw"), F.size("citations"), F.coalesce("claims_ok", F.lit(False)), cfg.get("grounding.require_sentence_citations", False))
+    judged = stored(answers.join(checked, "answer_id", "left").select("answer_id", "raw", "citations", outcome.alias("outcome")))
+    accepted = judged.where("outcome = 'accepted'")
+    said = judged.select("answer_id", "outcome").join(accepted.select("answer_id", F.col("raw").alias("answer")), "answer_id", "left").join(answer.sources(accepted), "answer_id", "left")
+    searched = variants.asked(questions).where("variant = 0").select("query_id", F.col("text").alias("searched"))
+    none = F.when(F.coalesce("answered", F.lit(False)), "failed").otherwise("refused")
+    out = searched.join(found.select("query_id", "answered"), "query_id", "left").join(said.withColumnRenamed("answer_id", "query_id"), "query_id", "left")
+    return out.select("query_id", "searched", F.coalesce("outcome", none).alias("outcome"), "answer", "sources")

@@ -64,7 +64,10 @@ def select_within(rows: DataFrame, budget: int = 4500, query: str = "query_id",
 
 
 def render(rows: DataFrame, query: str = "query_id") -> DataFrame:
-    """One context per query: numbered blocks, and the list of citations beside it."""
-    block = F.concat(F.lit("["), F.col("number").cast("string"), F.lit("] "), F.col("citation"), F.lit("\n"), F.substring(F.col("text"), F.lit(1), F.col("tokens") * 4 + 3))
-    listed = F.array_sort(F.collect_list(F.struct("number", block.alias("block"), "citation")))
-    return rows.groupBy(query).agg(listed.alias("x")).select(query, F.array_join(F.transform("x", lambda r: r["block"]), "\n\n").alias("context"), F.transform("x", lambda r: r["citation"]).alias("citations"))
+    """One context per query: numbered blocks, and beside it the list of citations, and the passages as (n,
+    citation, text)."""
+    body = F.substring(F.col("text"), F.lit(1), F.col("tokens") * 4 + 3)
+    block = F.concat(F.lit("["), F.col("number").cast("string"), F.lit("] "), F.col("citation"), F.lit("\n"), body)
+    listed = F.array_sort(F.collect_list(F.struct("number", block.alias("block"), "citation", body.alias("body"))))
+    passages = F.transform("x", lambda r: F.struct(r["number"].alias("n"), r["citation"].alias("citation"), r["body"].alias("text")))
+    return rows.groupBy(query).agg(listed.alias("x")).select(query, F.array_join(F.transform("x", lambda r: r["block"]), "\n\n").alias("context"), F.transform("x", lambda r: r["citation"]).alias("citations"), passages.alias("passages"))

@@ -348,3 +348,28 @@ def test_variants_go_through_one_search(spark, monkeypatch):
     assert [(r.variant, r.text) for r in variants.asked(q.where("query_id = 'q2'")).orderBy("variant").collect()] == [(0, "entropy of a gas"), (1, "enthalpy pressure"), (2, "voltage current")]
     back = variants.unkeyed(variants.keyed(variants.asked(q)), "string").select("query_id", "variant").collect()
     assert sorted(map(tuple, back)) == [("q2", 0), ("q2", 1), ("q2", 2), ("q3", 0), ("q4", 0), ("q:1", 0)]
+
+
+def test_answers_pass_every_check_or_are_not_given(spark):
+    """Condensed by the model, refused without passages, failed without a reply."""
+    rows = [(f"b{i}", "b", i, t, f"b, p.{i}") for i, t in enumerate(["entropy of a gas rises", "voltage drives a current", "cats sleep all day", "dogs bark at night", "rain falls on hills", "trains run on rails"])]
+    chunks = spark.createDataFrame(rows, "id string, book_id string, ordinal int, text string, citation string")
+
+    def client():
+        def say(prompt):
+            if prompt.startswith("Rewrite"):
+                assert "user: what is entropy" in prompt
+                return "entropy of a gas"
+            if prompt.startswith("You judge"):
+                return '{"verdicts": [{"id": 1, "supported": ' + ("true" if "It rises" in prompt else "false") + "}]}"
+            if "voltage" in prompt.rpartition("QUESTION")[2]:
+                raise TimeoutError("no model")
+            return "It rises in the gas [1]." if "entropy of a gas rises" in prompt and "and what about it" in prompt else "It falls asleep at noon [1]."
+
+        return say
+
+    turns = spark.createDataFrame([(1, "and what about it", "user: what is entropy"), (2, "voltage current", ""), (3, "cats sleep all day", ""), (4, "quasar", ""), (5, None, None)], "query_id int, text string, history string")
+    got = {r.query_id: r for r in engine.ask(turns, chunks, Config(), client).collect()}
+    assert {k: r.outcome for k, r in got.items()} == {1: "accepted", 2: "failed", 3: "failed_claim", 4: "refused", 5: "refused"}
+    assert got[1].searched == "entropy of a gas" and got[1].answer == "It rises in the gas [1]." and got[1].sources.startswith("[1] b, p.")
+    assert all(got[k].answer is None and got[k].sources is None for k in (2, 3, 4, 5))
