@@ -61,6 +61,14 @@ def structure_fill(spark: SparkSession, d: str) -> DataFrame:
     return ingest.annotate(_blocks(spark, d)).select("book", "line_no", F.col("heading_level").cast("int").alias("heading_level"), "chapter", "section")
 
 
+def contents_fill(spark: SparkSession, d: str) -> DataFrame:
+    """With contents: every seventh document begins under an entry that is its first word, of one of three levels."""
+    docs = table(spark, d, "documents").where("doc_id % 7 = 0")
+    entry = F.concat(F.lit("Part "), F.regexp_extract("text", r"[^\s]+", 0))
+    toc = docs.select(F.col("source").alias("book"), F.col("doc_id").alias("page"), F.lit(0).alias("seq"), (F.col("doc_id") % 4).cast("int").alias("level"), entry.alias("entry"))
+    return ingest.annotate(_blocks(spark, d), contents=toc).select("book", "line_no", F.col("heading_level").cast("int").alias("heading_level"), "chapter", "section")
+
+
 def outline(spark: SparkSession, d: str) -> DataFrame:
     return ingest.outline(ingest.annotate(_blocks(spark, d)), 50).select("book", F.col("n").cast("long").alias("n"), "text", F.col("heading_level").cast("int").alias("heading_level"))
 
@@ -223,7 +231,7 @@ select b.page_id, row_number() over (partition by b.page_id order by id) - 1 as
 from b join t on t.page_id = b.page_id and t.pos = b.id
 """
 
-QUERIES = {f.__name__: f for f in (text_quality, page_furniture, html_blocks, body_size, structure_fill, outline, paragraph_units, chunk_pack, passage_dedup, sentence_split, token_counts, heading_shapes, book_files)}
+QUERIES = {f.__name__: f for f in (text_quality, page_furniture, html_blocks, body_size, structure_fill, contents_fill, outline, paragraph_units, chunk_pack, passage_dedup, sentence_split, token_counts, heading_shapes, book_files)}
 ORACLE_SQL = {
     "chunk_pack": CHUNKS,
     "html_blocks": HTML,
@@ -240,6 +248,12 @@ f as (select book, form from e join p using (book) where edge group by book, for
 select e.book, count(case when edge and f.form is not null then 1 end) as removed, count(case when not edge and f.form is not null then 1 end) as flagged, count(distinct f.form) as patterns from e left join f on f.book = e.book and f.form = e.form group by 1""",
     "body_size": f"with {BLOCKS} select book, body_size from body",
     "structure_fill": f"with {ANNOTATED} select book, line_no, heading_level::int as heading_level, chapter, section from an",
+    "contents_fill": f"""with {ANNOTATED.partition(chr(10) + "ch as")[0].rstrip(",")},
+e as (select book, page, 1 as part, line_no as n, text, heading_level from h union all
+      select source, doc_id, 0, 0, 'Part ' || regexp_extract(text, '[^\\s]+', 0), greatest(1, doc_id % 4) from documents where doc_id % 7 = 0),
+c as (select *, coalesce(last_value(case when heading_level = 1 then text end ignore nulls) over w, '') as chapter, count(case when heading_level = 1 then 1 end) over w as no from e window w as (partition by book order by page, part, n rows unbounded preceding)),
+s as (select *, coalesce(last_value(case when heading_level > 1 then text end ignore nulls) over (partition by book, no order by page, part, n rows unbounded preceding), '') as section from c)
+select book, n as line_no, heading_level::int as heading_level, chapter, section from s where part = 1""",
     "outline": f"""with {ANNOTATED}, o as (select book, line_no, text, heading_level, lag(text) over (partition by book order by line_no) as before from an where is_heading)
 select book, row_number() over (partition by book order by line_no) as n, text, heading_level::int as heading_level from o where before is null or before <> text qualify n <= 50""",
     "paragraph_units": f"""with {ANNOTATED},
