@@ -147,3 +147,43 @@ def test_command_lines(tmp_path, tables):
         done = subprocess.run([sys.executable, "-m", f"jobs.{module}", *args], cwd=root, env=env, capture_output=True, text=True, timeout=240)
         assert done.returncode == 0, done.stderr[-2000:]
         assert f"jobs.{module} read" in done.stderr
+
+
+def test_a_run_that_fails_is_made_good_by_the_next(spark, tmp_path, monkeypatch):
+    """The paths' stream is through, the contents' is not: the same batch comes again, with the same number."""
+    folder, library, state = (f"file://{tmp_path}/{x}" for x in ("in", "library", "state"))
+    put(spark, folder, [(1, "s", GOOD, "en"), (2, "s", GOOD + "\nMore.", "en")])
+    whole = library_refresh.ingest.text_blocks
+
+    def broken(*args):
+        raise RuntimeError("no room")
+
+    monkeypatch.setattr(library_refresh.ingest, "text_blocks", broken)
+    with pytest.raises(Exception, match="no room"):
+        library_refresh.run(spark, folder, library, state)
+    assert spark.conf.get(refresh.PROVIDER, "unset") != refresh.ROCKSDB
+    assert library_refresh.catalog(spark, library).count() == 2 and library_refresh.passages(spark, library).count() == 0
+    monkeypatch.setattr(library_refresh.ingest, "text_blocks", whole)
+    assert listed(library_refresh.run(spark, folder, library, state)) == expected({"s/1": GOOD, "s/2": GOOD + "\nMore."})
+    assert [r.batch for r in spark.read.parquet(f"{library}/texts").select("batch").distinct().collect()] == [0]
+
+
+def test_odd_documents(spark, tmp_path):
+    """Null ids and sources, other columns with the names of the job's own, one path twice in a batch."""
+    rows = [(None, None, GOOD + "\nno id", "en"), (1, None, GOOD + "\n1", "en"), (1, None, GOOD + "\n2", "en"), (2, "s", "", "en"), (3, "s", " \n ", "en")]
+    df = spark.createDataFrame(rows, DOC).withColumns({"sha": F.lit("clash"), "path": F.lit("p"), "batch": F.lit(7), "at": F.lit(1)})
+    df.coalesce(1).write.parquet(f"file://{tmp_path}/in")
+    out = library_refresh.run(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/l", f"file://{tmp_path}/s")
+    last = max((GOOD + "\n1", GOOD + "\n2"), key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    assert listed(out) == expected({"/": GOOD + "\nno id", "/1": last, "s/2": "", "s/3": " \n "})
+
+
+def test_report_without_documents_or_questions(spark, tables, tmp_path):
+    docs, asked, out = tables
+    spark.createDataFrame([], DOC).write.parquet(f"file://{tmp_path}/none")
+    assert retrieval_report.run(spark, f"file://{tmp_path}/none", asked, out).count() == 0
+    m = spark.read.json(f"{out}/metrics/run=bm25").first()
+    assert (m.n, m.mrr, m.refusal_rate) == (5, 0.0, 1.0)
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"file://{tmp_path}/no_questions")
+    assert retrieval_report.run(spark, docs, f"file://{tmp_path}/no_questions", f"{out}2").count() == 0
+    assert spark.read.schema(retrieval_report.METRICS).json(f"{out}2/metrics/run=bm25").first().n == 0
