@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions.text import as_bool, as_confidence, bare_option, norm_option
+from lectern.sources.scratch import stored
 
 # Levels in cognitive order; words without topic; default sections.
 BLOOM_LEVELS = ("remember", "understand", "apply", "analyze", "evaluate", "create")
@@ -102,21 +105,55 @@ def question_classes(questions: DataFrame) -> DataFrame:
     return rows.join(first, "key").select("qid", "class_id", "t")
 
 
-def similar_classes(classes: DataFrame, threshold: float = JACCARD) -> DataFrame:
+#: Sets that share a word are compared in blocks of so many.
+BLOCK_SETS = 2000
+#: Sizes of sets up to here are each on their own; larger ones stand in classes that grow by a quarter.
+SMALL_SETS, GROWTH = 5, 1.25
+
+
+def _size_class(n: Column) -> Column:
+    return F.when(n <= SMALL_SETS, n).otherwise(SMALL_SETS + F.ceil(F.log(n / float(SMALL_SETS)) / math.log(GROWTH) - 1e-9)).cast("int")
+
+
+def _least_size(size_class: Column) -> Column:
+    """No set of the class is smaller."""
+    return F.when(size_class <= SMALL_SETS, size_class).otherwise(F.floor(SMALL_SETS * F.pow(F.lit(GROWTH), size_class - SMALL_SETS - 1)))
+
+
+def _dealt(keys: DataFrame, by: list[str], block: int) -> DataFrame:
+    """With ``_salt`` and ``_salts``: rows whose key has more than ``block`` of them are dealt to several."""
+    many = keys.groupBy(*by).agg(F.ceil(F.count("*") / block).alias("_salts")).where("_salts > 1")
+    rows = keys.join(many, by, "left").withColumn("_salts", F.coalesce("_salts", F.lit(1)))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("qid"), F.col("_salts")))
+
+
+def similar_classes(classes: DataFrame, threshold: float = JACCARD, block: int | None = None) -> DataFrame:
     """Pairs (a, b, jaccard) of classes, by their representatives, whose words reach the threshold.
 
-    Candidates come from a prefix filter: with words in one order, rarest first, two sets that
-    reach the threshold share a word among the first of each, at places that leave enough words
-    behind them. Copies are one class and make no pairs."""
-    sets = classes.where("qid = class_id and size(t) > 0").select("qid", "t")
+    Candidates come from prefixes: with words in one order, rarest first, two sets that reach the threshold
+    share a word among the first of each. How many first ones depends on both sizes, so a set has a prefix for
+    each class of sizes that a partner can have; a partner much larger or smaller leaves a short one, and common words
+    stay out of it. Sets that still share a word are compared in blocks, each by another task, at places
+    that leave enough words behind them. Copies are one class and make no pairs."""
+    sets = stored(classes.where("qid = class_id and size(t) > 0").select("qid", "t"))
     word = sets.select("qid", F.explode("t").alias("w"))
     order = word.groupBy("w").agg(F.count("*").alias("df"))
-    ranked = word.join(order, "w").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("r"))
-    keep = F.size("r") - F.ceil(F.size("r") * threshold - 1e-9) + 1
-    prefix = ranked.select("qid", F.size("r").alias("n"), F.posexplode(F.slice(F.col("r"), F.lit(1), keep.cast("int"))).alias("i", "p")).select("qid", "n", "i", "p.w")
-    both = f"{threshold} / (1 + {threshold}) * (x.n + y.n) - 1e-9"
-    fits = f"x.qid < y.qid and least(x.n, y.n) >= {threshold} * greatest(x.n, y.n) and least(x.i, y.i) + 1 + least(x.n - x.i - 1, y.n - y.i - 1) >= {both}"
-    near = prefix.alias("x").join(prefix.alias("y"), "w").where(fits).select(F.col("x.qid").alias("a"), F.col("y.qid").alias("b")).distinct()
+    ranked = word.join(order, "w").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("r")).withColumn("n", F.size("r"))
+    share = threshold / (1 + threshold)
+    partners = F.sequence(_size_class(F.greatest(F.lit(1), F.ceil(F.col("n") * threshold - 1e-9))), _size_class(F.floor(F.col("n") / threshold + 1e-9)))
+    aimed = ranked.withColumn("own", _size_class(F.col("n"))).withColumn("other", F.explode(partners))
+    common = F.greatest(F.lit(1), F.ceil(share * (F.col("n") + F.greatest(_least_size(F.col("other")), F.col("n") * threshold)) - 1e-9))
+    aimed = aimed.withColumn("keep", (F.col("n") - common + 1).cast("int")).where("keep > 0")
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    keys = aimed.select("qid", "n", "own", low.alias("low"), high.alias("high"), F.posexplode(F.slice("r", F.lit(1), F.col("keep"))).alias("i", "p")).select("qid", "n", "own", "low", "high", "i", "p.w")
+    keys = stored(_dealt(keys, ["w", "low", "high"], block or BLOCK_SETS))
+    # each block of one side meets each block of the other
+    every = F.sequence(F.lit(0).cast("long"), F.col("_salts").cast("long") - 1)
+    left = keys.where("own = low").withColumn("right_salt", F.explode(every)).withColumnRenamed("_salt", "left_salt")
+    right = keys.where("own = high").withColumn("left_salt", F.explode(every)).withColumnRenamed("_salt", "right_salt")
+    fits = f"(x.low < x.high or x.qid < y.qid) and least(x.n, y.n) >= {threshold} * greatest(x.n, y.n) - 1e-9 and least(x.i, y.i) + 1 + least(x.n - x.i - 1, y.n - y.i - 1) >= {share} * (x.n + y.n) - 1e-9"
+    near = left.alias("x").join(right.alias("y"), ["w", "low", "high", "left_salt", "right_salt"]).where(fits.replace("x.low", "low").replace("x.high", "high"))
+    near = near.select(F.least("x.qid", "y.qid").alias("a"), F.greatest("x.qid", "y.qid").alias("b")).distinct()
     full = near.join(sets.select(F.col("qid").alias("a"), F.col("t").alias("ta")), "a").join(sets.select(F.col("qid").alias("b"), F.col("t").alias("tb")), "b")
     jaccard = F.size(F.array_intersect("ta", "tb")) / F.size(F.array_union("ta", "tb"))
     return full.where(jaccard >= threshold).select("a", "b", F.round(jaccard, 6).alias("jaccard"))
