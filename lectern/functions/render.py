@@ -29,10 +29,14 @@ def gold_summary(row: dict[str, Column]) -> Column:
     return F.concat_ws("\n", *lines)
 
 
+# Fixed value: how a question's key is said.
+KEY_LINE = "\nStated correct answer: "
+
+
 def full_question(text: Column, options: Column, correct: Column) -> Column:
     """A question with lettered options and its stated key."""
     shown = F.transform(options, lambda o, i: F.concat(F.lit("  "), F.char(F.lit(65) + i), F.lit(") "), o))
-    return F.when(F.size(F.coalesce(options, F.array().cast("array<string>"))) > 0, F.concat(text, F.lit("\n"), F.array_join(shown, "\n"), F.lit("\nStated correct answer: "), F.coalesce(correct, F.lit("")))).otherwise(text)
+    return F.when(F.size(F.coalesce(options, F.array().cast("array<string>"))) > 0, F.concat(text, F.lit("\n"), F.array_join(shown, "\n"), F.lit(KEY_LINE), F.coalesce(correct, F.lit("")))).otherwise(text)
 
 
 def style_note(instructions: Column, guide: Column, examples: Column, feedback: Column) -> Column:
@@ -81,13 +85,19 @@ def split_for_context(text: Column, most: int = 18_000) -> Column:
 _FENCED = r"(?sm)^ {0,3}(`{3,}|~{3,})[^\n]*\n.*?(?:^ {0,3}\1[`~]*[ \t]*$|\z)"
 
 
+# What makes links and images, a line that could define one, and what opens an autolink.
+LINK, NO_LINK = "](", "] ("
+DEFINES = r"(?m)^((?:[ \t]*(?:>|[-+*](?=[ \t])|\d{1,9}[.)](?=[ \t])))*[ \t]*)\["
+AUTOLINK = r"(?i)<(?=[a-z][a-z0-9+.-]{1,31}:[^\s<>]*>)"
+
+
 def safe_markdown(text: Column) -> Column:
     """Links, images and autolinks disabled outside fenced blocks."""
     fenced = F.regexp_extract_all(text, F.lit(_FENCED), F.lit(0))
     open_ = F.split(F.regexp_replace(text, _FENCED, "\u0002"), "\u0002")
 
     def calm(piece: Column) -> Column:
-        plain = F.regexp_replace(F.replace(piece, F.lit("]("), F.lit("] (")), r"(?m)^((?:[ \t]*(?:>|[-+*](?=[ \t])|\d{1,9}[.)](?=[ \t])))*[ \t]*)\[", r"$1\\[")
-        return F.regexp_replace(plain, r"(?i)<(?=[a-z][a-z0-9+.-]{1,31}:[^\s<>]*>)", r"\\<")
+        plain = F.regexp_replace(F.replace(piece, F.lit(LINK), F.lit(NO_LINK)), DEFINES, r"$1\\[")
+        return F.regexp_replace(plain, AUTOLINK, r"\\<")
 
     return F.array_join(F.zip_with(F.transform(open_, lambda p: calm(p)), fenced, lambda p, f: F.concat(F.coalesce(p, F.lit("")), F.coalesce(f, F.lit("")))), "")
