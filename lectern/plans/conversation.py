@@ -17,6 +17,8 @@ from lectern.operators import answer
 from lectern.plans.search import BUDGET, CHUNKS, NEAR, bm25_sql
 from lectern.plans.tables import table
 
+#: How prompts to condense, and to judge claims, begin. Texts rather than modules, as the model goes to the tasks.
+REWRITE, JUDGE = engine.CONDENSE[:20], answer.CLAIMS[:20]
 SETTINGS = {"retrieve.max_context_tokens": 1500, "rerank.min_score": 0.2, "grounding.answer_threshold": 0.62}
 
 
@@ -26,9 +28,9 @@ def _model():
 
     def say(prompt: str) -> str:
         talk, _, question = prompt.rpartition("\n\nQUESTION\n")
-        if prompt.startswith(engine.CONDENSE[:20]):
+        if prompt.startswith(REWRITE):
             return " ".join([*talk.partition("CONVERSATION\n")[2].split()[:5], question])
-        if prompt.startswith(answer.CLAIMS[:20]):
+        if prompt.startswith(JUDGE):
             said = prompt.rpartition("\n\nSTATEMENTS\n")[2]
             return json.dumps({"verdicts": [{"id": int(n), "supported": "nobody" not in rest} for n, rest in re.findall(r"^(\d+)\. (.*)$", said, re.MULTILINE)]})
         return ("It is so, as the passage says [1].", "NOT_IN_SOURCE", "It is so [99].", "Nothing is cited here at all.", "Something that nobody supports [1].")[len(question) % 5]
