@@ -9,14 +9,15 @@ whole corpus, whatever filter a query has; the filter applies to scores. The Oka
 ours to state: idf = ln(N - n + 0.5) - ln(n + 0.5); a negative idf becomes a quarter of the mean
 idf of the vocabulary; k1 = 1.5, b = 0.75.
 
-A search of few query terms sends them to the segments, and only the best of each task are shuffled;
-one of many terms is a join.
+A search sends the query terms to the segments, those of some queries at a time, and only the best of each task
+are shuffled. Only where a mean idf is negative, and scored documents may rank below others, it is a join.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,15 +27,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions.text import terms
-from lectern.sources.scratch import stored
+from lectern.sources.scratch import LARGE_ROWS, stored
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
-#: Query terms (rows of some fifty bytes) up to which they travel to the tasks.
+#: Query terms (rows of some fifty bytes) that travel to the tasks at once; more queries are searched in rounds. With 0
+#: every search is a join.
 MOST_TERMS = 500_000
 #: Documents of a segment, and bytes of texts that are counted at once.
 SEGMENT_DOCS, BATCH_BYTES = 64, 4 << 20
-#: Products of postings and queries that are added up at once.
-CELLS = 1 << 21
+#: Products of postings and queries that are added up at once; bytes of what segments that wait for their turn hold.
+CELLS, HELD_BYTES = 1 << 21, 32 << 20
 #: Scores are rounded to six places; a bound that is below the floor by more counts a segment out.
 MARGIN = 2e-6
 
@@ -117,7 +119,7 @@ def build(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
     kind = dict(docs.dtypes)[key]
     schema = pa.schema([("keys", pa.list_(_ARROW[kind])), *_SEGMENT])
     made = rows.mapInArrow(_segments(schema), f"keys array<{kind}>, {_SEGMENT_DDL}")
-    segments = stored(made.withColumn("segment", F.monotonically_increasing_id()))
+    segments = stored(made.withColumn("segment", F.monotonically_increasing_id()), LARGE_ROWS)
     size = segments.agg(F.sum(F.size("keys")).alias("n"), F.sum(F.aggregate("dl", F.lit(0).cast("long"), lambda a, x: a + x)).alias("words")).first()
     n = size["n"] or 0
     df = segments.select(F.explode(F.arrays_zip("terms", "df")).alias("p")).groupBy(F.col("p.terms").alias("term")).agg(F.sum("p.df").alias("df"))
@@ -159,6 +161,7 @@ class _Scorer:
         self.names, self.start, self.owner, self.weight, self.avgdl, self.k = names, start, owner, weight, avgdl, k
         self.floor, self.best = np.full(n, -np.inf), [None] * n
         self.scored = self.possible = 0
+        self.held, self.known, self.bytes = [], [], 0
 
     def bounds(self, row: dict) -> tuple:
         """Of a segment: its terms that are asked for, who asks for them at which of these places and weight, and
@@ -173,11 +176,21 @@ class _Scorer:
         bound[np.bincount(who, minlength=len(bound)) == 0] = -np.inf
         return at, who, place, weight, bound
 
-    def take(self, segments: list[tuple[np.ndarray, np.ndarray, dict]]) -> None:
+    def add(self, keys: np.ndarray, allowed: np.ndarray, row: dict) -> None:
+        """A segment waits for others, as long as what is known of them is not too much."""
+        known = self.bounds(row)
+        self.held.append((keys, allowed, row))
+        self.known.append(known)
+        self.bytes += sum(x.nbytes for x in known)
+        if self.bytes >= HELD_BYTES:
+            self.take()
+
+    def take(self) -> None:
         """Each query first meets the segment that promises it most, so that its floor is high for the others."""
-        if not segments:
+        if not self.held:
             return
-        known = [self.bounds(row) for *_, row in segments]
+        segments, known = self.held, self.known
+        self.held, self.known, self.bytes = [], [], 0
         bound = np.stack([x[-1] for x in known])
         first = bound.argmax(axis=0)
         for i in np.unique(first):
@@ -192,7 +205,7 @@ class _Scorer:
         # postings of each term found, times the queries that want it, some queries at a time
         df = row["df"][at]
         offset = (np.cumsum(row["df"]) - row["df"])[at]
-        per = np.bincount(who, df[place], len(self.floor))[alive]
+        per = np.bincount(who, df[place], len(self.floor))[alive] + len(keys)
         for part in np.split(alive, np.flatnonzero(np.diff(np.cumsum(per) // CELLS)) + 1):
             if not len(part):
                 continue
@@ -229,16 +242,12 @@ def _columns(batch: pa.RecordBatch) -> Iterator[dict]:
 
 def _scan(queries: pa.Array, scorer: tuple, schema: pa.Schema, counts_only: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s, held = _Scorer(len(queries), *scorer), []
+        s = _Scorer(len(queries), *scorer)
         for batch in batches:
             for row in _columns(batch):
                 keys = row["keys"].to_numpy(zero_copy_only=False)
-                held.append((keys, np.isin(keys, row["allowed"]) if "allowed" in row else np.ones(len(keys), bool), row))
-                if len(held) * len(queries) >= CELLS:
-                    s.take(held)
-                    held = []
-            s.take(held)
-            held = []
+                s.add(keys, np.isin(keys, row["allowed"]) if "allowed" in row else np.ones(len(keys), bool), row)
+            s.take()
         if counts_only:
             yield pa.RecordBatch.from_arrays([pa.array([s.scored]), pa.array([s.possible])], names=["scored", "possible"])
             return
@@ -297,9 +306,15 @@ def search(queries: DataFrame, docs: DataFrame, k: int, only: Column | None = No
     """BM25 top k; ``only`` filters the documents after scoring, under statistics of all."""
     index = index or build(docs, key, text)
     allowed, wanted = docs if only is None else docs.where(only), query_terms(queries, index, query, text)
-    if index.mean >= 0 and wanted.count() <= MOST_TERMS:
-        found = best_scores(wanted, index, k, None if only is None else allowed, query)
-    else:  # too many terms to send, or scores below those of documents without any
+    if index.mean >= 0 and MOST_TERMS:
+        rounds = -(-wanted.count() // MOST_TERMS)
+        best = lambda some: best_scores(some, index, k, None if only is None else allowed, query)
+        if rounds <= 1:
+            found = best(wanted)
+        else:
+            part = F.pmod(F.xxhash64(query), F.lit(rounds))
+            found = reduce(DataFrame.unionByName, [stored(top_k(best(wanted.where(part == i)), k, key, query).drop("rank")) for i in range(rounds)])
+    else:  # scores below those of documents without any
         found = scores(wanted, index, query)
         found = found if only is None else found.join(allowed.select(key), key, "left_semi").select(query, key, "score")
     return top_k(padded(found, queries, allowed, index, k, query), k, key, query)

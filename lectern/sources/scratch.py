@@ -21,11 +21,16 @@ def scratch_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/lectern/{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
+#: For tables whose rows are large. A reader holds up to 4096 rows of a row group at once and a writer a whole one,
+#: so a row group has a few MB, counted from the eighth row on.
+LARGE_ROWS = {"parquet.block.size": str(4 << 20), "parquet.page.size.row.check.min": "8"}
+
+
+def stored(df: DataFrame, options: dict[str, str] | None = None) -> DataFrame:
     """The table written once and read from there: what is made of it more than once is not
     computed again, and a lost executor costs only its own part."""
     path = scratch_folder(df.sparkSession)
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
