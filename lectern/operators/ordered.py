@@ -1,9 +1,11 @@
 """Running values along an order, without a task for each group.
 
 A window over a book puts the whole book into one task. Here rows are dealt into ranges of the
-order (group, position), so a large group spans many ranges and a range holds many small groups. One
+order (group, position), so a large group spans many ranges and a range holds many small groups. Where
+ranges begin is found from the keys alone, so that each row finds its range where it stands. One
 pass sums each range up, a row for each group in it; a window over those few rows says what each
-range carries over from the ones before it; a second pass applies the carry inside each range.
+range carries over from the ones before it; a second pass applies the carry inside each range, and is the only one
+that moves whole rows.
 """
 
 from __future__ import annotations
@@ -21,6 +23,22 @@ from lectern.sources.scratch import stored
 RANGE_ROWS = 100_000
 
 
+def _ranged(rows: DataFrame, keys: Sequence[str], ranges: int) -> DataFrame:
+    """``rows`` with their range: how many ranges begin at their key or before."""
+    key = F.struct(*keys)
+    first = rows.select(*keys).repartitionByRange(ranges, *keys).groupBy(F.spark_partition_id()).agg(F.min(key).alias("key"))
+    begins = stored(first.agg(F.array_sort(F.collect_list("key")).alias("begins"))).scalar()
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(ranges.bit_length()))])
+
+    def onward(at: Column, step: Column) -> Column:
+        """By halves; beyond the last range there is none."""
+        n = at["n"] + step
+        return F.struct(at["begins"].alias("begins"), F.when(F.get(at["begins"], n - 1) <= key, n).otherwise(at["n"]).alias("n"))
+
+    found = F.aggregate(steps, F.struct(F.col("_begins").alias("begins"), F.lit(0).alias("n")), onward, lambda at: at["n"])
+    return rows.withColumn("_begins", begins).withColumn("_range", found).drop("_begins")
+
+
 def carried(
     rows: DataFrame,
     group: Sequence[str],
@@ -48,7 +66,7 @@ def carried(
     if not ready:  # what makes the rows is not computed again to count and to sample them
         taken = stored(taken)
     ranges = max(taken.sparkSession.sparkContext.defaultParallelism, math.ceil(taken.count() / (range_rows or RANGE_ROWS)))
-    taken = stored(taken.repartitionByRange(ranges, *group, *order).withColumn("_range", F.spark_partition_id()))
+    taken = _ranged(taken, [*group, *order], ranges)
     position = F.struct(*order)
     inside = W.partitionBy("_range", *group).orderBy(*order)
     upto, ahead = inside.rowsBetween(W.unboundedPreceding, 0), inside.rowsBetween(W.unboundedPreceding, -1)
