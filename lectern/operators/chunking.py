@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from itertools import accumulate
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.text import section_label
@@ -307,13 +307,13 @@ def _run(pdf: pd.DataFrame, limits: Limits) -> tuple[Run, int]:
 
 
 def _routes(limits: Limits, every: bool):
-    """(state in which a range is entered, state in which it is left): for the states given, or for
+    """(state in which a range is entered, state in which it is left): for the states given beside the units, or for
     drafts that begin at any unit of the range with nothing taken over."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame, states: pd.DataFrame | None) -> pd.DataFrame:
         place = {k: pdf[k].iloc[0] for k in KEY}
-        units, stop = _run(pdf.drop_duplicates("i"), limits)
-        starts = [(at, None) for at in range(units.base, stop)] if every else list({(int(e.at), _lead(e.lead_text, e.lead_section, e.lead_page)) for e in pdf.itertuples()})
+        units, stop = _run(pdf, limits)
+        starts = [(at, None) for at in range(units.base, stop)] if every else list({(int(e.at), _lead(e.lead_text, e.lead_section, e.lead_page)) for e in states.itertuples()})
         known: dict = {}
         rows = []
         for start in starts:
@@ -330,7 +330,7 @@ def _routes(limits: Limits, every: bool):
         out = pd.DataFrame([(*flat(a), *flat(b)) for a, b in rows], columns=["at", "lead_text", "lead_section", "lead_page", "to_at", "to_text", "to_section", "to_page"])
         return out.astype({"lead_page": "Int32", "to_page": "Int32"}).assign(**place)[[*KEY, *out.columns]]
 
-    return run
+    return (lambda pdf: run(pdf, None)) if every else run
 
 
 ROUTE = f"{PLACE}, {STATE}, to_at long, to_text string, to_section string, to_page int"
@@ -342,20 +342,31 @@ def _entered(states: DataFrame) -> DataFrame:
     return states.withColumn("range", F.col("range") + 1).select(*KEY, *_STATE, F.xxhash64(*_STATE).alias("key")).distinct()
 
 
+def _thin(text: Column, limits: Limits) -> Column:
+    """A text of the same length for which drafts begin, end and take over as for ``text``: only the end of a unit that fits
+    is ever taken over, of what stands before it only its length counts and what of it is space; of a unit that
+    is too large, that it is."""
+    n, tail = F.length(text), 4 * limits.overlap
+    fits = F.concat(F.regexp_replace(F.substring(text, F.lit(1), n - tail), "[A-Za-z0-9]", "x"), F.substring(text, n - tail + 1, F.lit(tail)))
+    return F.when(F.floor(n / 4) > limits.most, F.lit("x" * 4 * (limits.most + 1))).when(n > tail, fits).otherwise(text)
+
+
 def _entries(units: DataFrame, long: DataFrame, limits: Limits) -> DataFrame:
     """(book, run, range, state) in which each range of the long runs (book, run, ranges) is entered."""
-    rows = stored(units.join(long, ["book", "run"]))
+    rows = stored(units.join(long, ["book", "run"]).withColumn("text", _thin(F.col("text"), limits)))
     start = long.select("book", "run", F.lit(-1).cast("long").alias("range"), F.lit(0).cast("long").alias("at"), *[F.lit(None).cast(t).alias(n) for n, t in zip(_STATE[1:], ("string", "string", "int"), strict=True)])
     left = rows.groupBy(*KEY).applyInPandas(_routes(limits, True), ROUTE).select(*KEY, *_STATE)
-    fresh, table = stored(_entered(start.unionByName(left)).where("range >= 0")), None
+    there_is = lambda states: states.join(long, ["book", "run"]).where("range < ranges").drop("ranges")
+    fresh, table = stored(there_is(_entered(start.unionByName(left)))), None
     while not fresh.isEmpty():
-        asked = rows.join(fresh.drop("key"), KEY)
-        found = asked.groupBy(*KEY).applyInPandas(_routes(limits, False), ROUTE)
+        # units go to their range once, however many states it is entered in
+        asked = rows.join(fresh.select(*KEY).distinct(), KEY, "left_semi")
+        found = asked.groupBy(*KEY).cogroup(fresh.drop("key").groupBy(*KEY)).applyInPandas(_routes(limits, False), ROUTE)
         found = found.withColumns({"key": F.xxhash64(*_STATE), "to_key": F.xxhash64("to_at", "to_text", "to_section", "to_page")})
         table = stored(found if table is None else table.unionByName(found))
         outs = table.select(*KEY, *[F.col(c).alias(n) for c, n in zip(("to_at", "to_text", "to_section", "to_page"), _STATE, strict=True)])
         there = table.select(*KEY, "key").distinct()
-        fresh = stored(_entered(outs).join(long, ["book", "run"]).where("range < ranges").drop("ranges").join(there, [*KEY, "key"], "left_anti"))
+        fresh = stored(there_is(_entered(outs)).join(there, [*KEY, "key"], "left_anti"))
     # which states are met on the way from the start, by doubling the length of steps
     steps = table.select("book", "run", "range", "key", (F.col("range") + 1).alias("to"), F.col("to_key"))
     met = stored(table.where("range = 0 and at = 0 and lead_text is null").select(*KEY, "key"))
@@ -405,8 +416,8 @@ def _drafts(limits: Limits):
 
 
 def _settled(made: DataFrame, long: DataFrame, limits: Limits) -> DataFrame:
-    """(book, run, at, part, head) of the drafts of long runs, every range behind the shelf that the
-    one before it leaves. A range whose shelf is what it was is not repeated."""
+    """(book, run, at, part, head) of the drafts of long runs that belong elsewhere once every range stands behind the shelf
+    that the one before it leaves. A range whose shelf is what it was is not repeated."""
     rows = stored(made.join(long, ["book", "run"], "left_semi").withColumn("chars", F.length("text").cast("long")).select(*KEY, "at", "part", "chars", "whole", "open", "head_at", "head_part", *_SHELF))
     plain = rows.select(*KEY, "at", "part", "chars", "whole", "open")
     heads, before = rows.drop("chars", "whole", "open"), rows.select(*KEY).distinct().withColumns({n: F.lit(None).cast(t) for n, t in (x.split() for x in SHELF.split(", "))})
@@ -416,7 +427,9 @@ def _settled(made: DataFrame, long: DataFrame, limits: Limits) -> DataFrame:
         same = [F.coalesce(F.col(f"x.{n}"), F.lit(0)) == F.coalesce(F.col(f"y.{n}"), F.lit(0)) for n in _SHELF]
         changed = now.alias("x").join(before.alias("y"), KEY).where(~_all(same)).select(*KEY, *[F.col(f"x.{n}").alias(n) for n in _SHELF])
         if changed.isEmpty():
-            return heads.select("book", "run", "at", "part", "head_at", "head_part")
+            first = rows.select("book", "run", "at", "part", F.col("head_at").alias("was_at"), F.col("head_part").alias("was_part"))
+            moved = heads.select("book", "run", "at", "part", "head_at", "head_part").join(first, ["book", "run", "at", "part"])
+            return moved.where("head_at <> was_at or head_part <> was_part").drop("was_at", "was_part")
         again = plain.join(changed, KEY).groupBy(*KEY).applyInPandas(_heads(limits), f"{PLACE}, at long, part int, head_at long, head_part int, {SHELF}")
         heads = stored(heads.join(changed.select(*KEY), KEY, "left_anti").unionByName(again))
         before = now
@@ -432,14 +445,14 @@ def _all(conditions: list):
     return out
 
 
-def pack_chunks(units: DataFrame, chunk_tokens: int = 700, overlap_tokens: int = 120, min_tokens: int = 60, range_units: int | None = None) -> DataFrame:
+def pack_chunks(units: DataFrame, chunk_tokens: int = 700, overlap_tokens: int = 120, min_tokens: int = 60, range_units: int | None = None, ready: bool = False) -> DataFrame:
     """Chunks (book, ordinal, id, chapter, section, page_start, page_end, token_count, text) of units (book,
-    unit, chapter, section, page_start, page_end, text, page_marks)."""
+    unit, chapter, section, page_start, page_end, text, page_marks), which are ``ready`` if they are cheap to read again."""
     limits, size = Limits(chunk_tokens, overlap_tokens, min_tokens), range_units or RANGE_UNITS
     halo = chunk_tokens // 3 + 2  # a unit and what parts it from the next cost three at least
     size = max(size, halo)
     plain = units.select("book", "unit", F.coalesce("chapter", F.lit("")).alias("chapter"), F.coalesce("section", F.lit("")).alias("section"), "page_start", "page_end", F.coalesce("text", F.lit("")).alias("text"), "page_marks")
-    placed = stored(carried(plain, ["book"], ["unit"], sums={"nth": F.lit(1).cast("long")}, changes={"run": F.col("chapter")}))
+    placed = stored(carried(plain, ["book"], ["unit"], sums={"nth": F.lit(1).cast("long")}, changes={"run": F.col("chapter")}, ready=ready))
     runs_ = placed.groupBy("book", "run").agg(F.min("nth").alias("start"), F.count("*").alias("n"), F.max("chapter").alias("chapter"))
     lasts = runs_.groupBy("book").agg(F.max("run").alias("last_run"))
     known = stored(runs_.join(lasts, "book").withColumn("closing", F.col("run") == F.col("last_run")).withColumn("ranges", F.ceil(F.col("n") / size)).drop("last_run"))
@@ -447,7 +460,7 @@ def pack_chunks(units: DataFrame, chunk_tokens: int = 700, overlap_tokens: int =
     own = F.floor(F.col("i") / size).cast("long")
     # the first units of a range also stand behind the one before it
     both = F.when((own > 0) & (F.col("i") % size < halo), F.array(own, own - 1)).otherwise(F.array(own))
-    rows = stored(rows.withColumn("range", F.explode(both)).withColumn("halo", F.col("range") != own))
+    rows = rows.withColumn("range", F.explode(both)).withColumn("halo", F.col("range") != own)
     long = known.where("ranges > 1").select("book", "run", "ranges")
     long = stored(long)
     crossing = not long.isEmpty()
@@ -457,10 +470,11 @@ def pack_chunks(units: DataFrame, chunk_tokens: int = 700, overlap_tokens: int =
     else:
         entered = rows.withColumns({n: F.lit(None).cast(t) for n, t in (x.split() for x in STATE.split(", "))})
     made = stored(entered.groupBy(*KEY).applyInPandas(_drafts(limits), DRAFT))
-    heads = made.select("book", "run", "at", "part", "head_at", "head_part")
+    parts = made.drop(*_SHELF)
     if crossing:
-        heads = heads.join(long, ["book", "run"], "left_anti").unionByName(_settled(made, long, limits))
-    parts = made.drop("head_at", "head_part", *_SHELF).join(heads, ["book", "run", "at", "part"])
+        # stored, as few belong elsewhere, and Spark sees then that they are few
+        moved = stored(_settled(made, long, limits).withColumnsRenamed({"head_at": "to_at", "head_part": "to_part"}))
+        parts = parts.join(moved, ["book", "run", "at", "part"], "left").withColumns({"head_at": F.coalesce("to_at", "head_at"), "head_part": F.coalesce("to_part", "head_part")})
     listed = F.array_sort(F.collect_list(F.struct("at", "part", "text", "sections", "first", "last")))
     chunks = parts.groupBy("book", "run", "head_at", "head_part").agg(listed.alias("x")).join(known.select("book", "run", "chapter"), ["book", "run"])
     chunks = chunks.select(
@@ -470,6 +484,9 @@ def pack_chunks(units: DataFrame, chunk_tokens: int = 700, overlap_tokens: int =
         F.array_max(F.transform("x", lambda d: d["last"])).alias("page_end"),
         F.array_join(F.transform("x", lambda d: d["text"]), GLUE).alias("text"),
     )
-    numbered = carried(chunks, ["book"], ["run", "head_at", "head_part"], sums={"ordinal": F.lit(1)})
+    # numbers are found without the texts, which stay where they were put together
+    keys = stored(parts.select("book", "run", "head_at", "head_part").distinct())
+    numbers = stored(carried(keys, ["book"], ["run", "head_at", "head_part"], sums={"ordinal": F.lit(1)}, ready=True))
+    numbered = chunks.join(numbers, ["book", "run", "head_at", "head_part"])
     tokens = F.greatest(F.lit(1), F.floor(F.length("text") / 4)).cast("int")
     return numbered.select("book", F.col("ordinal").cast("int").alias("ordinal"), F.format_string("%s::%05d", "book", F.col("ordinal").cast("int")).alias("id"), "chapter", "section", "page_start", "page_end", tokens.alias("token_count"), "text")
