@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lectern import plugins
 from lectern.config import Config
-from lectern.functions.text import citation, embed_text, needs_condensing
+from lectern.functions.text import citation, embed_text, needs_condensing, token_count
 from lectern.operators import answer, chunking, context, dense, fusion, ingest, lexical, variants
 from lectern.sources.book_cache import BookCache, cache_key
 from lectern.sources.books import discover, read_blocks, read_contents
@@ -104,12 +104,15 @@ def retrieve(questions: DataFrame, chunks: DataFrame, cfg: Config, encode: Encod
         lists = lists.unionByName(near.select("asked", "id", F.lit("dense").alias("retriever"), "rank"))
     fused = fusion.fuse(variants.unkeyed(lists, kind), cfg.get("rerank.candidates", 12), key="id")
     questions = asked.where("variant = 0").select("query_id", "text")
-    rows = fused.join(chunks.select("id", "book_id", "ordinal", "text"), "id").join(questions.select("query_id", F.col("text").alias("question")), "query_id")
+    # the question goes to the passage, as it is the shorter; what is scored leaves its text where it was
+    rows = fused.join(questions.select("query_id", F.col("text").alias("question")), "query_id").join(chunks.select("id", "book_id", "ordinal", "text"), "id")
     hits = stored(fusion.rerank(rows, rerank(F.col("question"), F.col("text")), cfg.get("rerank.top_k", 8), cfg.get("rerank.min_score", 0.02)).select("query_id", "id", "book_id", "ordinal", F.col("rerank_score").alias("score"), "relevance_rank"))
     near = context.reading_order(context.expand_neighbours(hits, chunks, cfg.get("retrieve.neighbor_window", 1)))
-    texts = near.join(chunks.select("id", "text", "citation"), "id")
-    kept = stored(context.select_within(texts, cfg.get("retrieve.max_context_tokens", 4500)))
-    made = context.render(kept)
+    # what fits is found by lengths, and only texts that are kept go to their question, cut to what is shown of them
+    sizes = near.join(chunks.select("id", "citation", token_count(F.col("text")).alias("cost")), "id")
+    kept = stored(context.select_within(sizes, cfg.get("retrieve.max_context_tokens", 4500), cost=F.col("cost")).drop("cost"))
+    texts = kept.join(chunks.select("id", "text"), "id").withColumn("text", context.shown(F.col("text"), F.col("tokens")))
+    made = context.render(texts)
     sound = answer.grounded(hits, kept, made)
     best = hits.groupBy("query_id").agg(F.max("score").alias("top_score"))
     out = questions.select("query_id").join(made, "query_id", "left").join(best, "query_id", "left").join(sound, "query_id", "left").withColumn("grounded", F.coalesce("grounded", F.lit(False)))

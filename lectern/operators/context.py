@@ -63,10 +63,15 @@ def select_within(rows: DataFrame, budget: int = 4500, query: str = "query_id",
     return rows.join(kept, [query, "position"])
 
 
+def shown(text: Column, tokens: Column) -> Column:
+    """What a context shows of a text that may take so many tokens."""
+    return F.substring(text, F.lit(1), tokens * 4 + 3)
+
+
 def render(rows: DataFrame, query: str = "query_id") -> DataFrame:
     """One context per query: numbered blocks, and beside it the list of citations, and the passages as (n,
     citation, text)."""
-    body = F.substring(F.col("text"), F.lit(1), F.col("tokens") * 4 + 3)
+    body = shown(F.col("text"), F.col("tokens"))
     block = F.concat(F.lit("["), F.col("number").cast("string"), F.lit("] "), F.col("citation"), F.lit("\n"), body)
     listed = F.array_sort(F.collect_list(F.struct("number", block.alias("block"), "citation", body.alias("body"))))
     passages = F.transform("x", lambda r: F.struct(r["number"].alias("n"), r["citation"].alias("citation"), r["body"].alias("text")))
