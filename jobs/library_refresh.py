@@ -62,11 +62,12 @@ def _make_passages(library: str, settings: Config):
         into = lambda rows, name, *keys: rows.withColumn("batch", F.lit(number).cast("long")).write.partitionBy("batch", *keys).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{library}/{name}")
         into(batch.select("sha", "text"), "texts")
         texts = spark.read.schema(TEXT).parquet(f"{library}/texts").where(F.col("batch") == number).drop("batch")
-        into(ingest.text_quality(texts.select("sha", F.explode(F.split("text", "\n")).alias("line")), "sha"), "reports")
-        blocks = ingest.text_blocks(texts, "sha").select("sha", "line_no", "text", "level", token_count(F.col("text")).alias("tokens"))
+        # a text is whole in its row, so its report needs no shuffle, and unfit ones go before their lines are made
+        quality = ingest.whole_text_quality(F.col("text"))
+        into(texts.select("sha", F.inline(F.array_compact(F.array(quality)))), "reports")
         if settings.get("skip_fragmented", True):
-            reports = spark.read.schema(REPORT).parquet(f"{library}/reports").where(F.col("batch") == number)
-            blocks = blocks.join(reports.where("verdict = 'ok'").select("sha"), "sha", "left_semi")
+            texts = texts.where(quality["verdict"] == "ok")
+        blocks = ingest.text_blocks(texts, "sha").select("sha", "line_no", "text", "level", token_count(F.col("text")).alias("tokens"))
         shelf = F.pmod(F.conv(F.substring("sha", 1, 6), 16, 10).cast("int"), F.lit(settings.get("shelves", 16)))
         into(blocks.withColumn("shelf", shelf), "passages", "shelf")
 

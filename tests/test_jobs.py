@@ -187,3 +187,50 @@ def test_report_without_documents_or_questions(spark, tables, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"file://{tmp_path}/no_questions")
     assert retrieval_report.run(spark, docs, f"file://{tmp_path}/no_questions", f"{out}2").count() == 0
     assert spark.read.schema(retrieval_report.METRICS).json(f"{out}2/metrics/run=bm25").first().n == 0
+
+
+def moved(spark, since=-1):
+    """(bytes that stages after ``since`` have shuffled, the last stage)."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    found = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    stages = [found.apply(i) for i in range(found.size())]
+    return sum(s.shuffleWriteBytes() for s in stages if s.stageId() > since), max((s.stageId() for s in stages), default=-1)
+
+
+def test_texts_move_once_to_their_state_and_once_to_their_paths(spark, tmp_path):
+    """As for large tables, where no side of a join is broadcast."""
+    lines = lambda i: "\n".join(hashlib.sha512(f"{i} {k}".encode()).hexdigest() for k in range(160))
+    rows = [(i, "s", lines(i), "en") for i in range(60)] + [(100 + i, "s", lines(0), "en") for i in range(60)]
+    put(spark, f"file://{tmp_path}/in", rows)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        _, last = moved(spark)
+        out = library_refresh.run(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/l", f"file://{tmp_path}/s")
+        out.write.format("noop").mode("overwrite").save()
+        assert moved(spark, last)[0] < 2.5 * sum(len(lines(i)) for i in range(60))
+        assert listed(out) == expected({f"s/{i}": t for i, _, t, _ in rows})
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_copies_go_where_they_are_read(spark, monkeypatch):
+    """Also if a task has forgotten that it had them."""
+    import pandas as pd
+
+    first = lambda *batches: [list(x) for x in refresh._first_here(pd.Series(list(b), dtype=object) for b in batches)]
+    assert first("aba", "", "bca") == [[True, True, False], [], [False, True, False]]
+    monkeypatch.setattr(refresh, "REMEMBERED", 1)
+    assert first("aba", "b") == [[True, True, False], [True]]
+    files = spark.createDataFrame([("p", None, None), *((f"p{i}", f"s{i % 3}", f"t{i % 3}") for i in range(300))], "path string, sha string, text string")
+    assert sorted(map(tuple, refresh.contents(files).collect())) == [(f"s{i}", f"t{i}") for i in range(3)]
+
+
+def test_quality_of_whole_texts_is_that_of_their_lines(spark):
+    texts = ["", " \n ", "\t\n", "a", "ab\nabcd\nabcde", GOOD, GOOD + "\r\n\x0b" + "x" * 50, "a\nb\nc\n" * 60, "é\U0001f600\n" * 40, "line of twelve\n" * 9 + "abc\n" * 5, "\n\n" + "y" * 99, "y" * 100, None]
+    df = spark.createDataFrame(list(enumerate(texts)), "book int, text string")
+    ingest = library_refresh.ingest
+    want = ingest.text_quality(df.select("book", F.explode(F.split("text", "\n")).alias("line")))
+    got = df.select("book", F.inline(F.array_compact(F.array(ingest.whole_text_quality(F.col("text"))))))
+    assert got.columns == want.columns and [t for _, t in got.dtypes] == [t for _, t in want.dtypes]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and {r.verdict for r in got.collect()} == {"ok", "fragmented", "no usable text layer"}
