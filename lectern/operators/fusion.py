@@ -34,10 +34,13 @@ def fuse(ranked: DataFrame, limit: int, key: str = "doc_id", query: str = "query
 def rerank(candidates: DataFrame, score: Column, top_k: int = 8, floor: float = 0.02, query: str = "query_id") -> DataFrame:
     """Order by the reranker's score, stable on the fused order; below the floor nothing is kept.
     A score of exactly zero counts as none."""
-    effective = F.when(score.isNull() | (score == 0), float("-inf")).otherwise(score)
-    rows = candidates.withColumn("rerank_score", effective).where(F.col("rerank_score") >= floor)
+    # the score is named before it is used, and the floor is asked of ranked rows, whose order it does not change: a filter
+    # below the window would have every passage scored again for it
+    rows = candidates.withColumn("rerank_score", score)
+    rows = rows.withColumn("rerank_score", F.when(F.col("rerank_score").isNull() | (F.col("rerank_score") == 0), float("-inf")).otherwise(F.col("rerank_score")))
     w = W.partitionBy(query).orderBy(F.desc("rerank_score"), "rank")
-    return rows.withColumn("relevance_rank", F.row_number().over(w)).where(F.col("relevance_rank") <= top_k).withColumn("relevance_rank", F.col("relevance_rank").cast("long"))
+    ranked = rows.withColumn("relevance_rank", F.row_number().over(w)).where((F.col("relevance_rank") <= top_k) & (F.col("rerank_score") >= floor))
+    return ranked.withColumn("relevance_rank", F.col("relevance_rank").cast("long"))
 
 
 def overlap_score(query_terms: Column, passage_terms: Column) -> Column:

@@ -37,6 +37,11 @@ MOST_TERMS = 500_000
 SEGMENT_DOCS, BATCH_BYTES = 64, 4 << 20
 #: Products of postings and queries that are added up at once; bytes of what segments that wait for their turn hold.
 CELLS, HELD_BYTES = 1 << 21, 32 << 20
+#: Queries whose best leave a task in one batch.
+OUT_QUERIES = 256
+#: From so many queries on, they are added up term by term over blocks of segments: so many postings and documents, and so many
+#: of the most frequent terms as rows of all documents.
+MANY_QUERIES, BLOCK_POSTINGS, BLOCK_DOCS, FULL_ROWS = 512, 6_000_000, 1 << 15, 128
 #: Scores are rounded to six places; a bound that is below the floor by more counts a segment out.
 MARGIN = 2e-6
 
@@ -232,6 +237,111 @@ class _Scorer:
             self.floor[q] = score[top[-1]]
 
 
+class _Blocks:
+    """The same for many queries: ``begin`` says where the terms and weights of each query start.
+
+    Segments become one block with the postings of each term. A query adds up its rarest terms first. Once what is left cannot lift
+    a document over the k-th best (of blocks before, or of the sums so far, which only grow), the rest is added for those
+    documents alone that it may still lift there."""
+
+    def __init__(self, names: pa.Array, begin: np.ndarray, term: np.ndarray, weight: np.ndarray, avgdl: float, k: int):
+        self.names, self.begin, self.term, self.weight, self.avgdl, self.k = names, begin, term, weight, avgdl, k
+        self.floor, self.best = np.full(len(begin) - 1, -np.inf), [None] * (len(begin) - 1)
+        self.held, self.postings, self.docs = [], 0, 0
+
+    def add(self, keys: np.ndarray, allowed: np.ndarray, row: dict) -> None:
+        self.held.append((keys, allowed, row))
+        self.postings += len(row["docs"])
+        self.docs += len(keys)
+        if self.postings >= BLOCK_POSTINGS or self.docs >= BLOCK_DOCS:
+            self.take()
+
+    def _block(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Keys of documents; where the postings of each term start, their documents and what these give for it."""
+        keys, allowed = (np.concatenate([x[i] for x in self.held]) for i in (0, 1))
+        rows = [x[2] for x in self.held]
+        first = np.cumsum([0, *(len(x[0]) for x in self.held)])
+        found = pc.index_in(pa.concat_arrays([r["terms"] for r in rows]), value_set=self.names)
+        at = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+        term = found.fill_null(0).to_numpy(zero_copy_only=False)[at]
+        order = np.argsort(term, kind="stable")
+        at, term = at[order], term[order]
+        df = np.concatenate([r["df"] for r in rows])
+        offset, of = (np.cumsum(df) - df)[at], np.repeat(np.arange(len(rows)), [len(r["df"]) for r in rows])[at]
+        df = df[at]
+        posting = _spread(offset, df)
+        doc = np.concatenate([r["docs"] for r in rows])[posting] + np.repeat(first[of], df)
+        value = _saturated(np.concatenate([r["counts"] for r in rows])[posting].astype(np.float64), np.concatenate([r["dl"] for r in rows])[doc], self.avgdl)
+        term = np.repeat(term, df)
+        if not allowed.all():
+            term, doc, value = term[allowed[doc]], doc[allowed[doc]], value[allowed[doc]]
+        return keys, np.r_[0, np.cumsum(np.bincount(term, minlength=len(self.names)))], doc, value
+
+    def take(self) -> None:
+        if not self.held:
+            return
+        keys, start, doc, value = self._block()
+        self.held, self.postings, self.docs = [], 0, 0
+        many, n = np.diff(start), len(keys)
+        most = np.zeros(len(many))
+        if len(value):
+            most[many > 0] = np.maximum.reduceat(value, start[:-1][many > 0])
+        full = {}
+        for t in np.argsort(-many, kind="stable")[:FULL_ROWS].tolist():
+            if many[t] > n // 8:
+                full[t] = np.zeros(n)
+                full[t][doc[start[t] : start[t + 1]]] = value[start[t] : start[t + 1]]
+        total, scaled = np.empty(n), np.empty(n)
+        for q in range(len(self.floor)):
+            term, weight = self.term[self.begin[q] : self.begin[q + 1]], self.weight[self.begin[q] : self.begin[q + 1]]
+            here = np.flatnonzero(many[term])
+            here = here[np.argsort(many[term[here]], kind="stable")]
+            term, weight = term[here], weight[here]
+            rest = np.r_[np.cumsum((weight * most[term])[::-1])[::-1], 0.0] + MARGIN
+            if len(term) and rest[0] >= self.floor[q]:
+                self._score(q, keys, term.tolist(), weight.tolist(), rest.tolist(), start, doc, value, full, total, scaled)
+
+    def _score(self, q: int, keys: np.ndarray, term: list, weight: list, rest: list, start: np.ndarray, doc: np.ndarray, value: np.ndarray, full: dict, total: np.ndarray, scaled: np.ndarray) -> None:
+        floor, likely, asked = self.floor[q], None, False
+        total[:] = 0
+        for i, (t, w) in enumerate(zip(term, weight, strict=True)):
+            # sums so far are looked at where half of a floor is out of reach of what is left
+            if floor == -np.inf and not asked and i and 3 * rest[i] < 2 * rest[0] and len(total) > self.k:
+                floor, asked = np.partition(total, len(total) - self.k)[len(total) - self.k], True
+                floor = floor if floor > 0 else -np.inf
+            if 2 * rest[i] < floor:
+                likely = np.flatnonzero(total >= floor - rest[i])
+                if 8 * len(likely) < len(total):
+                    break
+                likely = None
+            if t in full:
+                np.multiply(full[t], w, out=scaled)
+                np.add(total, scaled, out=total)
+            else:
+                low, high = start[t], start[t + 1]
+                total[doc[low:high]] += w * value[low:high]
+        if likely is None:
+            likely = np.flatnonzero(total >= max(self.floor[q] - MARGIN, 5e-324))
+            if len(likely) > 4 * self.k:
+                least = np.partition(total[likely], len(likely) - self.k)[len(likely) - self.k] - MARGIN
+                likely = likely[total[likely] >= least]
+            score = total[likely]
+        else:
+            score = total[likely]
+            for j in range(i, len(term)):
+                t = term[j]
+                if t in full:
+                    score += weight[j] * full[t][likely]
+                else:
+                    low, high = start[t], start[t + 1]
+                    at = np.minimum(np.searchsorted(doc[low:high], likely), high - low - 1) + low
+                    score += np.where(doc[at] == likely, weight[j] * value[at], 0.0)
+        score = np.round(score, 6)
+        good = (score >= self.floor[q]) & (score > 0)
+        if good.any():
+            _Scorer._keep(self, q, keys[likely[good]], score[good])
+
+
 def _columns(batch: pa.RecordBatch) -> Iterator[dict]:
     """Each segment's lists; of keys and terms as they are, of numbers as arrays."""
     names = [n for n in batch.schema.names if n != "segment"]
@@ -240,20 +350,25 @@ def _columns(batch: pa.RecordBatch) -> Iterator[dict]:
         yield {n: v if n in ("terms", "keys") else v.to_numpy(zero_copy_only=False) for n, v in lists.items()}
 
 
-def _scan(queries: pa.Array, scorer: tuple, schema: pa.Schema, counts_only: bool):
+def _scan(queries: pa.Array, scorer: tuple, schema: pa.Schema, blocks: bool, counts_only: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = _Scorer(len(queries), *scorer)
+        s = _Blocks(*scorer) if blocks else _Scorer(len(queries), *scorer)
         for batch in batches:
             for row in _columns(batch):
                 keys = row["keys"].to_numpy(zero_copy_only=False)
                 s.add(keys, np.isin(keys, row["allowed"]) if "allowed" in row else np.ones(len(keys), bool), row)
-            s.take()
+            if not blocks:
+                s.take()
+        s.take()
         if counts_only:
             yield pa.RecordBatch.from_arrays([pa.array([s.scored]), pa.array([s.possible])], names=["scored", "possible"])
             return
-        for q, kept in enumerate(s.best):
-            if kept is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([queries[q].as_py()] * len(kept[0]), schema.field(0).type), pa.array(kept[0], schema.field(1).type), pa.array(kept[1])], schema=schema)
+        for low in range(0, len(s.best), OUT_QUERIES):
+            kept = [(q, x) for q, x in enumerate(s.best[low : low + OUT_QUERIES], low) if x is not None]
+            if kept:
+                owner = np.repeat([q for q, _ in kept], [len(x[0]) for _, x in kept])
+                keys, score = (np.concatenate([x[i] for _, x in kept]) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([queries.take(pa.array(owner)), pa.array(keys, schema.field(1).type), pa.array(score)], schema=schema)
 
     return run
 
@@ -270,11 +385,13 @@ def best_scores(wanted: DataFrame, index: Index, k: int, only: DataFrame | None,
     schema = pa.schema([(query, rows.schema.field(0).type), (index.key, _ARROW[kinds[index.key]]), ("score", pa.float64())])
     queries, names = pc.unique(rows.column(0)), pc.unique(rows.column(1))
     term, owner = pc.index_in(rows.column(1), value_set=names).to_numpy(), pc.index_in(rows.column(0), value_set=queries).to_numpy()
-    order = np.argsort(term, kind="stable")
-    start = np.r_[0, np.cumsum(np.bincount(term, minlength=len(names)))].astype(np.int64)
-    scorer = (names, start, owner[order].astype(np.int64), rows.column(2).to_numpy()[order], index.avgdl, k)
+    blocks = len(queries) >= MANY_QUERIES and not counts_only
+    by, size = (owner, len(queries)) if blocks else (term, len(names))
+    order = np.argsort(by, kind="stable")
+    start = np.r_[0, np.cumsum(np.bincount(by, minlength=size))].astype(np.int64)
+    scorer = (names, start, (term if blocks else owner)[order].astype(np.int64), rows.column(2).to_numpy()[order], index.avgdl, k)
     ddl = "scored long, possible long" if counts_only else f"`{query}` {kinds[query]}, `{index.key}` {kinds[index.key]}, score double"
-    return segments.mapInArrow(_scan(queries, scorer, schema, counts_only), ddl)
+    return segments.mapInArrow(_scan(queries, scorer, schema, blocks, counts_only), ddl)
 
 
 def pruning(queries: DataFrame, index: Index, k: int, query: str = "query_id", text: str = "text") -> DataFrame:
