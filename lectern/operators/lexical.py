@@ -42,6 +42,8 @@ OUT_QUERIES = 256
 #: From so many queries on, they are added up term by term over blocks of segments: so many postings and documents, and so many
 #: of the most frequent terms as rows of all documents.
 MANY_QUERIES, BLOCK_POSTINGS, BLOCK_DOCS, FULL_ROWS = 512, 6_000_000, 1 << 15, 128
+#: The least number above nothing.
+TINY = 5e-324
 #: Scores are rounded to six places; a bound that is below the floor by more counts a segment out.
 MARGIN = 2e-6
 
@@ -240,9 +242,8 @@ class _Scorer:
 class _Blocks:
     """The same for many queries: ``begin`` says where the terms and weights of each query start.
 
-    Segments become one block with the postings of each term. A query adds up its rarest terms first. Once what is left cannot lift
-    a document over the k-th best (of blocks before, or of the sums so far, which only grow), the rest is added for those
-    documents alone that it may still lift there."""
+    Segments become one block with the postings of each term, and those of a query's terms are added up at once, of the most
+    frequent ones by rows of all documents."""
 
     def __init__(self, names: pa.Array, begin: np.ndarray, term: np.ndarray, weight: np.ndarray, avgdl: float, k: int):
         self.names, self.begin, self.term, self.weight, self.avgdl, self.k = names, begin, term, weight, avgdl, k
@@ -286,60 +287,41 @@ class _Blocks:
         most = np.zeros(len(many))
         if len(value):
             most[many > 0] = np.maximum.reduceat(value, start[:-1][many > 0])
-        full = {}
-        for t in np.argsort(-many, kind="stable")[:FULL_ROWS].tolist():
-            if many[t] > n // 8:
-                full[t] = np.zeros(n)
-                full[t][doc[start[t] : start[t + 1]]] = value[start[t] : start[t + 1]]
-        total, scaled = np.empty(n), np.empty(n)
+        often = np.argsort(-many, kind="stable")[:FULL_ROWS]
+        often = often[many[often] > n // 4]
+        place = np.full(len(many), -1)
+        place[often] = np.arange(len(often))
+        full, scaled = np.zeros((len(often), n)), np.empty(n)
+        for i, t in enumerate(often.tolist()):
+            full[i, doc[start[t] : start[t + 1]]] = value[start[t] : start[t + 1]]
         for q in range(len(self.floor)):
             term, weight = self.term[self.begin[q] : self.begin[q + 1]], self.weight[self.begin[q] : self.begin[q + 1]]
-            here = np.flatnonzero(many[term])
-            here = here[np.argsort(many[term[here]], kind="stable")]
-            term, weight = term[here], weight[here]
-            rest = np.r_[np.cumsum((weight * most[term])[::-1])[::-1], 0.0] + MARGIN
-            if len(term) and rest[0] >= self.floor[q]:
-                self._score(q, keys, term.tolist(), weight.tolist(), rest.tolist(), start, doc, value, full, total, scaled)
-
-    def _score(self, q: int, keys: np.ndarray, term: list, weight: list, rest: list, start: np.ndarray, doc: np.ndarray, value: np.ndarray, full: dict, total: np.ndarray, scaled: np.ndarray) -> None:
-        floor, likely, asked = self.floor[q], None, False
-        total[:] = 0
-        for i, (t, w) in enumerate(zip(term, weight, strict=True)):
-            # sums so far are looked at where half of a floor is out of reach of what is left
-            if floor == -np.inf and not asked and i and 3 * rest[i] < 2 * rest[0] and len(total) > self.k:
-                floor, asked = np.partition(total, len(total) - self.k)[len(total) - self.k], True
-                floor = floor if floor > 0 else -np.inf
-            if 2 * rest[i] < floor:
-                likely = np.flatnonzero(total >= floor - rest[i])
-                if 8 * len(likely) < len(total):
-                    break
-                likely = None
-            if t in full:
-                np.multiply(full[t], w, out=scaled)
-                np.add(total, scaled, out=total)
+            # no document of the block reaches the k-th best of those before
+            if not len(term) or (weight * most[term]).sum() + MARGIN < self.floor[q]:
+                continue
+            row = place[term]
+            thin = row < 0
+            rare = thin & (many[term] > 0)
+            at, w = term[rare], weight[rare]
+            parts = list(zip(start[at].tolist(), start[at + 1].tolist(), strict=True))
+            if parts:
+                given = np.concatenate([value[low:high] for low, high in parts])
+                given *= np.repeat(w, many[at])
+                total = np.bincount(np.concatenate([doc[low:high] for low, high in parts]), given, n)
             else:
-                low, high = start[t], start[t + 1]
-                total[doc[low:high]] += w * value[low:high]
-        if likely is None:
-            likely = np.flatnonzero(total >= max(self.floor[q] - MARGIN, 5e-324))
-            if len(likely) > 4 * self.k:
-                least = np.partition(total[likely], len(likely) - self.k)[len(likely) - self.k] - MARGIN
-                likely = likely[total[likely] >= least]
-            score = total[likely]
-        else:
+                total = np.zeros(n)
+            for i, w in zip(row[~thin].tolist(), weight[~thin].tolist(), strict=True):
+                np.multiply(full[i], w, out=scaled)
+                np.add(total, scaled, out=total)
+            likely = np.flatnonzero(total >= max(self.floor[q] - MARGIN, TINY))
             score = total[likely]
-            for j in range(i, len(term)):
-                t = term[j]
-                if t in full:
-                    score += weight[j] * full[t][likely]
-                else:
-                    low, high = start[t], start[t + 1]
-                    at = np.minimum(np.searchsorted(doc[low:high], likely), high - low - 1) + low
-                    score += np.where(doc[at] == likely, weight[j] * value[at], 0.0)
-        score = np.round(score, 6)
-        good = (score >= self.floor[q]) & (score > 0)
-        if good.any():
-            _Scorer._keep(self, q, keys[likely[good]], score[good])
+            if len(likely) > 4 * self.k:
+                good = score >= np.partition(score, len(score) - self.k)[len(score) - self.k] - MARGIN
+                likely, score = likely[good], score[good]
+            score = np.round(score, 6)
+            good = (score >= self.floor[q]) & (score > 0)
+            if good.any():
+                _Scorer._keep(self, q, keys[likely[good]], score[good])
 
 
 def _columns(batch: pa.RecordBatch) -> Iterator[dict]:
